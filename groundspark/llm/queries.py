@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from groundspark.session import table
 
-from . import pieces
+from . import pieces, simhash, toxicity
 
 
 def piece_model() -> str:
@@ -18,5 +18,17 @@ def op5_sentencepiece(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES = {"op5_sentencepiece": op5_sentencepiece}
+def op7_simhash(spark, sf_dir):
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
+}
 ORACLE: dict[str, str] = {}
