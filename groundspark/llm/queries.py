@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from groundspark.session import table
 
-from . import pieces, simhash, toxicity
+from . import html_extract, pieces, simhash, toxicity
 
 
 def piece_model() -> str:
@@ -14,6 +14,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_html(spark, sf_dir):
+    return html_extract.digests(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -27,6 +31,7 @@ def op9_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,
