@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from groundspark.session import table
 
-from . import html_extract, pieces, simhash, toxicity
+from . import html_extract, pieces, simhash, toxicity, warc
 
 
 def piece_model() -> str:
@@ -30,10 +30,49 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark, sf_dir):
+    return warc.audited(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
 }
-ORACLE: dict[str, str] = {}
+
+#: Files of 128 records have three levels. chr(13) || chr(10) is the line end of WARC.
+OP10_SQL = """
+with sides as (
+  select 'a' as side, coalesce(page_id, -1) as number, coalesce(url, '') as url, coalesce(html, '') as html from pages
+  union all
+  select 'b', coalesce(page_id, -1), coalesce(url, ''), case when page_id % 97 = 0 then left(coalesce(html, ''), greatest(length(coalesce(html, '')) - 1, 0)) || '~' else coalesce(html, '') end
+  from pages where page_id is null or page_id % 389 <> 1),
+texts as (
+  select side, floor(number / 128)::bigint as file, number, url,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) as t
+  from sides),
+recs as (
+  select side, file, octet_length(encode(t)) as length, sha256(t) as digest,
+    row_number() over w - 1 as leaf, sum(octet_length(encode(t))) over w - octet_length(encode(t)) as off
+  from texts window w as (partition by side, file order by number, url, sha256(t))),
+l0 as (select side, file, leaf as node, off::bigint as off, (off + length)::bigint as fin, sha256(off::bigint || '|' || length || '|' || digest) as seal from recs),
+l1 as (select side, file, node // 16 as node, min(off) as off, max(fin) as fin, sha256(min(off) || '|' || max(fin) || '|' || string_agg(seal, '' order by node)) as seal from l0 group by side, file, node // 16),
+l2 as (select side, file, node // 16 as node, min(off) as off, max(fin) as fin, sha256(min(off) || '|' || max(fin) || '|' || string_agg(seal, '' order by node)) as seal from l1 group by side, file, node // 16),
+p2 as (select coalesce(a.file, b.file) as file, a.seal as ra, b.seal as rb from (select * from l2 where side = 'a') a full join (select * from l2 where side = 'b') b on a.file = b.file and a.node = b.node),
+p1 as (select coalesce(a.file, b.file) as file, coalesce(a.node, b.node) as node, a.seal as ra, b.seal as rb from (select * from l1 where side = 'a') a full join (select * from l1 where side = 'b') b on a.file = b.file and a.node = b.node),
+p0 as (select coalesce(a.file, b.file) as file, coalesce(a.node, b.node) as node, coalesce(a.off, b.off) as off, coalesce(a.fin, b.fin) as fin, a.seal as ra, b.seal as rb from (select * from l0 where side = 'a') a full join (select * from l0 where side = 'b') b on a.file = b.file and a.node = b.node),
+s1 as (select * from p1 where file in (select file from p2 where ra is distinct from rb)),
+s0 as (select p0.* from p0 join s1 on p0.file = s1.file and p0.node // 16 = s1.node where s1.ra is distinct from s1.rb),
+bad as (select file, count(*) as n, list(off || '-' || fin order by off, fin) as ranges from s0 where ra is distinct from rb group by file)
+select p2.file, coalesce((select count(*) from recs where side = 'a' and recs.file = p2.file), 0)::bigint as n_records,
+  coalesce((select sum(length) from recs where side = 'a' and recs.file = p2.file), 0)::bigint as n_bytes,
+  ra as root_primary, rb as root_replica, ra is not distinct from rb as intact,
+  (1 + (select count(*) from s1 where s1.file = p2.file) + (select count(*) from s0 where s0.file = p2.file))::bigint as n_compared,
+  coalesce(bad.n, 0)::bigint as n_corrupt, coalesce(bad.ranges, []::varchar[]) as ranges
+from p2 left join bad on p2.file = bad.file
+"""
+
+ORACLE: dict[str, str] = {"op10_warc": OP10_SQL}
