@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from groundspark.session import table
 
-from . import html_extract, pieces, simhash, toxicity, warc
+from . import html_extract, pieces, simhash, substring_dedup, toxicity, warc
 
 
 def piece_model() -> str:
@@ -18,6 +18,10 @@ def op1_html(spark, sf_dir):
     return html_extract.digests(table(spark, sf_dir, "pages"))
 
 
+def op4_substring(spark, sf_dir):
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -36,6 +40,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_html": op1_html,
+    "op4_substring": op4_substring,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,
