@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from groundspark.session import table
 
-from . import html_extract, pieces, simhash, substring_dedup, toxicity, warc
+from . import hmm_lm, html_extract, pieces, simhash, substring_dedup, toxicity, warc
 
 
 def piece_model() -> str:
@@ -30,6 +30,10 @@ def op7_simhash(spark, sf_dir):
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_hmm(spark, sf_dir):
+    return hmm_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_substring": op4_substring,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_simhash": op7_simhash,
+    "op8_hmm": op8_hmm,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
