@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from groundspark.session import table
 
-from . import hmm_lm, html_extract, pieces, simhash, substring_dedup, toxicity, warc
+from . import hmm_lm, html_extract, pieces, simhash, substring_dedup, topk, toxicity, warc
 
 
 def piece_model() -> str:
@@ -18,6 +18,10 @@ def op1_html(spark, sf_dir):
     return html_extract.digests(table(spark, sf_dir, "pages"))
 
 
+def op3_topk(spark, sf_dir):
+    return topk.nearest_of_hundredths(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring(spark, sf_dir):
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_html": op1_html,
+    "op3_topk": op3_topk,
     "op4_substring": op4_substring,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_simhash": op7_simhash,
@@ -85,4 +90,13 @@ select p2.file, coalesce((select count(*) from recs where side = 'a' and recs.fi
 from p2 left join bad on p2.file = bad.file
 """
 
-ORACLE: dict[str, str] = {"op10_warc": OP10_SQL}
+OP3_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select * from r where rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op10_warc": OP10_SQL}
