@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from groundspark.session import table
 
-from . import hmm_lm, html_extract, pieces, simhash, substring_dedup, topk, toxicity, warc
+from . import decontaminate, hmm_lm, html_extract, pieces, secrets, simhash, substring_dedup, topk, toxicity, warc
 
 
 def piece_model() -> str:
@@ -18,6 +18,10 @@ def op1_html(spark, sf_dir):
     return html_extract.digests(table(spark, sf_dir, "pages"))
 
 
+def op2_secrets(spark, sf_dir):
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark, sf_dir):
     return topk.nearest_of_hundredths(table(spark, sf_dir, "embeddings"))
 
@@ -30,6 +34,10 @@ def op5_sentencepiece(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.digests(table(spark, sf_dir, "documents"))
 
@@ -48,9 +56,11 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_html": op1_html,
+    "op2_secrets": op2_secrets,
     "op3_topk": op3_topk,
     "op4_substring": op4_substring,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_hmm": op8_hmm,
     "op9_toxicity": op9_toxicity,

@@ -200,9 +200,9 @@ def cell(x: float) -> int:
     return min(CELLS - 1, math.ceil(x / STEP))
 
 
-def _with_cells(df: DataFrame, model: Model) -> DataFrame:
-    """df without its text, with the cells (direct, quoted, misspelt) of its evidence."""
-    keep = [c for c in df.columns if c != "text"]
+def _with_cells(df: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
+    """df with the cells (direct, quoted, misspelt) of its evidence, without its text unless asked for."""
+    keep = [c for c in df.columns if with_text or c != "text"]
     names = ["direct", "quoted", "misspelt"]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.IntegerType()) for c in names])
 
@@ -211,7 +211,7 @@ def _with_cells(df: DataFrame, model: Model) -> DataFrame:
             cells = np.array([[cell(x) for x in model.sums(t)] for t in batch.column(len(keep)).to_pylist()], np.int32).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(cells[:, k]) for k in range(3))], keep + names)
 
-    return df.select(*keep, "text").mapInArrow(run, schema)
+    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def _features(direct, quoted, misspelt) -> list:
@@ -263,9 +263,9 @@ def train(rows: DataFrame, most: int = TERMS) -> Model:
     return model
 
 
-def score(df: DataFrame, model: Model, out: str = "score", threshold: float = 0.3) -> DataFrame:
-    """df (with a column text, which goes) with score in 0 .. 1 and predicted."""
-    found = _with_cells(df, model)
+def score(df: DataFrame, model: Model, out: str = "score", threshold: float = 0.3, with_text: bool = False) -> DataFrame:
+    """df with score in 0 .. 1 and predicted; its column text goes unless asked for."""
+    found = _with_cells(df, model, with_text)
     x = _features(F.col("direct"), F.col("quoted"), F.col("misspelt"))
     x[4] = (F.col("direct") > 0).cast("double")
     z = sum((F.lit(b) * v for b, v in zip(model.coef, x, strict=True)), F.lit(0.0))
