@@ -23,6 +23,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
     )
 
 
+def on_workers_path(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the driver was started (clusters ship it by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; the path may be in any store that Spark reads."""
+    on_workers_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
