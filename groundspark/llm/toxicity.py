@@ -30,6 +30,8 @@ from .common import written
 
 TERMS = 20_000  # most terms of the lexicon, by evidence: the bound of what is broadcast
 PREFIX = 4  # letters of a prefix term
+SHARE = 0.5  # toxic share of documents, then of contexts, that a term has at least
+SURE = 0.95  # toxic share from which a prefix is a term, and a term may be misspelt
 STEP, CELLS = 0.5, 25  # width and number of the cells of each evidence sum
 WINDOW = 8  # words each side in which a word of reporting makes a hit a quotation
 CACHED = 400_000  # words remembered by a Python worker
@@ -133,17 +135,17 @@ def _contexts(rows: DataFrame, terms: set[str]) -> DataFrame:
 
 
 def _evidence(toxic: F.Column, clean: F.Column, base: float) -> F.Column:
-    """Log-likelihood gain over the base rate; below zero where the share isn't above it."""
+    """Log-likelihood gain over the base rate; below zero where the share is below it or SHARE."""
     share = toxic / (toxic + clean)
     gain = toxic * F.log(share / base) + F.when(clean > 0, clean * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    return F.when(share > base, gain).otherwise(-1.0)
+    return F.when((share > base) & (share >= SHARE), gain).otherwise(-1.0)
 
 
 class Model:
     """Term weights, clean neighbours of terms, and the logistic model; sent to tasks as it is (bounded by TERMS)."""
 
-    def __init__(self, weights: dict[str, float], clean: set[str], coef: list[float]):
-        self.weights, self.clean, self.coef = weights, clean, coef
+    def __init__(self, weights: dict[str, float], sure: set[str], clean: set[str], coef: list[float]):
+        self.weights, self.sure, self.clean, self.coef = weights, sure, clean, coef
         self.ready = None
 
     def __getstate__(self):
@@ -151,7 +153,7 @@ class Model:
 
     def prepare(self) -> None:
         if self.ready is None:
-            self.trie = Trie([t for t in self.weights if not t.endswith("*") and len(t) > PREFIX])
+            self.trie = Trie(sorted(self.sure))
             self.hits: dict[str, tuple[float, int]] = {}
             self.seen: set[str] = set()
             self.ready = True
@@ -159,8 +161,7 @@ class Model:
     def look(self, word: str) -> None:
         """Remembers what a new word is: (weight, 1 if misspelt), or nothing."""
         self.seen.add(word)
-        w = max(self.weights.get(word, 0.0), self.weights.get(word[:PREFIX] + "*", 0.0) if len(word) > PREFIX else 0.0)
-        if w:
+        if w := self.weights.get(word) or (len(word) > PREFIX and self.weights.get(word[:PREFIX] + "*")):
             self.hits[word] = (w, 0)
         elif len(word) > PREFIX and word not in self.clean and (near := self.trie.near(word)):
             self.hits[word] = (self.weights[near], 1)
@@ -240,24 +241,24 @@ def train(rows: DataFrame, most: int = TERMS) -> Model:
     n, toxic = rows.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
     base = (toxic or 0) / n if n else 0.0
     if not 0 < base < 1:
-        return Model({}, set(), [30.0 if base == 1 else -30.0, 0.0, 0.0, 0.0, 0.0])
+        return Model({}, set(), set(), [30.0 if base == 1 else -30.0, 0.0, 0.0, 0.0, 0.0])
     counts = written(_vocabulary(rows))
     tried = math.log(max(2, counts.count()))
     gain = lambda df: df.withColumn("gain", _evidence(F.col("toxic"), F.col("clean"), base)).where(F.col("gain") > tried / 2)
     pick = lambda df, k: df.orderBy(F.desc("gain"), "term").limit(k).collect()
     candidates = {r.term for r in pick(gain(counts), 2 * most)}
     scored = _contexts(rows, candidates).withColumn("gain", _evidence(F.col("toxic"), F.col("clean"), base)).where(F.col("gain") > tried)
-    weights = {r.term: math.log((r.toxic + 0.5) / (r.clean + 0.5) * (1 - base) / base) for r in pick(scored, most)}
-    weights = {t: min(6.0, w) for t, w in weights.items() if w > 1}
-    trie_terms = [t for t in weights if not t.endswith("*") and len(t) > PREFIX]
+    kept = [r for r in pick(scored, most) if not r.term.endswith("*") or r.toxic >= SURE * (r.toxic + r.clean)]
+    weights = {r.term: min(6.0, math.log((r.toxic + 0.5) / (r.clean + 0.5) * (1 - base) / base)) for r in kept}
+    sure = {r.term for r in kept if not r.term.endswith("*") and len(r.term) > PREFIX and r.toxic >= SURE * (r.toxic + r.clean)}
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(trie_terms)
+        trie = Trie(sorted(sure))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([t for t in batch.column(0).to_pylist() if trie.near(t)], pa.string())], ["term"])
 
     near = counts.where("clean > 0 and term not like '%*'").select("term").mapInArrow(variants, "term string")
-    model = Model(weights, {r.term for r in near.collect()}, [])
+    model = Model(weights, sure, {r.term for r in near.collect()}, [])
     cells = _with_cells(rows.select("toxic", "text"), model).groupBy("direct", "quoted", "misspelt").agg(F.count("*").alias("n"), F.sum("toxic").alias("y"))
     model.coef = _fit(cells.collect())
     return model
