@@ -1,4 +1,4 @@
 """Every registered query of the reference's own operators, with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import corpus_queries  # noqa: F401
+from .book import ORACLE, QUERIES  # noqa: F401
