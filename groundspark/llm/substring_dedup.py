@@ -147,15 +147,16 @@ def duplicate_factors(documents: DataFrame, key: str = "doc_id", text: str = "te
     """k and hits (array of start, n: runs of windows that an earlier document holds) of documents with any."""
     rows = written(blocks(documents, key, text))
     again = rows.groupBy("anchor").agg(F.count("*").alias("c"), F.min("k").alias("a"), F.max("k").alias("b"), F.min("block").alias("x"), F.max("block").alias("y")).where("a < b")
-    shared = written(rows.join(again.select("anchor", (F.col("x") != F.col("y")).alias("differ")), "anchor"))
+    again = written(again.select("anchor", (F.col("x") != F.col("y")).alias("differ")))  # so that both sides of the join are dealt anew, and a hot anchor's rows can be split
+    shared = written(rows.join(again, "anchor"))
     first = shared.groupBy("anchor", "block").agg(F.min(F.struct("k", "start", "n")).alias("f"), F.max("k").alias("last"), F.first("differ").alias("differ"))
     first = written(first.select("anchor", "block", "f.*", "last", "differ"))
     wanted = first.where("differ").groupBy("k").agg(F.collect_list(F.struct("start", "n", "anchor", "block")).alias("places"))
     windows = written(boundary_windows(documents, wanted, key, text))
     earliest = windows.groupBy("anchor", "window").agg(F.min("k").alias("source"), F.max("k").alias("latest")).where("source < latest").drop("latest")
-    found = windows.join(earliest, ["anchor", "window"]).where("source < k")
+    found = windows.join(written(earliest), ["anchor", "window"]).where("source < k")
     partly = found.groupBy("anchor", "block").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
-    status = first.join(partly, ["anchor", "block"], "left").where("k < last or mask is not null").select("anchor", "block", F.col("k").alias("source"), "mask")
+    status = written(first.join(partly, ["anchor", "block"], "left").where("k < last or mask is not null").select("anchor", "block", F.col("k").alias("source"), "mask"))
     hits = shared.drop("differ").join(status, ["anchor", "block"]).where("k > source or mask is not null")
     hits = hits.select("k", F.struct("start", "n", F.when(F.col("k") == F.col("source"), F.col("mask")).alias("mask")).alias("h"))
     return hits.groupBy("k").agg(F.collect_list("h").alias("hits"))
