@@ -121,6 +121,7 @@ def resolve_keys(frames: DataFrame, index: DataFrame) -> DataFrame:
     """Each path of frames with the index path that is equal, else has the same unique last name, else the same unique last two names."""
     one = lambda n: F.substring_index("path", "/", -n)
     out = frames.select(F.col("path").alias("wanted")).withColumn("path", F.col("wanted"))
+    index = index.select("path").distinct()
     exact = index.select(F.col("path").alias("k0"), F.col("path").alias("p0"))
     by = lambda n: index.groupBy(one(n).alias(f"k{n}")).agg(F.count("*").alias("c"), F.first("path").alias(f"p{n}")).where("c = 1").drop("c")
     out = out.withColumn("k0", F.col("path")).withColumn("k1", one(1)).withColumn("k2", one(2))
