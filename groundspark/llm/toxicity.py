@@ -97,7 +97,7 @@ class Trie:
 def train_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of labelled documents."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return documents.select("doc_id", "text").join(known, "doc_id")
+    return documents.select("doc_id", "text").join(known.hint("merge"), "doc_id")  # labels have no bound, so they are never broadcast
 
 
 def _vocabulary(rows: DataFrame) -> DataFrame:
