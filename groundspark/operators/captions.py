@@ -12,7 +12,8 @@ def ngrams(c: Column, n: int) -> Column:
 
 def gram_counts(df: DataFrame, column: str, most: int = 4) -> DataFrame:
     """key, n, gram, c."""
-    grams = F.flatten(F.array(*[F.transform(ngrams(F.col(column), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, most + 1)]))
+    sized = lambda n: F.transform(ngrams(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    grams = F.flatten(F.array(*[sized(n) for n in range(1, most + 1)]))
     return df.select("key", F.explode(grams).alias("g")).groupBy("key", "g.n", "g.gram").agg(F.count("*").alias("c"))
 
 
