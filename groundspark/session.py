@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; the path may be in any store that Spark reads."""
     on_workers_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (tests, one machine)."""
+    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        path = f"file://{tempfile.mkdtemp(prefix='groundspark-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/groundspark/{name}-{uuid.uuid4().hex}"
