@@ -203,8 +203,8 @@ def cell(x: float) -> int:
 
 def _with_cells(df: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
     """df with the cells (direct, quoted, misspelt) of its evidence, without its text unless asked for."""
-    keep = [c for c in df.columns if with_text or c != "text"]
     names = ["direct", "quoted", "misspelt"]
+    keep = [c for c in df.columns if (with_text or c != "text") and c not in names]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.IntegerType()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def train(rows: DataFrame, most: int = TERMS) -> Model:
 
 
 def score(df: DataFrame, model: Model, out: str = "score", threshold: float = 0.3, with_text: bool = False) -> DataFrame:
-    """df with score in 0 .. 1 and predicted; its column text goes unless asked for."""
+    """df with score in 0 .. 1 and predicted, and the cells direct, quoted and misspelt; columns of these names are replaced. Its column text goes unless asked for."""
     found = _with_cells(df, model, with_text)
     x = _features(F.col("direct"), F.col("quoted"), F.col("misspelt"))
     x[4] = (F.col("direct") > 0).cast("double")
