@@ -265,92 +265,6 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the texts and how many each has."""
-        parts: list[str] = []
-        ends = [0]
-        for t in texts:
-            if t:
-                parts += cut(t)
-            ends.append(len(parts))
-        new = set(parts).difference(self.known)
-        if len(self.known) + len(new) > CACHED:
-            self.forget()
-            new = set(parts)
-        self.learn(list(new))
-        part = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        lens = self.len[part].astype(np.int64)
-        flat = self.ids[spread(self.at[part], lens)]
-        return flat, np.diff(np.concatenate([[0], np.cumsum(lens)])[ends])
-
-    def decode(self, flat: np.ndarray, lens: np.ndarray) -> pa.Array:
-        """Texts of id lists, which stand one after the other in flat."""
-        at, size = self.raw_at[flat], self.raw_len[flat]
-        ends = np.cumsum(lens)
-        first = (ends - lens)[lens > 0]
-        first = first[self.spaced[flat[first]]]
-        at[first] += 1
-        size[first] -= 1
-        data = self.raw[spread(at, size)]
-        offsets = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])]
-        out = pa.Array.from_buffers(pa.large_string(), len(lens), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
-        try:
-            out.validate(full=True)
-        except pa.ArrowInvalid:  # byte ids that form no character
-            out = pa.array([self.lib.decode(flat[b - n : b].tolist()) for b, n in zip(ends.tolist(), lens.tolist(), strict=True)], pa.large_string())
-        return out
-
-
-def cut(text: str) -> list[str]:
-    """The parts of a text, each without its first space (the first part's is the dummy prefix).
-
-    No merge crosses a line feed, which is no piece: parts that start with one have no space before.
-    """
-    if "▁" in text:
-        text = text.replace("▁", " ")
-    if "  " not in text and text[0] != " " and text[-1] != " ":
-        return text.replace("\n", " \n").split(" ")
-    out = []
-    for p in PART.findall(" " + text):
-        first, *rest = p.split("\n")
-        out.append(first[1:])
-        out += ["\n" + x for x in rest]
-    return out
-
-
-def spelt(part: str) -> str:
-    """A part as the characters that are merged."""
-    return part if part.startswith("\n") else "▁" + part.replace(" ", "▁")
-
-
-def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places at, at + 1, ... at + size - 1 for each entry, one after the other."""
-    ends = np.cumsum(size)
-    return np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-
-
-_loaded: dict[str, Vocabulary] = {}
-
-
-def vocabulary(path: str) -> Vocabulary:
-    """The model, once for each Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
-
-
-def slices(sizes: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Row ranges of about most in sum, each of one row at least."""
-    start, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if total + n > most and i > start:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """df with the ids of column text in the column out (array<int>), without the columns in drop."""
     keep = [c for c in df.columns if c != out and c not in drop]
