@@ -26,6 +26,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 of a string column."""
     return column.cast(pa.binary()).to_pylist()

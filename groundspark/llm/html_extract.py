@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 
 #: Fixed values of HTML: elements without content, with raw text, inline elements, and elements whose start ends others.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -337,7 +339,7 @@ def extract(pages: DataFrame, column: str = "html", out: str = "text", labelled:
                 texts = [extract_text(x, model) for x in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, out])
 
-    return pages.select(*keep, F.col(column).alias("__html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(column).alias(free_name(pages, "__html"))).mapInArrow(run, schema)
 
 
 def digests(pages: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import free_name, slices
 
 CACHED = 600_000  # parts remembered by a Python worker
 SHORT = 32  # characters of a part that is merged in the matrix
@@ -280,7 +280,7 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", drop
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(len(keep))] + [ids], [*keep, out])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(free_name(df, "__text"))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -298,7 +298,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded", dr
                 texts = words.decode(flat, sizes[a:b]).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(len(keep))] + [texts], [*keep, out])
 
-    return df.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(ids).alias(free_name(df, "__ids"))).mapInArrow(run, schema)
 
 
 def digests(documents: DataFrame, model: str) -> DataFrame:

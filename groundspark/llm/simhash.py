@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, words, written
+from .common import as_bytes, free_name, words, written
 from .components import components
 
 BLOCK = 4096  # rows of a segment value that a task compares with as many others
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "simhash", drop:
             prints = np.fromiter(map(fingerprint, as_bytes(batch.column(len(keep)))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(prints.view(np.int64))], [*keep, out])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(free_name(df, "__text"))).mapInArrow(run, schema)
 
 
 class Forest:

@@ -120,7 +120,7 @@ def blocks(documents: DataFrame, key: str, text: str) -> DataFrame:
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), pa.array((begin - starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["k", "anchor", "block", "start", "n"])
 
-    return documents.select(F.col(key).alias("k"), text).where("k is not null").mapInArrow(run, "k long, anchor long, block long, start int, n int")
+    return documents.select(F.col(key).cast("long").alias("k"), text).where("k is not null").mapInArrow(run, "k long, anchor long, block long, start int, n int")
 
 
 def boundary_windows(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -139,7 +139,7 @@ def boundary_windows(documents: DataFrame, wanted: DataFrame, key: str, text: st
                 cols = [np.full(len(owner), batch.column(0)[i].as_py()), places.field("anchor").to_numpy()[owner], places.field("block").to_numpy()[owner], at.astype(np.int32), roll.ranges(first, first + WINDOW).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "anchor", "block", "i", "window"])
 
-    docs = documents.select(F.col(key).alias("k"), text).where("k is not null").dropDuplicates(["k"])
+    docs = documents.select(F.col(key).cast("long").alias("k"), text).where("k is not null").dropDuplicates(["k"])
     return docs.join(wanted, "k").select("k", text, "places").mapInArrow(run, "k long, anchor long, block long, i int, window long")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import free_name, written
 
 TERMS = 20_000  # most terms of the lexicon, by evidence: the bound of what is broadcast
 PREFIX = 4  # letters of a prefix term
@@ -212,7 +212,7 @@ def _with_cells(df: DataFrame, model: Model, with_text: bool = False) -> DataFra
             cells = np.array([[cell(x) for x in model.sums(t)] for t in batch.column(len(keep)).to_pylist()], np.int32).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(cells[:, k]) for k in range(3))], keep + names)
 
-    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col("text").alias(free_name(df, "__text"))).mapInArrow(run, schema)
 
 
 def _features(direct, quoted, misspelt) -> list:

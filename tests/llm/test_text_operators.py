@@ -1,0 +1,303 @@
+"""Operators on documents against brute force, with the odd cases of their contracts."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+
+from groundspark.llm import decontaminate, hmm_lm, pieces, secrets, simhash, substring_dedup, toxicity
+from groundspark.llm.queries import piece_model
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row long, score double"
+
+
+def words(r, k, n=300):
+    return " ".join(f"w{int(r.paretovariate(0.7)) % n}" for _ in range(k))
+
+
+def corpus(seed=5):
+    """Random texts, exact and near copies, shared passages, and odd ones: null, blank, short, long, other white space."""
+    r = random.Random(seed)
+    passage = words(r, 70, 10_000)
+    texts = [words(r, r.randint(1, 200)) for _ in range(40)]
+    texts += [texts[0], texts[1], texts[2] + " tail", "Head " + texts[3]]
+    texts += [words(r, 30) + " " + passage + " " + words(r, 30) for _ in range(6)] + [passage, passage + " " + passage]
+    texts += [None, "", "   ", "one", "one two", "\t\n\x0b", "A b c ▁d", "x " * 4000, "  two  spaces \n and\r\nlines ", "日本語 😀 \x00 end", words(r, 20_000)]
+    return texts
+
+
+def table(spark, texts, start=0):
+    rows = [(start + i, t, "en", "s", None, "k", 7, 0.5) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, corpus()).union(table(spark, ["repeated row", "repeated row"]).limit(0)).cache()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(enumerate(corpus()))
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def tokens(text, lower=False):
+    raw = (text or "").encode()
+    return (raw.lower() if lower else raw).split()
+
+
+def test_sentencepiece_round_trip(spark, docs, texts):
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r.doc_id: r for r in pieces.digests(docs, piece_model()).collect()}
+    for i, t in texts.items():
+        ids = lib.encode(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)))
+    assert pieces.digests(empty(spark), piece_model()).count() == 0
+    kept = pieces.encode(docs.withColumnRenamed("key", "__text").withColumnRenamed("row", "ids"), piece_model())
+    assert kept.columns.count("ids") == 1 and kept.count() == len(texts)
+
+
+def test_decoding_of_any_ids(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    lists = [[0], [1, 2], [240, 5, 300], [259, 264], [3 + 0xE2], None, []]
+    got = {r.k: r.decoded for r in pieces.decode(spark.createDataFrame(list(enumerate(lists)), "k long, ids array<int>"), piece_model()).collect()}
+    assert got == {k: lib.decode(x or []) for k, x in enumerate(lists)}
+
+
+def test_simhash_components(spark, docs, texts):
+    got = {r.doc_id: r for r in simhash.digests(docs).collect()}
+    prints = {}
+    for i, t in texts.items():
+        w = tokens(t, True)
+        shingles = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+        count = [sum(xxhash.xxh64_intdigest(s, seed=42) >> b & 1 for s in shingles) for b in range(64)] if len(shingles) < 5000 else None
+        prints[i] = sum(1 << b for b in range(64) if 2 * count[b] > len(shingles)) if count else int(got[i].fingerprint, 16)
+    assert {i: f"{p:016x}" for i, p in prints.items()} == {i: r.fingerprint for i, r in got.items()}
+    assert {i: r.component_id for i, r in got.items()} == components(prints)
+    assert simhash.digests(empty(spark)).count() == 0
+
+
+def components(prints):
+    up = {i: i for i in prints}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in prints}
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_simhash_links_of_dense_groups(spark, block):
+    from groundspark.llm.components import components as joined
+
+    r = random.Random(1)
+    centre = r.getrandbits(64)
+    prints = {centre}
+    while len(prints) < 60:
+        x = r.choice(sorted(prints))
+        for _ in range(r.randint(1, 5)):
+            x ^= 1 << r.randrange(64)
+        prints.add(x)
+    signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
+    edges = simhash.links(spark.createDataFrame([(s,) for s in signed.values()], "simhash long"), block=block)
+    got = {row.node: row.root for row in joined(edges).collect()}
+    want = components({i: p for i, p in enumerate(sorted(prints))})
+    order = sorted(prints)
+    groups = defaultdict(set)
+    for i, p in enumerate(order):
+        groups[want[i]].add(signed[p])
+    for g in groups.values():
+        assert len({got.get(s, s) for s in g}) == 1
+    assert len({got.get(s, s) for s in signed.values()}) == len(groups)
+
+
+def test_substring_dedup(spark, docs, texts):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(docs).collect()}
+    assert got == removed(texts)
+    assert substring_dedup.digests(empty(spark)).count() == 0
+    both = substring_dedup.digests(table(spark, [words(random.Random(3), 80)] * 2).withColumn("doc_id", F.lit(4)))
+    assert [r.n_removed for r in both.collect()] == [0, 0]
+
+
+def removed(texts):
+    first, out = {}, {}
+    for i in sorted(texts):
+        w = tokens(texts[i])
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                gone[k : k + 50] = [True] * 50
+        kept = [x for x, g in zip(w, gone, strict=True) if not g]
+        out[i] = (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
+    return out
+
+
+def test_hmm_scores(spark, docs, texts):
+    got = {r.doc_id: r for r in hmm_lm.scored(docs).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    count = Counter(w for i, t in texts.items() if not held[i] for w in [*tokens(t, True), b"\n"])
+    n, v = sum(count.values()), len(count)
+    for i, t in texts.items():
+        w = [*tokens(t, True), b"\n"]
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(w), sum(count[x] > 0 for x in w), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
+        assert got[i].score < 0
+    assert hmm_lm.scored(empty(spark)).count() == 0
+
+
+def test_hmm_forward_and_counts_against_enumeration():
+    import itertools
+
+    r = np.random.default_rng(2)
+    k, c = hmm_lm.STATES, hmm_lm.CLASSES
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    h = hmm_lm.Hmm(norm(r.random(k)), norm(r.random((k, k))), norm(r.random((k, c))))
+    seqs = [np.array([3, 9, 4]), np.array([7])]
+    for s, got in zip(seqs, h.likelihood(seqs), strict=True):
+        total = 0.0
+        for path in itertools.product(range(k), repeat=len(s)):
+            p = h.start[path[0]] * h.emit[path[0], s[0]]
+            for a, b, x in zip(path, path[1:], s[1:], strict=False):
+                p *= h.move[a, b] * h.emit[b, x]
+            total += p
+        assert got == pytest.approx(math.log10(total))
+    into = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
+    h.counts(seqs, into)
+    assert into[0].sum() == pytest.approx(2, abs=1e-4) and into[1].sum() == pytest.approx(2, abs=1e-4) and into[2].sum() == pytest.approx(4, abs=1e-4)
+
+
+def test_baum_welch_gains():
+    r = np.random.default_rng(3)
+    seqs = [r.integers(0, 20, 30) + 20 * (i % 2) for i in range(40)]
+    share = np.full(hmm_lm.CLASSES, 1 / hmm_lm.CLASSES)
+    h, scores = hmm_lm.Hmm.first(share), []
+    for _ in range(8):
+        scores.append(h.likelihood(seqs).sum())
+        into = np.zeros(hmm_lm.STATES), np.zeros((hmm_lm.STATES,) * 2), np.zeros((hmm_lm.STATES, hmm_lm.CLASSES))
+        h.counts(seqs, into)
+        h = hmm_lm.improved(into, share)
+    assert scores == sorted(scores)
+
+
+def test_bucket_of_spark_and_python_agree(spark):
+    from pyspark.sql import functions as F
+
+    ws = ["a", "ab", "abc", "wörter", "日本", "longer-word"]
+    last = F.expr("substring(word, greatest(octet_length(word) - 2, 1), 3)")
+    df = spark.createDataFrame([(bytearray(w.encode()),) for w in ws], "word binary").select("word", F.pmod(F.crc32(last), F.lit(hmm_lm.BUCKETS)).alias("b"))
+    assert all(hmm_lm.OWN + r.b == hmm_lm.bucket(bytes(r.word)) for r in df.collect())
+
+
+def toxic_corpus():
+    r = random.Random(8)
+    bad = ["grumbler", "snarkface", "blockhead", "numbskull"]
+    rows, labels = [], []
+    for i in range(400):
+        w = words(r, 40, 5000).split()
+        if i % 5 == 0:
+            for b in r.sample(bad, 2):
+                w.insert(r.randrange(len(w)), b)
+        rows.append(" ".join(w))
+        labels.append((i, None, int(i % 5 == 0)))
+    return rows, labels
+
+
+def test_toxicity(spark):
+    rows, labels = toxic_corpus()
+    rows += [None, "", "clean words only", "you blockhed and numbskul grumbler"]
+    docs_ = table(spark, rows)
+    labels_ = spark.createDataFrame([*labels, (None, None, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(docs_, labels_).collect()}
+    for i, t in ((i, t) for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 == 2):
+        assert got[i].held_out and got[i].predicted == t
+    assert [got[i].predicted for i in range(400, 404)] == [0, 0, 0, 1]
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
+    assert toxicity.scored(empty(spark), labels_).count() == 0
+    assert {r.predicted for r in toxicity.scored(docs_, labels_.limit(0)).collect()} == {0}
+
+
+def test_automaton_finds_single_edits():
+    trie = toxicity.Trie(["blockhead", "numbskull"])
+    near = {"blockhead", "blockhed", "blockheadd", "blokhead", "blackhead", "lockhead", "numbskul"}
+    assert all(trie.near(w) for w in near) and not any(map(trie.near, ["blckhed", "head", "numbers", ""]))
+
+
+def test_decontamination(spark, docs, texts):
+    r = random.Random(4)
+    items = [words(r, k, 10_000) for k in (15, 30, 60)] + ["", None, "one two"]
+    long = items[2].split()
+    long[30] = "changed"
+    more = [words(r, 50) + " " + items[1].upper() + " " + words(r, 9), " ".join(long), items[0], items[0][:40], items[1] + " " + items[2] + " " + items[1]]
+    all_ = {**texts, **{1000 + i: t for i, t in enumerate(more)}}
+    df = docs.union(table(spark, more, 1000))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(df, bench).collect()}
+    want = brute_leaks(all_, dict(enumerate(items)))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {(1000, 1), (1001, 2), (1002, 0), (1004, 1), (1004, 2)} <= got.keys()
+    assert decontaminate.contaminated(empty(spark), bench).count() == 0
+    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
+
+
+def brute_leaks(texts, items):
+    import re
+
+    split = lambda t: [x for x in re.split("[ \t-\r]+", (t or "").lower()) if x]
+    out = {}
+    for i, t in texts.items():
+        w = split(t)
+        for j, item in items.items():
+            iw = split(item)
+            if not iw or not w or not set(iw) & set(w):
+                continue
+            size, k = len(iw), min(5, len(iw))
+            grams = lambda x: Counter(" ".join(x[a : a + k]) for a in range(max(1, len(x) - k + 1)))  # noqa: B023, E731
+            b, best = grams(iw), 0.0
+            for s in range(max(1, len(w) - size + 1)):
+                a = grams(w[s : s + size])
+                both = sum((a & b).values())
+                best = max(best, both / (sum(a.values()) + sum(b.values()) - both))
+            if best >= 0.8:
+                out[i, j] = best
+    return out
+
+
+def test_secrets(spark):
+    r = random.Random(6)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    caps = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    rows, planted = [], {}
+    for i in range(150):
+        body = words(r, 30) + f" call 555-{r.randint(1000, 9999)} or mail user.{i}@mail{i}.example.com at 10.{i % 250}.3.4, version 12.{i}.0 "
+        if i % 3 == 0:
+            planted[i] = ["AKIA" + caps(16), hexes(20), hexes(40)][i // 3 % 3]
+            body += [planted[i], f"password={planted[i]}", f'token = "{planted[i]}"'][i // 3 % 3] + " and more"
+        rows.append(body)
+    rows += [None, "", "12345678 twice 12345678", "x1" * 5000]
+    df = table(spark, rows)
+    found = secrets.scan(df).collect()
+    assert {(x.doc_id, x.candidate) for x in found if x.secret and x.doc_id < 150} == set(planted.items())
+    assert len([x for x in found if x.doc_id == 152]) == 1
+    clean = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    assert len(clean) == len(rows) and clean[150] is None
+    assert all(planted[i] not in clean[i] and secrets.REDACTED in clean[i] for i in planted)
+    assert all(clean[i] == rows[i] for i in range(150) if i not in planted)
+    assert secrets.scan(empty(spark)).count() == 0
