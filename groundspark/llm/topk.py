@@ -24,14 +24,15 @@ from .common import written
 
 PIVOTS = 64  # blocks by nearest pivot
 ROWS = 8192  # rows of a block part, and queries of a chunk
-LEAF = 48
+LEAF, QUERY_LEAF = 48, 4  # rows of a data leaf, and of a query leaf: few, so that a group's worst kth score is tight
 NONE = -(1 << 62)  # score of no candidate
 
 
 class CoverTree:
     """Nodes over rows that are reordered so that each node has one range. Arrays: first, end, centre, radius, kids."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.leaf = leaf
         self.order = np.arange(len(points))
         self.points = points
         self.first: list[int] = []
@@ -54,7 +55,7 @@ class CoverTree:
             self.first.append(a), self.end.append(b), self.centre.append(centre), self.radius.append(float(far.max())), self.kids.append([])
             if up >= 0:
                 self.kids[up].append(me)
-            if b - a <= LEAF or not self.radius[me]:
+            if b - a <= self.leaf or not self.radius[me]:
                 continue
             reach, owner, near = self.radius[me] / 2, np.zeros(b - a, np.int64), far.copy()
             count = 1
@@ -100,7 +101,7 @@ class Best:
 
 def dual_search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, score, id) of candidates that can be among the k best."""
-    qt, dt = CoverTree(queries.astype(np.float64)), CoverTree(data.astype(np.float64))
+    qt, dt = CoverTree(queries.astype(np.float64), QUERY_LEAF), CoverTree(data.astype(np.float64))
     qs, ds = queries[qt.order].astype(np.int64), data[dt.order].astype(np.int64)
     own, floor, ids = own[qt.order], floor[qt.order], ids[dt.order]
     best = Best(len(queries), k, floor)
