@@ -11,7 +11,8 @@ from groundspark.functions import vectors as V
 
 def mentions(df: DataFrame, key: str, text: str, concepts: list[str]) -> DataFrame:
     """key and the sorted distinct concepts (a short fixed list) that a text mentions after canonicalisation."""
-    found = F.array_sort(F.array_intersect(X.canon_tokens(text), F.array(*[F.lit(c) for c in concepts])))
+    tokens = F.transform(F.array_distinct(X.tokenize_alpha(text)), lambda t: X.canonical(t))  # each distinct token once
+    found = F.array_sort(F.array_intersect(tokens, F.array(*[F.lit(c) for c in concepts])))
     return df.select(key, F.coalesce(found, F.array().cast("array<string>")).alias("concepts"))
 
 
