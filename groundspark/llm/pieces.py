@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 
 from .common import free_name, slices
 
-CACHED = 600_000  # parts remembered by a Python worker
+CACHED = 250_000  # parts remembered by a Python worker
 SHORT = 32  # characters of a part that is merged in the matrix
-SLICE = 2_000_000  # characters taken at a time
+SLICE = 1_000_000  # characters taken at a time
 FREE = np.iinfo(np.int32).max
 PART = re.compile(" +[^ ]*")  # a part with all spaces before it
 

@@ -33,8 +33,9 @@ PREFIX = 4  # letters of a prefix term
 SHARE = 0.5  # toxic share of documents, then of contexts, that a term has at least
 SURE = 0.95  # toxic share from which a prefix is a term, and a term may be misspelt
 STEP, CELLS = 0.5, 25  # width and number of the cells of each evidence sum
+ROWS = 1000  # texts of a batch in Python at a time
 WINDOW = 8  # words each side in which a word of reporting makes a hit a quotation
-CACHED = 400_000  # words remembered by a Python worker
+CACHED = 200_000  # words remembered by a Python worker
 
 WORD = re.compile(r"[^\W_]+(?:[@$!*'’-]+[^\W_]+)*")
 #: Characters written for letters, marks that open and close quotations, and words of reporting.
@@ -106,8 +107,8 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = set(tokens(text))
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen = set(tokens(text.as_py()))
                 for t in seen | {w[:PREFIX] + "*" for w in seen if len(w) > PREFIX}:
                     counts.setdefault(t, [0, 0])[toxic > 0] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (1, 0))], ["term", "toxic", "clean"])
@@ -208,7 +209,7 @@ def _with_cells(df: DataFrame, model: Model, with_text: bool = False) -> DataFra
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.IntegerType()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             cells = np.array([[cell(x) for x in model.sums(t)] for t in batch.column(len(keep)).to_pylist()], np.int32).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(cells[:, k]) for k in range(3))], keep + names)
 
