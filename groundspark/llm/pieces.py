@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
+from .common import free_name, short_batches, slices
 
 CACHED = 250_000  # parts remembered by a Python worker
 SHORT = 32  # characters of a part that is merged in the matrix
@@ -267,6 +267,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """df with the ids of column text in the column out (array<int>), without the columns in drop."""
+    short_batches(df.sparkSession)
     keep = [c for c in df.columns if c != out and c not in drop]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -285,6 +286,7 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", drop
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
     """df with the text of the id lists in the column out, without the columns in drop."""
+    short_batches(df.sparkSession)
     keep = [c for c in df.columns if c != out and c not in drop]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.StringType())])
 

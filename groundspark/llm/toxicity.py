@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, written
+from .common import free_name, short_batches, written
 
 TERMS = 20_000  # most terms of the lexicon, by evidence: the bound of what is broadcast
 PREFIX = 4  # letters of a prefix term
 SHARE = 0.5  # toxic share of documents, then of contexts, that a term has at least
 SURE = 0.95  # toxic share from which a prefix is a term, and a term may be misspelt
 STEP, CELLS = 0.5, 25  # width and number of the cells of each evidence sum
-ROWS = 1000  # texts of a batch in Python at a time
 WINDOW = 8  # words each side in which a word of reporting makes a hit a quotation
 CACHED = 200_000  # words remembered by a Python worker
 
@@ -105,13 +104,21 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
     """term, toxic and clean documents, counted once for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = [pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (1, 0))]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(out, ["term", "toxic", "clean"])
+
         for batch in batches:
-            counts: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 seen = set(tokens(text.as_py()))
                 for t in seen | {w[:PREFIX] + "*" for w in seen if len(w) > PREFIX}:
                     counts.setdefault(t, [0, 0])[toxic > 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (1, 0))], ["term", "toxic", "clean"])
+                if len(counts) > CACHED:
+                    yield flush()
+        yield flush()
 
     return rows.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -209,7 +216,7 @@ def _with_cells(df: DataFrame, model: Model, with_text: bool = False) -> DataFra
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.IntegerType()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for batch in batches:
             cells = np.array([[cell(x) for x in model.sums(t)] for t in batch.column(len(keep)).to_pylist()], np.int32).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(cells[:, k]) for k in range(3))], keep + names)
 
@@ -238,6 +245,7 @@ def _fit(cells: list, steps: int = 50) -> list[float]:
 
 def train(rows: DataFrame, most: int = TERMS) -> Model:
     """rows: doc_id, text, toxic (0 or 1) of the labelled documents."""
+    short_batches(rows.sparkSession)
     rows = written(rows)
     n, toxic = rows.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
     base = (toxic or 0) / n if n else 0.0
@@ -267,6 +275,7 @@ def train(rows: DataFrame, most: int = TERMS) -> Model:
 
 def score(df: DataFrame, model: Model, out: str = "score", threshold: float = 0.3, with_text: bool = False) -> DataFrame:
     """df with score in 0 .. 1 and predicted, and the cells direct, quoted and misspelt; columns of these names are replaced. Its column text goes unless asked for."""
+    short_batches(df.sparkSession)
     found = _with_cells(df, model, with_text)
     x = _features(F.col("direct"), F.col("quoted"), F.col("misspelt"))
     x[4] = (F.col("direct") > 0).cast("double")
