@@ -114,6 +114,15 @@ def e12_resolved_keys(spark, sf):
     return M.resolve_keys(p.select(F.concat(head, tail).alias("path")), index)
 
 
+@query("e12_resolved_keys_all")
+def e12_resolved_keys_all(spark, sf):
+    """Every part: seven of ten names are of one part, the others of up to three parts in different folders."""
+    p, k = table(spark, sf, "part").where("p_partkey is not null"), F.col("p_partkey")
+    tail = F.concat((k % 50).cast("string"), F.lit("/"), F.when(k % 10 < 3, k - k % 10).otherwise(k).cast("string"))
+    head = F.when(k % 3 == 0, "a/").when(k % 3 == 1, "b/").otherwise("b/x/")
+    return M.resolve_keys(p.select(F.concat(head, tail).alias("path")), p.select(F.concat(F.lit("a/"), tail).alias("path")))
+
+
 @query("e13_concept_registry", """
 with l as (select unnest(['error', 'click', 'view', 'purchase', 'signup', 'ball']) as concept, unnest(range(6)) as local_id), g as (select unnest(['click', 'error', 'signup', 'view', 'ball']) as concept, unnest(range(5)) as global_id),
 c as (select event_type as concept, count(*) as n from events where user_id % 7 = 0 group by 1), j as (select local_id, concept, global_id, coalesce(n, 0) as n from l left join g using (concept) left join c using (concept)),
@@ -121,9 +130,19 @@ r as (select *, case when global_id is null then 'not_in_concept_list' when n <
 w as (select local_id, greatest(least(pow((select quantile_disc(n, 0.5) from r where drop_reason is null) / n, 0.5), 2.0), 0.5) as raw from r where drop_reason is null)
 select r.local_id::int as local_id, concept, case when drop_reason is null then global_id else -1 end::int as global_id, n as count, round(coalesce(raw / (select avg(raw) from w), 1), 6) as weight, drop_reason from r left join w using (local_id)""")
 def e13_concept_registry(spark, sf):
+    return registry_of(spark, table(spark, sf, "events").where("user_id % 7 = 0"))
+
+
+@query("e13_concept_registry_all")
+def e13_concept_registry_all(spark, sf):
+    """Counts of all events."""
+    return registry_of(spark, table(spark, sf, "events"))
+
+
+def registry_of(spark, events):
     names = ["error", "click", "view", "purchase", "signup", "ball"]
     local = spark.createDataFrame(list(enumerate(names)), "local_id int, concept string")
-    counts = table(spark, sf, "events").where("user_id % 7 = 0").groupBy(F.col("event_type").alias("concept")).agg(F.count("*").alias("n"))
+    counts = events.groupBy(F.col("event_type").alias("concept")).agg(F.count("*").alias("n"))
     g = spark.createDataFrame(list(enumerate(["click", "error", "signup", "view", "ball"])), "global_id int, concept string")
     return M.concept_registry(local, counts, g).withColumn("weight", F.round("weight", 6))
 
@@ -246,10 +265,10 @@ ty as (select list(t order by t) as ts from (select distinct event_type as t fro
 ut as (select event_id as utt, clip, frame_idx, ts[{sql_draw(1, 'event_id')} % len(ts) + 1] as concept from fr cross join ty where event_id % 10 = 0)"""
 
 
-def spoken(spark, sf):
+def spoken(spark, sf, which="event_id % 10 = 0"):
     f = A.frame_events(spark, sf)
     types = f.select("label").distinct().agg(F.array_sort(F.collect_list("label")).alias("ts"))
-    u = f.where("event_id % 10 = 0").crossJoin(F.broadcast(types))
+    u = f.where(which).crossJoin(F.broadcast(types))
     return f, u.select(F.col("event_id").alias("utt"), "clip", "frame_idx", F.get("ts", (draw(1, "event_id") % F.size("ts")).cast("int")).alias("concept"))
 
 
@@ -259,7 +278,16 @@ a as (select utt, ut.concept, coalesce(paired, 0) as paired, coalesce(near, 0) a
 r as (select concept, paired, near from a union all select null, paired, near from a)
 select concept, count(*) as n, sum(paired)::bigint as paired, sum(near)::bigint as near, round(sum(paired) / count(*), 6)::double as paired_rate, round(sum(near) / count(*), 6)::double as near_rate from r group by 1""")
 def f10_temporal_misalignment(spark, sf):
-    f, u = spoken(spark, sf)
+    return misaligned(*spoken(spark, sf))
+
+
+@query("f10_temporal_misalignment_all")
+def f10_temporal_misalignment_all(spark, sf):
+    """Every event is an utterance."""
+    return misaligned(*spoken(spark, sf, "true"))
+
+
+def misaligned(f, u):
     return K.temporal_misalignment(u, f).withColumn("paired_rate", F.round("paired_rate", 6)).withColumn("near_rate", F.round("near_rate", 6))
 
 
@@ -270,6 +298,15 @@ s as (select *, round(0.7::double * exp(-0.5::double * pow((a - 0.1::double) / 0
 r as (select *, row_number() over (partition by concept order by score desc, utt) as rank from s)
 select utt, concept, offset_ as "offset", round(a, 6) as area_frac, round(score, 6) as score, rank from r where rank <= 4 order by r.score desc, concept, utt limit 30""")
 def f11_mined_examples(spark, sf):
-    f, u = spoken(spark, sf)
+    return mined(*spoken(spark, sf))
+
+
+@query("f11_mined_examples_all")
+def f11_mined_examples_all(spark, sf):
+    """Every event is an utterance."""
+    return mined(*spoken(spark, sf, "true"))
+
+
+def mined(f, u):
     m = f.select("clip", "frame_idx", F.col("label").alias("concept"), (F.col("value") / 200).alias("area_frac"))
     return K.mine_misaligned(u, m).select("utt", "concept", "offset", F.round("area_frac", 6).alias("area_frac"), F.round("score", 6).alias("score"), "rank")

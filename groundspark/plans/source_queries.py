@@ -103,6 +103,16 @@ def a10_concept_lists(spark, sf):
     return S.concept_list(obj.union(one))
 
 
+@query("a10_concept_lists_all")
+def a10_concept_lists_all(spark, sf):
+    """Every part, dealt over the shapes: an object with the part's number, a list, an object without numbers."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    listed = F.to_json(F.array("p_name", F.lower("p_type")))
+    numbered = F.to_json(F.create_map(F.col("p_name"), k.cast("string")))
+    places = F.to_json(F.create_map(F.col("p_name"), F.col("p_type")))
+    return S.concept_list(p.select(F.when(k % 3 == 0, numbered).when(k % 3 == 1, listed).otherwise(places).alias("json")))
+
+
 @query("a11_evaluation_files", "select event_type as class, count(*)::varchar as total from events group by 1")
 def a11_evaluation_files(spark, sf):
     path = shared_path(spark, "eval")

@@ -388,9 +388,19 @@ def h15_run_comparison(spark, sf):
 
 @query("h12_clips", "with f as (select user_id as clip, row_number() over (partition by user_id order by ts, event_id) - 1 as fn, event_id from events), k as (select clip, fn from f where fn % 3 <> 1), a as (select event_id as anchor, clip, fn from f where event_id % 20 = 0), c as (select clip, list(fn order by fn) as fs from k group by 1), j as (select anchor, a.clip, fn, fs, coalesce(list_position(fs, fn) - 1, least(len(list_filter(fs, lambda x: x < fn)), len(fs) - 1)) as ce from a left join c using (clip)) select anchor, clip, list_transform(range(5), lambda i: fs[least(greatest(ce + (i - 2) * 2, 0), len(fs) - 1) + 1]) as frames from j")
 def h12_clips(spark, sf):
+    return clips_round(spark, sf, "event_id % 20 = 0")
+
+
+@query("h12_clips_all")
+def h12_clips_all(spark, sf):
+    """Every event is an anchor."""
+    return clips_round(spark, sf, "true")
+
+
+def clips_round(spark, sf, which):
     f = A.frame_events(spark, sf)
     frames = f.where("frame_idx % 3 <> 1").select("clip", F.col("frame_idx").alias("frame_num"))
-    anchors = f.where("event_id % 20 = 0").select(F.col("event_id").alias("anchor"), "clip", F.col("frame_idx").alias("frame_num"))
+    anchors = f.where(which).select(F.col("event_id").alias("anchor"), "clip", F.col("frame_idx").alias("frame_num"))
     return E.build_clips(anchors, frames, 5, 2)
 
 
