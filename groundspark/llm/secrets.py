@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are tokens of 8 or more key characters that hold a digit, and long runs of capitals. A
-random forest judges each by its length, mix and transitions of character classes, distinct
+Candidates are tokens of 8 or more key characters that hold a digit, runs of 16 or more capitals,
+tokens of 16 or more in mixed case, and values of any characters that are assigned to a keyword
+(four or more; quoted ones may hold blanks). A random forest judges each by its length, mix and transitions of character classes, distinct
 characters, coverage by frequent words of the corpus, path-like separators, and the words before
 and after it. It is trained on labelled findings: a DataFrame of documents' findings with a column
 label, or, by default, a bounded sample (LABELLED of each label, by hash) of the findings whose
@@ -9,7 +10,7 @@ form alone is a sure label: provider formats and quoted or assigned keys beside
 things (addresses, numbers, dates, telephone and card numbers, prose).
 
 Defined results: null and empty texts have no findings; a candidate that a document holds more than
-once is one finding, in the context of its first place; equal keys are reported together; without
+once is one finding, judged at all its places and given in the one of highest score; equal keys are reported together; without
 findings of both labels nothing is trained and sure findings alone count as secret.
 """
 
@@ -29,28 +30,48 @@ BEFORE, AFTER = 32, 12  # characters of context
 REDACTED = "[SECRET]"
 
 #: What a candidate looks like, words that go with secrets, and the forms of sure labels.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.~-])(?:(?=[A-Za-z+/_.~-]*[0-9])[A-Za-z0-9+/_.~-]{8,}={0,2}|[A-Z]{16,})"
+CANDIDATE = r"(?<![A-Za-z0-9+/_.~-])(?:(?=[A-Za-z+/_.~-]*[0-9])[A-Za-z0-9+/_.~-]{8,}={0,2}|[A-Z]{16,}|(?=[A-Za-z+/_.~-]*[a-z][A-Z])[A-Za-z+/_.~-]{16,}={0,2})"
 KEYWORD = r"(?i)(password|passwd|pwd|secret|token|api.?key|access.?key|private.?key|auth|bearer|credential)"
 PROVIDER = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk_live_[A-Za-z0-9]{16,}$|^xox[abps]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$"
-ASSIGNED = KEYWORD + r"[A-Za-z_]*[\"']?\s*[=:]\s*[\"']?$"
+ASSIGNMENT = KEYWORD + r"[A-Za-z0-9_-]*[\"']?\s*(?::=|=>|[=:])\s*(?:(?:bearer|basic)\s+)?[\"']?"
+ASSIGNED = ASSIGNMENT + "$"
+NEXT = r"[,;&][A-Za-z_.-]+[=:]"  # another assignment behind a value without quotes
+VALUE = r"(?<=\")[^\"\r\n\x01]{4,}(?=\")|(?<=')[^'\r\n\x01]{4,}(?=')|(?![^\s\"'<>,;&]{1,3}" + NEXT + r")[^\s\"'<>\x01]{4,}?(?=[,;.)\]}]*(?:[\s\"'<>\x01]|$)|" + NEXT + ")"
+MARK = "\x01"  # set round candidates while a text is cut; none of them holds it
 ADDRESS = r"^[0-9.]+$|^[0-9()+ .-]+$|^[0-9]{4}-[0-9]{2}|^v?[0-9]+(\.[0-9]+)+"
-PROSE = r"^[A-Za-z]+[.,-]*[0-9]{0,2}$"
+PROSE = r"^([A-Za-z]?[a-z]+|[A-Z]+)[.,-]*[0-9]{0,2}$"
+MIXED = r"[a-z][A-Z]|[A-Za-z].*[0-9]|[0-9].*[A-Za-z]|[!@#$%^&*~+]"
+
+
+def places(text: F.Column, pattern: str, replacement: str) -> F.Column:
+    """candidate, before and after of every match: the text is cut at marks, so that every second part is a candidate."""
+
+    def cut(parts: F.Column) -> F.Column:
+        odd = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
+        left = lambda i: F.array_join(F.transform(F.slice(parts, F.greatest(F.lit(1), i - 8), F.least(i, F.lit(9))), lambda x: F.right(x, F.lit(BEFORE))), "")
+        right = lambda i: F.array_join(F.transform(F.slice(parts, i + 2, F.lit(5)), lambda x: F.left(x, F.lit(AFTER))), "")
+        return F.transform(odd, lambda i: F.struct(F.get(parts, i).alias("candidate"), F.right(left(i), F.lit(BEFORE)).alias("before"), F.left(right(i), F.lit(AFTER)).alias("after")))
+
+    marked = F.regexp_replace(F.translate(text, MARK, " "), pattern, replacement)
+    return F.flatten(F.transform(F.array(F.split(marked, MARK)), cut))  # a lambda's variable is evaluated once
 
 
 def findings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, candidate, before, after of every distinct candidate of a document."""
-    texts = documents.select(F.col(key), F.col(text).alias("__text"))
-    found = texts.select(key, "__text", F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0)))).alias("candidate"))
-    at = F.instr(F.col("__text"), F.col("candidate"))
-    start = F.greatest(at - BEFORE, F.lit(1))
-    return found.select(key, "candidate", F.substring("__text", start, at - start).alias("before"), F.substring("__text", at + F.length("candidate"), F.lit(AFTER)).alias("after")).distinct()
+    """key, candidate, before, after of every distinct place of a candidate in a document."""
+    tokens = places(F.col(text), CANDIDATE, f"{MARK}$0{MARK}")
+    values = places(F.col(text), f"({ASSIGNMENT})({VALUE})", f"$1{MARK}$3{MARK}")
+    found = documents.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(tokens, values)).alias("__place"))
+    return found.select(key, "__place.candidate", "__place.before", "__place.after").distinct()
 
 
 def sure_label(candidate: F.Column, before: F.Column, after: F.Column) -> F.Column:
     """1 or 0 where the form alone tells, else null."""
+    assigned, quoted = before.rlike(ASSIGNED), before.rlike(r"[\"']$") & after.rlike(r"^[\"']")
     key_like = candidate.rlike(r"[0-9]") & (F.length(candidate) >= 16) & ~candidate.rlike(r"[/.]")
-    secret = candidate.rlike(PROVIDER) | (before.rlike(ASSIGNED) & key_like)
-    other = candidate.rlike(ADDRESS) | candidate.rlike(PROSE) | after.rlike(r"^@") | before.rlike(r"@$|://\S*$")
+    value = (F.length(candidate) >= 8) & ~candidate.rlike(ADDRESS) & ~candidate.rlike(r"[\s/.]") & (candidate.rlike(MIXED) | (quoted & candidate.rlike("[^A-Za-z]")))
+    secret = candidate.rlike(PROVIDER) | (assigned & (key_like | value))
+    word = candidate.rlike(PROSE) & ~(assigned & (quoted | before.rlike(r"=\s*[\"']?$")))
+    other = candidate.rlike(ADDRESS) | word | after.rlike(r"^@") | before.rlike(r"@$|://\S*$")
     return F.when(secret, 1).when(other, 0)
 
 
@@ -103,16 +124,21 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", labelled
     sure = sure_label(F.col("candidate"), F.col("before"), F.col("after"))
     model = train(labelled if labelled is not None else found.withColumn("label", sure).where("label is not null"), dictionary)
     if model is None:
-        return found.withColumn("score", F.coalesce(sure, F.lit(0)).cast("double")).withColumn("secret", F.coalesce(sure, F.lit(0)))
-    judged = model.transform(features(found, dictionary))
-    score = vector_to_array("probability")[1]
-    return judged.select(key, "candidate", "before", "after", score.alias("score")).withColumn("secret", (F.col("score") >= 0.5).cast("int"))
+        judged = found.withColumn("score", F.coalesce(sure, F.lit(0)).cast("double"))
+    else:
+        judged = model.transform(features(found, dictionary)).withColumn("score", vector_to_array("probability")[1])
+    best = F.max(F.struct("score", "before", "after")).alias("__best")
+    best = judged.select(key, "candidate", "before", "after", "score").groupBy(key, "candidate").agg(best)
+    return best.select(key, "candidate", "__best.before", "__best.after", "__best.score").withColumn("secret", (F.col("score") >= 0.5).cast("int"))
 
 
 def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
     """documents with every secret of their texts replaced by REDACTED; other columns and rows stay as they are."""
     secrets = scan(documents, key, text, labelled).where("secret = 1").groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("__found"))
-    clean = F.aggregate("__found", F.col(text), lambda t, c: F.replace(t, c, F.lit(REDACTED)))
+    escaped = lambda c: F.regexp_replace(c, r"(\p{Punct})", r"\\$1")
+    word = lambda c: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), escaped(c), F.lit(r"(?![\p{L}\p{N}])"))
+    whole = lambda c: (F.length(c) < 16) & ~c.rlike("[0-9]")  # short letters aren't cut out of longer words
+    clean = F.aggregate("__found", F.col(text), lambda t, c: F.when(whole(c), F.regexp_replace(t, word(c), F.lit(REDACTED))).otherwise(F.replace(t, c, F.lit(REDACTED))))
     joined = documents.join(secrets, documents[key].eqNullSafe(secrets["__key"]), "left")
     return joined.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(clean)).drop("__key", "__found")
 

@@ -301,3 +301,21 @@ def test_secrets(spark):
     assert all(planted[i] not in clean[i] and secrets.REDACTED in clean[i] for i in planted)
     assert all(clean[i] == rows[i] for i in range(150) if i not in planted)
     assert secrets.scan(empty(spark)).count() == 0
+
+
+def test_secrets_without_digits_and_at_later_places(spark):
+    r = random.Random(7)
+    hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(24))
+    late, long = hexes(), "aB!" * 20_000
+    planted = [("password = \"@\"", "correct-horse-battery"), ("api_key=\"@\"", "qWeRtYuIoPaSdFgHjKlZ"), ("token: @, and", "kLmNoPqRsTuVwXyZaBcD"), ("secret=@ 😀", "p@ssw0rd!Xy"), ("token=abc,password='@'", "two words-here"), (f"see x{late}x of {late} " + "word " * 20 + "password=@", late), ("secret=@", long)]
+    rows = [f"{words(r, 30)} call 555-{r.randint(1000, 9999)} at 10.{i % 250}.3.4 " + (f"password={hexes()}" if i % 3 == 0 else f'token = "{hexes()}"' if i % 3 == 1 else "") for i in range(150)]
+    rows += ["here " + t.replace("@", s) + " end" for t, s in planted] + ["auth: please wait"]
+    df = table(spark, rows)
+    assert len([x for x in secrets.findings(df).collect() if (x.doc_id, x.candidate) == (155, late)]) == 2
+    found = {(x.doc_id, x.candidate): x for x in secrets.scan(df).collect()}
+    assert [s for i, (_, s) in enumerate(planted) if not found[150 + i, s].secret] == []
+    assert found[155, late].before.endswith("password=")
+    assert not any(x.secret for (i, _), x in found.items() if i == 157)
+    clean = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    assert all(s not in clean[150 + i] for i, (_, s) in enumerate(planted) if s != late) and clean[157] == rows[157]
+    assert clean[150] == 'here password = "[SECRET]" end' and late not in clean[155].replace(f"x{late}x", "")
