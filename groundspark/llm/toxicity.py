@@ -124,22 +124,32 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, terms: set[str]) -> DataFrame:
-    """term, toxic and clean contexts of candidate terms."""
+    """term, toxic and clean contexts of candidate terms. A context goes to the shuffle as one number: place of its term, label, and hash in the bits that are left."""
+    names = sorted(terms)
+    place = {t: i for i, t in enumerate(names)}
+    bits = (2 * len(names)).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: set[tuple[str, int, str]] = set()
+            out: set[tuple[int, str]] = set()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws = tokens(text)
                 for i, w in enumerate(ws):
                     for t in (w, w[:PREFIX] + "*") if len(w) > PREFIX else (w,):
-                        if t in terms:
-                            out.add((t, int(toxic > 0), " ".join(ws[max(0, i - 1) : i] + ["_"] + ws[i + 1 : i + 2])))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string()), strict=True)], ["term", "toxic", "context"])
+                        if t in place:
+                            out.add((2 * place[t] + (toxic > 0), " ".join(ws[max(0, i - 1) : i] + ["_"] + ws[i + 1 : i + 2])))
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], ["code", "context"])
 
-    found = rows.select("text", "toxic").mapInArrow(run, "term string, toxic int, context string").distinct()
-    return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in batch.column(0).to_pylist()], pa.string()), *batch.columns[1:]], ["term", "toxic", "clean"])
+
+    key = F.shiftleft("code", 64 - bits).bitwiseOR(F.shiftrightunsigned(F.xxhash64("context"), bits))
+    found = rows.select("text", "toxic").mapInArrow(run, "code long, context string").select(key.alias("key")).distinct()
+    code = F.shiftrightunsigned("key", 64 - bits)
+    counts = found.groupBy(F.shiftright(code, 1).alias("place")).agg(F.sum(code % 2).alias("toxic"), F.sum(1 - code % 2).alias("clean"))
+    return counts.mapInArrow(named, "term string, toxic long, clean long")
 
 
 def _evidence(toxic: F.Column, clean: F.Column, base: float) -> F.Column:
@@ -171,7 +181,7 @@ class Model:
         self.seen.add(word)
         if w := self.weights.get(word) or (len(word) > PREFIX and self.weights.get(word[:PREFIX] + "*")):
             self.hits[word] = (w, 0)
-        elif len(word) > PREFIX and word not in self.clean and (near := self.trie.near(word)):
+        elif len(word) >= PREFIX and word not in self.clean and (near := self.trie.near(word)):
             self.hits[word] = (self.weights[near], 1)
 
     def sums(self, text: str | None) -> tuple[float, float, float]:

@@ -234,6 +234,19 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.scored(docs_, labels_.limit(0)).collect()} == {0}
 
 
+def test_toxic_terms_of_five_letters_are_found_with_one_dropped():
+    model = toxicity.Model({"blorp": 3.0}, {"blorp"}, {"lorp"}, [])
+    assert [model.sums(f"you {w} there") for w in ("blorp", "blrp", "blor", "lorp", "blo")] == [(3.0, 0, 0), (0, 0, 3.0), (0, 0, 3.0), (0, 0, 0), (0, 0, 0)]
+
+
+def test_toxic_contexts_are_counted_once(spark):
+    texts_ = ["a blorpish b", "a blorpish b c", "a blorpish", "x blorpish b a", "a blorpish b", None]
+    rows = spark.createDataFrame([(i, t, int(i < 4)) for i, t in enumerate(texts_)], "doc_id long, text string, toxic int").repartition(3)
+    got = {r.term: (r.toxic, r.clean) for r in toxicity._contexts(rows, {"blorpish", "blor*", "b", "none"}).collect()}
+    assert got == {"blorpish": (3, 1), "blor*": (3, 1), "b": (3, 1)}
+    assert toxicity._contexts(rows, set()).count() == 0
+
+
 def test_automaton_finds_single_edits():
     trie = toxicity.Trie(["blockhead", "numbskull"])
     near = {"blockhead", "blockhed", "blockheadd", "blokhead", "blackhead", "lockhead", "numbskul"}
