@@ -39,14 +39,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, str] = {}  # application id -> temporary folder of a local session without spark.checkpoint.dir
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (tests, one machine)."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = f"file://{tempfile.mkdtemp(prefix='groundspark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The folder that spark.checkpoint.dir names, else the one given to setCheckpointDir.
+
+    Where neither is set, a local session (tests, one machine) gets a temporary folder of its own; a cluster, whose
+    executors can't see such a folder, gets an error.
+    """
+    context = spark.sparkContext
+    if path := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return path
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _FOLDERS:
+        _FOLDERS[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='groundspark-')}"
+    return _FOLDERS[context.applicationId]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/groundspark/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below the one of this application."""
+    return f"{shared_folder(spark)}/groundspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; results that still read it must be stored before."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/groundspark/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,11 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    from groundspark.session import local_session
+def spark():
+    from groundspark.session import local_session, release
 
     s = local_session(4, 4, "tests")
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    return s
+    yield s
+    release(s)
