@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (tests, one machine)."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = f"file://{tempfile.mkdtemp(prefix='groundspark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+from groundspark.session import shared_path
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it survives lost executors and is made once."""
-    path = f"{shared_folder(df.sparkSession)}/groundspark/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,13 +3,14 @@
 Every element that can carry meaning is a node with one of three states: A holds the article among
 other things, C belongs to the article, B is boilerplate. Node potentials come from the tag, the
 words of class, id and role, and the shape of the text; parent-child potentials from how states
-follow each other. Both are counted on labelled pages. Sum-product messages pass up and down the
+follow each other. Both are counted on labelled pages (train). Sum-product messages pass up and down the
 tree, and the text of nodes whose marginal of C is the largest is kept (where there is none, of
 nodes that neither their own markup nor that above them makes boilerplate).
 
 Text: character references decoded, white space inside a block made one space and trimmed, blocks
 in page order joined by an empty line. Null and blank pages give an empty text. Extra columns pass
-through; a column with the name of the output is replaced.
+through; a column with the name of the output is replaced. Attributes of pages (data-gold too) are
+never labels: only train() reads those.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, short_batches
 
 
 #: Fixed values of HTML: elements without content, with raw text, inline elements, and elements whose start ends others.
@@ -36,11 +37,15 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body table td th ul ol dl article section div main aside nav footer header form".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<|[^<]+", re.S)
+#: A quote opens a value behind an equals sign only; elsewhere it is a character of a name or of a bare value.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|<|[^<]+", re.S)
+GOLD = re.compile(r"(?<!\S)data-gold=([012])(?=[\s/]|\Z)")
+FOREIGN = frozenset(("svg", "math"))  # raw elements that a slash may close at once
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 STATES = (0, 1, 2)  # A, C, B
+LABELLED = 20_000  # labelled pages that a model is trained on at most
 SHAPE_WEIGHT = 0.3  # of features of the text beside those of the markup: texts below one parent are alike
 
 
@@ -55,8 +60,26 @@ class Node:
         self.gold = 0
 
 
-def parse(page: str) -> Node:
-    """The element tree. Plain inline elements aren't nodes; scripts, styles and the head leave nothing."""
+def after_raw(page: str, at: int, tag: str, closed: bool) -> int:
+    """Where a raw element ends whose start tag ends at at. Browsers ignore the slash of <script/>: it has content if its end tag comes before another start tag."""
+    if closed and tag in FOREIGN:
+        return at
+    end = re.compile(rf"<(/?){re.escape(tag)}(?![^\s/>])[^>]*(?:>|\Z)", re.I)
+    if closed:
+        m = end.search(page, at)
+        return m.end() if m and m.group(1) else at
+    while m := end.search(page, at):
+        if m.group(1):
+            return m.end()
+        at = m.end()
+    return len(page)
+
+
+def parse(page: str, marked: bool = False) -> Node:
+    """The element tree. Plain inline elements aren't nodes; scripts, styles and the head leave nothing.
+
+    marked: the page is a labelled one, whose elements hold their state in data-gold; of other pages that is an attribute like any.
+    """
     root = Node("html", [], None)
     stack: list[tuple[str, Node]] = [("html", root)]
     links = 0
@@ -89,9 +112,7 @@ def parse(page: str) -> Node:
                     break
             continue
         if tag in RAW:
-            if not m.group(3).rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
+            at = after_raw(page, at, tag, m.group(3).rstrip().endswith("/"))
             continue
         if tag in ("html", "head", "body") and tag != "body":
             continue
@@ -122,8 +143,8 @@ def parse(page: str) -> Node:
             stack.append((tag, node))
             continue
         child = Node(tag, names, node)
-        if "data-gold" in m.group(3):
-            child.gold = int(m.group(3).split("data-gold=")[1][0])
+        if marked and (gold := GOLD.search(m.group(3))):
+            child.gold = int(gold.group(1))
         node.kids.append(child)
         node.flow.append(child)
         if not m.group(3).rstrip().endswith("/") or tag not in ("path", "use"):
@@ -151,22 +172,30 @@ def group(node: Node) -> int:
     return 0 if node.tag in INLINE else 1
 
 
+def counted(pages: Iterable[str]) -> Counter:
+    """(kind, name, state) -> number over the elements of labelled pages: kind t for all, f for a feature, e for an edge (its name: group and parent's state)."""
+    seen: Counter = Counter()
+    for page in pages:
+        for x in order(parse(page, True)):
+            seen["t", "", x.gold] += 1
+            for f in sum(features(x), []):
+                seen["f", f, x.gold] += 1
+            if x.parent:
+                seen["e", f"{group(x)}{x.parent.gold}", x.gold] += 1
+    return seen
+
+
 class Model:
     """Counts of labelled pages as node and edge potentials."""
 
-    def __init__(self, pages: list[str], alpha: float = 0.02):
-        seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-        total = [0.0, 0.0, 0.0]
-        edges = [[[alpha] * 3 for _ in STATES] for _ in range(2)]
-        for page in pages:
-            for x in order(parse(page)):
-                total[x.gold] += 1
-                for f in sum(features(x), []):
-                    seen[f][x.gold] += 1
-                if x.parent:
-                    edges[group(x)][x.parent.gold][x.gold] += 1
-        self.node = {f: [(c[s] + alpha) / (total[s] + 3 * alpha) / ((sum(c) + 3 * alpha) / (sum(total) + 9 * alpha)) for s in STATES] for f, c in seen.items()}
+    def __init__(self, counts: Counter, alpha: float = 0.02):
+        total = [counts["t", "", s] for s in STATES]
+        edges = [[[counts["e", f"{g}{up}", s] + alpha for s in STATES] for up in STATES] for g in range(2)]
         self.edge = [[[e / sum(row) for e in row] for row in g] for g in edges]
+        self.node = {}
+        for f in {name for kind, name, _ in counts if kind == "f"}:
+            c = [counts["f", f, s] for s in STATES]
+            self.node[f] = [(c[s] + alpha) / (total[s] + 3 * alpha) / ((sum(c) + 3 * alpha) / (sum(total) + 9 * alpha)) for s in STATES]
 
     def potential(self, node: Node) -> list[float]:
         markup, shape = features(node)
@@ -326,19 +355,35 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
     return pages
 
 
-def extract(pages: DataFrame, column: str = "html", out: str = "text", labelled: list[str] | None = None, drop: tuple[str, ...] = ("html",)) -> DataFrame:
-    """pages with the main text of a column of HTML. labelled: pages with data-gold marks (a bounded list) to train on."""
-    model = Model(labelled or labelled_pages())
+def train(labelled: DataFrame, column: str = "html", most: int = LABELLED) -> Model:
+    """A model from labelled pages: HTML whose elements hold their state in data-gold (0 holds the article, 1 article, 2 boilerplate).
+
+    Of more than most pages the first by hash are taken. Pages are counted where they lie; only sums come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = counted(x for x in batch.column(0).to_pylist() if x)
+            cols = list(zip(*seen, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["kind", "name", "state", "n"])
+
+    sample = labelled.select(F.col(column).alias("html")).orderBy(F.xxhash64("html"), "html").limit(most)
+    sums = sample.mapInArrow(run, "kind string, name string, state int, n long").groupBy("kind", "name", "state").agg(F.sum("n").alias("n"))
+    return Model(Counter({(r.kind, r.name, r.state): r.n for r in sums.collect()}))
+
+
+def extract(pages: DataFrame, column: str = "html", out: str = "text", model: Model | None = None, drop: tuple[str, ...] = ("html",)) -> DataFrame:
+    """pages with the main text of a column of HTML. model: from train(); by default from the labelled fragments below."""
+    model = model or Model(counted(labelled_pages()))
     keep = [c for c in pages.columns if c != out and c not in drop]
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [extract_text(x, model) for x in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, out])
+            texts = pa.array((extract_text(x.as_py(), model) for x in batch.column(len(keep))), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], texts], [*keep, out])
 
+    short_batches(pages.sparkSession)
     return pages.select(*keep, F.col(column).alias(free_name(pages, "__html"))).mapInArrow(run, schema)
 
 

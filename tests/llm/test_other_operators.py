@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def model():
-    return html_extract.Model(html_extract.labelled_pages())
+    return html_extract.Model(html_extract.counted(html_extract.labelled_pages()))
 
 
 PAGES = {
@@ -32,6 +32,11 @@ PAGES = {
     "plain words": "plain words",
     "<article><p>cut off in a tag <b": "cut off in a tag",
     "<article><p>broken <!-- comment": "broken",
+    "<article><p data-golden=1>marks</p><p data-gold=\"1\">that</p><p data-gold=2>aren't labels</p></article>": "marks\n\nthat\n\naren't labels",
+    "<article><p class=it's>bare quote</p><p title=\"a > b\">and a sign</p><p title = 'x>y' id=a\"b>more</p></article>": "bare quote\n\nand a sign\n\nmore",
+    "<article><p>Before.</p><script src=\"a.js\" />var hidden = 1;</script><p>After.</p></article>": "Before.\n\nAfter.",
+    "<article><p>Before.</p><script src=\"a.js\" /><p>Between.</p><script>var x;</script><svg/><p>After.</p></article>": "Before.\n\nBetween.\n\nAfter.",
+    "<article><p>one</p><scripted>two</scripted><p>three</article>": "one\n\ntwo\n\nthree",
 }
 
 
@@ -43,7 +48,7 @@ def test_extraction(model, page):
 def test_extraction_of_labelled_pages(model):
     good = total = 0
     for page in html_extract.labelled_pages(80, 99):
-        nodes = html_extract.order(html_extract.parse(page))
+        nodes = html_extract.order(html_extract.parse(page, True))
         for x, p in zip(nodes, model.marginals(nodes), strict=True):
             if x.chars:
                 total += 1
@@ -65,6 +70,20 @@ def test_marginals_against_enumeration(model):
     assert np.allclose(model.marginals(nodes), weights / weights.sum(1, keepdims=True))
 
 
+def test_training_on_a_table_of_labelled_pages(spark, model):
+    pages = html_extract.labelled_pages()
+    got = html_extract.train(spark.createDataFrame([(i, p) for i, p in enumerate(pages)] + [(-1, None)], "id long, html string").repartition(5))
+    assert got.node == model.node and got.edge == model.edge
+    assert html_extract.extract_text("<p>x</p>", html_extract.train(spark.createDataFrame([], "html string"))) in ("x", "")
+
+
+def test_extraction_of_very_long_pages(model):
+    page = "<body><nav><a href=x>m</a></nav><article>" + "<p>word and more words of the text here &amp; there.</p>" * 20_000 + "</article><footer>f</footer>"
+    assert html_extract.extract_text(page, model).split("\n\n") == ["word and more words of the text here & there."] * 20_000
+    deep = "<article>" + "<div>" * 30_000 + "deep" + "</div>" * 30_000 + "</article>"
+    assert html_extract.extract_text(deep, model) in ("deep", "")
+
+
 def test_extraction_over_tables(spark):
     rows = [(1, "u", "<article><p>x</p></article>", "t"), (None, None, None, None), (1, "u", "<article><p>x</p></article>", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
