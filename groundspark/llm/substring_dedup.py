@@ -2,20 +2,22 @@
 
 Every window of WINDOW words picks its least GRAM-gram as anchor (by hash, leftmost on ties), so
 equal windows of any two documents pick equal anchors. The consecutive windows with one anchor form
-a block: the reference is the index of all blocks, and a document is parsed greedily, block by
-block, against it. A block that an earlier document holds whole is part of a factor as it stands.
-At factor boundaries, where blocks of one anchor differ, every window is checked alone against the
-windows of all other blocks of that anchor (which is every place where it could stand). Neighbouring
-hits join to one factor; factors of WINDOW words or more are the duplicate spans.
+a block: the reference is the index of all blocks, each with the first document that holds it. A
+document is parsed greedily from left to right: a factor starts at the first window that the index
+holds and takes block after block for as long as they continue in the same place of the same
+reference document. At factor boundaries, where blocks of one anchor differ, every window is checked
+alone against the windows of all other blocks of that anchor (which is every place where it could
+stand). All factors have WINDOW words or more; together they are the duplicate spans.
 
 Only blocks whose anchor occurs again leave the first pass, and of copies of a block one stands for
 all, so a passage in a third of all documents is one row at each step but the last join. Grams,
 blocks and windows are told apart by 64-bit polynomial hashes, two independent ones each (anchor
-and block, anchor and window).
+and block, anchor and window). Texts are told apart by key and XXH64.
 
 Defined results: null text has no words; the first document (smallest key) with a passage keeps it;
-a passage repeated within one document only is kept; rows of equal key count as one document, and
-each gives a row of its own; empty tables give an empty result.
+a passage repeated within one document only is kept; rows of equal key aren't duplicates of each
+other, whatever their texts, and each gives a row of its own; rows of null key keep all words and
+are no reference; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 CACHED = 400_000  # word hashes remembered by a Python worker
 TAKEN = 4_000_000  # characters of text hashed at a time
 PLACE = np.uint64((1 << 23) - 1)  # low bits of a gram's order that hold its place
+PIECE = 1 << 22  # windows whose anchors are chosen at a time, so that places fit
 
 
 class WordHashes(dict):
@@ -85,6 +88,16 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def anchors(grams: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Place of the least gram of every window, piece windows at a time."""
+    width = WINDOW - GRAM + 1
+    out = np.empty(len(grams) - width + 1, np.int64)
+    for a in range(0, len(out), piece):
+        part = grams[a : a + piece + width - 1]
+        out[a : a + piece] = (sliding_least((part & ~PLACE) | np.arange(len(part), dtype=np.uint64), width) & PLACE).astype(np.int64) + a
+    return out
+
+
 def blocks_of(roll: Rolling, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Blocks of documents of given first word and size: document's index, first window, windows, anchor and block hash."""
     total = len(roll.sums) - 1
@@ -93,7 +106,7 @@ def blocks_of(roll: Rolling, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     place = np.arange(total - GRAM + 1)
     grams = roll.ranges(place, place + GRAM)
-    chosen = (sliding_least((grams & ~PLACE) | place.astype(np.uint64), WINDOW - GRAM + 1) & PLACE).astype(np.int64)
+    chosen = anchors(grams)
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(chosen)]
     first = np.arange(len(chosen))
     inside = first - starts[doc] <= sizes[doc] - WINDOW
@@ -105,12 +118,12 @@ def blocks_of(roll: Rolling, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
 
 
 def blocks(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key, anchor, block, start (word), n (windows) of every block of every document."""
+    """k, t (hash of the text), anchor, block, start (word), n (windows) of every block of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            raw, keys = as_bytes(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            raw, keys, marks = as_bytes(batch.column(2)), *(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for a, b in slices(np.array([len(x) if x else 0 for x in raw]), TAKEN):
                 ws = [words(x) for x in raw[a:b]]
                 sizes = np.array([len(w) for w in ws])
@@ -118,13 +131,18 @@ def blocks(documents: DataFrame, key: str, text: str) -> DataFrame:
                 roll = Rolling(known.of([w for x in ws for w in x]))
                 doc, begin, n, anchor, block = blocks_of(roll, starts, sizes)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), pa.array((begin - starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["k", "anchor", "block", "start", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(marks[a:b][doc]), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), pa.array((begin - starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["k", "t", "anchor", "block", "start", "n"])
+
+    return rows_of(documents, key, text).mapInArrow(run, "k long, t long, anchor long, block long, start int, n int")
 
-    return documents.select(F.col(key).cast("long").alias("k"), text).where("k is not null").mapInArrow(run, "k long, anchor long, block long, start int, n int")
+
+def rows_of(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """k, t (hash of the text) and text of documents with a key."""
+    return documents.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where("k is not null")
 
 
 def boundary_windows(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """k, anchor, block, i, window (hash) of the windows of the wanted blocks (k, places: array of start, n, anchor, block)."""
+    """k, anchor, block, i, window (hash) of the windows of the wanted blocks (k, t, places: array of start, n, anchor, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -139,47 +157,62 @@ def boundary_windows(documents: DataFrame, wanted: DataFrame, key: str, text: st
                 cols = [np.full(len(owner), batch.column(0)[i].as_py()), places.field("anchor").to_numpy()[owner], places.field("block").to_numpy()[owner], at.astype(np.int32), roll.ranges(first, first + WINDOW).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "anchor", "block", "i", "window"])
 
-    docs = documents.select(F.col(key).cast("long").alias("k"), text).where("k is not null").dropDuplicates(["k"])
-    return docs.join(wanted, "k").select("k", text, "places").mapInArrow(run, "k long, anchor long, block long, i int, window long")
+    docs = rows_of(documents, key, text).join(wanted, ["k", "t"], "left_semi").dropDuplicates(["k", "t"])
+    return docs.join(wanted, ["k", "t"]).select("k", "text", "places").mapInArrow(run, "k long, anchor long, block long, i int, window long")
 
 
-def duplicate_factors(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k and hits (array of start, n: runs of windows that an earlier document holds) of documents with any."""
+def duplicate_blocks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, t and hits of documents with any: array of start, n (windows), mask (those that hit; null: all), source (document) and at (word of it; null behind a mask)."""
     rows = written(blocks(documents, key, text))
     again = rows.groupBy("anchor").agg(F.count("*").alias("c"), F.min("k").alias("a"), F.max("k").alias("b"), F.min("block").alias("x"), F.max("block").alias("y")).where("a < b")
     again = written(again.select("anchor", (F.col("x") != F.col("y")).alias("differ")))  # so that both sides of the join are dealt anew, and a hot anchor's rows can be split
     shared = written(rows.join(again, "anchor"))
-    first = shared.groupBy("anchor", "block").agg(F.min(F.struct("k", "start", "n")).alias("f"), F.max("k").alias("last"), F.first("differ").alias("differ"))
+    first = shared.groupBy("anchor", "block").agg(F.min(F.struct("k", "t", "start", "n")).alias("f"), F.max("k").alias("last"), F.first("differ").alias("differ"))
     first = written(first.select("anchor", "block", "f.*", "last", "differ"))
-    wanted = first.where("differ").groupBy("k").agg(F.collect_list(F.struct("start", "n", "anchor", "block")).alias("places"))
+    wanted = written(first.where("differ").groupBy("k", "t").agg(F.collect_list(F.struct("start", "n", "anchor", "block")).alias("places")))
     windows = written(boundary_windows(documents, wanted, key, text))
     earliest = windows.groupBy("anchor", "window").agg(F.min("k").alias("source"), F.max("k").alias("latest")).where("source < latest").drop("latest")
     found = windows.join(written(earliest), ["anchor", "window"]).where("source < k")
-    partly = found.groupBy("anchor", "block").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
-    status = written(first.join(partly, ["anchor", "block"], "left").where("k < last or mask is not null").select("anchor", "block", F.col("k").alias("source"), "mask"))
+    partly = found.groupBy("anchor", "block").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"), F.min("source").alias("other"))
+    status = first.join(partly, ["anchor", "block"], "left").where("k < last or mask is not null")
+    status = written(status.select("anchor", "block", F.col("k").alias("source"), F.col("start").alias("at"), "mask", "other"))
     hits = shared.drop("differ").join(status, ["anchor", "block"]).where("k > source or mask is not null")
-    hits = hits.select("k", F.struct("start", "n", F.when(F.col("k") == F.col("source"), F.col("mask")).alias("mask")).alias("h"))
-    return hits.groupBy("k").agg(F.collect_list("h").alias("hits"))
-
-
-def covered(n_words: int, start: np.ndarray, n: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Which words the windows of hits cover; mask: windows of a boundary block that hit, -1 for all."""
-    edge = np.zeros(n_words + 1, np.int64)
-    whole = mask < 0
-    np.add.at(edge, start[whole], 1)
-    np.add.at(edge, start[whole] + n[whole] - 1 + WINDOW, -1)
-    for s, m in zip(start[~whole].tolist(), mask[~whole].tolist(), strict=True):
-        while m:
-            i = (m & -m).bit_length() - 1
-            edge[s + i] += 1
-            edge[s + i + WINDOW] -= 1
-            m &= m - 1
-    return np.cumsum(edge[:n_words]) > 0
+    own = F.col("k") == F.col("source")
+    hit = F.struct("start", "n", F.when(own, F.col("mask")).alias("mask"), F.when(own, F.col("other")).otherwise(F.col("source")).alias("source"), F.when(~own, F.col("at")).alias("at"))
+    return hits.select("k", "t", hit.alias("h")).groupBy("k", "t").agg(F.collect_list("h").alias("hits"))
+
+
+def parsed(start: np.ndarray, n: np.ndarray, mask: np.ndarray, source: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Greedy factors of one document: start and words, source document and word there (-1 behind a mask), from left to right."""
+    out: list[list[int]] = []  # start, end, source, place there
+
+    def take(s: int, windows: int, src: int, place: int) -> None:
+        if out and out[-1][2] == src and s == out[-1][1] - WINDOW + 1 and (place < 0 or out[-1][3] < 0 or place - s == out[-1][3] - out[-1][0]):
+            out[-1][1] = s + windows - 1 + WINDOW
+            if out[-1][3] < 0 <= place:
+                out[-1][3] = place - s + out[-1][0]
+        else:
+            out.append([s, s + windows - 1 + WINDOW, src, place])
+
+    by = np.argsort(start, kind="stable")
+    for s, w, m, src, place in zip(*(x[by].tolist() for x in (start, n, mask, source, at)), strict=True):
+        if m < 0:
+            take(s, w, src, place)
+            continue
+        i = 0
+        while m >> i:
+            skip = ((m >> i) & -(m >> i)).bit_length() - 1
+            i += skip
+            run = (~(m >> i) & -~(m >> i)).bit_length() - 1  # ones in a row
+            take(s + i, run, src, -1)
+            i += run
+    return [(a, b - a, src, place) for a, b, src, place in out]
 
 
 def remove_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, kept (text of the kept words, joined by one space), n_words, n_removed and factors (duplicate spans: start, n words)."""
-    hits = duplicate_factors(documents, key, text).withColumnRenamed("k", key)
+    """key, kept (text of the kept words, joined by one space), n_words, n_removed and factors (start, n words, source document, place there) of every row."""
+    hits = duplicate_blocks(documents, key, text)
+    kinds = [("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("place", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,28 +221,26 @@ def remove_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "te
                 kept, sizes, gone, factors = [], [], [], []
                 for raw, places in zip(as_bytes(part.column(1)), part.column(2), strict=True):
                     ws = words(raw)
-                    spans: list[dict] = []
+                    spans: list[tuple[int, int, int, int]] = []
+                    left = ws
                     if places.is_valid:
                         v = places.values
-                        mask = v.field("mask").fill_null(-1).to_numpy()
-                        off = covered(len(ws), v.field("start").to_numpy(), v.field("n").to_numpy(), mask)
-                        turn = np.flatnonzero(np.diff(np.concatenate([[0], off.astype(np.int8), [0]])))
-                        spans = [{"start": int(x), "n": int(y - x)} for x, y in turn.reshape(-1, 2)]
-                        at, left = 0, []
-                        for s in spans:
-                            left += ws[at : s["start"]]
-                            at = s["start"] + s["n"]
-                        left += ws[at:]
-                    else:
-                        left = ws
+                        spans = parsed(*(v.field(c).fill_null(-1).to_numpy() for c in ("start", "n", "mask", "source", "at")))
+                        done, left = 0, []
+                        for s, n, _, _ in spans:
+                            left += ws[done:s]
+                            done = max(done, s + n)
+                        left += ws[done:]
                     kept.append(b" ".join(left))
                     sizes.append(len(ws))
                     gone.append(len(ws) - len(left))
-                    factors.append(spans)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(factors, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))], [key, "kept", "n_words", "n_removed", "factors"])
+                    factors.append([dict(zip(("start", "n", "source", "place"), x, strict=True)) for x in spans])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(factors, pa.list_(pa.struct(kinds)))], [key, "kept", "n_words", "n_removed", "factors"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).join(hits, key, "left").select(key, text, "hits").mapInArrow(run, f"{key} {kind}, kept string, n_words long, n_removed long, factors array<struct<start:int,n:int>>")
+    docs = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("t"))
+    rows = docs.join(hits, ["k", "t"], "left").select("__key", "__text", "hits")
+    return rows.mapInArrow(run, f"`{key}` {kind}, kept string, n_words long, n_removed long, factors array<struct<start:int,n:int,source:bigint,place:int>>")
 
 
 def digests(documents: DataFrame) -> DataFrame:

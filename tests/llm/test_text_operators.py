@@ -137,6 +137,37 @@ def test_substring_dedup(spark, docs, texts):
     assert [r.n_removed for r in both.collect()] == [0, 0]
 
 
+def test_substring_dedup_of_repeated_keys(spark):
+    r = random.Random(9)
+    passage = words(r, 90, 10_000)
+    rows = [(5, words(r, 600) + " " + passage + " " + words(r, 300)), (5, "short text"), (5, passage + " " + words(r, 70)), (3, words(r, 20) + " " + passage[: len(passage) // 2 * 2]), (7, passage), (7, passage), (None, passage), (9, passage + " " + passage)]
+    for turn in (rows, rows[::-1]):
+        df = spark.createDataFrame([(k, t, 0) for k, t in turn], "doc_id long, text string, k int").repartition(2)
+        got = sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept) for x in substring_dedup.remove_duplicates(df).collect())
+        want = []
+        for k, t in rows:
+            earlier = {tuple(w[i : i + 50]) for j, u in rows if j is not None and k is not None and j < k for w in [u.split()] for i in range(len(w) - 49)}
+            w = t.split()
+            gone = [any(tuple(w[s : s + 50]) in earlier for s in range(max(0, i - 49), i + 1)) for i in range(len(w))]
+            want.append((str(k), len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+        assert got == sorted(want)
+
+
+def test_factors_name_their_source(spark):
+    r = random.Random(10)
+    one, two = words(r, 120, 10_000), words(r, 80, 10_000)
+    rows = [(1, words(r, 10) + " " + one), (2, two + " " + words(r, 10)), (3, one + " " + two), (4, words(r, 5) + " " + " ".join(one.split()[20:100]))]
+    got = {x.doc_id: [tuple(f) for f in x.factors] for x in substring_dedup.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == [] and [(a, n, s) for a, n, s, _ in got[3]] == [(0, 120, 1), (120, 80, 2)] and got[3][0][3] == 10
+    assert {s for _, _, s, _ in got[4]} == {1} and min(a for a, *_ in got[4]) == 5 and max(a + n for a, n, *_ in got[4]) == 85
+
+
+def test_anchors_in_pieces():
+    grams = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
+    grams[100:140] = grams[100]
+    assert all((substring_dedup.anchors(grams, p) == substring_dedup.anchors(grams)).all() for p in (1, 7, 100, 474, 475))
+
+
 def removed(texts):
     first, out = {}, {}
     for i in sorted(texts):
