@@ -2,123 +2,180 @@
 
 A document holds an item when one of its windows of the item's size in words has a weighted Jaccard
 similarity of THRESHOLD or more with it over shingles of SHINGLE words (weights: how often each
-occurs). Steps:
-
-1. Such a window misses a fifth of the item's shingles at most, so one of any fifth plus one of
-   them is in it. Those with the longest word are the item's seeds; documents are scanned for that
-   word, and the seed is compared there.
-2. Round the seeds of an item, windows start at shingles of the item (moving a window up to its
-   next such start loses nothing) and must hold four fifths of its shingles.
-3. Equal windows become one. Each is fingerprinted and looked up in the index of item fingerprints:
-   BLOCKS blocks of bits, each under all values of the ball of radius RADIUS // BLOCKS, which
-   guarantees every fingerprint within RADIUS; the whole distance is checked next.
+occurs; the n-th occurrence of a shingle counts as a shingle of its own, so sets say the same).
+
+1. Places: a similar window misses a fifth of the item's shingles at most, so one of any fifth plus
+   one of them is in it. Those with the longest word are the item's seeds. Texts are scanned for
+   them, which tells where windows of which sizes are worth a look; it loses no window.
+2. Windows: every window of such a size that holds such a place is fingerprinted, by SimHash of BITS
+   bits over all its shingles. Equal texts are looked at once.
+3. Candidates: the index holds the fingerprints of all items of a size, cut into BLOCKS blocks, each
+   under every value of the ball of radius BALL around it. A window is looked up under its own block
+   values, whatever item's seed led to it. That guarantees every item within RADIUS bits; the whole
+   distance is checked next.
 4. The exact similarity decides.
 
-The first two steps lose no window; RADIUS leaves out similar pairs with a chance of about one in
-a million each (at similarity 0.8 the distance is about 10 with deviation 3).
+At a similarity of 0.8 and windows of equal size the distance has mean 19 and deviation 4, so RADIUS
+31 leaves out about one in 700 of such pairs, and far fewer above. Documents that are shorter than
+an item and have under FEW shingles can lie further off: their seeds' items are all verified.
 
 Defined results: null and blank texts hold nothing and blank items are never held; an item of fewer
-words than a shingle is one shingle; a document shorter than the item is one window; equal keys are
-reported together; empty tables give an empty result.
+words than a shingle is one shingle; a document shorter than the item is one window; rows of equal
+key are reported together; items of equal id are told apart by their words and reported together,
+those without an id under a null; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 SHINGLE, THRESHOLD = 5, 0.8
-RADIUS, BLOCKS = 23, 12
+BITS, BLOCKS, BALL = 128, 8, 3
+RADIUS = BLOCKS * (BALL + 1) - 1
+FEW = 8  # shingles of a window for which fingerprints say little
 SENT = 200_000  # seeds that are broadcast at most; more are joined by a shuffle
 BLANK = " \t\n\r\x0b\f"
+WIDTH = BITS // BLOCKS
+IN_BYTES = 127  # shingles whose bits can be counted in bytes
 
 
-def word_array(text: F.Column) -> F.Column:
+def word_array(text: Column) -> Column:
     """Lower-cased words of a text; null and blank texts have none."""
     trimmed = F.btrim(F.lower(text), F.lit(BLANK))
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) > 0, F.split(trimmed, "[ \\t-\\r]+")).otherwise(F.array().cast("array<string>"))
 
 
-def shingle_texts(w: F.Column, k: F.Column) -> F.Column:
+def shingle_texts(w: Column, k: Column) -> Column:
     """All runs of k words (the whole where it is shorter)."""
     last = F.greatest(F.size(w) - k, F.lit(0))
     return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def simhash(shingles: F.Column) -> F.Column:
-    """Bits that are set in over half of the shingles' XXH64."""
-    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    bit = lambda b: F.when(F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int")) * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+def numbered(shingles: Column) -> Column:
+    """Shingles with later occurrences of one told apart by their number, so that all differ."""
+    nth = lambda s, i: F.size(F.filter(F.slice(shingles, F.lit(1), i), lambda x: x == s))
+    tagged = F.transform(shingles, lambda s, i: F.concat_ws("\n", s, F.when(nth(s, i) > 0, nth(s, i).cast("string"))))
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), shingles).otherwise(tagged)
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def simhash(hashes: Column) -> Column:
+    """Bits that are set in over half of an array of longs. Up to IN_BYTES of them are counted eight bits at a time, in the bytes of a long."""
+    zero = F.lit(0).cast("long")
+    spread = F.array(*[F.lit(sum((b >> i & 1) << 8 * i for i in range(8))).cast("long") for b in range(256)])
+    even, reached = F.lit(0x00FF00FF00FF00FF), F.lit(0x0080008000800080)
+    lack = (F.lit(127).cast("long") - F.shiftright(F.size(hashes), 1)) * F.lit(0x0001000100010001)  # lifts counts over half to 128
+
+    def majority(counts: Column) -> Column:
+        over = lambda x: (x.bitwiseAND(even) + lack).bitwiseAND(reached)
+        pairs = F.shiftright(over(counts), 7).bitwiseOR(F.shiftright(over(F.shiftrightunsigned(counts, 8)), 6))
+        return let(pairs, lambda y: y.bitwiseOR(F.shiftright(y, 14)).bitwiseOR(F.shiftright(y, 28)).bitwiseOR(F.shiftright(y, 42)).bitwiseAND(F.lit(255)))
+
+    bytewise = zero
+    for j in range(0, 64, 8):
+        counts = F.aggregate(hashes, zero, lambda n, h: n + F.get(spread, F.shiftrightunsigned(h, j).bitwiseAND(F.lit(255)).cast("int")))  # noqa: B023
+        bytewise = bytewise.bitwiseOR(F.shiftleft(let(counts, majority), j))
+    bit = lambda b: F.when(F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int")) * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(zero)
+    bitwise = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), zero, lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(hashes) <= IN_BYTES, bytewise).otherwise(bitwise)
+
 
+def fingerprint(tags: Column) -> Column:
+    """struct(lo, hi): SimHash of BITS bits of numbered shingles."""
+    return let(F.transform(tags, lambda s: F.xxhash64(s)), lambda h: F.struct(simhash(h).alias("lo"), let(F.transform(h, lambda x: F.xxhash64(x)), simhash).alias("hi")))
 
-def bit_blocks(n: int = BLOCKS) -> list[tuple[int, int]]:
-    """First bit and width of n blocks of 64 bits."""
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
+def distance(a: Column, b: Column) -> Column:
+    return F.bit_count(a["lo"].bitwiseXOR(b["lo"])) + F.bit_count(a["hi"].bitwiseXOR(b["hi"]))
 
-def block_values(fp: F.Column, radius: int) -> F.Column:
-    """(block, value) pairs of a fingerprint, each with the values in the ball of radius 0 or 1."""
-    out = []
-    for i, (first, width) in enumerate(bit_blocks()):
-        own = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
-        flips = [own] + ([own.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(width)] if radius else [])
-        out += [F.struct(F.lit(i).alias("block"), x.alias("value")) for x in flips]
-    return F.array(*out)
+
+def block_values(fp: Column) -> Column:
+    """(block, value) of the BLOCKS blocks of a fingerprint."""
+    part = lambda x, i: F.shiftrightunsigned(x, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+    n = BLOCKS // 2
+    return F.array(*[F.struct(F.lit(i).alias("block"), part(fp["hi" if i >= n else "lo"], i % n).alias("value")) for i in range(BLOCKS)])
+
+
+def ball() -> list[int]:
+    """All values of a block with BALL ones or fewer."""
+    return [sum(1 << b for b in bits) for n in range(BALL + 1) for bits in combinations(range(WIDTH), n)]
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, w, size, k, shingles, need (shingles that a similar window holds at least) of items with words."""
-    items = benchmark.where("item_id is not null").select("item_id", word_array(F.col("text")).alias("w")).where(F.size("w") > 0)
-    items = items.withColumn("size", F.size("w")).withColumn("k", F.least("size", F.lit(SHINGLE))).withColumn("shingles", shingle_texts(F.col("w"), F.col("k")))
-    return items.withColumn("need", F.ceil(F.size("shingles") * THRESHOLD - 1e-9).cast("int"))
+    """it (row number), item_id, size, k, tags (numbered shingles), need (shingles that a similar window holds at least), fp of distinct items with words."""
+    items = benchmark.select("item_id", word_array(F.col("text")).alias("w")).where(F.size("w") > 0).dropDuplicates()
+    items = items.withColumn("size", F.size("w")).withColumn("k", F.least("size", F.lit(SHINGLE))).withColumn("tags", numbered(shingle_texts(F.col("w"), F.col("k"))))
+    items = items.withColumn("need", F.ceil(F.size("tags") * THRESHOLD - 1e-9).cast("int"))
+    return items.select(F.monotonically_increasing_id().alias("it"), "item_id", "size", "k", "tags", "need", fingerprint(F.col("tags")).alias("fp"))
 
 
 def seeds_of(items: DataFrame) -> DataFrame:
-    """item_id, word, at (its place in the seed), seed, k, size of the seeds."""
-    rows = items.select("item_id", "size", "k", "need", F.size("shingles").alias("m"), F.posexplode("shingles").alias("q", "seed"))
-    parts = F.split("seed", " ")
+    """it, word, at (its place in the seed), seed, k, size of the seeds."""
+    rows = items.select("it", "size", "k", "need", F.size("tags").alias("m"), F.posexplode("tags").alias("q", "tag"))
+    seed = F.split("tag", "\n")[0]
+    parts = F.split(seed, " ")
     longest = F.array_max(F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("w"))))
-    rows = rows.withColumn("best", longest)
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("best.n"), "q"))
-    return rows.withColumn("rank", rank).where("rank <= m - need + 1").select("item_id", F.col("best.w").alias("word"), (-F.col("best.i")).alias("at"), "seed", "k", "size").dropDuplicates(["item_id", "word", "at", "seed"])
+    rows = rows.select("it", "size", "k", "need", "m", "q", seed.alias("seed"), longest.alias("best"))
+    rank = F.row_number().over(Window.partitionBy("it").orderBy(F.desc("best.n"), "q"))
+    return rows.withColumn("rank", rank).where("rank <= m - need + 1").select("it", F.col("best.w").alias("word"), (-F.col("best.i")).alias("at"), "seed", "k", "size").distinct()
+
+
+def seed_places(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """h1, h2, n (words), it, k, size, p of every place of a seed, with segment: the words that windows of that size round it hold, and base: the place of its first."""
+    begin = F.col("p") - F.col("at")
+    holds = lambda words, first: F.array_join(F.slice(words, first + 1, F.col("k")), " ") == F.col("seed")
+    if seeds.count() <= SENT:
+        hits = texts.select("h1", "h2", "w", F.posexplode("w").alias("p", "word")).join(F.broadcast(seeds), "word")
+        hits = hits.where((begin >= 0) & (begin + F.col("k") <= F.size("w"))).where(holds(F.col("w"), F.greatest(begin, F.lit(0))))
+    else:  # a word goes to the shuffle with its neighbours, not with its text
+        reach = SHINGLE - 1
+        near = F.slice("w", F.greatest(F.col("p") - reach, F.lit(0)) + 1, 2 * reach + 1)
+        words = texts.select("h1", "h2", "w", F.posexplode("w").alias("p", "word")).select("h1", "h2", "p", "word", near.alias("near"), F.size("w").alias("n"))
+        hits = words.join(seeds, "word").where((begin >= 0) & (begin + F.col("k") <= F.col("n")))
+        hits = hits.where(holds(F.col("near"), F.greatest(F.least("p", F.lit(reach)) - F.col("at"), F.lit(0)))).drop("near", "n").join(texts, ["h1", "h2"])
+    first = F.greatest(begin + F.col("k") - F.col("size"), F.lit(0))
+    return hits.select("h1", "h2", F.size("w").alias("n"), "it", "k", "size", begin.alias("p"), first.alias("base"), F.slice("w", first + 1, begin + F.col("size") - first).alias("segment"))
+
+
+def windows_of(hits: DataFrame, *names: str) -> DataFrame:
+    """The windows round places (columns n, k, size, p, base, segment) that begin behind last, as tags; column names are kept."""
+    latest = F.greatest(F.least(F.col("p"), F.col("n") - F.col("size")), F.lit(0))
+    first = F.greatest(F.col("base"), F.col("last") + 1)
+    hits = hits.where(first <= latest).withColumn("s", F.explode(F.sequence(first, latest)))
+    return hits.select(*names, "size", "k", numbered(shingle_texts(F.slice("segment", F.col("s") - F.col("base") + 1, F.col("size")), F.col("k"))).alias("tags"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, item_id and similarity (the highest of any window) of every item that a document holds."""
     items = written(items_of(benchmark))
-    seeds = written(seeds_of(items))
-    sent = F.broadcast if seeds.count() <= SENT else (lambda x: x)
-    # 1: documents with a seed, and the range of words round an item's seeds
-    docs = documents.select(F.col(key).alias("k_doc"), word_array(F.col(text)).alias("w")).where(F.size("w") > 0)
-    hits = docs.select("k_doc", "w", F.posexplode("w").alias("p", "word")).join(sent(seeds), "word")
-    begin = F.col("p") - F.col("at")
-    hits = hits.where((begin >= 0) & (begin + F.col("k") <= F.size("w")) & (F.array_join(F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.col("k")), " ") == F.col("seed")))
-    near = hits.groupBy("k_doc", F.xxhash64("w").alias("h"), "item_id").agg(F.min(begin).alias("low"), F.max(begin).alias("high"), F.first("w").alias("w"))
-    # 2: windows of the item's size that start at shingles of the item
-    pairs = near.join(items.select("item_id", "size", "k", "shingles", "need"), "item_id")
-    low, high = F.greatest(F.col("low") - F.col("size"), F.lit(0)), F.least(F.col("high") + 2 * F.col("size"), F.size("w"))
-    pairs = pairs.select("k_doc", "item_id", "size", "k", "shingles", "need", F.slice("w", low + 1, high - low).alias("w"))
-    own = F.transform(shingle_texts(F.col("w"), F.col("k")), lambda s, i: F.when(F.array_contains("shingles", s), i))
-    pairs = pairs.withColumn("places", F.filter(own, lambda i: i.isNotNull()))
-    full = F.filter("places", lambda s: F.size(F.filter("places", lambda x: (x >= s) & (x <= s + F.col("size") - F.col("k")))) >= F.col("need"))
-    starts = F.array_distinct(F.transform(full, lambda s: F.greatest(F.least(s, F.size("w") - F.col("size")), F.lit(0))))
-    windows = pairs.select("k_doc", "size", "k", "w", F.explode(starts).alias("s")).select("k_doc", "size", "k", F.array_join(F.slice("w", F.col("s") + 1, F.col("size")), " ").alias("window"))
-    windows = written(windows.distinct())
-    # 3: fingerprints of distinct windows against the index of items of that size
-    texts = windows.select("size", "k", "window").distinct()
-    prints = written(texts.withColumn("shingles", shingle_texts(F.split("window", " "), F.col("k"))).withColumn("fp", simhash(F.col("shingles"))))
-    index = items.select("item_id", "size", simhash(F.col("shingles")).alias("item_fp"))
-    index = index.select("item_id", "size", "item_fp", F.explode(block_values(F.col("item_fp"), RADIUS // BLOCKS)).alias("b")).select("item_id", "size", "item_fp", "b.*")
-    probes = prints.select("size", "window", "fp", F.explode(block_values(F.col("fp"), 0)).alias("b")).select("size", "window", "fp", "b.*")
-    found = probes.join(index, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("size", "window", "item_id").distinct()
+    # 1: places of seeds in texts, told apart by two hashes
+    docs = documents.select(F.col(key).alias("k_doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.col(text).alias("text"))
+    places = written(seed_places(docs.select("h1", "h2", word_array(F.col("text")).alias("w")).where(F.size("w") > 0), seeds_of(items)).dropDuplicates(["h1", "h2", "it", "p"]))
+    # 2: windows behind the last place of the same size, so that each comes once
+    each = Window.partitionBy("h1", "h2", "size").orderBy("p")
+    last = F.coalesce(F.lag("p").over(each), F.lit(-1))
+    once = windows_of(places.dropDuplicates(["h1", "h2", "size", "p"]).withColumn("last", last), "h1", "h2")
+    once = written(once.withColumn("fp", fingerprint(F.col("tags"))))
+    # 3: candidates from the blocks
+    around = F.array(*[F.lit(x) for x in ball()])
+    index = items.select("it", "size", F.col("fp").alias("item_fp"), F.explode(block_values(F.col("fp"))).alias("b"))
+    index = index.select("it", "size", "item_fp", "b.block", F.explode(F.transform(around, lambda x: F.col("b.value").bitwiseXOR(x))).alias("value"))
+    probes = once.select("size", "fp").distinct().select("size", "fp", F.explode(block_values(F.col("fp"))).alias("b")).select("size", "fp", "b.*")
+    found = probes.join(index, ["size", "block", "value"]).where(distance(F.col("fp"), F.col("item_fp")) <= RADIUS).select("size", "fp", "it").distinct()
+    pairs = once.join(found, ["size", "fp"]).select("h1", "h2", "it", "tags")
+    short = places.where(F.least("n", "size") - F.col("k") + 1 < FEW).withColumn("last", F.lit(-1))
+    pairs = pairs.unionByName(windows_of(short, "h1", "h2", "it").select("h1", "h2", "it", "tags"))
     # 4: exact weighted similarity
-    left = prints.join(found, ["size", "window"]).select("size", "window", "item_id", F.explode("shingles").alias("s")).groupBy("size", "window", "item_id", "s").agg(F.count("*").alias("a"))
-    right = items.select("item_id", F.explode("shingles").alias("s")).groupBy("item_id", "s").agg(F.count("*").alias("b"))
-    common = left.join(right, ["item_id", "s"], "left").groupBy("size", "window", "item_id").agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("both"), F.sum("a").alias("n"))
-    m = items.select("item_id", F.size("shingles").alias("m"))
-    similar = common.join(m, "item_id").withColumn("similarity", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where(F.col("similarity") >= THRESHOLD - 1e-12)
-    return windows.join(similar.select("size", "window", "item_id", "similarity"), ["size", "window"]).groupBy(F.col("k_doc").alias(key), "item_id").agg(F.max("similarity").alias("similarity"))
+    both = F.size(F.array_intersect("tags", "own"))
+    judged = pairs.join(items.select("it", "item_id", F.col("tags").alias("own")), "it").withColumn("similarity", both / (F.size("tags") + F.size("own") - both))
+    held = written(judged.where(F.col("similarity") >= THRESHOLD - 1e-12).groupBy("h1", "h2", "item_id").agg(F.max("similarity").alias("similarity")))
+    return docs.drop("text").join(held, ["h1", "h2"]).groupBy(F.col("k_doc").alias(key), "item_id").agg(F.max("similarity").alias("similarity"))

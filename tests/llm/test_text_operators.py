@@ -301,6 +301,56 @@ def test_decontamination(spark, docs, texts):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_equal_ids_and_null_ids(spark):
+    r = random.Random(14)
+    one, two, same_ = words(r, 30, 10_000), words(r, 30, 10_000), words(r, 25, 10_000)
+    rows = [(1, "x y " + one + " z", 0), (1, two, 0), (None, two + " end", 0), (None, None, 0), (2, one + " " + one, 0), (2, one + " " + one, 0), (3, "short text", 0), (4, same_, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, it int")
+    bench = spark.createDataFrame([(1, one), (1, two), (1, two), (None, same_), (7, None)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(1, 1): 1.0, (None, 1): 1.0, (2, 1): 1.0, (4, None): 1.0}
+
+
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_decontamination_near_the_threshold(spark, monkeypatch, sent):
+    """Every number of changed words, repeated shingles, swapped halves and shifted windows, against all windows by brute force."""
+    monkeypatch.setattr(decontaminate, "SENT", sent)
+    r = random.Random(15)
+    items = {j: words(r, r.choice([1, 4, 6, 9, 12, 20, 35, 59, 150]), 10_000).split() for j in range(40)}
+    items[40] = ["re", "peat", "ed"] * 12
+    items[41] = ["same"] * 30
+    texts = {}
+    for i in range(200):
+        w = list(items[i % 42])
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.randint(0, 1)] = [f"new{r.random()}"] * r.randint(0, 1)
+        if i % 5 == 0:
+            w = w[len(w) // 2 :] + w[: len(w) // 2]
+        texts[i] = " ".join([*words(r, r.randint(0, 9)).split(), *w, *words(r, r.randint(0, 9)).split()][r.randint(0, 2) :])
+    df, bench = table(spark, list(texts.values())), spark.createDataFrame([(j, " ".join(w)) for j, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(df, bench).collect()}
+    want = brute_leaks(texts, {j: " ".join(w) for j, w in items.items()})
+    assert len(want) > 60 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_simhash_of_windows_and_its_blocks(spark):
+    r = random.Random(16)
+    lists = [[r.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (0, 1, 2, 3, 10, 126, 127, 128, 300)]
+    got = [x.p for x in spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<bigint>").select("i", decontaminate.simhash(F.col("v")).alias("p")).orderBy("i").collect()]
+    for v, p in zip(lists, got, strict=True):
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in v) > len(v))
+        assert p % (1 << 64) == want
+    assert len(decontaminate.ball()) == 697 and decontaminate.RADIUS == 31
+    a = [(r.getrandbits(63), r.getrandbits(63)) for _ in range(30)]
+    for lo, hi in a:  # any 31 bits leave a block with three flips at most
+        flips = r.sample(range(128), 31)
+        x, y = lo, hi
+        for b in flips:
+            x, y = (x ^ 1 << b, y) if b < 64 else (x, y ^ 1 << b - 64)
+        assert min(((u ^ v) >> 16 * k & 0xFFFF).bit_count() for u, v in ((lo, x), (hi, y)) for k in range(4)) <= 3
+
+
 def brute_leaks(texts, items):
     import re
 
