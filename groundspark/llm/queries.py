@@ -69,13 +69,15 @@ QUERIES = {
 
 #: Files of 128 records have three levels. chr(13) || chr(10) is the line end of WARC.
 OP10_SQL = """
-with sides as (
-  select 'a' as side, coalesce(page_id, -1) as number, coalesce(url, '') as url, coalesce(html, '') as html from pages
+with given as (
+  select page_id, -1 - ('0x' || left(sha256(coalesce(url, '') || '|' || coalesce(html, '')), 8))::bigint % greatest(1, (select ceil(count(*) / 128.0)::bigint from pages where page_id is null)) as loose, url, html from pages),
+sides as (
+  select 'a' as side, page_id, loose, coalesce(url, '') as url, coalesce(html, '') as html from given
   union all
-  select 'b', coalesce(page_id, -1), coalesce(url, ''), case when page_id % 97 = 0 then left(coalesce(html, ''), greatest(length(coalesce(html, '')) - 1, 0)) || '~' else coalesce(html, '') end
-  from pages where page_id is null or page_id % 389 <> 1),
+  select 'b', page_id, loose, coalesce(url, ''), case when page_id % 97 = 0 then left(coalesce(html, ''), greatest(length(coalesce(html, '')) - 1, 0)) || '~' else coalesce(html, '') end
+  from given where page_id is null or page_id % 389 <> 1),
 texts as (
-  select side, floor(number / 128)::bigint as file, number, url,
+  select side, coalesce(floor(page_id / 128)::bigint, loose) as file, coalesce(page_id, loose) as number, url,
     'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
     || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) as t
   from sides),

@@ -13,7 +13,9 @@ empty tables give an empty result; extra columns are left out.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 FANOUT = 16
+BATCH = 64  # records that leave the parser together
+PIECE = 1 << 20  # bytes that are unpacked at a time
 
 
 def record_text(url: F.Column, payload: F.Column) -> F.Column:
@@ -73,77 +77,83 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
     height = (counts if counts is not None else -1) + 1
     mine, theirs = (trees(x, height, fanout) for x in both)
     top = len(mine) - 1
-    pair = lambda k: mine[k].select("file", "node", "offset", "end", F.col("seal").alias("a")).join(theirs[k].select("file", "node", F.col("offset").alias("offset_b"), F.col("end").alias("end_b"), F.col("seal").alias("b")), ["file", "node"], "full")
-    roots = written(pair(top).select("file", "node", F.col("a").alias("root_primary"), F.col("b").alias("root_replica")))
-    differing = roots.where("not root_primary <=> root_replica").select("file", "node")
+    roots = written(_paired(mine[top], theirs[top]).select("file", "node", "offset", "end", F.col("a").alias("root_primary"), F.col("b").alias("root_replica")))
     compared = [roots.select("file", F.lit(1).alias("n"))]
+    differing = roots.where("not root_primary <=> root_replica")
     for k in range(top - 1, -1, -1):
-        below = _below(pair(k), differing, fanout)
-        below = written(below)
-        compared.append(below.groupBy("file").agg(F.count("*").alias("n")))
-        differing = below.where("not a <=> b").select("file", "node", F.coalesce("offset", "offset_b").alias("offset"), F.coalesce("end", "end_b").alias("end"))
-    if not top:
-        differing = pair(0).where("not a <=> b").select("file", "node", F.coalesce("offset", "offset_b").alias("offset"), F.coalesce("end", "end_b").alias("end"))
+        up = differing.select("file", F.col("node").alias("up"))
+        below = lambda level: level.withColumn("up", F.floor(F.col("node") / fanout)).join(up, ["file", "up"], "left_semi").drop("up")  # only children of nodes that differ are paired  # noqa: B023, E731
+        pairs = written(_paired(below(mine[k]), below(theirs[k])))
+        compared.append(pairs.groupBy("file").agg(F.count("*").alias("n")))
+        differing = pairs.where("not a <=> b")
     ranges = differing.groupBy("file").agg(F.count("*").alias("n_corrupt"), F.array_sort(F.collect_list(F.struct("offset", "end"))).alias("ranges"))
     seen = compared[0]
     for x in compared[1:]:
         seen = seen.unionByName(x)
     seen = seen.groupBy("file").agg(F.sum("n").alias("n_compared"))
     sizes = both[0].groupBy("file").agg(F.count("*").alias("n_records"), F.sum("length").alias("n_bytes"))
-    out = roots.drop("node").join(sizes, "file", "left").join(seen, "file", "left").join(ranges, "file", "left")
+    out = roots.drop("node", "offset", "end").join(sizes, "file", "left").join(seen, "file", "left").join(ranges, "file", "left")
     return out.select("file", F.coalesce("n_records", F.lit(0)).cast("long").alias("n_records"), F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), "root_primary", "root_replica", F.col("root_primary").eqNullSafe(F.col("root_replica")).alias("intact"), F.col("n_compared").cast("long").alias("n_compared"), F.coalesce("n_corrupt", F.lit(0)).cast("long").alias("n_corrupt"), F.coalesce(F.transform("ranges", lambda x: F.concat_ws("-", x["offset"].cast("string"), x["end"].cast("string"))), F.array().cast("array<string>")).alias("ranges"))
 
 
-def _below(pairs: DataFrame, differing: DataFrame, fanout: int) -> DataFrame:
-    """Pairs whose parent differs."""
-    up = differing.select("file", F.col("node").alias("up"))
-    return pairs.withColumn("up", F.floor(F.col("node") / fanout)).join(up, ["file", "up"], "left_semi")
+def _paired(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Nodes of both sides: file, node, offset, end, a and b (their seals; null where a side lacks the node)."""
+    other = theirs.select("file", "node", F.col("offset").alias("offset_b"), F.col("end").alias("end_b"), F.col("seal").alias("b"))
+    both = mine.select("file", "node", "offset", "end", F.col("seal").alias("a")).join(other, ["file", "node"], "full")
+    return both.select("file", "node", F.coalesce("offset", "offset_b").alias("offset"), F.coalesce("end", "end_b").alias("end"), "a", "b")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, length, type, url, payload (binary) of the records of WARC files, plain or gzip by record.
 
-    One task reads a file; a malformed tail gives a row of type 'broken' with what is left.
+    One task reads a file, so it must fit in its memory; records leave it BATCH at a time. A malformed tail gives a row of type 'broken' with what is left.
     """
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(parse_warc(data))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["file", "offset", "length", "type", "url", "payload"])
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = parse_warc(data.as_py())
+                while rows := list(islice(found, BATCH)):
+                    cols = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["file", "offset", "length", "type", "url", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, offset long, length long, type string, url string, payload binary")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, offset long, length long, type string, url string, payload binary")
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, str, str | None, bytes]]:
-    """offset, length, type, url, payload of each record; offsets count in the file as it is stored."""
-    import zlib
+def inflated(data: bytes, at: int) -> tuple[bytes, int]:
+    """The gzip member that starts at at, and where it ends."""
+    one, out, end = zlib.decompressobj(31), [], at
+    while end < len(data) and not one.eof:
+        piece = data[end : end + PIECE]
+        out.append(one.decompress(piece))
+        end += len(piece) - len(one.unused_data)
+    return b"".join(out), end
+
 
+def parse_warc(data: bytes) -> Iterator[tuple[int, int, str, str | None, bytes]]:
+    """offset, length, type, url, payload of each record; offsets count in the file as it is stored. Only the record at hand is copied."""
     at = 0
     while at < len(data):
-        size = len(data) - at
-        body = data[at:]
-        if body[:2] == b"\x1f\x8b":
-            one = zlib.decompressobj(31)
+        body, base, end = data, at, None
+        if data.startswith(b"\x1f\x8b", at):
             try:
-                body = one.decompress(body)
+                body, end = inflated(data, at)
+                base = 0
             except zlib.error:
-                yield at, size, "broken", None, data[at:]
-                return
-            size -= len(one.unused_data)
-        head, mark, rest = body.partition(b"\r\n\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+                base = len(body)
+        mark = body.find(b"\r\n\r\n", base)
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in body[base : max(mark, base)].split(b"\r\n")[1:])}
         n = fields.get(b"content-length", b"")
-        if not head.startswith(b"WARC/") or not mark or not n.isdigit() or len(rest) < int(n):
-            yield at, size, "broken", None, body
+        first = mark + 4
+        if not body.startswith(b"WARC/", base) or mark < 0 or not n.isdigit() or len(body) < first + int(n):
+            yield at, len(data) - at, "broken", None, data[at:]
             return
-        if data[at : at + 2] != b"\x1f\x8b":
-            size = len(head) + 4 + int(n) + 4
+        end = first + int(n) + 4 if end is None else end
         url = fields.get(b"warc-target-uri")
-        yield at, size, fields.get(b"warc-type", b"").decode(), url.decode() if url is not None else None, rest[: int(n)]
-        at += size
+        yield at, end - at, fields.get(b"warc-type", b"").decode(), url.decode() if url is not None else None, body[first : first + int(n)]
+        at = end
 
 
 #: Of the query: records of a file, and the rule by which its replica's records are damaged.
@@ -154,10 +164,13 @@ def audited(pages: DataFrame) -> DataFrame:
     """Audit of the pages as WARC files of FILE_RECORDS page numbers, against a replica with known damage.
 
     In the replica every page whose number is divisible by DAMAGED has its last byte changed (empty pages get one), and
-    every page with remainder 1 by LOST is missing.
+    every page with remainder 1 by LOST is missing. Pages without a number are dealt to files below zero by their digest.
     """
-    number = F.coalesce("page_id", F.lit(-1))  # pages without a number make file -1
-    file = F.floor(number / FILE_RECORDS)
+    loose = pages.where("page_id is null").count()
+    seal = F.sha2(F.concat(F.coalesce("url", F.lit("")), F.lit("|"), F.coalesce("html", F.lit(""))), 256)
+    spread = F.conv(F.left(seal, F.lit(8)), 16, 10).cast("long") % max(1, -(-loose // FILE_RECORDS))
+    number = F.coalesce("page_id", -1 - spread)  # pages without a number make as many files as their count asks for, below zero
+    file = F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS), -1 - spread)
     kept = pages.select("page_id", "url", "html")
     hurt = F.when(F.col("page_id") % DAMAGED == 0, F.concat(F.expr("left(coalesce(html, ''), greatest(length(coalesce(html, '')) - 1, 0))"), F.lit("~"))).otherwise(F.col("html"))
     primary = records(kept, file, number, F.col("url"), F.col("html"))

@@ -4,6 +4,7 @@ import gzip
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,24 @@ def test_audit_of_odd_pages(spark):
     df = spark.createDataFrame([(*x, "extra") for x in rows], "page_id long, url string, html string, digest string")
     got = {x.file: x for x in warc.audited(df).collect()}
     assert set(got) == {-1, 0} and not got[0].intact and got[-1].intact
+    loose = spark.createDataFrame([(None, f"u{i}", "x" * i) for i in range(600)] + [(97, "v", None)], "page_id long, url string, html string")
+    got = {x.file: x for x in warc.audited(loose).collect()}
+    assert set(got) == {-5, -4, -3, -2, -1, 0} and sum(x.n_records for x in got.values()) == 601 and max(x.n_records for x in got.values()) < 200
+    loose.createOrReplaceTempView("loose")
+    con = duckdb.connect()
+    con.register("pages", loose.toArrow())
+    same(warc.audited(loose), con, queries.OP10_SQL)
+
+
+def test_work_ends_at_equal_nodes(spark, monkeypatch):
+    """Of files that are equal nothing but the roots is paired."""
+    r = random.Random(3)
+    pages = [(i, f"http://h/{i}", words(r, 9)) for i in range(400)]
+    sizes, paired = [], warc._paired
+    monkeypatch.setattr(warc, "_paired", lambda a, b: (sizes.append((a.count(), b.count())), paired(a, b))[1])
+    hurt = [(i, u, h[:-1] + "~" if i == 50 else h) for i, u, h in pages]
+    warc.audit(record_rows(spark, pages), record_rows(spark, hurt)).collect()
+    assert sizes == [(10, 10), (3, 3), (16, 16)]
 
 
 def test_warc_files_are_read_back(spark, tmp_path):
