@@ -118,17 +118,50 @@ def test_top_k(spark, monkeypatch, parts):
     assert topk.nearest_of_hundredths(df.where("vec_id = 100")).count() == 0
 
 
-def test_cover_trees_prune():
-    r = np.random.default_rng(0)
-    data = (np.repeat(r.normal(size=(20, 8)) * 4000, 200, 0) + r.normal(size=(4000, 8)) * 60).astype(np.int64)
-    calls = []
-    offer = topk.Best.offer
+def test_top_k_of_repeated_ids(spark):
+    r = np.random.default_rng(4)
+    rows = [(i % 150, [float(x) for x in r.normal(size=4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    same(topk.nearest_of_hundredths(df), con, queries.OP3_SQL)
+
+
+def scored_pairs(queries_, data, k=10):
+    calls, offer = [], topk.Best.offer
     topk.Best.offer = lambda self, a, b, s, *x: (calls.append(s.size), offer(self, a, b, s, *x))[1]
     try:
-        topk.dual_search(data[::100], np.arange(0, 4000, 100), np.full(40, topk.NONE), data, np.arange(4000), 10)
+        got = topk.dual_search(queries_, np.full(len(queries_), -1), np.full(len(queries_), topk.NONE), data, np.arange(len(data)), k)
     finally:
         topk.Best.offer = offer
-    assert sum(calls) < 0.5 * 40 * 4000
+    return sum(calls), got
+
+
+@pytest.mark.parametrize("clusters, spread, most", [(20, 60, 0.5), (400, 300, 0.5), (1, 4000, 1.01)])
+def test_cover_trees_prune(clusters, spread, most):
+    r = np.random.default_rng(0)
+    data = (np.repeat(r.normal(size=(clusters, 8)) * 4000, 4000 // clusters, 0) + r.normal(size=(4000, 8)) * spread).astype(np.int64)
+    pairs, (row, score, ids) = scored_pairs(data[::100], data)
+    assert pairs < most * 40 * 4000
+    exact = data[::100] @ data.T
+    for q in range(40):
+        assert sorted(zip(-score[row == q], ids[row == q], strict=True)) == sorted(zip(-exact[q], range(4000), strict=True))[:10]
+
+
+def test_cover_tree_invariants():
+    r = np.random.default_rng(5)
+    points = np.concatenate([r.normal(size=(900, 3)) * 1000, r.normal(size=(900, 3)) * 10, np.ones((100, 3))]).round()
+    t = topk.CoverTree(points, 4)
+    assert sorted(t.order.tolist()) == list(range(len(points)))
+    for i, kids in enumerate(t.kids):
+        rows = points[t.order[t.first[i] : t.end[i]]]
+        assert np.sqrt(((rows - t.centre[i]) ** 2).sum(1)).max() <= t.radius[i] + 1e-9 <= t.cover[i] + 1e-8
+        if kids:
+            assert any((t.centre[c] == t.centre[i]).all() for c in kids)  # nested
+            assert sum(t.end[c] - t.first[c] for c in kids) == t.end[i] - t.first[i]
+            assert all(t.radius[c] <= t.cover[i] / 2 and t.cover[c] <= t.cover[i] / 2 for c in kids)  # halved
+            assert all(np.sqrt(((t.centre[c] - t.centre[d]) ** 2).sum()) > t.cover[i] / 2 for c in kids for d in kids if c < d)  # separated
+    assert len(t.kids) > 100
 
 
 def test_queries_with_sql(spark):
