@@ -7,9 +7,11 @@ probability among the bucket's training words, with one unknown word besides, so
 proper distribution over texts. Word counts are joined, not gathered: the HOT most frequent words
 are sent to the tasks (a fixed bound), the others are counted by document and joined by word.
 
-Training: a few Baum-Welch rounds on a bounded sample of whole documents set the states apart, then
-FULL rounds run over all training documents. Each task sums expected counts over its rows; Spark
-adds them by cell, so the driver gets states x classes numbers whatever the input.
+Training: texts are encoded as classes once, in PARTS parts by hash. The first epoch is stepwise
+(incremental) Baum-Welch: a part's expected counts are mixed into those of the parts before it and
+the model is renewed, so the states come apart within one reading of all training rows; then FULL
+rounds each take the expected counts of all of them. Each task sums counts over its rows; Spark adds
+them by cell, so the driver gets states x classes numbers whatever the input. No round samples.
 
 Defined results: null text counts as empty and has its end alone; rows of equal key are scored
 each; without training rows every token has base probability one.
@@ -27,17 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundspark.session import shared_path
+
 from .common import as_bytes, slices, words, written
 
 STATES = 8
 OWN, BUCKETS, HOT = 4096, 1024, 150_000
 LONGEST = 64  # bytes of a hot word
-SAMPLE, WARM, FULL = 400, 10, 2  # documents of the first rounds, their number, rounds over all rows
+PARTS, FULL = 8, 2  # parts of the first epoch, rounds over all training rows after it
+FADE = 0.4  # a part's weight in the first epoch is its place (from 1) to the power of minus this
 END = b"\n"  # no word has a line feed
 CLASSES = OWN + BUCKETS + 1
-TAKEN = 350_000  # tokens in the matrices at a time
-CACHED = 500_000
-WORK = ("text", "row", "n_tokens", "hits", "logs", "hmm", "odd", "more", "more_log", "n_known", "train_tokens", "base_score", "score")
+TAKEN = 150_000  # tokens in the matrices at a time
+CACHED = 200_000
+OUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def bucket(word: bytes) -> int:
@@ -170,7 +175,7 @@ def groups(sizes: np.ndarray) -> Iterator[np.ndarray]:
 def token_lists(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, Iterator[list[bytes]]]]:
     """Row ranges with the tokens of their texts, one text in memory at a time."""
     raw = as_bytes(batch.column(column))
-    for a, b in slices(np.array([len(x) if x else 0 for x in raw]), 16_000_000):
+    for a, b in slices(np.array([len(x) if x else 0 for x in raw]), 4_000_000):
         yield a, b, (words(x.lower() if x else None) + [END] for x in raw[a:b])
 
 
@@ -188,34 +193,67 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def expected(training: DataFrame, lexicon: list, hmm: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One Baum-Welch pass: expected counts over all rows, summed by cell in Spark."""
+def encoded(training: DataFrame, lexicon: list) -> DataFrame:
+    """part and cls (array of classes) of the training texts, written in one folder a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(lexicon)
+        for batch in batches:
+            for a, b, texts in token_lists(batch, 1):
+                cls = [known.cls[known.of(ws)].astype(np.int16) for ws in texts]
+                ends = np.cumsum([0, *map(len, cls)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cls)))], ["part", "cls"])
+
+    spark = training.sparkSession
+    path = shared_path(spark, "classes")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)).cast("int").alias("part")
+    training.select(part, "text").mapInArrow(run, "part int, cls array<smallint>").write.partitionBy("part").parquet(path)
+    return spark.read.schema("cls array<smallint>, part int").parquet(path)
+
+
+def expected(rows: DataFrame, hmm: Hmm) -> np.ndarray:
+    """Expected numbers of starts, moves and emissions over all rows (column cls), summed by cell in Spark, in one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
         for batch in batches:
-            for _, _, texts in token_lists(batch, 0):
-                cls = [known.cls[known.of(ws)] for ws in texts]
-                for rows in groups(np.array([len(c) for c in cls])):
-                    hmm.counts([cls[i] for i in rows], into)
+            column = batch.column(0)
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            flat, ends = column.flatten().to_numpy(), np.cumsum(sizes)
+            for at in groups(sizes):
+                hmm.counts([flat[ends[i] - sizes[i] : ends[i]] for i in at], into)
         cells = np.concatenate([x.ravel() for x in into])
         full = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(cells[full])], ["cell", "value"])
 
-    sums = training.select("text").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    sums = rows.select("cls").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     cells = np.zeros(STATES + STATES * STATES + STATES * CLASSES)
     cells[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
-    return cells[:STATES], cells[STATES : STATES + STATES**2].reshape(STATES, STATES), cells[STATES + STATES**2 :].reshape(STATES, CLASSES)
+    return cells
 
 
-def improved(counts: tuple[np.ndarray, np.ndarray, np.ndarray], share: np.ndarray) -> Hmm:
+def improved(cells: np.ndarray, share: np.ndarray) -> Hmm:
     """The M-step, with a little of the even or overall distribution mixed in."""
-    start, move, emit = counts
+    start, move, emit = cells[:STATES], cells[STATES : STATES + STATES**2].reshape(STATES, STATES), cells[STATES + STATES**2 :].reshape(STATES, CLASSES)
     start, move, emit = start + 0.1, move + 0.1, emit + 5.0 * share[None, :]
     return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
+def fitted(rows: DataFrame, share: np.ndarray) -> Hmm:
+    """Stepwise Baum-Welch over the parts, then FULL rounds over all rows. A part's counts weigh as if all parts were like it."""
+    hmm, cells, turn = Hmm.first(share), None, 0
+    for k in range(PARTS):
+        new = expected(rows.where(F.col("part") == k), hmm) * PARTS
+        if new.any():
+            turn += 1
+            weight = turn**-FADE
+            cells = new if cells is None else (1 - weight) * cells + weight * new
+            hmm = improved(cells, share)
+    for _ in range(FULL):
+        hmm = improved(expected(rows, hmm), share)
+    return hmm
+
+
 class Model:
     def __init__(self, hot: list[tuple[bytes, int]], hmm: Hmm, tokens: int, types: int, bucket_log: np.ndarray):
         self.hot, self.hmm, self.tokens, self.types, self.bucket_log = hot, hmm, tokens, types, bucket_log
@@ -242,21 +280,14 @@ def train(training: DataFrame) -> tuple[Model, DataFrame]:
     share[OWN : OWN + BUCKETS] = total
     share[-1] = docs
     share = (share + 0.5) / (share + 0.5).sum()
-    hmm = Hmm.first(share)
-    if docs:
-        drawn = training.select("text", F.xxhash64("doc_id", "text").alias("h"))
-        last = drawn.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # only hashes are sorted, not texts
-        sample = written(drawn.where(F.col("h") <= last).select("text").repartition(4))
-        for _ in range(WARM):
-            hmm = improved(expected(sample, hot, hmm), share)
-        for _ in range(FULL):
-            hmm = improved(expected(training, hot, hmm), share)
+    hmm = fitted(encoded(training, hot), share) if docs else Hmm.first(share)
     return Model(hot, hmm, n + docs, v + (docs > 0), np.log10(total + kinds + 1)), counts
 
 
 def score(documents: DataFrame, model: Model, counts: DataFrame, docs: int) -> DataFrame:
-    """documents' other columns with n_tokens, n_known, train_tokens, base_score and score of the column text. Columns named as in WORK are replaced or go."""
-    keep = [c for c in documents.columns if c not in WORK]
+    """documents' other columns with n_tokens, n_known, train_tokens, base_score and score of the column text, which goes. Columns named like results are replaced; all others stay."""
+    keep = [c for c in documents.columns if c != "text" and c not in OUT]
+    given = [f"c{i}" for i in range(len(keep))]  # so that no column of the user's has the name of a work column
     end_log = math.log10(docs + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,17 +315,18 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, docs: int) -> D
                 sizes = np.array([len(c) for c in cls], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:m], pa.array(sizes), pa.array(hits, pa.int64()), pa.array(log, pa.float64()), pa.array(out), pa.array(odd, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))],
-                    [*keep, "row", "n_tokens", "hits", "logs", "hmm", "odd"],
+                    [*given, "row", "n_tokens", "hits", "logs", "hmm", "odd"],
                 )
 
-    fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    rows = documents.select(*keep, F.monotonically_increasing_id().alias("row"), "text")
-    part = written(rows.mapInArrow(run, f"{fields}, row long, n_tokens long, hits long, logs double, hmm double, odd array<struct<word:binary,tf:bigint>>"))
+    fields = "".join(f"{g} {documents.schema[c].dataType.simpleString()}, " for g, c in zip(given, keep, strict=True))
+    rows = documents.select(*[F.col(f"`{c}`").alias(g) for g, c in zip(given, keep, strict=True)], F.monotonically_increasing_id().alias("row"), "text")
+    part = written(rows.mapInArrow(run, f"{fields}row long, n_tokens long, hits long, logs double, hmm double, odd array<struct<word:binary,tf:bigint>>"))
     odd = part.select("row", F.explode("odd").alias("o")).select("row", "o.*")
     rare = odd.join(counts, "word").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more_log"))
     all_ = part.drop("odd").join(rare, "row", "left").na.fill({"more": 0, "more_log": 0.0})
     floor = math.log10(model.tokens + model.types + 1)
-    return all_.select(*keep, "n_tokens", (F.col("hits") + F.col("more")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("logs") + F.col("more_log") - F.col("n_tokens") * floor).alias("base_score"), (F.col("hmm") + F.col("more_log")).alias("score"))
+    results = {"n_tokens": F.col("n_tokens"), "n_known": F.col("hits") + F.col("more"), "train_tokens": F.lit(model.tokens).cast("long"), "base_score": F.col("logs") + F.col("more_log") - F.col("n_tokens") * floor, "score": F.col("hmm") + F.col("more_log")}
+    return all_.select(*[F.col(g).alias(c) for g, c in zip(given, keep, strict=True)], *[v.alias(k) for k, v in results.items()])
 
 
 def held_out(column: str = "doc_id") -> F.Column:

@@ -224,10 +224,36 @@ def test_baum_welch_gains():
         scores.append(h.likelihood(seqs).sum())
         into = np.zeros(hmm_lm.STATES), np.zeros((hmm_lm.STATES,) * 2), np.zeros((hmm_lm.STATES, hmm_lm.CLASSES))
         h.counts(seqs, into)
-        h = hmm_lm.improved(into, share)
+        h = hmm_lm.improved(np.concatenate([x.ravel() for x in into]), share)
     assert scores == sorted(scores)
 
 
+def test_hmm_learns_what_follows_what(spark):
+    """Two registers that keep to themselves: held-out texts are likelier under the model than under word shares alone. Scores are computed again from the model."""
+    r = random.Random(21)
+    texts_ = {i: " ".join(f"{'ab'[i % 2]}{int(r.paretovariate(0.8)) % 60}" for _ in range(r.randint(5, 60))) for i in range(300)}
+    df = spark.createDataFrame(list(texts_.items()), "doc_id long, text string").repartition(3)
+    got = hmm_lm.scored(df).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.count("*").alias("n")).first()
+    assert got.n > 20 and got.s > got.b + 0.1 * abs(got.b)
+    training = df.where(~hmm_lm.held_out())
+    model, counts = hmm_lm.train(training)
+    rows = hmm_lm.score(df, model, counts, training.count()).collect()
+    known, place = dict(model.hot), {w: i for i, (w, _) in enumerate(model.hot[: hmm_lm.OWN])}
+    for x in rows[::7]:
+        ws = [*tokens(texts_[x.doc_id], True), b"\n"]
+        cls = np.array([hmm_lm.CLASSES - 1 if w == b"\n" else place[w] if w in place else hmm_lm.bucket(w) for w in ws])
+        want = model.hmm.likelihood([cls])[0] + sum(math.log10(known.get(w, 0) + 1) - model.bucket_log[c - hmm_lm.OWN] for w, c in zip(ws, cls, strict=True) if hmm_lm.OWN <= c < hmm_lm.CLASSES - 1)
+        assert x.score == pytest.approx(want, rel=1e-9)
+
+
+def test_hmm_keeps_columns_with_the_names_of_work_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6.0, 7, "odd", 1.0), (1, "other text", None, None, None, None, None), (None, None, 0, 0.0, 0, "", 0.0)], "doc_id long, text string, row int, more double, hits int, odd string, score double")
+    model, counts = hmm_lm.train(df.select("doc_id", "text"))
+    out = hmm_lm.score(df, model, counts, 3)
+    assert out.columns == ["doc_id", "row", "more", "hits", "odd", *hmm_lm.OUT] and out.count() == 3
+    assert sorted((x.doc_id or 0, x.odd or "", x.n_tokens) for x in out.collect()) == [(0, "", 1), (1, "", 3), (1, "odd", 3)]
+
+
 def test_bucket_of_spark_and_python_agree(spark):
     from pyspark.sql import functions as F
 
