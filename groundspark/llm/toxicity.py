@@ -9,6 +9,11 @@ A hit inside quotation marks or near a word of reporting counts as quoted. The e
 document is three sums (direct, quoted, misspelt), and a logistic model is fitted to the counts of
 all labelled rows in the cells of those sums.
 
+A lexicon of TERMS terms or fewer, with CLEAN known clean words near them or fewer, is sent to the
+tasks. A larger one stays a table: texts give their distinct words with how often each stands quoted
+or not, the words are matched against the trie in shares of TERMS terms, and sums come from a join.
+Both ways give the same sums; nothing is cut off.
+
 Defined results: null and empty texts have no evidence and get the model's base score; labels that
 are null are no labels; of several labels of a document the highest counts; with no labelled row
 of one of the two classes all scores are the share of toxic labels (0 without any label).
@@ -18,7 +23,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +34,13 @@ from pyspark.sql import types as T
 
 from .common import free_name, short_batches, written
 
-TERMS = 20_000  # most terms of the lexicon, by evidence: the bound of what is broadcast
+TERMS = 20_000  # terms that are sent to tasks at a time; a larger lexicon is joined
+CLEAN = 100_000  # known clean words near a term that are sent to tasks at most; more are joined
 PREFIX = 4  # letters of a prefix term
+SHORT = 4  # letters that a misspelt word has at least
 SHARE = 0.5  # toxic share of documents, then of contexts, that a term has at least
 SURE = 0.95  # toxic share from which a prefix is a term, and a term may be misspelt
-STEP, CELLS = 0.5, 25  # width and number of the cells of each evidence sum
+STEP, EVEN = 0.5, 24  # width of the cells of each evidence sum, and number of cells of that width: wider ones follow
 WINDOW = 8  # words each side in which a word of reporting makes a hit a quotation
 CACHED = 200_000  # words remembered by a Python worker
 
@@ -152,6 +160,13 @@ def _contexts(rows: DataFrame, terms: set[str]) -> DataFrame:
     return counts.mapInArrow(named, "term string, toxic long, clean long")
 
 
+def _shares(df: DataFrame, column: str, most: int) -> Iterator[list]:
+    """Rows of df with a term in its column, in lists of about most, dealt by hash: one list reaches the driver at a time."""
+    n = max(1, -(-df.count() // most))
+    share = F.pmod(F.xxhash64(column), F.lit(n))
+    return (df.where(share == i).collect() for i in range(n))
+
+
 def _evidence(toxic: F.Column, clean: F.Column, base: float) -> F.Column:
     """Log-likelihood gain over the base rate; below zero where the share is below it or SHARE."""
     share = toxic / (toxic + clean)
@@ -159,8 +174,24 @@ def _evidence(toxic: F.Column, clean: F.Column, base: float) -> F.Column:
     return F.when((share > base) & (share >= SHARE), gain).otherwise(-1.0)
 
 
+def raw_words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def quoted_places(text: str, plain: list[str]) -> Callable[[int], bool]:
+    """Tells of the i-th word whether it stands in quotation marks or near a word of reporting."""
+    marks = [i for i, c in enumerate(text) if c in QUOTES] if any(q in text for q in QUOTES) else []
+    places = [m.start() for m in WORD.finditer(text.lower())] if marks else []
+
+    def quoted(i: int) -> bool:
+        inside = bool(marks) and bisect_left(marks, places[i]) % 2 == 1
+        return inside or not REPORTING.isdisjoint(plain[max(0, i - WINDOW) : i + WINDOW + 1])
+
+    return quoted
+
+
 class Model:
-    """Term weights, clean neighbours of terms, and the logistic model; sent to tasks as it is (bounded by TERMS)."""
+    """Term weights, terms that may be misspelt, clean neighbours of those, and the logistic model; sent to tasks as it is (bounded by TERMS and CLEAN)."""
 
     def __init__(self, weights: dict[str, float], sure: set[str], clean: set[str], coef: list[float]):
         self.weights, self.sure, self.clean, self.coef = weights, sure, clean, coef
@@ -181,7 +212,7 @@ class Model:
         self.seen.add(word)
         if w := self.weights.get(word) or (len(word) > PREFIX and self.weights.get(word[:PREFIX] + "*")):
             self.hits[word] = (w, 0)
-        elif len(word) >= PREFIX and word not in self.clean and (near := self.trie.near(word)):
+        elif len(word) >= SHORT and word not in self.clean and (near := self.trie.near(word)):
             self.hits[word] = (self.weights[near], 1)
 
     def sums(self, text: str | None) -> tuple[float, float, float]:
@@ -189,8 +220,7 @@ class Model:
         self.prepare()
         if not text:
             return 0.0, 0.0, 0.0
-        raw = WORD.findall(text.lower())
-        plain = [terms_of(w) for w in raw]
+        plain = [terms_of(w) for w in raw_words(text)]
         new = set(plain) - self.seen
         if len(self.seen) + len(new) > CACHED:
             self.seen, self.hits = set(), {}
@@ -200,13 +230,10 @@ class Model:
         if self.hits.keys().isdisjoint(plain):
             return 0.0, 0.0, 0.0
         direct = quoted = misspelt = 0.0
-        marks = [i for i, c in enumerate(text) if c in QUOTES] if any(q in text for q in QUOTES) else []
-        places = [m.start() for m in WORD.finditer(text.lower())] if marks else []
+        in_quotes = quoted_places(text, plain)
         for i, w in enumerate(plain):
             if hit := self.hits.get(w):
-                near = plain[max(0, i - WINDOW) : i + WINDOW + 1]
-                inside = bool(marks) and sum(m < places[i] for m in marks) % 2 == 1
-                if inside or not REPORTING.isdisjoint(near):
+                if in_quotes(i):
                     quoted += hit[0]
                 elif hit[1]:
                     misspelt += hit[0]
@@ -215,24 +242,88 @@ class Model:
         return direct, quoted, misspelt
 
 
-def cell(x: float) -> int:
-    return min(CELLS - 1, math.ceil(x / STEP))
+class LargeModel:
+    """The same with tables: terms (term, weight, sure) and counts (term, clean)."""
+
+    def __init__(self, terms: DataFrame, counts: DataFrame, coef: list[float]):
+        self.terms, self.counts, self.coef = terms, counts, coef
+
+    def hits(self, words: DataFrame) -> DataFrame:
+        """word, weight, misspelt (0 or 1) of the distinct words that are terms or near one."""
+        plain = self.terms.select("term", "weight")
+        exact = words.join(plain.withColumnRenamed("term", "word"), "word").select("word", "weight", F.lit(0).alias("misspelt"))
+        rest = words.join(exact, "word", "left_anti")
+        stem = F.concat(F.substring("word", 1, PREFIX), F.lit("*"))
+        stems = rest.where(F.length("word") > PREFIX).withColumn("term", stem).join(plain, "term").select("word", "weight", F.lit(0).alias("misspelt"))
+        rest = written(rest.join(stems, "word", "left_anti").where(F.length("word") >= SHORT))
+        found = None
+        for share in _shares(self.terms.where("sure").select("term"), "term", TERMS):
+            near = _near(rest, {r.term for r in share})
+            found = near if found is None else found.unionByName(near)
+        least = found.groupBy("word").agg(F.min("term").alias("term"))
+        least = least.join(self.counts.where("clean > 0").select(F.col("term").alias("word")), "word", "left_anti")
+        return exact.unionByName(stems).unionByName(least.join(plain, "term").select("word", "weight", F.lit(1).alias("misspelt")))
+
+
+def _near(words: DataFrame, terms: set[str]) -> DataFrame:
+    """word and the first term within one edit, of the words that have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(sorted(terms))
+        for batch in batches:
+            pairs = [(w, t) for w in batch.column(0).to_pylist() if (t := trie.near(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([t for _, t in pairs], pa.string())], ["word", "term"])
+
+    return words.select("word").mapInArrow(run, "word string, term string")
 
 
-def _with_cells(df: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
-    """df with the cells (direct, quoted, misspelt) of its evidence, without its text unless asked for."""
+def _with_sums(df: DataFrame, model: Model | LargeModel, with_text: bool = False) -> DataFrame:
+    """df with the evidence direct, quoted and misspelt, without its text unless asked for."""
     names = ["direct", "quoted", "misspelt"]
     keep = [c for c in df.columns if (with_text or c != "text") and c not in names]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.IntegerType()) for c in names])
+    if isinstance(model, LargeModel):
+        return _joined_sums(df, model, keep)
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.array([[cell(x) for x in model.sums(t)] for t in batch.column(len(keep)).to_pylist()], np.int32).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(cells[:, k]) for k in range(3))], keep + names)
+            sums = np.array([model.sums(t) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(sums[:, k]) for k in range(3))], keep + names)
 
     return df.select(*keep, F.col("text").alias(free_name(df, "__text"))).mapInArrow(run, schema)
 
 
+def _joined_sums(df: DataFrame, model: LargeModel, keep: list[str]) -> DataFrame:
+    """The same by joins: words of a row, how often each stands quoted and plainly, their weights, and the sums."""
+    row = free_name(df, "__row")
+    df = written(df.withColumn(row, F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                plain = [terms_of(w) for w in raw_words(text)]
+                quoted = quoted_places(text, plain)
+                counts: dict[str, list[int]] = {}
+                for i, w in enumerate(plain):
+                    counts.setdefault(w, [0, 0])[quoted(i)] += 1
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(counts), pa.int64()), pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], ["row", "word", "plain", "quoted"])
+
+    words = df.select(F.col(row), "text").mapInArrow(run, "row long, word string, plain long, quoted long")
+    hits = written(model.hits(words.select("word").distinct()))
+    total = lambda count, when: F.sum(F.when(when, F.col("weight") * F.col(count)).otherwise(0.0))
+    sums = words.join(hits, "word").groupBy(F.col("row").alias(row)).agg(total("plain", F.col("misspelt") == 0).alias("direct"), total("quoted", F.lit(True)).alias("quoted"), total("plain", F.col("misspelt") == 1).alias("misspelt"))
+    names = ["direct", "quoted", "misspelt"]
+    return df.select(row, *keep).join(sums, row, "left").select(*keep, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    """df with its evidence as cells."""
+    n = lambda c: F.col(c) / STEP
+    even = lambda c: F.when(n(c) <= EVEN, F.ceil(n(c))).otherwise(F.ceil(EVEN * (1 + F.log(F.greatest(n(c), F.lit(1.0)) / EVEN)))).cast("int")
+    return df.withColumns({c: even(c) for c in ("direct", "quoted", "misspelt")})
+
+
 def _features(direct, quoted, misspelt) -> list:
     return [1.0, direct * STEP, quoted * STEP, misspelt * STEP, 1.0 * (direct > 0)]
 
@@ -253,8 +344,8 @@ def _fit(cells: list, steps: int = 50) -> list[float]:
     return beta.tolist()
 
 
-def train(rows: DataFrame, most: int = TERMS) -> Model:
-    """rows: doc_id, text, toxic (0 or 1) of the labelled documents."""
+def train(rows: DataFrame, most: int = TERMS, most_clean: int = CLEAN) -> Model | LargeModel:
+    """rows: doc_id, text, toxic (0 or 1) of the labelled documents. most, most_clean: see TERMS and CLEAN."""
     short_batches(rows.sparkSession)
     rows = written(rows)
     n, toxic = rows.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
@@ -263,30 +354,30 @@ def train(rows: DataFrame, most: int = TERMS) -> Model:
         return Model({}, set(), set(), [30.0 if base == 1 else -30.0, 0.0, 0.0, 0.0, 0.0])
     counts = written(_vocabulary(rows))
     tried = math.log(max(2, counts.count()))
-    gain = lambda df: df.withColumn("gain", _evidence(F.col("toxic"), F.col("clean"), base)).where(F.col("gain") > tried / 2)
-    pick = lambda df, k: df.orderBy(F.desc("gain"), "term").limit(k).collect()
-    candidates = {r.term for r in pick(gain(counts), 2 * most)}
-    scored = _contexts(rows, candidates).withColumn("gain", _evidence(F.col("toxic"), F.col("clean"), base)).where(F.col("gain") > tried)
-    kept = [r for r in pick(scored, most) if not r.term.endswith("*") or r.toxic >= SURE * (r.toxic + r.clean)]
-    weights = {r.term: min(6.0, math.log((r.toxic + 0.5) / (r.clean + 0.5) * (1 - base) / base)) for r in kept}
-    sure = {r.term for r in kept if not r.term.endswith("*") and len(r.term) > PREFIX and r.toxic >= SURE * (r.toxic + r.clean)}
-
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(sorted(sure))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([t for t in batch.column(0).to_pylist() if trie.near(t)], pa.string())], ["term"])
-
-    near = counts.where("clean > 0 and term not like '%*'").select("term").mapInArrow(variants, "term string")
-    model = Model(weights, sure, {r.term for r in near.collect()}, [])
-    cells = _with_cells(rows.select("toxic", "text"), model).groupBy("direct", "quoted", "misspelt").agg(F.count("*").alias("n"), F.sum("toxic").alias("y"))
+    gain = lambda df, least: df.where(_evidence(F.col("toxic"), F.col("clean"), base) > least)
+    scored = None
+    for share in _shares(gain(counts, tried / 2).select("term"), "term", most):
+        found = _contexts(rows, {r.term for r in share})
+        scored = found if scored is None else scored.unionByName(found)
+    always = F.col("toxic") >= SURE * (F.col("toxic") + F.col("clean"))
+    stem = F.col("term").endswith("*")
+    weight = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * ((1 - base) / base))
+    terms = written(gain(scored, tried).where(~stem | always).select("term", weight.alias("weight"), (~stem & always & (F.length("term") > SHORT)).alias("sure")))
+    model = LargeModel(terms, counts, [])
+    if terms.count() <= most:
+        sure = {r.term for r in terms.where("sure").collect()}
+        near = written(_near(counts.where(F.col("clean") > 0).where(~stem).select(F.col("term").alias("word")), sure).select("word"))
+        if near.count() <= most_clean:
+            model = Model({r.term: r.weight for r in terms.collect()}, sure, {r.word for r in near.collect()}, [])
+    cells = _cells(_with_sums(rows.select("toxic", "text"), model)).groupBy("direct", "quoted", "misspelt").agg(F.count("*").alias("n"), F.sum("toxic").alias("y"))
     model.coef = _fit(cells.collect())
     return model
 
 
-def score(df: DataFrame, model: Model, out: str = "score", threshold: float = 0.3, with_text: bool = False) -> DataFrame:
+def score(df: DataFrame, model: Model | LargeModel, out: str = "score", threshold: float = 0.3, with_text: bool = False) -> DataFrame:
     """df with score in 0 .. 1 and predicted, and the cells direct, quoted and misspelt; columns of these names are replaced. Its column text goes unless asked for."""
     short_batches(df.sparkSession)
-    found = _with_cells(df, model, with_text)
+    found = _cells(_with_sums(df, model, with_text))
     x = _features(F.col("direct"), F.col("quoted"), F.col("misspelt"))
     x[4] = (F.col("direct") > 0).cast("double")
     z = sum((F.lit(b) * v for b, v in zip(model.coef, x, strict=True)), F.lit(0.0))

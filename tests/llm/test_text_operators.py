@@ -304,6 +304,41 @@ def test_toxic_contexts_are_counted_once(spark):
     assert toxicity._contexts(rows, set()).count() == 0
 
 
+def test_large_lexicons_give_the_same_scores(spark):
+    rows, labels = toxic_corpus()
+    rows += [None, "", "you brumbler and umbskull grumbler", 'they said "blockhead" and blockhed', "x " + "blockhead numbskul " * 200]
+    docs_ = table(spark, rows)
+    labels_ = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    training = toxicity.train_rows(docs_, labels_)
+    small, large = toxicity.train(training), toxicity.train(training, 2)
+    joined = toxicity.train(training, most_clean=-1)
+    assert isinstance(small, toxicity.Model) and isinstance(large, toxicity.LargeModel) and isinstance(joined, toxicity.LargeModel)
+    assert large.coef == pytest.approx(small.coef) == joined.coef
+    got = [{r.doc_id: (round(r.score, 9), r.direct, r.quoted, r.misspelt) for r in toxicity.score(docs_.select("doc_id", "text"), m).collect()} for m in (small, large, joined)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert got[0][402][3] > 0 and got[0][403][2] > 0 and got[0][404][1] > 24
+
+
+def test_automaton_against_levenshtein_loops():
+    r = random.Random(31)
+    letters = lambda k: "".join(r.choice("abcde") for _ in range(k))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    terms = sorted({letters(r.randint(2, 9)) for _ in range(60)})
+    trie = toxicity.Trie(terms)
+    for _ in range(1500):
+        w = letters(r.randint(0, 9)) if r.random() < 0.4 else (lambda t, i: t[:i] + letters(r.randint(0, 1)) + t[i + r.randint(0, 1) :])(t := r.choice(terms), r.randint(0, len(t)))
+        near = [t for t in terms if distance(w, t) <= 1]
+        assert trie.near(w) == (w if w in near else near[0] if near else None), w
+
+
 def test_automaton_finds_single_edits():
     trie = toxicity.Trie(["blockhead", "numbskull"])
     near = {"blockhead", "blockhed", "blockheadd", "blokhead", "blackhead", "lockhead", "numbskul"}
