@@ -1,8 +1,9 @@
 """Training-corpus pipeline: toxicity, near duplicates, benchmark leaks, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
-the next stage's docs. All but the last return the columns of documents. Documents without doc_id
-can't be told apart by it: they pass the near-duplicate and benchmark stages as they are.
+the next stage's docs. All but the last return the columns of documents. Decisions are on rows, not
+on ids: rows of one doc_id, or of none, are judged each by its own text. Of rows that agree in all
+columns the near-duplicate stage keeps one.
 """
 
 from __future__ import annotations
@@ -27,16 +28,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of every group that SimHash links connect."""
-    known = docs.where("doc_id is not null")
-    first = simhash.near_duplicates(known).where("doc_id = component_id").select("doc_id").distinct()
-    return known.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """One row of every group that SimHash links connect: that of the smallest doc_id (rows without one come last), then of the smallest hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("loose"), "doc_id", F.xxhash64(*COLUMNS).alias("h1"), F.xxhash64(F.lit(1), *COLUMNS).alias("h2"))
+    keyed = docs.select(*COLUMNS, order.alias("place"))
+    first = simhash.near_duplicates(keyed, "place").where("place = component_id").select("place").distinct()
+    return keyed.join(first, "place", "left_semi").dropDuplicates(["place"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose text holds no benchmark item."""
+    keyed = docs.select(*COLUMNS, F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).alias("place"))
+    leaks = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), "place").select("place").distinct()
+    return keyed.join(leaks, "place", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
