@@ -283,7 +283,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     for x in levels[1:]:
         nodes = nodes.unionByName(x)
     groups = groups.join(nodes.select(F.col("node").alias("g"), F.col("centre").alias("c"), F.col("radius").alias("r")), "g")
-    pairs = groups.withColumn("node", F.lit(0).cast("long"))
+    pairs = written(groups.withColumn("node", F.lit(0).cast("long")))  # written, so that the first join is one by equality
     for level in levels[1:]:
         kids = level.select(F.col("parent").alias("node"), F.col("node").alias("kid"), "centre", "radius")
         pairs = pairs.join(kids, "node", "left").where(F.col("kid").isNull() | (_bound(F.col("c"), F.col("r"), F.col("centre"), F.col("radius")) >= F.col("worst")))

@@ -226,6 +226,20 @@ def test_warc_files_are_read_back(spark, tmp_path):
     assert [bytes(r.payload) for r in got if r.file.endswith("gz")] == [b"ab", b"ab"]
 
 
+def test_pipeline_judges_rows_of_one_id_by_their_texts(spark, tmp_path):
+    r = random.Random(13)
+    leak, a, b = words(r, 40, 10_000), words(r, 100), words(r, 100)
+    rows = [(1, a), (1, b), (1, "x " + leak), (2, a), (2, b), (3, a), (None, a), (None, words(r, 50)), (None, leak), (4, words(r, 30)), (4, words(r, 30))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows + rows[:1]], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((str(x.doc_id), x.text) for x in df.collect())
+    kept = texts(stages["near_duplicates"](spark, docs, str(tmp_path)))
+    assert kept == sorted((str(i), t) for i, t in [rows[0], rows[1], rows[2], *rows[7:]])
+    clean = texts(stages["decontamination"](spark, docs, str(tmp_path)))
+    assert clean == sorted((str(i), t) for i, t in rows + rows[:1] if leak not in t)
+
+
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(12)
     leak = words(r, 40, 10_000)
