@@ -235,7 +235,7 @@ def test_pipeline_judges_rows_of_one_id_by_their_texts(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     texts = lambda df: sorted((str(x.doc_id), x.text) for x in df.collect())
     kept = texts(stages["near_duplicates"](spark, docs, str(tmp_path)))
-    assert kept == sorted((str(i), t) for i, t in [rows[0], rows[1], rows[2], *rows[7:]])
+    assert kept == sorted((str(i), t) for i, t in [rows[0], rows[1], rows[2], rows[7], rows[9], rows[10]])  # the leak without an id is close to that of document 1
     clean = texts(stages["decontamination"](spark, docs, str(tmp_path)))
     assert clean == sorted((str(i), t) for i, t in rows + rows[:1] if leak not in t)
 
