@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 #: Allowed speakers, stop labels, special tokens and word forms of the data model.
 SPEAKERS = ["M", "Mom", "mom", "m", "mother", "Mother", "papa", "the mom"]
 SPECIAL_TOKENS = ["<pad>", "<unk>", "<sos>", "<eos>"]
-BAD_LABELS = "a an the and or of to in on for with from by at is it this that these those one two three four five six seven eight nine ten old new young thing stuff piece parking".split()
+COCO_STOP = "a an the and or of to in on for with from by at is it this that these those one two three four five six seven eight nine ten old new young thing stuff piece parking".split()
+BAD_LABELS = "a an the and or of to in on for with from by at is it this that these those one two three four five six seven eight nine ten thing stuff piece".split()
+NAME_STOP = "a an the and or of to in on for with from by at is it this that these those one two three four five six seven eight nine ten thing stuff piece object old new young".split()
+TOKEN_STOP = "a an the and or of to in on for with from by at is it this that these those one two three four five six seven eight nine ten".split()
+CLASS_STOP = "a an the and or of to in on for with from by at one two three four five six seven eight nine ten".split()
 SHORT_LABELS = ["tv"]
 ALIASES = {
     "feet": "foot", "toes": "foot", "toe": "foot",
@@ -119,10 +123,10 @@ def is_good_label(c: str | Column, bad: list[str] = BAD_LABELS, allow_short: lis
     return (w != "") & ~w.rlike("^([a-z]|[0-9]+)$") & ((F.length(w) >= 3) | w.isin(allow_short)) & ~w.isin(bad)
 
 
-def is_reasonable_token(c: str | Column, stop: list[str] = BAD_LABELS) -> Column:
-    """Tokens that can be concepts: two small letters or more with inner marks, no special token, no stop word."""
-    w = normalize_name(c)
-    return ~w.rlike("^<.*>$") & w.rlike("^[a-z][a-z '-]+$") & (F.length(w) >= 3) & ~w.isin(stop)
+def is_reasonable_token(c: str | Column, stop: list[str] = TOKEN_STOP) -> Column:
+    """Tokens that can be concepts: small letters, digits, underscores and blanks, three or more or tv, not digits alone, no special token, no stop word."""
+    w = F.trim(F.lower(col(c)))
+    return w.rlike("^[a-z0-9_ ]+$") & ~w.rlike("^[0-9]+$") & ((F.length(w) >= 3) | w.isin(SHORT_LABELS)) & ~w.isin(stop)
 
 
 def sanitize_label(c: str | Column) -> Column:
@@ -169,6 +173,14 @@ def frame_name(c: str | Column) -> Column:
     return F.struct(F.when(ok, F.regexp_extract(stem, pattern, 1)).otherwise(stem).alias("clip"), F.when(ok, F.regexp_extract(stem, pattern, 2).try_cast("int")).otherwise(0).alias("utt"), F.when(ok, F.regexp_extract(stem, pattern, 3).try_cast("int")).otherwise(0).alias("frm"))
 
 
+def frame_place(c: str | Column, video: str | Column, transcript: str | Column) -> Column:
+    """frame_name, whose clip is the stem of the video, else of the transcript, where the name has another form."""
+    name = frame_name(c)
+    stem = lambda x: F.when(F.length(col(x)) > 0, F.regexp_replace(F.regexp_replace(col(x), "^.*/", ""), r"(?<=.)\.[^.]*$", ""))
+    plain = ~F.regexp_replace(col(c), r"\.[^.]*$", "").rlike(r"^(.+)_([0-9]+)_([0-9]+)$")
+    return F.struct(F.when(plain, F.coalesce(stem(video), stem(transcript), name["clip"])).otherwise(name["clip"]).alias("clip"), name["utt"].alias("utt"), name["frm"].alias("frm"))
+
+
 def frame_index(timestamps: Column, utt: Column, frm: Column, fps: float = 5.0) -> Column:
     """floor(timestamp * fps + 1e-6) by the frame's own number, else utt * 1000 + frm."""
     at = F.get(timestamps, frm)

@@ -51,19 +51,11 @@ def map_labels(raw: DataFrame, vocab: DataFrame, overrides: dict[str, str] | Non
     only_exact = named(F.array(label), "exact")
     all_ = F.when(over.isNotNull(), named(over, "override")).when(F.coalesce(blocked, F.lit(False)), only_exact).otherwise(tail)
     rows = raw.select("raw_label").distinct().withColumn("missed", F.when(over.isNotNull(), "override_oov_or_bad").when(F.coalesce(blocked, F.lit(False)), "blocked_default").otherwise("no_match"))
-    cands = rows.select("raw_label", F.posexplode(all_).alias("rank", "c")).select("raw_label", "rank", "c.*").where(X.is_good_label("cand"))
+    cands = rows.select("raw_label", F.posexplode(all_).alias("rank", "c")).select("raw_label", "rank", "c.*").where(X.is_good_label("cand", X.COCO_STOP))
     hits = cands.join(vocab.select(F.col("token").alias("cand")).distinct(), "cand", "left_semi").groupBy("raw_label").agg(F.min_by(F.struct("cand", "why"), "rank").alias("best"))
     return rows.join(hits, "raw_label", "left").select("raw_label", F.col("best.cand").alias("mapped"), F.coalesce("best.why", "missed").alias("reason"))
 
 
-def map_named_sets(names: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """The first of several names (key, names: array in order) that maps; phrase variants of each name before its head."""
-    one = names.select(key, F.posexplode("names").alias("i", "raw_label"))
-    mapped = one.join(map_labels(one, vocab, table={}), "raw_label").where("mapped is not null")
-    best = mapped.groupBy(key).agg(F.min_by(F.struct("mapped", "reason"), "i").alias("b"))
-    return names.select(key).join(best, key, "left").select(key, F.col("b.mapped").alias("mapped"), F.coalesce("b.reason", F.lit("no_match")).alias("reason"))
-
-
 def mapping_report(mapped: DataFrame) -> DataFrame:
     """H2: reason, n, exact, mapped, dropped."""
     same = F.col("mapped") == X.normalize_name("raw_label")
@@ -149,6 +141,36 @@ def forced_choice(trials: DataFrame, vecs: DataFrame, queries: DataFrame, alpha:
     return s.groupBy("trial_num", F.col("label").alias("class")).agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "g"))), lambda x: x["g"]).alias("scores"))
 
 
+LOWEST = -1e9  # object score of an image without candidates
+
+
+def forced_choice_predictions(trials: DataFrame, frames: DataFrame, queries: DataFrame, objects: DataFrame | None = None, kind: str = "image", mode: str = "alpha", alpha: float = 0.5) -> DataFrame:
+    """trial_num, class, s_global, s_object and s_combined (a score a slot, the target first), and the first largest slot of each (pred_global, pred_object, pred_combined).
+
+    kind image: the category's text against the images of target and foils; kind text: the target's image against the texts of all
+    categories. frames: instance_id, z of each frame of an image's clip, of which the best counts. queries: label, t. objects:
+    instance_id, z, is_null of candidates; the best one that isn't null counts, LOWEST without any.
+    """
+    if kind == "image":
+        slots = trials.select("trial_num", F.col("target_category").alias("class"), F.col("target_category").alias("label"), F.posexplode(F.concat(F.array("target_id"), "foil_ids")).alias("slot", "instance_id"))
+    else:
+        slots = trials.select("trial_num", F.col("target_category").alias("class"), F.col("target_id").alias("instance_id"), F.posexplode(F.concat(F.array("target_category"), "foil_categories")).alias("slot", "label"))
+    asked = slots.join(queries, "label")
+    best = lambda vecs, name: asked.join(vecs, "instance_id").groupBy("trial_num", "slot").agg(F.max(V.cosine("z", "t")).alias(name))
+    s = slots.join(best(frames.select("instance_id", "z"), "g"), ["trial_num", "slot"])
+    if objects is not None:
+        s = s.join(best(objects.where("not is_null").select("instance_id", "z"), "o"), ["trial_num", "slot"], "left").withColumn("o", F.coalesce("o", F.lit(LOWEST)))
+    else:
+        s = s.withColumn("o", F.lit(None).cast("double"))
+    s = s.withColumn("c", V.combine_scores(F.col("g"), F.col("o"), mode, alpha))
+    rows = s.groupBy("trial_num", "class").agg(F.sort_array(F.collect_list(F.struct("slot", "g", "o", "c"))).alias("x"))
+    lists = {"global": "g", "object": "o", "combined": "c"}
+    out = rows.select("trial_num", "class", *[F.transform("x", lambda v: v[f]).alias(f"s_{n}") for n, f in lists.items()])  # noqa: B023
+    if objects is None:
+        out = out.withColumn("s_object", F.lit(None).cast("array<double>"))
+    return out.withColumns({f"pred_{n}": V.argmax(f"s_{n}") for n in lists})
+
+
 def build_clips(anchors: DataFrame, frames: DataFrame, m: int = 5, stride: int = 1) -> DataFrame:
     """M frames round an anchor's place in its clip (clip, frame_num), steps of stride, clamped to the clip; without frames the anchor is repeated."""
     clip = frames.groupBy("clip").agg(F.sort_array(F.collect_list("frame_num")).alias("fs"))
@@ -209,9 +231,10 @@ def concept_set(sources: list[DataFrame], exclude: DataFrame, most: int = 50_000
     """Concept, source: cleaned names of ordered sources (column name), excluded ones taken out, the first source wins."""
     rows = None
     for i, s in enumerate(sources):
-        part = s.select(X.clean_phrase("name").alias("concept"), F.lit(i).alias("source"))
+        usable = s.where(X.is_reasonable_token("name")) if i else s  # names of the first source are taken as they are
+        part = usable.select(X.clean_phrase("name").alias("concept"), F.lit(i).alias("source")).where("concept <> ''")
         rows = part if rows is None else rows.unionByName(part)
-    kept = rows.where(X.is_good_label("concept")).join(exclude.select(X.clean_phrase("name").alias("concept")), "concept", "left_anti")
+    kept = rows.join(exclude.select(X.clean_phrase("name").alias("concept")), "concept", "left_anti")
     return kept.groupBy("concept").agg(F.min("source").alias("source")).orderBy("source", "concept").limit(most)
 
 

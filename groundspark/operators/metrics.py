@@ -18,25 +18,29 @@ def histogram(df: DataFrame, value: Column) -> DataFrame:
     return all_.join(counts, "size", "left").select("size", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def ranked_sums(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """value with rank i from the least and running sum, of small tables of counts (one row a concept), by key."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    return counts.withColumn("i", F.row_number().over(w)).withColumn("running", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
 def gini(counts: DataFrame, value: str, *keys: str) -> DataFrame:
-    """D3: Gini coefficient of the counts of each key (all counts share a key where none is given); zero where the sum is zero."""
-    rows = ranked_sums(counts.withColumn("__all", F.lit(1)), value, list(keys) or ["__all"])
-    n, s = F.count("*"), F.sum(value)
-    g = F.when(s > 0, (2 * F.sum(F.col("i") * F.col(value)) / (n * s)) - (n + 1) / n).otherwise(0.0)
-    return rows.groupBy(*(list(keys) or ["__all"])).agg(g.alias("gini")).drop("__all")
+    """D3: Gini coefficient of the counts of each key (all counts share a key where none is given); zero where the sum is zero.
+
+    Equal counts are one row with their number, so a window holds distinct counts only, however many concepts there are.
+    """
+    keys = list(keys) or ["__all"]
+    d = counts.withColumn("__all", F.lit(1)).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    ranks = F.col("m") * F.col("before") + F.col("m") * (F.col("m") + 1) / 2  # sum of the ranks of equal counts
+    n, s = F.sum("m"), F.sum(F.col("v") * F.col("m"))
+    g = F.when(s > 0, (2 * F.sum(ranks * F.col("v")) / (n * s)) - (n + 1) / n).otherwise(0.0)
+    return d.withColumn("before", before).groupBy(*keys).agg(g.alias("gini")).drop("__all")
 
 
 def lorenz(counts: DataFrame, value: str) -> DataFrame:
-    """D3: n + 1 points (x, y) of the Lorenz curve."""
-    rows = ranked_sums(counts.withColumn("__all", F.lit(1)), value, ["__all"])
+    """D3: n + 1 points (x, y) of the Lorenz curve. Only distinct counts are put in order; each point follows from its place among equals."""
+    d = counts.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("m"))
+    w = Window.partitionBy(F.lit(1)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("upto", F.sum("m").over(w)).withColumn("sum", F.sum(F.col("v") * F.col("m")).over(w))
     whole = counts.agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))
-    points = rows.crossJoin(F.broadcast(whole)).select((F.col("i") / F.col("__n")).alias("x"), F.try_divide(F.col("running"), F.col("__s")).cast("double").alias("y"))
+    each = d.crossJoin(F.broadcast(whole)).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "m")))  # whole is one row
+    back = F.col("m") - F.col("i")
+    points = each.select(((F.col("upto") - back) / F.col("__n")).alias("x"), F.try_divide(F.col("sum") - back * F.col("v"), F.col("__s")).cast("double").alias("y"))
     return points.union(whole.select(F.lit(0.0), F.lit(0.0)))
 
 
@@ -61,6 +65,16 @@ def weighted_metrics(df: DataFrame, keys: list[str], value: str, weight: str) ->
     return df.groupBy(*keys).agg(mean.alias("mean"), F.exp(mean).alias("perplexity"))
 
 
+def stage_metrics(outputs: DataFrame) -> DataFrame:
+    """Stage, metric, value of batch outputs (stage, batch_size, n_tokens, values: map of metric to value).
+
+    Metrics weigh by examples, ce_loss by tokens; its exponential is the perplexity. Batches without a metric don't count for it; one that no batch of a stage has isn't given.
+    """
+    rows = outputs.select("stage", "batch_size", "n_tokens", F.explode("values").alias("metric", "value")).withColumn("weight", F.when(F.col("metric") == "ce_loss", F.col("n_tokens")).otherwise(F.col("batch_size")))
+    m = weighted_metrics(rows.where("value is not null"), ["stage", "metric"], "value", "weight")
+    return m.select("stage", "metric", F.col("mean").alias("value")).unionByName(m.where("metric = 'ce_loss'").select("stage", F.lit("perplexity").alias("metric"), F.col("perplexity").alias("value")))
+
+
 def accuracy_report(df: DataFrame, *keys: str) -> DataFrame:
     """Class, correct, total, accuracy, with class null for the overall row, and macro (mean over classes) there."""
     c = F.col("correct").cast("long")

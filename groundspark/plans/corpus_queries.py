@@ -107,7 +107,7 @@ select frame_filename, replace(transcript_filename, '.csv', '') as clip, utteran
 def b13_b18_keys(spark, sf):
     f = frames(spark, sf).withColumn("base", X.frame_base("frame_filename")).withColumn("mask", F.concat("base", F.lit("_obj_ball_007")))
     name, mask = X.frame_name("frame_filename"), X.mask_filename("mask")
-    return f.select("frame_filename", name["clip"].alias("clip"), name["utt"].alias("utt"), name["frm"].alias("frm"), F.floor(F.col("timestamp") * 5 + 1e-6).cast("long").alias("frame_index"), "base", X.neighbor_key("base", 3).alias("neighbor"), X.neighbor_key("base", -1).alias("before"), "mask", mask["label"].alias("mask_label"), mask["number"].alias("mask_number"))
+    return f.select("frame_filename", name["clip"].alias("clip"), name["utt"].alias("utt"), name["frm"].alias("frm"), X.frame_index(F.array("timestamp"), name["utt"], F.lit(0)).alias("frame_index"), "base", X.neighbor_key("base", 3).alias("neighbor"), X.neighbor_key("base", -1).alias("before"), "mask", mask["label"].alias("mask_label"), mask["number"].alias("mask_number"))
 
 
 @query("b15_clip_uid", """

@@ -260,23 +260,6 @@ def words_vocab(spark):
     return spark.createDataFrame([(w,) for w in VOCAB_WORDS], "token string")
 
 
-@query("h1_label_mapping")
-def h1_label_mapping(spark, sf):
-    raw = table(spark, sf, "part").select(F.col("p_name").alias("raw_label"))
-    return E.map_labels(raw, words_vocab(spark), {"cold widget": "box"})
-
-
-@query("h1c_named_sets")
-def h1c_named_sets(spark, sf):
-    names = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_brand"), F.col("p_name")).alias("names"))
-    return E.map_named_sets(names, words_vocab(spark), "p_partkey")
-
-
-@query("h2_mapping_report")
-def h2_mapping_report(spark, sf):
-    return E.mapping_report(h1_label_mapping(spark, sf))
-
-
 INST = "it as (select p_partkey as instance_id, lower(p_type) as label, (p_partkey % 90 + 10)::double as w, (p_partkey % 70 + 12)::double as h from part where p_partkey % 11 <> 0), ok as (select * from it where w * h >= 1024 and w >= 16 and h >= 16)"
 
 

@@ -90,17 +90,25 @@ def write_eval(results: DataFrame, metrics: DataFrame, path: str) -> None:
     metrics.where("total > 0").write.csv(f"{path}/metrics", header=True)
 
 
-NAME_COLUMNS, SCORE_COLUMNS = ["class", "category", "label", "name"], ["accuracy", "acc", "score", "value"]
+#: Column names that are tried in this order, in any case.
+NAME_COLUMNS = ["category", "class", "label", "name", "cat"]
+SCORE_COLUMNS = ["accuracy", "acc", "score", "value", "percent"]
 
 
 def load_scores(df: DataFrame) -> DataFrame:
-    """Category, score of a table with guessed columns; scores that all lie in 0 .. 1.5 are per cent after it; nulls go."""
+    """Category, score of a table with guessed columns; scores that all lie in 0 .. 1.5 are per cent after it; what isn't a number goes.
+
+    A listed name wins; else the only numeric column is the score, and the first column that isn't numeric the category.
+    """
     kinds = dict(df.dtypes)
     numeric = [c for c in df.columns if kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal")]
-    score = next((c for c in SCORE_COLUMNS if c in df.columns), numeric[0] if len(numeric) == 1 else None)
-    name = next((c for c in NAME_COLUMNS if c in df.columns), next((c for c in df.columns if c not in numeric), None))
+    by_name = {c.lower(): c for c in df.columns}
+    pick = lambda names, other: next((by_name[n] for n in names if n in by_name), other)
+    score = pick(SCORE_COLUMNS, numeric[0] if len(numeric) == 1 else None)
+    name = pick(NAME_COLUMNS, next((c for c in df.columns if c not in numeric), None))
     if score is None or name is None:
         raise ValueError(f"no category or score column among {df.columns}")
-    rows = df.select(F.col(name).cast("string").alias("category"), F.col(score).cast("double").alias("score")).where("score is not null")
+    value = F.col(f"`{score}`").try_cast("double") if kinds[score] == "string" else F.col(f"`{score}`").cast("double")
+    rows = df.select(F.col(f"`{name}`").cast("string").alias("category"), value.alias("score")).where("score is not null and not isnan(score)")
     small = rows.agg(F.every(F.col("score").between(0, 1.5)).alias("small"))
-    return rows.crossJoin(F.broadcast(small)).select("category", F.when(F.col("small"), F.col("score") * 100).otherwise(F.col("score")).alias("score"))
+    return rows.crossJoin(F.broadcast(small)).select("category", F.when(F.col("small"), F.col("score") * 100).otherwise(F.col("score")).alias("score"))  # small is one row
