@@ -108,7 +108,7 @@ def concept_weighted(best: DataFrame, tracks: DataFrame, cands: DataFrame, regis
     """Sample weight times the weight of the concept of the anchor frame's candidate nearest to the best track (1 without one)."""
     t = best.join(tracks, (best["sample_id"] == tracks["sample_id"]) & (best["best_track"] == tracks["r"])).select(best["sample_id"], "weight", F.col("z").alias("tz"))
     near = t.join(cands.where((F.col("m") == anchor) & F.col("valid")), "sample_id").withColumn("sim", F.round(V.cosine("tz", "z"), 9)).groupBy("sample_id").agg(F.max_by("gid", F.struct("sim", -F.col("k"))).alias("gid"))
-    w = near.join(F.broadcast(registry.select(F.col("global_id").alias("gid"), F.col("weight").alias("cw"))), "gid", "left").select("sample_id", "gid", F.coalesce("cw", F.lit(1.0)).alias("cw"))
+    w = near.join(registry.select(F.col("global_id").alias("gid"), F.col("weight").alias("cw")), "gid", "left").select("sample_id", "gid", F.coalesce("cw", F.lit(1.0)).alias("cw"))
     return best.select("sample_id", "weight").join(w, "sample_id", "left").select("sample_id", "gid", (F.col("weight") * F.coalesce("cw", F.lit(1.0))).alias("weight"))
 
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions import text as X
 from groundspark.functions import vectors as V
 
+from .util import cap_per_group, written
+
 
 def mentions(df: DataFrame, key: str, text: str, concepts: list[str]) -> DataFrame:
     """key and the sorted distinct concepts (a short fixed list) that a text mentions after canonicalisation."""
-    tokens = F.transform(F.array_distinct(X.tokenize_alpha(text)), lambda t: X.canonical(t))  # each distinct token once
-    found = F.array_sort(F.array_intersect(tokens, F.array(*[F.lit(c) for c in concepts])))
-    return df.select(key, F.coalesce(found, F.array().cast("array<string>")).alias("concepts"))
+    words = df.select(F.explode(X.tokenize_alpha(text)).alias("token")).distinct()  # each distinct word of the corpus is canonicalised once
+    known = words.select("token", X.canonical(F.col("token")).alias("concept")).where(F.col("concept").isin(concepts))
+    row = "__row"
+    rows = written(df.select(key, F.monotonically_increasing_id().alias(row), X.tokenize_alpha(text).alias("__tokens")))
+    hits = rows.select(row, F.explode(F.array_distinct("__tokens")).alias("token")).join(known, "token").groupBy(row).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
+    return rows.select(key, row).join(hits, row, "left").select(key, F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"))
 
 
 def long_mentions(m: DataFrame, key: str) -> DataFrame:
@@ -75,7 +80,7 @@ def implication_loss(df: DataFrame, edges: DataFrame, weights: DataFrame, mode:
     e = edges.join(w("a"), "a").join(w("b"), "b")
     how = {"a": F.col("wa"), "b": F.col("wb"), "mean": (F.col("wa") + F.col("wb")) / 2, "geomean": F.sqrt(F.col("wa") * F.col("wb"))}[mode]
     p = lambda k: df.select("key", F.col("concept").alias(k), F.col("p").alias(f"p{k}"))
-    per = p("a").join(F.broadcast(e.withColumn("w", how)), "a").join(p("b"), ["key", "b"]).groupBy("a", "b").agg(F.avg(F.greatest(F.col("pa") - F.col("pb"), F.lit(0.0))).alias("hinge"), F.first("w").alias("w"))
+    per = p("a").join(e.withColumn("w", how), "a").join(p("b"), ["key", "b"]).groupBy("a", "b").agg(F.avg(F.greatest(F.col("pa") - F.col("pb"), F.lit(0.0))).alias("hinge"), F.first("w").alias("w"))
     return per.agg(F.try_divide(F.sum(F.col("hinge") * F.col("w")), F.sum("w")).alias("loss"))
 
 
@@ -111,5 +116,4 @@ def mine_misaligned(utts: DataFrame, masks: DataFrame, window: int = 10, mu: flo
     best = hits.groupBy("utt", "concept").agg(F.sum((F.col("offset") == 0).cast("int")).alias("paired"), F.count("*").alias("n"), F.max_by("offset", F.struct("area_frac", -F.abs("offset"), "offset")).alias("offset"), F.max("area_frac").alias("area_frac"))
     share = F.col("n") / F.lit(2 * window + 1)
     scored = best.where((F.col("paired") == 0) & (share <= 0.55)).withColumn("score", F.round(0.7 * V.gaussian("area_frac", mu, sigma) + 0.3 * (1 - share), 9))
-    rank = F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("score"), "utt"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= per_concept).orderBy(F.desc("score"), "concept", "utt").limit(top).select("utt", "concept", "offset", "area_frac", "score", "rank")
+    return cap_per_group(scored, ["concept"], per_concept, F.desc("score"), F.col("utt"), name="rank").orderBy(F.desc("score"), "concept", "utt").limit(top).select("utt", "concept", "offset", "area_frac", "score", "rank")

@@ -90,9 +90,10 @@ def random_split(df: DataFrame, fraction: float, *key: str, seed: int = 0) -> Da
 
 def split_per_category(df: DataFrame, category: str, *key: str, fraction: float = 0.5, seed: int = 0) -> DataFrame:
     """C11: dev or test within each category, int(n * fraction) to dev."""
-    w = Window.partitionBy(category)
-    rank = F.row_number().over(w.orderBy(draw(seed, *key), *key))
-    return df.withColumn("split", F.when(rank <= F.floor(F.count("*").over(w) * fraction), "dev").otherwise("test"))
+    placed = global_index(df.withColumn("__d", draw(seed, *key)), F.col(category), F.col("__d"), *[F.col(k) for k in key], name="__i")  # a category is a range of places
+    ranges = placed.groupBy(F.col(category).alias("__c")).agg(F.min("__i").alias("__first"), F.count("*").alias("__n"))
+    j = placed.join(ranges, placed[category].eqNullSafe(ranges["__c"]))
+    return j.withColumn("split", F.when(F.col("__i") - F.col("__first") < F.floor(F.col("__n") * fraction), "dev").otherwise("test")).drop("__d", "__i", "__c", "__first", "__n")
 
 
 def shuffle_pairs(df: DataFrame, text: str, *key: str, seed: int = 0) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions import text as X
 from groundspark.functions import vectors as V
 
 from .metrics import accuracy_report
-from .util import draw, global_index
+from .util import cap_per_group, draw, global_index
 
 #: Candidate labels of multi-word or rare classes (an empty list blocks the class), and categories left out of trials.
 CANDIDATES = {
@@ -71,8 +71,7 @@ def filter_instances(df: DataFrame, mapped: DataFrame, min_area: float = 1024, m
 
 def build_pools(df: DataFrame, cap: int = 200, seed: int = 0) -> DataFrame:
     """H4: label, place (from 0), instance_id: at most cap drawn instances of a label."""
-    w = Window.partitionBy("label").orderBy(draw(seed, "instance_id"), "instance_id")
-    return df.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < cap).select("label", "place", "instance_id")
+    return cap_per_group(df, ["label"], cap, draw(seed, "instance_id"), F.col("instance_id"), name="place").select("label", (F.col("place") - 1).alias("place"), "instance_id")
 
 
 def eligible_categories(labels: DataFrame, vocab: DataFrame, excluded: list[str] = ()) -> DataFrame:
@@ -80,12 +79,18 @@ def eligible_categories(labels: DataFrame, vocab: DataFrame, excluded: list[str]
     return labels.where(~F.col("label").isin(list(excluded)) & (F.col("label") != "")).select("label").distinct().join(vocab.select(F.col("token").alias("label")), "label", "left_semi")
 
 
+LABELS = 4096  # that foils are drawn from at most: they are sent as one array
+
+
 def _foils(targets: DataFrame, pools: DataFrame, n_foils: int, seed: int, *key: str) -> DataFrame:
     """targets with foils: n distinct other labels in drawn order, each with one drawn instance. Labels are few: sent as one array."""
     sizes = pools.groupBy("label").agg(F.count("*").alias("n"))
     labels = sizes.agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("ls"))
-    if sizes.count() < n_foils + 1:
+    n = sizes.count()
+    if n < n_foils + 1:
         raise ValueError("too few labels for that many foils")
+    if n > LABELS:
+        raise ValueError(f"foils are drawn from {LABELS} labels at most")
     order = F.array_sort(F.transform(F.filter("ls", lambda x: x["label"] != F.col("label")), lambda x: F.struct(draw(seed, *key, x["label"]).alias("d"), x["label"].alias("label"), x["n"].alias("n"))))
     t = targets.crossJoin(F.broadcast(labels)).withColumn("f", F.slice(order, 1, n_foils)).drop("ls")
     rows = t.select(*key, F.posexplode("f").alias("slot", "x")).select(*key, "slot", F.col("x.label").alias("f_label"), (draw(seed + 1, *key, "slot") % F.col("x.n")).cast("int").alias("f_place"))
@@ -134,9 +139,9 @@ def forced_choice(trials: DataFrame, vecs: DataFrame, queries: DataFrame, alpha:
     objects: candidates (instance_id, z) whose best score is fused with the image's.
     """
     slots = trials.select("trial_num", F.col("target_category").alias("label"), F.posexplode(F.concat(F.array("target_id"), "foil_ids")).alias("slot", "instance_id"))
-    s = slots.join(vecs, "instance_id").join(F.broadcast(queries), "label").withColumn("g", V.cosine("z", "t"))
+    s = slots.join(vecs, "instance_id").join(queries, "label").withColumn("g", V.cosine("z", "t"))
     if objects is not None:
-        o = slots.join(objects.select("instance_id", F.col("z").alias("oz")), "instance_id").join(F.broadcast(queries), "label").groupBy("trial_num", "slot").agg(F.max(V.cosine("oz", "t")).alias("o"))
+        o = slots.join(objects.select("instance_id", F.col("z").alias("oz")), "instance_id").join(queries, "label").groupBy("trial_num", "slot").agg(F.max(V.cosine("oz", "t")).alias("o"))
         s = s.join(o, ["trial_num", "slot"], "left").withColumn("g", V.combine_scores(F.col("g"), F.col("o"), "alpha", alpha))
     return s.groupBy("trial_num", F.col("label").alias("class")).agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "g"))), lambda x: x["g"]).alias("scores"))
 
@@ -207,9 +212,10 @@ def metrics_by_class(preds: DataFrame) -> DataFrame:
 
 def label_units(acts: DataFrame, probes: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:
     """Unit -> concept: the concept (concept, c) nearest to the mean vector (instance_id, z) of the unit's k strongest probes (instance_id, unit, a)."""
-    w = Window.partitionBy("unit").orderBy(F.desc(F.round("a", 9)), "instance_id")
-    top = acts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).join(probes, "instance_id")
+    top = cap_per_group(acts, ["unit"], k, F.desc(F.round("a", 9)), F.col("instance_id")).join(probes, "instance_id")
     mean = top.select("unit", F.posexplode(V.l2_normalize("z")).alias("d", "x")).groupBy("unit", "d").agg(F.avg("x").alias("x")).groupBy("unit").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
+    if concepts.count() > LABELS:
+        raise ValueError(f"units are compared with {LABELS} concepts at most")
     cs = concepts.agg(F.sort_array(F.collect_list(F.struct("concept", "c"))).alias("cs"))
     best = F.array_max(F.transform("cs", lambda x, i: F.struct(F.round(V.cosine("v", x["c"]), 9).alias("sim"), (-i).alias("i"), x["concept"].alias("concept"))))
     return mean.crossJoin(F.broadcast(cs)).withColumn("b", best).select("unit", F.col("b.concept").alias("concept"), F.col("b.sim").alias("sim"))
@@ -222,7 +228,7 @@ def best_units(labelled: DataFrame) -> DataFrame:
 
 def score_by_units(trials: DataFrame, acts: DataFrame, units: DataFrame) -> DataFrame:
     """Trials scored by the activation of the target category's unit on each image; trials without a unit are left out."""
-    slots = trials.join(F.broadcast(units.select(F.col("concept").alias("target_category"), "unit")), "target_category").select("trial_num", F.col("target_category").alias("class"), "unit", F.posexplode(F.concat(F.array("target_id"), "foil_ids")).alias("slot", "instance_id"))
+    slots = trials.join(units.select(F.col("concept").alias("target_category"), "unit"), "target_category").select("trial_num", F.col("target_category").alias("class"), "unit", F.posexplode(F.concat(F.array("target_id"), "foil_ids")).alias("slot", "instance_id"))
     s = slots.join(acts, ["instance_id", "unit"]).groupBy("trial_num", "class").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "a"))), lambda x: x["a"]).alias("scores"))
     return s.withColumn("correct", V.argmax("scores") == 0)
 

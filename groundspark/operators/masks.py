@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from groundspark.functions import text as X
 from groundspark.functions import vectors as V
 
+from .util import cap_per_group, global_index
+
+MOST = 4096  # concepts that masks are compared with: they are sent as one array
 #: The canonical concepts, in order.
 CANONICAL = "ball basket car cat chair computer crib door foot hand paper puzzle stairs table window".split()
 
@@ -34,8 +37,7 @@ def pixel_geometry(pixels: DataFrame, *keys: str, height: int, width: int) -> Da
 
 def filter_detections(df: DataFrame, keys: list[str], image_area: float, min_score: float = 0.30, top: int = 30, background: list[str] = (), min_sam: float = 0.87, min_area: float = 3000, max_frac: float = 0.6, min_fill: float = 0.25, max_aspect: float = 8.0) -> DataFrame:
     """Score, then the best top of each frame, then background, SAM score, area, fraction, fill and aspect (the cap comes first)."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("dino_score"), "line", "det_id"))
-    capped = df.where(F.col("dino_score") >= min_score).withColumn("rank", rank).where(F.col("rank") <= top)
+    capped = cap_per_group(df.where(F.col("dino_score") >= min_score), keys, top, F.desc("dino_score"), F.col("line"), F.col("det_id"), name="rank")
     g = box_geometry(F.col("w"), F.col("h"), F.col("mask_area"), image_area)
     ok = ~F.col("label").isin(list(background)) & (F.col("sam_score") >= min_sam) & (F.col("mask_area") >= min_area) & (g["area_frac"] <= max_frac) & (g["area_frac"] < 0.995) & (g["fill"] >= min_fill) & (g["aspect"] <= max_aspect)
     return capped.where(ok)
@@ -52,6 +54,8 @@ def assign_labels(masks: DataFrame, concepts: DataFrame, thr: float = 0.30) -> D
     concepts is a small fixed list: it is sent to the tasks as one array.
     """
     table = concepts.agg(F.sort_array(F.collect_list(F.struct((~F.col("priority")).alias("extra"), "concept", "c"))).alias("cs"))
+    if concepts.count() > MOST:
+        raise ValueError(f"masks are compared with {MOST} concepts at most")
     scored = masks.crossJoin(F.broadcast(table)).withColumn("best", F.array_max(F.transform("cs", lambda x, i: F.struct(F.round(V.cosine("z", x["c"]), 9).alias("sim"), (-i).alias("i"), x["concept"].alias("concept")))))
     return scored.withColumn("clip_sim", F.col("best.sim")).withColumn("label", F.when(F.col("clip_sim") >= thr, F.col("best.concept"))).drop("cs", "best")
 
@@ -97,10 +101,10 @@ def concept_vocab(labels: DataFrame, existing: DataFrame | None = None, canonica
     found = labels.select("concept").distinct()
     if existing is None:
         existing = spark.createDataFrame(list(enumerate(canonical)), "concept_id int, concept string")
-    new = found.join(existing.select("concept"), "concept", "left_anti").withColumn("__all", F.lit(1))
-    start = existing.agg(F.coalesce(F.max("concept_id") + 1, F.lit(0)).alias("start"))
-    numbered = new.withColumn("r", F.row_number().over(Window.partitionBy("__all").orderBy("concept")) - 1)  # distinct labels: a small table
-    return existing.select("concept", "concept_id").unionByName(numbered.crossJoin(F.broadcast(start)).select("concept", (F.col("r") + F.col("start")).alias("concept_id")))
+    new = found.join(existing.select("concept"), "concept", "left_anti")
+    start = existing.agg(F.coalesce(F.max("concept_id") + 1, F.lit(0))).first()[0]
+    numbered = global_index(new, F.col("concept"), name="r")
+    return existing.select("concept", "concept_id").unionByName(numbered.select("concept", (F.col("r") + start).cast("int").alias("concept_id")))
 
 
 def resume(df: DataFrame, done: DataFrame, *keys: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions import vectors as V
 
-from .util import draw
+from .util import cap_per_group, draw, written
 
 MOST = 4096
 
@@ -58,6 +58,7 @@ def sinkhorn(objs: DataFrame, protos: DataFrame, n_iters: int = 3, eps: float =
     q = exp((s - max s) / eps), scaled in turn to prototype mass 1/K and object mass 1/N, at last to rows of one.
     """
     s = similarities(objs, protos).withColumn("e", F.transform("sims", lambda x: F.exp((x - F.array_max("sims")) / eps)))
+    s = written(s)  # cosines are computed once
     n, k = s.count(), protos.count()
     row = s.withColumn("v", F.lit(1.0))
     for _ in range(n_iters):
@@ -104,31 +105,68 @@ def ema_update(state: DataFrame, batch: DataFrame, decay: float = 0.99, eps: flo
 def kmeans_cosine(objs: DataFrame, k: int, n_iters: int = 10, seed: int = 0) -> DataFrame:
     """Spherical k-means: farthest-first start (first centre: the least draw), means of the assigned, empty ones moved to the farthest object.
 
-    Each pass is one aggregate; K x D numbers come back to the driver.
+    Each pass sends the K x D centres to the tasks, where numpy adds up vectors by centre; sums by centre and task are added in Spark.
     """
-    rows = objs.select("obj_id", V.l2_normalize("z").alias("z")).persist()
     spark = objs.sparkSession
+    empty = spark.createDataFrame([], "proto_id int, p array<double>")
+    rows = written(objs.select("obj_id", V.l2_normalize("z").alias("z")))
     first = rows.orderBy(draw(seed, "obj_id"), "obj_id").limit(1).collect()
     if not first:
-        return spark.createDataFrame([], "proto_id int, p array<double>")
-    book = lambda cs: spark.createDataFrame([(i, list(c)) for i, c in enumerate(cs)], "proto_id int, p array<double>")
-    farthest = lambda cs: similarities(rows, book(cs)).select("obj_id", "z", F.round(F.array_max("sims"), 9).alias("s")).agg(F.min_by("z", F.struct("s", "obj_id")).alias("z")).first()["z"]
+        return empty
     centres = [first[0]["z"]]
     while len(centres) < k:
-        centres.append(farthest(centres))
+        centres.append(_pass(rows, centres)[1])
     for _ in range(n_iters):
-        sums = {r["proto_id"]: r["v"] for r in batch_sums(rows, book(centres)).select("proto_id", V.l2_normalize("sum").alias("v")).collect()}
-        spare = farthest(centres) if len(sums) < k else None
-        centres = [sums.get(i, spare) for i in range(k)]
-    rows.unpersist()
-    return book(centres)
+        sums, spare = _pass(rows, centres)
+        centres = [_unit(sums[i]) if i in sums else spare for i in range(k)]
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "proto_id int, p array<double>")
+
+
+def _unit(v: list[float]) -> list[float]:
+    norm = sum(x * x for x in v) ** 0.5 + 1e-8
+    return [x / norm for x in v]
+
+
+def _pass(rows: DataFrame, centres: list[list[float]]) -> tuple[dict[int, list[float]], list[float]]:
+    """Sums of the vectors (obj_id, z) nearest to each centre, and the vector that is farthest from all centres (the least obj_id of equals)."""
+    book = [_unit(c) for c in centres]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        c = np.array(book)
+        sums, seen, far = np.zeros_like(c), np.zeros(len(c), bool), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, z = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), float)
+            sims = (z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-8)) @ c.T
+            own = sims.argmax(1)
+            np.add.at(sums, own, z)
+            seen[own] = True
+            best = np.round(sims.max(1), 9)
+            i = np.lexsort((ids, best))[0]
+            now = (float(best[i]), int(ids[i]), z[i].tolist())
+            far = now if far is None or now[:2] < far[:2] else far
+        at = np.flatnonzero(seen)
+        out = [(int(i), None, None, sums[i].tolist()) for i in at] + ([(-1, *far)] if far else [])
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["i", "s", "obj_id", "v"])
+
+    parts = rows.select("obj_id", "z").mapInArrow(run, "i int, s double, obj_id long, v array<double>")
+    added = parts.where("i >= 0").select("i", F.posexplode("v").alias("d", "x")).groupBy("i", "d").agg(F.sum("x").alias("x")).groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda t: t["x"]).alias("v"))
+    spare = parts.where("i < 0").groupBy("i").agg(F.min_by("v", F.struct("s", "obj_id")).alias("v"))
+    found = {r.i: r.v for r in added.unionByName(spare).collect()}  # K + 1 vectors
+    return {i: v for i, v in found.items() if i >= 0}, found[-1]
 
 
 def warm_start(tracks: DataFrame, texts: DataFrame, k: int, min_sim: float = 0.25, need: int = 128, most: int = 4096, n_iters: int = 10, seed: int = 0) -> DataFrame | None:
     """K-means of the best track (sample_id, r, z) of each text (sample_id, t) with similarity min_sim; sizes 1 and sums as vectors. None with too few."""
     j = tracks.join(texts, "sample_id").withColumn("sim", V.cosine("z", "t"))
     best = j.groupBy("sample_id").agg(F.max("sim").alias("sim"), F.max_by("z", F.struct("sim", -F.col("r"))).alias("z")).where(F.col("sim") >= min_sim)
-    sample = best.orderBy(draw(seed, "sample_id"), "sample_id").limit(most).select(F.col("sample_id").alias("obj_id"), "z").persist()
+    sample = best.orderBy(draw(seed, "sample_id"), "sample_id").limit(most).select(F.col("sample_id").alias("obj_id"), "z")
+    sample = written(sample)
     n = sample.count()
     if n < max(need, k):
         return None
@@ -156,24 +194,22 @@ def usage_per_concept(protos: DataFrame, concepts: DataFrame) -> DataFrame:
 
 def dump_objects(objs: DataFrame, protos: DataFrame, most: int = 200, seed: int = 0) -> DataFrame:
     """At most a number of objects a concept with their assignment and the concept's total."""
-    w = Window.partitionBy("concept_id")
-    a = hard_assign(objs, protos).where("concept_id >= 0").withColumn("total", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(draw(seed, "obj_id"), "obj_id")))
-    return a.where(F.col("r") <= most).select("obj_id", "concept_id", "proto", "total")
+    known = objs.where("concept_id >= 0")
+    some = cap_per_group(known, ["concept_id"], most, draw(seed, "obj_id"), F.col("obj_id"))
+    return hard_assign(some, protos).join(known.groupBy("concept_id").agg(F.count("*").alias("total")), "concept_id").select("obj_id", "concept_id", "proto", "total")
 
 
 def stratified_sample(df: DataFrame, key: str, id_: str, n: int, seed: int = 0) -> DataFrame:
     """N / number of keys rows of each key from 0."""
     kinds = max(1, df.where(F.col(key) >= 0).select(key).distinct().count())
-    w = Window.partitionBy(key).orderBy(draw(seed, id_), id_)
-    return df.where(F.col(key) >= 0).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n // kinds).drop("__r")
+    return cap_per_group(df.where(F.col(key) >= 0), [key], n // kinds, draw(seed, id_), F.col(id_))
 
 
 def top_tracks(q_track: DataFrame, usage_: DataFrame, n: int = 5, pool: int = 32) -> DataFrame:
     """The n tracks (obj_id, q) of the highest q for each of the pool most used prototypes."""
     used = usage_.where(F.col("rank") <= pool).select("proto_id", "rank")
-    rows = q_track.select("obj_id", F.posexplode("q").alias("proto_id", "score")).join(F.broadcast(used), "proto_id")
-    w = Window.partitionBy("proto_id").orderBy(F.desc(F.round("score", 9)), "obj_id")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("proto_id", "obj_id", "score", "place")
+    rows = q_track.select("obj_id", F.posexplode("q").alias("proto_id", "score")).join(used, "proto_id")
+    return cap_per_group(rows, ["proto_id"], n, F.desc(F.round("score", 9)), F.col("obj_id"), name="place").select("proto_id", "obj_id", "score", "place")
 
 
 def select_diverse(cands: DataFrame, group_key: str, n: int = 4, max_sim: float = 0.92, penalty: float = 0.35) -> DataFrame:
@@ -206,7 +242,4 @@ def top_texts(protos: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
     """The k texts (obj_id, z) nearest to each prototype; each task cuts to k before the shuffle."""
     s = similarities(texts, protos).select("obj_id", F.posexplode(F.transform("sims", lambda x: F.round(x, 9))).alias("i", "sim"))
     ids = codebook(protos).select(F.posexplode(F.transform("cb", lambda x: x["proto_id"])).alias("i", "proto_id"))
-    local = Window.partitionBy("part", "i").orderBy(F.desc("sim"), "obj_id")
-    cut = s.withColumn("part", F.pmod(F.xxhash64("obj_id"), F.lit(64))).withColumn("r", F.row_number().over(local)).where(F.col("r") <= k)
-    w = Window.partitionBy("i").orderBy(F.desc("sim"), "obj_id")
-    return cut.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).join(F.broadcast(ids), "i").select("proto_id", "obj_id", "sim", "place")
+    return cap_per_group(s, ["i"], k, F.desc("sim"), F.col("obj_id"), name="place").join(ids, "i").select("proto_id", "obj_id", "sim", "place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundspark.session import shared_path
+
 
 def draw(seed: int | str, *columns: str | Column) -> Column:
     """A long in 0 .. 2^32 - 1 that depends on the seed and the columns only (md5, so other engines can repeat it)."""
@@ -19,7 +21,7 @@ def global_index(df: DataFrame, *order: Column, name: str = "idx", partitions: i
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).persist()
+    ranged = written(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect()  # one row a partition
     before, at = {}, 0
     for r in sizes:
@@ -30,9 +32,19 @@ def global_index(df: DataFrame, *order: Column, name: str = "idx", partitions: i
     return ranged.withColumn(name, (local + start).cast("long")).drop("__p")
 
 
-def cap_per_group(df: DataFrame, keys: list[str], n: int, *order: Column, salts: int = 16) -> DataFrame:
-    """The first n rows of each group; groups are cut to n within salts first, so a hot group isn't one task's."""
-    salted = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    cut = df.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts))).withColumn("__r", F.row_number().over(salted)).where(F.col("__r") <= n)
-    return cut.withColumn("__r", F.row_number().over(final)).where(F.col("__r") <= n).drop("__r", "__salt")
+def cap_per_group(df: DataFrame, keys: list[str], n: int, *order: Column, name: str | None = None) -> DataFrame:
+    """The first n rows of each group, with their rank from 1 as name if asked for.
+
+    A plain rank with a limit: Spark cuts every group to n in each task before the shuffle (WindowGroupLimit, for n up to
+    spark.sql.optimizer.windowGroupLimitThreshold, 1000), so of a hot group n rows a task arrive in one place.
+    """
+    rank = name or "__r"
+    cut = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+    return cut if name else cut.drop(rank)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: made once, and kept when an executor is lost."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -102,20 +102,16 @@ def e11_frequency_report(spark, sf):
     return M.frequency_report(names, i.where("frame % 2 = 0"))
 
 
-@query("e12_resolved_keys", """
-with i as (select 'a/' || (p_partkey % 50) || '/' || (p_partkey % 700) as path from part where p_partkey < 1000), f as (select case when p_partkey % 3 = 0 then 'a/' when p_partkey % 3 = 1 then 'b/' else 'b/x/' end || (p_partkey % 50) || '/' || (p_partkey % 700) as path from part where p_partkey < 1000),
+E12_SQL = """
+with t as (select p_partkey as k, (p_partkey % 50) || '/' || case when p_partkey % 10 < 3 then p_partkey - p_partkey % 10 else p_partkey end as tail from part where p_partkey is not null),
+i as (select 'a/' || tail as path from t), f as (select case when k % 3 = 0 then 'a/' when k % 3 = 1 then 'b/' else 'b/x/' end || tail as path from t),
 ix as (select distinct path from i), k1 as (select split_part(path, '/', -1) as k, min(path) as p from ix group by 1 having count(*) = 1), k2 as (select split_part(path, '/', -2) || '/' || split_part(path, '/', -1) as k, min(path) as p from ix group by 1 having count(*) = 1)
-select f.path, coalesce(ix.path, k1.p, k2.p) as resolved from f left join ix on f.path = ix.path left join k1 on split_part(f.path, '/', -1) = k1.k left join k2 on split_part(f.path, '/', -2) || '/' || split_part(f.path, '/', -1) = k2.k""")
-def e12_resolved_keys(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 1000")
-    tail = F.concat((F.col("p_partkey") % 50).cast("string"), F.lit("/"), (F.col("p_partkey") % 700).cast("string"))
-    index = p.select(F.concat(F.lit("a/"), tail).alias("path"))
-    head = F.when(F.col("p_partkey") % 3 == 0, "a/").when(F.col("p_partkey") % 3 == 1, "b/").otherwise("b/x/")
-    return M.resolve_keys(p.select(F.concat(head, tail).alias("path")), index)
+select f.path, coalesce(ix.path, k1.p, k2.p) as resolved from f left join ix on f.path = ix.path left join k1 on split_part(f.path, '/', -1) = k1.k left join k2 on split_part(f.path, '/', -2) || '/' || split_part(f.path, '/', -1) = k2.k"""
 
 
-@query("e12_resolved_keys_all")
-def e12_resolved_keys_all(spark, sf):
+@query("e12_resolved_keys", E12_SQL)
+@query("e12_resolved_keys_all", E12_SQL)
+def e12_resolved_keys(spark, sf):
     """Every part: seven of ten names are of one part, the others of up to three parts in different folders."""
     p, k = table(spark, sf, "part").where("p_partkey is not null"), F.col("p_partkey")
     tail = F.concat((k % 50).cast("string"), F.lit("/"), F.when(k % 10 < 3, k - k % 10).otherwise(k).cast("string"))
@@ -123,19 +119,17 @@ def e12_resolved_keys_all(spark, sf):
     return M.resolve_keys(p.select(F.concat(head, tail).alias("path")), p.select(F.concat(F.lit("a/"), tail).alias("path")))
 
 
-@query("e13_concept_registry", """
+E13_SQL = """
 with l as (select unnest(['error', 'click', 'view', 'purchase', 'signup', 'ball']) as concept, unnest(range(6)) as local_id), g as (select unnest(['click', 'error', 'signup', 'view', 'ball']) as concept, unnest(range(5)) as global_id),
-c as (select event_type as concept, count(*) as n from events where user_id % 7 = 0 group by 1), j as (select local_id, concept, global_id, coalesce(n, 0) as n from l left join g using (concept) left join c using (concept)),
+c as (select event_type as concept, count(*) as n from events group by 1), j as (select local_id, concept, global_id, coalesce(n, 0) as n from l left join g using (concept) left join c using (concept)),
 r as (select *, case when global_id is null then 'not_in_concept_list' when n < 5 then 'freq<5 (count=' || n || ')' end as drop_reason from j),
 w as (select local_id, greatest(least(pow((select quantile_disc(n, 0.5) from r where drop_reason is null) / n, 0.5), 2.0), 0.5) as raw from r where drop_reason is null)
-select r.local_id::int as local_id, concept, case when drop_reason is null then global_id else -1 end::int as global_id, n as count, round(coalesce(raw / (select avg(raw) from w), 1), 6) as weight, drop_reason from r left join w using (local_id)""")
-def e13_concept_registry(spark, sf):
-    return registry_of(spark, table(spark, sf, "events").where("user_id % 7 = 0"))
+select r.local_id::int as local_id, concept, case when drop_reason is null then global_id else -1 end::int as global_id, n as count, round(coalesce(raw / (select avg(raw) from w), 1), 6) as weight, drop_reason from r left join w using (local_id)"""
 
 
-@query("e13_concept_registry_all")
-def e13_concept_registry_all(spark, sf):
-    """Counts of all events."""
+@query("e13_concept_registry", E13_SQL)
+@query("e13_concept_registry_all", E13_SQL)
+def e13_concept_registry(spark, sf):
     return registry_of(spark, table(spark, sf, "events"))
 
 
@@ -262,51 +256,42 @@ def f8_implication_loss(spark, sf):
 EVENTS = f"""
 fr as (select event_id, user_id as clip, row_number() over (partition by user_id order by ts, event_id) - 1 as frame_idx, event_type as label, value from events),
 ty as (select list(t order by t) as ts from (select distinct event_type as t from events)),
-ut as (select event_id as utt, clip, frame_idx, ts[{sql_draw(1, 'event_id')} % len(ts) + 1] as concept from fr cross join ty where event_id % 10 = 0)"""
+ut as (select event_id as utt, clip, frame_idx, ts[{sql_draw(1, 'event_id')} % len(ts) + 1] as concept from fr cross join ty)"""
 
 
-def spoken(spark, sf, which="event_id % 10 = 0"):
+def spoken(spark, sf):
+    """Frames, and every event as an utterance of a drawn concept."""
     f = A.frame_events(spark, sf)
     types = f.select("label").distinct().agg(F.array_sort(F.collect_list("label")).alias("ts"))
-    u = f.where(which).crossJoin(F.broadcast(types))
+    u = f.crossJoin(F.broadcast(types))
     return f, u.select(F.col("event_id").alias("utt"), "clip", "frame_idx", F.get("ts", (draw(1, "event_id") % F.size("ts")).cast("int")).alias("concept"))
 
 
-@query("f10_temporal_misalignment", f"""with {EVENTS},
+F10_SQL = f"""with {EVENTS},
 v as (select utt, u.concept, max((f.frame_idx = u.frame_idx)::int) as paired, 1 as near from ut u join fr f on f.clip = u.clip and f.label = u.concept and f.frame_idx between u.frame_idx - 10 and u.frame_idx + 10 group by 1, 2),
 a as (select utt, ut.concept, coalesce(paired, 0) as paired, coalesce(near, 0) as near from ut left join v using (utt)),
 r as (select concept, paired, near from a union all select null, paired, near from a)
-select concept, count(*) as n, sum(paired)::bigint as paired, sum(near)::bigint as near, round(sum(paired) / count(*), 6)::double as paired_rate, round(sum(near) / count(*), 6)::double as near_rate from r group by 1""")
-def f10_temporal_misalignment(spark, sf):
-    return misaligned(*spoken(spark, sf))
-
+select concept, count(*) as n, sum(paired)::bigint as paired, sum(near)::bigint as near, round(sum(paired) / count(*), 6)::double as paired_rate, round(sum(near) / count(*), 6)::double as near_rate from r group by 1"""
 
-@query("f10_temporal_misalignment_all")
-def f10_temporal_misalignment_all(spark, sf):
-    """Every event is an utterance."""
-    return misaligned(*spoken(spark, sf, "true"))
 
-
-def misaligned(f, u):
+@query("f10_temporal_misalignment", F10_SQL)
+@query("f10_temporal_misalignment_all", F10_SQL)
+def f10_temporal_misalignment(spark, sf):
+    f, u = spoken(spark, sf)
     return K.temporal_misalignment(u, f).withColumn("paired_rate", F.round("paired_rate", 6)).withColumn("near_rate", F.round("near_rate", 6))
 
 
-@query("f11_mined_examples", f"""with {EVENTS}, us as (select clip, frame_idx, label, max(value / 200) as a from fr where value / 200 between 0.01 and 0.45 group by 1, 2, 3),
+F11_SQL = f"""with {EVENTS}, us as (select clip, frame_idx, label, max(value / 200) as a from fr where value / 200 between 0.01 and 0.45 group by 1, 2, 3),
 h as (select utt, u.concept, s.frame_idx - u.frame_idx as offset_, a from ut u join us s on s.clip = u.clip and s.label = u.concept and s.frame_idx between u.frame_idx - 10 and u.frame_idx + 10),
 b as (select utt, concept, sum((offset_ = 0)::int) as paired, count(*) as n, first(offset_ order by a desc, abs(offset_), offset_ desc) as offset_, max(a) as a from h group by 1, 2),
 s as (select *, round(0.7::double * exp(-0.5::double * pow((a - 0.1::double) / 0.1::double, 2)) + 0.3::double * (1 - n / 21.0::double), 9) as score from b where paired = 0 and n / 21.0::double <= 0.55),
 r as (select *, row_number() over (partition by concept order by score desc, utt) as rank from s)
-select utt, concept, offset_ as "offset", round(a, 6) as area_frac, round(score, 6) as score, rank from r where rank <= 4 order by r.score desc, concept, utt limit 30""")
-def f11_mined_examples(spark, sf):
-    return mined(*spoken(spark, sf))
+select utt, concept, offset_ as "offset", round(a, 6) as area_frac, round(score, 6) as score, rank from r where rank <= 4 order by r.score desc, concept, utt limit 30"""
 
 
-@query("f11_mined_examples_all")
-def f11_mined_examples_all(spark, sf):
-    """Every event is an utterance."""
-    return mined(*spoken(spark, sf, "true"))
-
-
-def mined(f, u):
+@query("f11_mined_examples", F11_SQL)
+@query("f11_mined_examples_all", F11_SQL)
+def f11_mined_examples(spark, sf):
+    f, u = spoken(spark, sf)
     m = f.select("clip", "frame_idx", F.col("label").alias("concept"), (F.col("value") / 200).alias("area_frac"))
     return K.mine_misaligned(u, m).select("utt", "concept", "offset", F.round("area_frac", 6).alias("area_frac"), F.round("score", 6).alias("score"), "rank")

@@ -17,6 +17,7 @@ from groundspark.streaming import jobs as J
 from . import adapters as A
 from .book import query
 from .corpus_queries import FRAMES
+from .vector_queries import EMA
 
 
 @query("a1_transcript_files", "select format('conv_{:05d}', conv_id) as video_name, turn as row_idx, (turn * 17 // 60) || ':' || lpad((turn * 17 % 60)::varchar, 2, '0') as time_raw, role as speaker, text as utterance from conversations")
@@ -30,8 +31,8 @@ def a1_transcript_files(spark, sf):
 @query("a2_metadata_files", "select item_id, text from benchmark")
 def a2_metadata_files(spark, sf):
     path = shared_path(spark, "metadata")
-    b = table(spark, sf, "benchmark").groupBy((F.col("item_id") % 4).alias("g")).agg(F.collect_list(F.struct("item_id", "text")).alias("data"))
-    b.select("data").repartition(4).write.option("maxRecordsPerFile", 1).json(path)
+    b = table(spark, sf, "benchmark").groupBy(F.floor(F.col("item_id") / 64).alias("g")).agg(F.collect_list(F.struct("item_id", "text")).alias("data"))  # files of 64 items
+    b.select("data").write.option("maxRecordsPerFile", 1).json(path)
     return S.read_metadata(spark, path, "item_id: bigint, text: string")
 
 
@@ -57,11 +58,14 @@ def a4_mask_index(spark, sf):
     return S.read_mask_index(spark, path).select("frame_relpath", "instance_id", "concept_clip", "mask_area")
 
 
-@query("a5_listed_files", "select 3::bigint as files, true as some")
+@query("a5_listed_files", "select count(*) as n_docs, true as listed from documents")
 def a5_listed_files(spark, sf):
     path = shared_path(spark, "listed")
-    table(spark, sf, "documents").select("doc_id").repartition(3).write.parquet(path)
-    return S.list_files(spark, path, "*.parquet").agg(F.count("*").alias("files"), (F.sum("length") > 0).alias("some"))
+    table(spark, sf, "documents").select("doc_id").write.parquet(path)
+    back = spark.read.parquet(path).select(F.input_file_name().alias("file"), F.lit(1).alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
+    files = S.list_files(spark, path, "*.parquet").select(F.substring_index("path", "/", -1).alias("name"), "length")
+    both = back.select(F.substring_index("file", "/", -1).alias("name"), "n").join(files, "name", "left")
+    return both.agg(F.sum("n").alias("n_docs"), F.every(F.col("length") > 0).alias("listed"))
 
 
 @query("a6_frame_labels", "select event_id::varchar as frame_key, event_type as label from events union all select event_id::varchar, 'x' from events where event_id % 3 = 0")
@@ -94,17 +98,12 @@ def a9_synset_words(spark, sf):
     return table(spark, sf, "part").select(S.parse_words(line).alias("w")).select("w.*")
 
 
-@query("a10_concept_lists", "select p_name as concept, (p_partkey % 100)::int as concept_id from part where p_partkey < 100 union all select p_name, (p_partkey % 100)::int from part where p_partkey < 1")
-def a10_concept_lists(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 100")
-    # object of numbers, one a row; and a list of one
-    obj = p.select(F.concat(F.lit('{"'), F.col("p_name"), F.lit('": '), F.col("p_partkey").cast("string"), F.lit("}")).alias("json"))
-    one = p.where("p_partkey < 1").select(F.concat(F.lit('["'), F.col("p_name"), F.lit('"]')).alias("json"))
-    return S.concept_list(obj.union(one))
+A10_SQL = "select p_name as concept, p_partkey::int as concept_id from part where p_partkey % 3 = 0 union all select p_name, 0 from part where p_partkey % 3 <> 0 union all select lower(p_type), 1 from part where p_partkey % 3 = 1"
 
 
-@query("a10_concept_lists_all")
-def a10_concept_lists_all(spark, sf):
+@query("a10_concept_lists", A10_SQL)
+@query("a10_concept_lists_all", A10_SQL)
+def a10_concept_lists(spark, sf):
     """Every part, dealt over the shapes: an object with the part's number, a list, an object without numbers."""
     p, k = table(spark, sf, "part"), F.col("p_partkey")
     listed = F.to_json(F.array("p_name", F.lower("p_type")))
@@ -190,14 +189,14 @@ def b31_selected_nouns(spark, sf):
     return Q.select_nouns(tagged, words.select(F.col("lemma").alias("token")).distinct())
 
 
-@query("c22_event_frames", "with ev as (select o_orderkey as event, o_custkey as video, o_orderkey % 7 * 0.3::double as s, o_orderkey % 7 * 0.3::double + 0.9::double as e from orders), own as (select l_orderkey as event, l_linenumber::bigint as idx from lineitem where l_orderkey % 2 = 0), vid as (select o_custkey as video, row_number() over (partition by o_custkey order by o_orderkey) - 1 as idx from orders), a as (select event, idx from ev join own using (event)), b as (select event, idx from ev join vid using (video) where event not in (select event from own) and idx >= floor(s * 5) and idx <= greatest(ceil(e * 5) - 1, floor(s * 5))) select * from a union all select * from b")
+@query("c22_event_frames", "with ev as (select o_orderkey as event, o_custkey as video, o_orderkey % 7 * 0.3::double as s, o_orderkey % 7 * 0.3::double + 0.9::double as e from orders), own as (select l_orderkey * 2 as event, l_linenumber::bigint as idx from lineitem), vid as (select o_custkey as video, row_number() over (partition by o_custkey order by o_orderkey) - 1 as idx from orders), a as (select event, idx from ev join own using (event)), b as (select event, idx from ev join vid using (video) where event not in (select event from own) and idx >= floor(s * 5) and idx <= greatest(ceil(e * 5) - 1, floor(s * 5))) select * from a union all select * from b")
 def c22_event_frames(spark, sf):
     from pyspark.sql import Window
 
     o = table(spark, sf, "orders")
     s = (F.col("o_orderkey") % 7) * F.lit(0.3)
     events = o.select(F.col("o_orderkey").alias("event"), F.col("o_custkey").alias("video"), s.alias("start"), (s + F.lit(0.9)).alias("end"))
-    own = table(spark, sf, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").cast("long").alias("idx"), F.lit("f").alias("frame"))
+    own = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 2).alias("event"), F.col("l_linenumber").cast("long").alias("idx"), F.lit("f").alias("frame"))
     video = o.select(F.col("o_custkey").alias("video"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("idx"), F.lit("g").alias("frame"))
     return C.resolve_event_frames(events, own, video).select("event", "idx")
 
@@ -225,17 +224,12 @@ def s1_streamed_index(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("s2_streamed_codebook")
+@query("s2_streamed_codebook", EMA + " select proto_id::int as proto_id, round(size, 6) as ema_size from nz")
 def s2_streamed_codebook(spark, sf):
     path, out = shared_path(spark, "objects"), shared_path(spark, "codebook")
     o, p = A.objects(spark, sf), A.prototypes(spark, sf)
-    o.select("obj_id", "z").repartition(4, "obj_id").write.parquet(path)
+    o.select("obj_id", "z").write.parquet(path)
     start = p.select("proto_id", V.l2_normalize("p").alias("p"), F.lit(1.0).alias("ema_size"), V.l2_normalize("p").alias("ema_sum"))
-    stream = spark.readStream.schema("obj_id long, z array<double>").option("maxFilesPerTrigger", 4).parquet(path)
+    stream = spark.readStream.schema("obj_id long, z array<double>").parquet(path)  # without a limit of files all that are there are one batch
     J.stream_ema(stream, start, out, shared_path(spark, "state")).awaitTermination()
-    return first_batch(spark, out).select("proto_id", F.round("ema_size", 6).alias("ema_size"))
-
-
-def first_batch(spark, out):
-    """The codebook of the first batch, which holds all files here."""
-    return spark.read.parquet(f"{out}/0")
+    return spark.read.parquet(f"{out}/0").select("proto_id", F.round("ema_size", 6).alias("ema_size"))

@@ -32,6 +32,9 @@ def both(spark, sf):
     return A.objects(spark, sf), A.prototypes(spark, sf)
 
 
+BAG = "v as (select vec_id as i, list_transform(embedding, lambda x: x::double) as z from embeddings), c as (select i // 20 as sample_id, (i % 20) // 4 as m, i % 4 as k, z from v where i % 7 <> 3), b as (select sample_id, row_number() over (partition by sample_id order by m, k) - 1 as r, z from c), t as (select i // 20 as sample_id, z as t from v where i % 20 = 5), l as (select b.sample_id // 4 as batch, t.sample_id as i, b.sample_id as j, max(list_dot_product(t, z)) + 0.05 * ln(sum(exp((list_dot_product(t, z) - 1) / 0.05))) - max(list_dot_product(t, z)) + 1 as logit from t join b on t.sample_id // 4 = b.sample_id // 4 group by 1, 2, 3)"
+
+
 @query("b22_b24_vector_functions", "with v as (select vec_id, list_transform(embedding, lambda x: x::double) as z from embeddings), e as (select vec_id, z, list_transform(z, lambda x: exp((x - list_max(z)) / 0.5)) as e from v), q as (select vec_id, z, list_transform(e, lambda x: x / list_sum(e)) as q, list_max(z) + 0.5 * ln(list_sum(e)) as lse from e) select vec_id, round(lse, 6) as lse, round(-list_sum(list_transform(q, lambda p: p * ln(greatest(p, 1e-12)))), 6) as entropy, list_transform(q[1:4], lambda x: round(x, 6)) as probs, round(1 - list_product(list_transform(q, lambda x: 1 - x + 1e-7)), 6) as soft_or, round(exp(-0.5 * pow((lse - 0.5) / 2, 2)), 6) as gaussian from q")
 def b22_b24_vector_functions(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", V.doubles("embedding").alias("z")).withColumn("q", V.softmax("z", 0.5)).withColumn("lse", V.logsumexp("z", 0.5))
@@ -81,12 +84,30 @@ def g6_ema_update(spark, sf):
     return G.ema_update(state, G.batch_sums(o, p)).select("proto_id", F.round("ema_size", 6).alias("ema_size"), round_list(F.slice("p", 1, 4)).alias("p"))
 
 
-@query("g7_kmeans")
+def kmeans_sql(k: int, iters: int) -> str:
+    """Tables of spherical k-means over ro (obj_id, u, first: order of the first centre): c<k> holds the start, m<iters> the centres."""
+    unit = "list_transform({0}, lambda x: x / (sqrt(list_dot_product({0}, {0})) + 1e-8))"
+    far = "(select arg_min(u, (s, obj_id)) from (select r.obj_id, any_value(r.u) as u, round(max(list_dot_product(r.u, b.u)), 9) as s from ro r cross join {0} b group by 1))"
+    sql = "c1 as (select 0 as proto_id, " + unit.format("u") + " as u, u as raw from (select arg_min(u, first) as u from ro))"
+    for i in range(1, k):
+        sql += f", c{i + 1} as (select * from c{i} union all select {i}, " + unit.format("u") + f", u from (select {far.format(f'c{i}')} as u))"
+    sql += f", m0 as (select proto_id, u, raw from c{k})"
+    for i in range(iters):
+        sql += f""", a{i} as (select obj_id, arg_max(proto_id, round(s, 12) * 1000 - proto_id * 1e-9) as proto_id, any_value(u) as u from (select r.obj_id, r.u, b.proto_id, list_dot_product(r.u, b.u) as s from ro r cross join m{i} b) group by 1),
+s{i} as (select proto_id, list(x order by d) as v from (select proto_id, d, sum(x) as x from (select proto_id, unnest(u) as x, unnest(range(len(u))) as d from a{i}) group by 1, 2) group by 1),
+w{i} as (select b.proto_id, case when v is null then {far.format(f'm{i}')} else {unit.format('v')} end as raw from m{i} b left join s{i} using (proto_id)), m{i + 1} as (select proto_id, {unit.format('raw')} as u, raw from w{i})"""
+    return sql
+
+
+@query("g7_kmeans", VEC + f", ro as (select obj_id, u, ({sql_draw(0, 'obj_id')}, obj_id) as first from n), " + kmeans_sql(6, 4) + " select proto_id::int as proto_id, list_transform(raw[1:4], lambda x: round(x, 6)) as p from m4")
 def g7_kmeans(spark, sf):
     return G.kmeans_cosine(A.objects(spark, sf), 6, 4).select("proto_id", round_list(F.slice("p", 1, 4)).alias("p"))
 
 
-@query("g8_warm_start")
+G8_BEST = BAG + ", bt as (select sample_id, arg_max(z, s * 1000 - r * 1e-9) as z, max(s) as s from (select sample_id, r, z, round(list_dot_product(t, z) / ((sqrt(list_dot_product(t, t)) + 1e-8) * (sqrt(list_dot_product(z, z)) + 1e-8)), 12) as s from t join b using (sample_id)) group by 1)"
+
+
+@query("g8_warm_start", "with " + G8_BEST + f", ro as (select sample_id as obj_id, list_transform(z, lambda x: x / (sqrt(list_dot_product(z, z)) + 1e-8)) as u, ({sql_draw(0, 'sample_id')}, sample_id) as first from bt where s >= 0), " + kmeans_sql(4, 3) + " select proto_id::int as proto_id, 1.0::double as ema_size, list_transform(raw[1:4], lambda x: round(x, 6)) as p from m3")
 def g8_warm_start(spark, sf):
     tracks = B.flatten_candidates(A.bags(spark, sf))
     texts = A.objects(spark, sf).where("obj_id % 20 = 5").select(F.floor(F.col("obj_id") / 20).alias("sample_id"), F.col("z").alias("t"))
@@ -144,9 +165,6 @@ def g28_top_texts(spark, sf):
 
 # ---- bags ----------------------------------------------------------------------------------
 
-BAG = "v as (select vec_id as i, list_transform(embedding, lambda x: x::double) as z from embeddings), c as (select i // 20 as sample_id, (i % 20) // 4 as m, i % 4 as k, z from v where i % 7 <> 3), b as (select sample_id, row_number() over (partition by sample_id order by m, k) - 1 as r, z from c), t as (select i // 20 as sample_id, z as t from v where i % 20 = 5), l as (select b.sample_id // 4 as batch, t.sample_id as i, b.sample_id as j, max(list_dot_product(t, z)) + 0.05 * ln(sum(exp((list_dot_product(t, z) - 1) / 0.05))) - max(list_dot_product(t, z)) + 1 as logit from t join b on t.sample_id // 4 = b.sample_id // 4 group by 1, 2, 3)"
-
-
 def bag_inputs(spark, sf):
     texts = A.objects(spark, sf).where("obj_id % 20 = 5").select(F.floor(F.col("obj_id") / 20).alias("sample_id"), F.col("z").alias("t"))
     return texts, B.flatten_candidates(A.bags(spark, sf)), F.floor(F.col("sample_id") / 4)
@@ -182,7 +200,15 @@ def g12_candidate_weights(spark, sf):
     return rounded(B.candidate_weights(texts, bag), "weight")
 
 
-@query("g13_prototype_bag_scores")
+PROTO_BAG = "with " + BAG + ", pr as (select vec_id as proto_id, list_transform(embedding, lambda x: x::double / (sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-8)) as p from embeddings where vec_id < 8)"
+SOFT = "(select {0}, list(q order by proto_id) as q from (select {0}, proto_id, e / sum(e) over (partition by {0}) as q from (select {0}, proto_id, exp((s - max(s) over (partition by {0})) / 0.07) as e from (select {0}, proto_id, list_dot_product({1}, p) / (sqrt(list_dot_product({1}, {1})) + 1e-8) as s from {2} cross join pr))) group by {0})"
+G13_SQL = PROTO_BAG + ", qt as " + SOFT.format("sample_id", "t", "t") + ", qb as " + SOFT.format("sample_id, r", "z", "b") + """,
+pl as (select x.sample_id // 4 as batch, x.sample_id as i, y.sample_id as j, max(d) + 0.05 * ln(sum(exp((d - md) / 0.05))) - max(d) + any_value(md) as logit from (select x.sample_id, y.sample_id as js, list_dot_product(x.q, y.q) as d, max(list_dot_product(x.q, y.q)) over (partition by x.sample_id, y.sample_id) as md from qt x join qb y on x.sample_id // 4 = y.sample_id // 4) z join qt x on x.sample_id = z.sample_id join (select distinct sample_id from qb) y on y.sample_id = z.js group by 1, 2, 3),
+ce as (select batch, i, max(logit) + ln(sum(exp(logit - 0))) - max(logit) - max(case when i = j then logit end) as ce, arg_max(j, round(logit, 9) * 1000 - j * 1e-6) = i as hit, max(case when i = j then 1 end) as own, i % 3 + 1.0::double as w from pl group by 1, 2)
+select round(sum(ce * w) / sum(w), 6) as loss, round(sum(hit::int * w) / sum(w), 6) as accuracy from ce where own = 1"""
+
+
+@query("g13_prototype_bag_scores", G13_SQL)
 def g13_prototype_bag_scores(spark, sf):
     texts, bag, batch = bag_inputs(spark, sf)
     p = A.prototypes(spark, sf)
@@ -202,7 +228,12 @@ def g14_alignment_weights(spark, sf):
     return rounded(B.align_weight(texts, bag), "best_sim", "weight")
 
 
-@query("g15_concept_weights")
+G15_SQL = "with " + ALIGN + """, rg as (select unnest(range(10)) as gid, 0.5 + unnest(range(10)) / 10.0::double as cw), ca as (select vec_id // 20 as sample_id, vec_id % 4 as k, label as gid, list_transform(embedding, lambda x: x::double) as z from embeddings where (vec_id % 20) // 4 = 0 and vec_id % 7 <> 3),
+ne as (select sample_id, arg_max(gid, s * 1000 - k * 1e-9) as gid from (select aw.sample_id, k, gid, round(list_dot_product(b.z, ca.z) / ((sqrt(list_dot_product(b.z, b.z)) + 1e-8) * (sqrt(list_dot_product(ca.z, ca.z)) + 1e-8)), 9) as s from aw join b on b.sample_id = aw.sample_id and b.r = aw.best_track join ca on ca.sample_id = aw.sample_id) group by 1)
+select aw.sample_id, ne.gid, round(weight * coalesce(cw, 1), 6) as weight from aw left join ne using (sample_id) left join rg on rg.gid = ne.gid"""
+
+
+@query("g15_concept_weights", G15_SQL)
 def g15_concept_weights(spark, sf):
     texts, bag, _ = bag_inputs(spark, sf)
     registry = spark.createDataFrame([(i, 0.5 + i / 10) for i in range(10)], "global_id int, weight double")
@@ -244,10 +275,11 @@ def g24_track_frames(spark, sf):
     return B.track_frames(cands, B.build_tracks(cands, sim_thresh=0.2))
 
 
-@query("g25_text_queries", "with v as (select vec_id as i, list_transform(embedding, lambda x: x::double) as z from embeddings), no as (select i // 20 as s, z from v where i % 20 in (1, 2) and i // 20 % 2 = 0), d as (select s, unnest(range(len(z))) as d, unnest(z) as x from no), a as (select s, list(x order by d) as y from (select s, d, avg(x) as x from d group by 1, 2) group by 1), f as (select i // 20 as s, z from v where i % 20 = 5), r as (select f.s, coalesce(y, z) as y from f left join a using (s)) select s as sample_id, list_transform(y[1:4], lambda t: round(t / (sqrt(list_dot_product(y, y)) + 1e-8), 6)) as t from r")
+@query("g25_text_queries", "with v as (select vec_id as i, list_transform(embedding, lambda x: x::double) as z from embeddings), no as (select i // 20 * 2 as s, z from v where i % 20 in (1, 2)), d as (select s, unnest(range(len(z))) as d, unnest(z) as x from no), a as (select s, list(x order by d) as y from (select s, d, avg(x) as x from d group by 1, 2) group by 1), f as (select i // 20 as s, z from v where i % 20 = 5), r as (select f.s, coalesce(y, z) as y from f left join a using (s)) select s as sample_id, list_transform(y[1:4], lambda t: round(t / (sqrt(list_dot_product(y, y)) + 1e-8), 6)) as t from r")
 def g25_text_queries(spark, sf):
     o = A.objects(spark, sf).withColumn("sample_id", F.floor(F.col("obj_id") / 20))
-    out = B.text_query(o.where("obj_id % 20 in (1, 2) and sample_id % 2 = 0"), o.where("obj_id % 20 = 5").select("sample_id", "z"))
+    nouns = o.where("obj_id % 20 in (1, 2)").withColumn("sample_id", F.col("sample_id") * 2)  # of every second sample
+    out = B.text_query(nouns, o.where("obj_id % 20 = 5").select("sample_id", "z"))
     return out.select("sample_id", round_list(F.slice("t", 1, 4)).alias("t"))
 
 
@@ -369,21 +401,16 @@ def h15_run_comparison(spark, sf):
     return rounded(E.compare_runs(p.where("run_id = '0'"), p.where("run_id = '1'")), "base", "exp", "delta")
 
 
-@query("h12_clips", "with f as (select user_id as clip, row_number() over (partition by user_id order by ts, event_id) - 1 as fn, event_id from events), k as (select clip, fn from f where fn % 3 <> 1), a as (select event_id as anchor, clip, fn from f where event_id % 20 = 0), c as (select clip, list(fn order by fn) as fs from k group by 1), j as (select anchor, a.clip, fn, fs, coalesce(list_position(fs, fn) - 1, least(len(list_filter(fs, lambda x: x < fn)), len(fs) - 1)) as ce from a left join c using (clip)) select anchor, clip, list_transform(range(5), lambda i: fs[least(greatest(ce + (i - 2) * 2, 0), len(fs) - 1) + 1]) as frames from j")
-def h12_clips(spark, sf):
-    return clips_round(spark, sf, "event_id % 20 = 0")
+H12_SQL = "with f as (select user_id as clip, row_number() over (partition by user_id order by ts, event_id) - 1 as fn, event_id from events), k as (select clip, fn from f where fn % 3 <> 1), a as (select event_id as anchor, clip, fn from f), c as (select clip, list(fn order by fn) as fs from k group by 1), j as (select anchor, a.clip, fn, fs, coalesce(list_position(fs, fn) - 1, least(len(list_filter(fs, lambda x: x < fn)), len(fs) - 1)) as ce from a left join c using (clip)) select anchor, clip, list_transform(range(5), lambda i: fs[least(greatest(ce + (i - 2) * 2, 0), len(fs) - 1) + 1]) as frames from j"
 
 
-@query("h12_clips_all")
-def h12_clips_all(spark, sf):
+@query("h12_clips", H12_SQL)
+@query("h12_clips_all", H12_SQL)
+def h12_clips(spark, sf):
     """Every event is an anchor."""
-    return clips_round(spark, sf, "true")
-
-
-def clips_round(spark, sf, which):
     f = A.frame_events(spark, sf)
     frames = f.where("frame_idx % 3 <> 1").select("clip", F.col("frame_idx").alias("frame_num"))
-    anchors = f.where(which).select(F.col("event_id").alias("anchor"), "clip", F.col("frame_idx").alias("frame_num"))
+    anchors = f.select(F.col("event_id").alias("anchor"), "clip", F.col("frame_idx").alias("frame_num"))
     return E.build_clips(anchors, frames, 5, 2)
 
 
@@ -446,7 +473,14 @@ def h22_bleu(spark, sf):
     return rounded(P.bleu(caption_pairs(spark, sf)), "bleu_1", "bleu_2", "bleu_3", "bleu_4")
 
 
-@query("h22_rouge_l")
+ROUGE_SQL = r"""with recursive b as (select item_id as key, string_split_regex(lower(text), '\s+') as ref from benchmark), p as (select key, ref, list_filter(ref, lambda w, i: (i - 1 + key) % 7 <> 0) as hyp from b),
+l as (select key, hyp, ref, 0 as i, list_transform(range(len(ref) + 1), lambda x: 0) as row_ from p
+  union all select key, hyp, ref, i + 1, list_transform(range(len(ref) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: case when k > 0 and hyp[i + 1] = ref[k] then greatest(row_[k + 1], row_[k] + 1) else row_[k + 1] end))) from l where i < len(hyp)),
+n as (select key, len(hyp) as a, len(ref) as b, row_[len(row_)] as c from l where i = len(hyp)), f as (select key, c, c / a::double as p, c / b::double as r from n)
+select key, round(case when c > 0 then (1 + 1.44::double) * p * r / (r + 1.44::double * p) else 0 end, 6) as rouge_l from f"""
+
+
+@query("h22_rouge_l", ROUGE_SQL)
 def h22_rouge_l(spark, sf):
     return rounded(P.rouge_l(caption_pairs(spark, sf)), "rouge_l")
 
