@@ -165,12 +165,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     last = F.coalesce(F.lag("p").over(each), F.lit(-1))
     once = windows_of(places.dropDuplicates(["h1", "h2", "size", "p"]).withColumn("last", last), "h1", "h2")
     once = written(once.withColumn("fp", fingerprint(F.col("tags"))))
-    # 3: candidates from the blocks
+    # 3: candidates from the blocks; the index grows with the benchmark, so it is never broadcast
     around = F.array(*[F.lit(x) for x in ball()])
     index = items.select("it", "size", F.col("fp").alias("item_fp"), F.explode(block_values(F.col("fp"))).alias("b"))
     index = index.select("it", "size", "item_fp", "b.block", F.explode(F.transform(around, lambda x: F.col("b.value").bitwiseXOR(x))).alias("value"))
     probes = once.select("size", "fp").distinct().select("size", "fp", F.explode(block_values(F.col("fp"))).alias("b")).select("size", "fp", "b.*")
-    found = probes.join(index, ["size", "block", "value"]).where(distance(F.col("fp"), F.col("item_fp")) <= RADIUS).select("size", "fp", "it").distinct()
+    found = probes.join(index.hint("merge"), ["size", "block", "value"]).where(distance(F.col("fp"), F.col("item_fp")) <= RADIUS).select("size", "fp", "it").distinct()
     pairs = once.join(found, ["size", "fp"]).select("h1", "h2", "it", "tags")
     short = places.where(F.least("n", "size") - F.col("k") + 1 < FEW).withColumn("last", F.lit(-1))
     pairs = pairs.unionByName(windows_of(short, "h1", "h2", "it").select("h1", "h2", "it", "tags"))
