@@ -24,10 +24,15 @@ def norm(c: str | Column) -> Column:
     return F.sqrt(F.aggregate(col(c), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is evaluated once a row: inside a lambda an outer expression is evaluated for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def l2_normalize(c: str | Column, eps: float = 1e-8, mode: str = "add") -> Column:
     """x / (norm + eps), or x / max(norm, eps) with mode 'max'."""
     n = norm(c) + eps if mode == "add" else F.greatest(norm(c), F.lit(eps))
-    return F.transform(F.arrays_zip(col(c).alias("x"), F.array_repeat(n, F.size(col(c))).alias("n")), lambda z: z["x"] / z["n"])
+    return let(n, lambda m: F.transform(col(c), lambda x: x / m))
 
 
 def cosine(a: str | Column, b: str | Column, eps: float = 1e-8) -> Column:
@@ -36,14 +41,12 @@ def cosine(a: str | Column, b: str | Column, eps: float = 1e-8) -> Column:
 
 def logsumexp(c: str | Column, tau: float = 1.0) -> Column:
     """tau * log(sum(exp(x / tau))), from the largest."""
-    top = F.array_max(col(c))
-    return top + tau * F.log(F.aggregate(F.transform(col(c), lambda x: F.exp((x - top) / tau)), F.lit(0.0), lambda s, x: s + x))
+    return let(F.array_max(col(c)), lambda top: top + tau * F.log(F.aggregate(col(c), F.lit(0.0), lambda s, x: s + F.exp((x - top) / tau))))
 
 
 def softmax(c: str | Column, tau: float = 1.0) -> Column:
-    top = F.array_max(col(c))
-    e = F.transform(col(c), lambda x: F.exp((x - top) / tau))
-    return F.transform(e, lambda x: x / total(e))
+    exps = let(F.array_max(col(c)), lambda top: F.transform(col(c), lambda x: F.exp((x - top) / tau)))
+    return let(exps, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def entropy(c: str | Column, eps: float = 1e-12) -> Column:

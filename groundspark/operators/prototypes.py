@@ -1,13 +1,14 @@
 """Prototype codebooks: soft, hard and balanced assignment, losses, EMA updates, k-means, usage.
 
 A codebook (proto_id, p) is small by definition (at most MOST rows, checked) and is sent to the tasks as
-one array column; objects are never shuffled to be assigned.
+one array; objects are never shuffled to be assigned, and a task multiplies its batches with it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundspark.functions import vectors as V
 
@@ -24,9 +25,26 @@ def codebook(protos: DataFrame) -> DataFrame:
 
 
 def similarities(objs: DataFrame, protos: DataFrame, vector: str = "z") -> DataFrame:
-    """objs with sims: cosine to each prototype, in the order of proto_id."""
-    cb = codebook(protos).select(F.transform("cb", lambda x: V.l2_normalize(x["p"])).alias("ps"))
-    return objs.crossJoin(F.broadcast(cb)).withColumn("__u", V.l2_normalize(vector)).withColumn("sims", F.transform("ps", lambda p: V.dot(F.col("__u"), p))).drop("ps", "__u")
+    """objs with sims: cosine to each prototype, in the order of proto_id; null for a vector that is null or of another length."""
+    book = [_unit(r["p"]) for r in codebook(protos).first()["cb"]]  # at most MOST vectors
+    keep = [c for c in objs.columns if c != "sims"]
+    at = len(keep)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        p = np.array(book, float).reshape(len(book), len(book[0]) if book else 0)
+        for batch in batches:
+            v = batch.column(at)
+            fits = v.is_valid().to_numpy(zero_copy_only=False) & (v.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == p.shape[1])
+            z = v.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(int(fits.sum()), p.shape[1])
+            sims = (z / (np.sqrt((z * z).sum(1, keepdims=True)) + 1e-8)) @ p.T
+            ends = pa.array(np.concatenate([[0], np.cumsum(fits * len(p))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.ListArray.from_arrays(ends, pa.array(sims.ravel()), mask=pa.array(~fits))], [*keep, "sims"])
+
+    schema = T.StructType([objs.schema[c] for c in keep] + [T.StructField("sims", T.ArrayType(T.DoubleType()))])
+    return objs.select(*keep, F.col(vector).alias("__vector")).mapInArrow(run, schema)
 
 
 def soft_assign(objs: DataFrame, protos: DataFrame, tau: float = 0.07) -> DataFrame:
