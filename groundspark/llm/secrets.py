@@ -2,16 +2,22 @@
 
 Candidates are tokens of 8 or more key characters that hold a digit, runs of 16 or more capitals,
 tokens of 16 or more in mixed case, and values of any characters that are assigned to a keyword
-(four or more; quoted ones may hold blanks). A random forest judges each by its length, mix and transitions of character classes, distinct
-characters, coverage by frequent words of the corpus, path-like separators, and the words before
-and after it. It is trained on labelled findings: a DataFrame of documents' findings with a column
-label, or, by default, a bounded sample (LABELLED of each label, by hash) of the findings whose
-form alone is a sure label: provider formats and quoted or assigned keys beside plainly other
-things (addresses, numbers, dates, telephone and card numbers, prose).
+(four or more; quoted ones may hold blanks). That stage is wide on purpose. A random forest judges
+each candidate by its length, mix and transitions of character classes, distinct characters,
+coverage by frequent words of the corpus, path-like separators, and the neighbouring words: whether
+a keyword is near, and how often each word or mark beside it stood beside secrets and beside other
+findings in the training sample.
+
+It is trained on labelled findings: a DataFrame of findings with a column label. Where none is
+given, findings whose form alone is a sure label (provider formats, quoted or assigned keys; plainly
+other things such as addresses, numbers, dates, telephone and card numbers, prose) label a sample,
+from documents that aren't held out (crc32 of the key mod FOLDS is not 0). No feature is a label
+rule, and no held-out document is learnt from, so agreement() over those tells what the forest does.
 
 Defined results: null and empty texts have no findings; a candidate that a document holds more than
-once is one finding, judged at all its places and given in the one of highest score; equal keys are reported together; without
-findings of both labels nothing is trained and sure findings alone count as secret.
+once is one finding, judged at all its places and given in the one of highest score; equal keys are
+reported together; without findings of both labels nothing is trained and sure findings alone count
+as secret; rows of null key aren't held out.
 """
 
 from __future__ import annotations
@@ -25,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 LABELLED = 4000  # findings of each label in the training sample
-FREQUENT = 200  # words of the dictionary
+FREQUENT = 2000  # words of the dictionary
+NEIGHBOURS = 400  # words and marks beside findings whose weight is learnt
+FOLDS = 5  # one in so many documents is held out of training
 BEFORE, AFTER = 32, 12  # characters of context
 REDACTED = "[SECRET]"
 
@@ -75,17 +83,38 @@ def sure_label(candidate: F.Column, before: F.Column, after: F.Column) -> F.Colu
     return F.when(secret, 1).when(other, 0)
 
 
+def held_out(key: F.Column) -> F.Column:
+    return F.coalesce(F.crc32(key.cast("string")) % FOLDS == 0, F.lit(False))
+
+
 def frequent_words(documents: DataFrame, text: str = "text", n: int = FREQUENT) -> list[str]:
     """The n words of three letters or more that are most frequent in all texts."""
     letters = F.explode(F.split(F.lower(F.col(text)), "[^a-z]+")).alias("w")
     return [r.w for r in documents.select(letters).where(F.length("w").between(3, 12)).groupBy("w").count().orderBy(F.desc("count"), "w").limit(n).collect()]
 
 
-def features(df: DataFrame, dictionary: list[str]) -> DataFrame:
+def neighbours() -> F.Column:
+    """The last four words or marks before a candidate, and the first after it."""
+    found = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"\p{L}+|[^\p{L}\s]"), F.lit(0))
+    return F.concat(F.reverse(F.slice(F.reverse(found("before")), 1, 4)), F.transform(F.slice(found("after"), 1, 1), lambda x: F.concat(F.lit(">"), x)))
+
+
+def neighbour_weights(sample: DataFrame) -> dict[str, float]:
+    """Log-odds of a secret for the NEIGHBOURS most frequent neighbours of a labelled sample."""
+    seen = sample.select("label", F.explode(F.array_distinct(neighbours())).alias("w")).groupBy("w").agg(F.sum("label").alias("hits"), F.count("*").alias("n"))
+    weight = F.log((F.col("hits") + 1) / (F.col("n") - F.col("hits") + 1))
+    return {r.w: r.x for r in seen.orderBy(F.desc("n"), "w").limit(NEIGHBOURS).select("w", weight.alias("x")).collect()}
+
+
+def features(df: DataFrame, dictionary: list[str], weights: dict[str, float]) -> DataFrame:
     """df with a column features."""
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
-    covered = 1 - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(dictionary, key=lambda w: (-len(w), w))) or "(?!)", "")) / n
+    runs = F.split(F.lower(F.regexp_replace(c, "(?<=[a-z])(?=[A-Z])", " ")), "[^a-z]+")
+    known = F.array(*map(F.lit, dictionary)) if dictionary else F.array().cast("array<string>")
+    covered = F.aggregate(F.array_intersect(runs, known), F.lit(0), lambda t, w: t + F.length(w)) / n
+    table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map(F.lit(""), F.lit(0.0))
+    near = F.transform(neighbours(), lambda w: F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
     columns = {
         "f_length": n,
         "f_digits": share("[0-9]"),
@@ -99,22 +128,24 @@ def features(df: DataFrame, dictionary: list[str]) -> DataFrame:
         "f_dictionary": covered,
         "f_path": share("[/.]"),
         "f_dashes": share("[-_+~]"),
+        "f_marks": share("[^A-Za-z0-9/.+~_-]"),
         "f_keyword": F.col("before").rlike(KEYWORD).cast("double"),
-        "f_assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"),
-        "f_quoted": (F.col("before").rlike(r"[\"']$") & F.col("after").rlike(r"^[\"']")).cast("double"),
+        "f_neighbours": F.aggregate(near, F.lit(0.0), lambda t, x: t + x),
         "f_joined": (F.col("before").rlike(r"\S$") | F.col("after").rlike(r"^[^\s.,;:\"')]")).cast("double"),
-        "f_words_before": F.regexp_count(F.col("before"), F.lit(r"\b[a-z]+\b")).cast("double"),
     }
     out = df.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in columns.items()})
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(out).drop(*columns)
 
 
 def train(labelled: DataFrame, dictionary: list[str], seed: int = 11):
-    """A forest from findings with label 0 or 1, or None where a label is missing. The sample is bounded by LABELLED a label."""
+    """A forest and its neighbour weights from findings with label 0 or 1, or None where a label is missing. The sample is bounded by LABELLED a label."""
     parts = [written(labelled.where(F.col("label") == k).orderBy(F.xxhash64("candidate", "before", "after"), "candidate", "before", "after").limit(LABELLED).select("candidate", "before", "after", F.lit(float(k)).alias("label"))) for k in (0, 1)]
     if not all(p.head(1) for p in parts):
         return None
-    return RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, labelCol="label", featuresCol="features").fit(features(parts[0].union(parts[1]).coalesce(2), dictionary))
+    sample = parts[0].union(parts[1]).coalesce(2)
+    weights = neighbour_weights(sample)
+    forest = RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, labelCol="label", featuresCol="features")
+    return forest.fit(features(sample, dictionary, weights)), weights
 
 
 def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
@@ -122,16 +153,25 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", labelled
     found = written(findings(documents, key, text))
     dictionary = frequent_words(documents, text)
     sure = sure_label(F.col("candidate"), F.col("before"), F.col("after"))
-    model = train(labelled if labelled is not None else found.withColumn("label", sure).where("label is not null"), dictionary)
-    if model is None:
+    if labelled is None:
+        labelled = found.where(~held_out(F.col(key))).withColumn("label", sure).where("label is not null")
+    trained = train(labelled, dictionary)
+    if trained is None:
         judged = found.withColumn("score", F.coalesce(sure, F.lit(0)).cast("double"))
     else:
-        judged = model.transform(features(found, dictionary)).withColumn("score", vector_to_array("probability")[1])
+        judged = trained[0].transform(features(found, dictionary, trained[1])).withColumn("score", vector_to_array("probability")[1])
     best = F.max(F.struct("score", "before", "after")).alias("__best")
     best = judged.select(key, "candidate", "before", "after", "score").groupBy(key, "candidate").agg(best)
     return best.select(key, "candidate", "__best.before", "__best.after", "__best.score").withColumn("secret", (F.col("score") >= 0.5).cast("int"))
 
 
+def agreement(findings_: DataFrame, *by: str) -> DataFrame:
+    """right, missed, false, precision and recall of findings with columns secret and truth (0 or 1), by columns."""
+    n = lambda secret, truth: F.sum(((F.col("secret") == secret) & (F.col("truth") == truth)).cast("long"))
+    counts = findings_.groupBy(*by).agg(n(1, 1).alias("right"), n(0, 1).alias("missed"), n(1, 0).alias("false"))
+    return counts.withColumn("precision", F.try_divide("right", F.col("right") + F.col("false"))).withColumn("recall", F.try_divide("right", F.col("right") + F.col("missed")))
+
+
 def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
     """documents with every secret of their texts replaced by REDACTED; other columns and rows stay as they are."""
     secrets = scan(documents, key, text, labelled).where("secret = 1").groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("__found"))
@@ -144,5 +184,5 @@ def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", labell
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    """doc_id, finding (SHA-256 of the candidate), n_chars of the candidate, score and secret of every finding."""
-    return scan(documents).select("doc_id", F.sha2("candidate", 256).alias("finding"), F.length("candidate").alias("n_chars"), "score", "secret")
+    """doc_id, held_out, finding (SHA-256 of the candidate), n_chars of the candidate, score and secret of every finding."""
+    return scan(documents).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.sha2("candidate", 256).alias("finding"), F.length("candidate").alias("n_chars"), "score", "secret")
