@@ -518,3 +518,33 @@ def test_findings_against_plain_patterns(spark):
     values = re.compile(f"({secrets.ASSIGNMENT[4:]})({secrets.VALUE})", re.I)  # without the flag that only Java takes inside a group
     for i, t in enumerate(texts_):
         assert got[i] == {m.group() for m in re.finditer(secrets.CANDIDATE, t)} | {m.group(3) for m in values.finditer(t)}
+
+
+def odd_rows(spark):
+    """Repeated and null ids with different texts, repeated rows, null and empty texts."""
+    r = random.Random(41)
+    a, b = words(r, 120), words(r, 120)
+    rows = [(1, a), (1, b), (1, a), (2, b), (None, a), (None, None), (None, None), (3, None), (3, ""), (4, "one"), (5, a + " " + b)]
+    return rows, spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, row int, component string").repartition(3)
+
+
+def test_ids_that_repeat_or_lack(spark):
+    rows, df = odd_rows(spark)
+    sim = simhash.digests(df).collect()
+    assert len(sim) == len(rows)
+    ids = defaultdict(set)
+    for x in sim:
+        ids[x.fingerprint].add(x.component_id)
+    assert all(len(v) == 1 for v in ids.values())
+    empty_ = {x.component_id for x in sim if x.fingerprint == "0" * 16}
+    assert empty_ == {3} and {x.component_id for x in sim if x.doc_id == 2} == {1}
+    assert len(pieces.digests(df, piece_model()).collect()) == len(rows)
+    scored = hmm_lm.scored(df).collect()
+    assert len(scored) == len(rows) and sorted(str(x.doc_id) for x in scored) == sorted(str(i) for i, _ in rows)
+    bad, labels = toxic_corpus()
+    extra = spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(bad)], "doc_id long, text string, row int, component string")
+    labels_ = spark.createDataFrame([*labels, (None, None, 1), (1, None, 0)], "doc_id long, quality int, toxic int")
+    tox = toxicity.scored(df.union(extra), labels_).collect()
+    assert len(tox) == len(rows) + len(bad) and all(0 <= x.score <= 1 for x in tox) and not any(x.held_out for x in tox if x.doc_id is None)
+    assert len(substring_dedup.digests(df).collect()) == len(rows)
+    assert secrets.scan(df).count() == 0 and secrets.redact(df).count() == len(rows)
