@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.functions import text as X
@@ -84,36 +84,70 @@ def implication_loss(df: DataFrame, edges: DataFrame, weights: DataFrame, mode:
     return per.agg(F.try_divide(F.sum(F.col("hinge") * F.col("w")), F.sum("w")).alias("loss"))
 
 
-def visibility(utts: DataFrame, labels: DataFrame, window: int) -> DataFrame:
+MOST = 4096  # concepts that labels are searched for as substrings: they are sent as one array
+#: Concepts that fill a scene, whose examples count half.
+AVOIDED = "floor ground kitchen road room sand".split()
+
+
+def matched_labels(labels: DataFrame, concepts: DataFrame, match: str = "exact") -> DataFrame:
+    """labels (clip, frame_idx, label) with the concepts (column concept) they stand for: equal, one of the label's words (token), or anywhere in it (substring)."""
+    if match == "exact":
+        return labels.select("clip", "frame_idx", F.col("label").alias("concept"))
+    each = labels.select("label").distinct()
+    if match == "token":
+        known = each.select("label", F.explode(F.array_distinct(X.tokenize_alpha("label"))).alias("concept")).join(concepts.select("concept").distinct(), "concept", "left_semi")
+    else:
+        names = [r.concept for r in concepts.select("concept").distinct().limit(MOST + 1).collect()]
+        if len(names) > MOST:
+            raise ValueError(f"labels are searched for {MOST} concepts at most")
+        known = each.select("label", F.explode(F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda c: F.contains(F.col("label"), c))).alias("concept"))
+    return labels.select("clip", "frame_idx", "label").join(known, "label").drop("label")
+
+
+def visibility(utts: DataFrame, labels: DataFrame, window: int, match: str = "exact") -> DataFrame:
     """(utt, concept) with paired and near flags: the concept is labelled in the paired frame, or within window frames of the clip.
 
     utts: utt, clip, frame_idx, concept; labels: clip, frame_idx, label. Offsets are exploded over distinct mentions, then joined by equality.
     """
-    seen = labels.select("clip", "frame_idx", F.col("label").alias("concept")).distinct()
+    seen = matched_labels(labels, utts, match).distinct()
     u = utts.select("utt", "clip", "frame_idx", "concept").distinct()
     moved = u.select("utt", "clip", "concept", F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("offset"), "frame_idx").withColumn("frame_idx", F.col("frame_idx") + F.col("offset"))
     hits = moved.join(seen, ["clip", "frame_idx", "concept"], "left_semi").groupBy("utt", "concept").agg(F.max((F.col("offset") == 0).cast("int")).alias("paired"), F.lit(1).alias("near"))
     return u.select("utt", "concept").join(hits, ["utt", "concept"], "left").na.fill(0, ["paired", "near"])
 
 
-def temporal_misalignment(utts: DataFrame, labels: DataFrame, window_sec: float = 2.0, fps: float = 5.0) -> DataFrame:
+def temporal_misalignment(utts: DataFrame, labels: DataFrame, window_sec: float = 2.0, fps: float = 5.0, match: str = "exact") -> DataFrame:
     """concept (null: any), n, paired, near and both rates."""
-    v = visibility(utts, labels, int(round(window_sec * fps)))
+    v = visibility(utts, labels, int(round(window_sec * fps)), match)
     any_ = v.groupBy("utt").agg(F.max("paired").alias("paired"), F.max("near").alias("near")).select(F.lit(None).cast("string").alias("concept"), "paired", "near")
     rows = v.select("concept", "paired", "near").unionByName(any_)
     g = rows.groupBy("concept").agg(F.count("*").alias("n"), F.sum("paired").alias("paired"), F.sum("near").alias("near"))
     return g.withColumn("paired_rate", F.col("paired") / F.greatest("n", F.lit(1))).withColumn("near_rate", F.col("near") / F.greatest("n", F.lit(1)))
 
 
-def mine_misaligned(utts: DataFrame, masks: DataFrame, window: int = 10, mu: float = 0.1, sigma: float = 0.1, per_concept: int = 4, top: int = 30) -> DataFrame:
-    """utterances whose paired frame lacks the concept but whose neighbours show it: best examples by a Gaussian of the area fraction and the visible share.
+def mine_misaligned(utts: DataFrame, masks: DataFrame, frames: DataFrame, window: int = 10, fps: float = 5.0, per_concept: int = 4, top: int = 30, avoid: list[str] = AVOIDED, only_bare: bool = True) -> DataFrame:
+    """mentions whose paired frame lacks the concept while frames up to window away show it: the best per_concept of each concept, the best top of all.
 
-    masks: clip, frame_idx, concept, area_frac (0.01 .. 0.45 are usable).
+    utts: utt, clip, frame_idx, concept (a row a mention). masks: clip, frame_idx, concept, area_frac, compactness. frames: clip, n
+    (its frames are 0 .. n - 1). only_bare: no concept of the utterance is in the paired frame. The largest mask (the earliest of
+    equals) has an area of 0.01 .. 0.45 and fills a tenth of its box; at most 0.55 of the frames in reach show it. Score: 100, 40,
+    45 and 25 times the Gaussians of area, time to the nearest, visible share and compactness; half of it for avoided concepts.
     """
-    usable = masks.where("area_frac between 0.01 and 0.45").groupBy("clip", "frame_idx", "concept").agg(F.max("area_frac").alias("area_frac"))
-    moved = utts.select("utt", "clip", "concept", "frame_idx", F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("offset")).withColumn("at", F.col("frame_idx") + F.col("offset"))
-    hits = moved.join(usable.withColumnRenamed("frame_idx", "at"), ["clip", "at", "concept"])
-    best = hits.groupBy("utt", "concept").agg(F.sum((F.col("offset") == 0).cast("int")).alias("paired"), F.count("*").alias("n"), F.max_by("offset", F.struct("area_frac", -F.abs("offset"), "offset")).alias("offset"), F.max("area_frac").alias("area_frac"))
-    share = F.col("n") / F.lit(2 * window + 1)
-    scored = best.where((F.col("paired") == 0) & (share <= 0.55)).withColumn("score", F.round(0.7 * V.gaussian("area_frac", mu, sigma) + 0.3 * (1 - share), 9))
-    return cap_per_group(scored, ["concept"], per_concept, F.desc("score"), F.col("utt"), name="rank").orderBy(F.desc("score"), "concept", "utt").limit(top).select("utt", "concept", "offset", "area_frac", "score", "rank")
+    largest = masks.where("area_frac > 0").groupBy("clip", "frame_idx", "concept").agg(F.max(F.struct("area_frac", "compactness")).alias("m"))
+    largest = largest.select("clip", F.col("frame_idx").alias("at"), "concept", "m.*")
+    u = utts.select("utt", "clip", "frame_idx", "concept").distinct()
+    hits = u.select("*", F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("offset")).withColumn("at", F.col("frame_idx") + F.col("offset")).join(largest, ["clip", "at", "concept"])
+    by = Window.partitionBy("utt", "clip", "frame_idx")
+    away = F.col("offset") != 0
+    found = hits.groupBy("utt", "clip", "frame_idx", "concept").agg(
+        F.max((~away).cast("int")).alias("paired"), F.count(F.when(away, 1)).alias("n"), F.min(F.when(away, F.abs("offset"))).alias("nearest"),
+        F.max(F.when(away, F.struct("area_frac", (-F.col("offset")).alias("o"), "compactness"))).alias("best"),
+    )
+    found = found.withColumn("seen", F.max("paired").over(by)).where((F.col("seen") == 0) if only_bare else (F.col("paired") == 0)).where("n > 0").join(frames.select("clip", F.col("n").alias("size")), "clip")
+    reach = F.least(F.col("frame_idx"), F.lit(window)) + F.least(F.col("size") - 1 - F.col("frame_idx"), F.lit(window))
+    f = found.select("utt", "concept", (-F.col("best.o")).alias("offset"), "best.area_frac", "best.compactness", "nearest", (F.col("n") / F.greatest(reach, F.lit(1))).alias("share"))
+    f = f.where("area_frac between 0.01 and 0.45 and share <= 0.55 and compactness >= 0.10")
+    score = 100 * V.gaussian("area_frac", 0.12, 0.10) + 40 * V.gaussian(F.col("nearest") / fps, 0.4, 0.45) + 45 * V.gaussian("share", 0.25, 0.18) + 25 * V.gaussian("compactness", 0.55, 0.25)
+    scored = f.withColumn("score", F.round(F.when(F.col("concept").isin(avoid), score / 2).otherwise(score), 9))
+    ranked = cap_per_group(scored, ["concept"], per_concept, F.desc("score"), F.col("utt"), name="rank")
+    return ranked.orderBy(F.desc("score"), "concept", "utt").limit(top).select("utt", "concept", "offset", "area_frac", "compactness", "share", "score", "rank")

@@ -281,17 +281,45 @@ def f10_temporal_misalignment(spark, sf):
     return K.temporal_misalignment(u, f).withColumn("paired_rate", F.round("paired_rate", 6)).withColumn("near_rate", F.round("near_rate", 6))
 
 
-F11_SQL = f"""with {EVENTS}, us as (select clip, frame_idx, label, max(value / 200) as a from fr where value / 200 between 0.01 and 0.45 group by 1, 2, 3),
-h as (select utt, u.concept, s.frame_idx - u.frame_idx as offset_, a from ut u join us s on s.clip = u.clip and s.label = u.concept and s.frame_idx between u.frame_idx - 10 and u.frame_idx + 10),
-b as (select utt, concept, sum((offset_ = 0)::int) as paired, count(*) as n, first(offset_ order by a desc, abs(offset_), offset_ desc) as offset_, max(a) as a from h group by 1, 2),
-s as (select *, round(0.7::double * exp(-0.5::double * pow((a - 0.1::double) / 0.1::double, 2)) + 0.3::double * (1 - n / 21.0::double), 9) as score from b where paired = 0 and n / 21.0::double <= 0.55),
+F11_SQL = f"""with {EVENTS}, sz as (select clip, count(*) as size from fr group by 1), ma as (select clip, frame_idx as at, label as concept, value / 200 as a, (event_id % 9 + 1) / 10.0::double as c from fr where value > 0),
+h as (select utt, u.clip, u.frame_idx, u.concept, s.at - u.frame_idx as o, a, c from ut u join ma s on s.clip = u.clip and s.concept = u.concept and s.at between u.frame_idx - 10 and u.frame_idx + 10),
+b as (select utt, clip, frame_idx, concept, max((o = 0)::int) as paired, count(*) filter (o <> 0) as n, min(abs(o)) filter (o <> 0) as near_, first(o order by a desc, o) filter (o <> 0) as o, first(a order by a desc, o) filter (o <> 0) as a, first(c order by a desc, o) filter (o <> 0) as c from h group by 1, 2, 3, 4),
+f as (select *, n / greatest(least(frame_idx, 10) + least(size - 1 - frame_idx, 10), 1)::double as share from b join sz using (clip) where paired = 0 and n > 0),
+s as (select *, round((100 * exp(-0.5::double * pow((a - 0.12::double) / 0.1::double, 2)) + 40 * exp(-0.5::double * pow((near_ / 5.0::double - 0.4::double) / 0.45::double, 2)) + 45 * exp(-0.5::double * pow((share - 0.25::double) / 0.18::double, 2)) + 25 * exp(-0.5::double * pow((c - 0.55::double) / 0.25::double, 2))) / case when concept = 'error' then 2 else 1 end, 9) as score from f where a between 0.01 and 0.45 and share <= 0.55 and c >= 0.1),
 r as (select *, row_number() over (partition by concept order by score desc, utt) as rank from s)
-select utt, concept, offset_ as "offset", round(a, 6) as area_frac, round(score, 6) as score, rank from r where rank <= 4 order by r.score desc, concept, utt limit 30"""
+select utt, concept, o as "offset", round(a, 6) as area_frac, round(c, 6) as compactness, round(share, 6) as share, round(score, 5) as score, rank from r where rank <= 4 order by r.score desc, concept, utt limit 30"""
 
 
 @query("f11_mined_examples", F11_SQL)
 @query("f11_mined_examples_all", F11_SQL)
 def f11_mined_examples(spark, sf):
     f, u = spoken(spark, sf)
-    m = f.select("clip", "frame_idx", F.col("label").alias("concept"), (F.col("value") / 200).alias("area_frac"))
-    return K.mine_misaligned(u, m).select("utt", "concept", "offset", F.round("area_frac", 6).alias("area_frac"), F.round("score", 6).alias("score"), "rank")
+    m = f.select("clip", "frame_idx", F.col("label").alias("concept"), (F.col("value") / 200).alias("area_frac"), ((F.col("event_id") % 9 + 1) / 10).alias("compactness"))
+    sizes = f.groupBy("clip").agg(F.count("*").alias("n"))
+    out = K.mine_misaligned(u, m, sizes, avoid=["error"])
+    return out.select("utt", "concept", "offset", *[F.round(c, 6).alias(c) for c in ("area_frac", "compactness", "share")], F.round("score", 5).alias("score"), "rank")
+
+
+MATCHED = """, la as (select clip, frame_idx, case when clip % 2 = 0 then 'big ' || label || '-box' else label || 's' end as label from fr),
+v as (select utt, u.concept, max((f.frame_idx = u.frame_idx)::int) as paired, 1 as near from ut u join la f on f.clip = u.clip and @@ and f.frame_idx between u.frame_idx - 10 and u.frame_idx + 10 group by 1, 2),
+a as (select utt, ut.concept, coalesce(paired, 0) as paired, coalesce(near, 0) as near from ut left join v using (utt)),
+r as (select concept, paired, near from a union all select null, paired, near from a)
+select concept, count(*) as n, sum(paired)::bigint as paired, sum(near)::bigint as near, round(sum(paired) / count(*), 6)::double as paired_rate, round(sum(near) / count(*), 6)::double as near_rate from r group by 1"""
+
+
+def matched(spark, sf, match):
+    """Labels with words or letters round the concept."""
+    f, u = spoken(spark, sf)
+    label = F.when(F.col("clip") % 2 == 0, F.concat(F.lit("big "), "label", F.lit("-box"))).otherwise(F.concat("label", F.lit("s")))
+    out = K.temporal_misalignment(u, f.withColumn("label", label), match=match)
+    return out.withColumn("paired_rate", F.round("paired_rate", 6)).withColumn("near_rate", F.round("near_rate", 6))
+
+
+@query("f10_matched_by_word", f"with {EVENTS}" + MATCHED.replace("@@", "list_contains(string_split_regex(f.label, '[^a-z]+'), u.concept)"))
+def f10_matched_by_word(spark, sf):
+    return matched(spark, sf, "token")
+
+
+@query("f10_matched_within", f"with {EVENTS}" + MATCHED.replace("@@", "contains(f.label, u.concept)"))
+def f10_matched_within(spark, sf):
+    return matched(spark, sf, "substring")

@@ -79,13 +79,19 @@ def test_every_event_is_an_utterance(spark, sf):
 
 
 def test_examples_are_mined_from_all_events(spark, sf):
+    bell = lambda x, mu, sigma: math.exp(-0.5 * ((x - mu) / sigma) ** 2)
     said, want = spoken(spark), defaultdict(list)
     for clip in frames().values():
         for i, e in enumerate(clip):
-            hits = [(x[4] / 200, j - i) for j, x in enumerate(clip) if x[2] == said[e[0]] and abs(j - i) <= 10 and 0.01 <= x[4] / 200 <= 0.45]
-            if hits and all(o for _, o in hits) and len(hits) / 21 <= 0.55:
-                score = 0.7 * math.exp(-0.5 * ((max(hits)[0] - 0.1) / 0.1) ** 2) + 0.3 * (1 - len(hits) / 21)
-                want[said[e[0]]].append((-round(score, 9), e[0]))
+            reach = [j for j in range(max(0, i - 10), min(len(clip), i + 11)) if j != i]
+            hits = [(clip[j][4] / 200, i - j, (clip[j][0] % 9 + 1) / 10) for j in reach if clip[j][2] == said[e[0]] and clip[j][4] > 0]
+            if not hits or (e[2] == said[e[0]] and e[4] > 0):
+                continue
+            area, _, compact = max(hits)
+            share = len(hits) / len(reach)
+            if 0.01 <= area <= 0.45 and share <= 0.55 and compact >= 0.1:
+                score = 100 * bell(area, 0.12, 0.1) + 40 * bell(min(abs(o) for _, o, _ in hits) / 5, 0.4, 0.45) + 45 * bell(share, 0.25, 0.18) + 25 * bell(compact, 0.55, 0.25)
+                want[said[e[0]]].append((-round(score / (2 if said[e[0]] == "error" else 1), 9), e[0]))
     got = {(r.concept, r.utt) for r in rows(spark, sf, "f11_mined_examples_all")}
     assert got == {(c, u) for c, xs in want.items() for _, u in sorted(xs)[:4]} and any(u % 10 for _, u in got)
 
