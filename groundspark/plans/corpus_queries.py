@@ -186,10 +186,10 @@ def c14_caption_stats(spark, sf):
 
 @query("c15_event_vocabulary", """
 with t as (select unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9'']+|[.,!?;]')) as token from conversations union all select unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9'']+|[.,!?;]')) from benchmark),
-f as (select token, count(*) as freq from t group by token order by freq desc, token limit 1996) select token, row_number() over (order by freq desc, token) + 3 as token_id, freq from f""")
+f as (select token, count(*) as freq from t group by token order by freq desc, token limit 29996) select token, row_number() over (order by freq desc, token) + 3 as token_id, freq from f""")
 def c15_event_vocabulary(spark, sf):
     texts = table(spark, sf, "conversations").select("text").union(table(spark, sf, "benchmark").select("text"))
-    return C.build_event_vocab(texts, X.tokenize_basic("text"), max_size=2000)
+    return C.build_event_vocab(texts, X.tokenize_basic("text"), max_size=30_000)
 
 
 VOCAB_SQL = "vocab as (select token, row_number() over (order by freq desc, token) + 3 as token_id from (select token, count(*) as freq from (select unnest(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')) as token from conversations) group by token having count(*) >= 3))"

@@ -17,7 +17,7 @@ AREA = 500 * 500.0
 TYPES = ["economy", "large", "medium", "promo", "small", "standard"]
 DET = """
 det as (select l_orderkey as frame, l_linenumber::bigint as line, l_partkey as det_id, lower(p_type) as label, least(l_discount * 10, 1.0) as dino_score, 1.0::double - l_tax as sam_score, (l_quantity * 200)::bigint as mask_area, l_quantity * 10 as w, l_quantity * 4 + l_linenumber * 10 as h, l_discount * 5 as clip_sim from lineitem join part on l_partkey = p_partkey),
-capped as (select * from (select *, row_number() over (partition by frame order by dino_score desc, line, det_id) as rank from det where dino_score >= 0.3) where rank <= 4),
+capped as (select * from (select *, row_number() over (partition by frame order by dino_score desc, line, det_id) as rank from det where dino_score >= 0.3) where rank <= 30),
 kept as (select * from capped where label not in ('medium') and sam_score >= 0.93 and mask_area >= 3000 and mask_area / 250000.0::double <= 0.6 and mask_area / (w * h) >= 0.25 and greatest(w, h) / least(w, h) <= 8),
 idx as (select *, row_number() over (partition by frame, label order by label = 'promo' desc, dino_score desc, sam_score desc, clip_sim desc, line, det_id) - 1 as instance_id from kept),
 named as (select *, frame || '_obj_' || label || '_' || lpad(instance_id::varchar, 3, '0') as mask_name from idx)"""
@@ -25,7 +25,7 @@ named as (select *, frame || '_obj_' || label || '_' || lpad(instance_id::varcha
 
 def kept(spark, sf):
     d = A.detections(spark, sf)
-    return M.filter_detections(d, ["frame"], AREA, top=4, background=["medium"], min_sam=0.93).withColumn("is_priority", F.col("label") == "promo")
+    return M.filter_detections(d, ["frame"], AREA, background=["medium"], min_sam=0.93).withColumn("is_priority", F.col("label") == "promo")
 
 
 def indexed(spark, sf):

@@ -134,9 +134,9 @@ def d10_usage_per_concept(spark, sf):
     return rounded(G.usage_per_concept(named, o.select("concept_id").distinct()), "usage")
 
 
-@query("g20_object_dump", HARD + f", r as (select obj_id, concept_id, proto, count(*) over (partition by concept_id) as total, row_number() over (partition by concept_id order by {sql_draw(0, 'obj_id')}, obj_id) as r from h) select obj_id, concept_id, proto, total from r where r <= 20")
+@query("g20_object_dump", HARD + f", r as (select obj_id, concept_id, proto, count(*) over (partition by concept_id) as total, row_number() over (partition by concept_id order by {sql_draw(0, 'obj_id')}, obj_id) as r from h) select obj_id, concept_id, proto, total from r where r <= 200")
 def g20_object_dump(spark, sf):
-    return G.dump_objects(*both(spark, sf), most=20)
+    return G.dump_objects(*both(spark, sf), most=200)
 
 
 @query("g21_stratified_sample", f"select vec_id as obj_id, label as concept_id from (select vec_id, label, row_number() over (partition by label order by {sql_draw(0, 'vec_id')}, vec_id) as r from embeddings) where r <= 100 // (select count(distinct label) from embeddings)")
@@ -295,13 +295,13 @@ def words_vocab(spark):
 INST = "it as (select p_partkey as instance_id, lower(p_type) as label, (p_partkey % 90 + 10)::double as w, (p_partkey % 70 + 12)::double as h from part where p_partkey % 11 <> 0), ok as (select * from it where w * h >= 1024 and w >= 16 and h >= 16)"
 
 
-def pooled(spark, sf, cap=20):
+def pooled(spark, sf, cap=200):
     i = A.instances(spark, sf)
     mapped = i.select("raw_label").distinct().withColumn("mapped", F.col("raw_label"))
     return E.build_pools(E.filter_instances(i, mapped), cap, 3)
 
 
-POOL = "with " + INST + f", po as (select label, place, instance_id from (select label, instance_id, row_number() over (partition by label order by {sql_draw(3, 'instance_id')}, instance_id) - 1 as place from ok) where place < 20)"
+POOL = "with " + INST + f", po as (select label, place, instance_id from (select label, instance_id, row_number() over (partition by label order by {sql_draw(3, 'instance_id')}, instance_id) - 1 as place from ok) where place < 200)"
 
 
 @query("h3_filtered_instances", "with " + INST + " select instance_id, label from ok")
@@ -336,9 +336,9 @@ def h5_trials(spark, sf):
     return trials(spark, sf)
 
 
-@query("h6_fixed_trials", POOL + foils_sql(f"select s.label, trial_num, po.instance_id as target_id from (select label, count(*) as n from po group by 1) s cross join (select unnest(range(25)) as trial_num) join po on po.label = s.label and po.place = {sql_draw(10, 's.label', 'trial_num')} % s.n", ["label", "trial_num"], 3) + " select tg.label as target_category, trial_num::int as trial_num, target_id, foil_categories, foil_ids from tg join fi using (label, trial_num)")
+@query("h6_fixed_trials", POOL + foils_sql(f"select s.label, trial_num, po.instance_id as target_id from (select label, count(*) as n from po group by 1) s cross join (select unnest(range(100)) as trial_num) join po on po.label = s.label and po.place = {sql_draw(10, 's.label', 'trial_num')} % s.n", ["label", "trial_num"], 3) + " select tg.label as target_category, trial_num::int as trial_num, target_id, foil_categories, foil_ids from tg join fi using (label, trial_num)")
 def h6_fixed_trials(spark, sf):
-    return E.make_fixed_trials(pooled(spark, sf), 25, 3, 3)
+    return E.make_fixed_trials(pooled(spark, sf), 100, 3, 3)
 
 
 @query("h7_eligible_categories", "with " + INST + " select distinct label from ok where label in ('small', 'large', 'promo')")

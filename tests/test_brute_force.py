@@ -143,6 +143,17 @@ def test_caps_are_cut_before_the_shuffle(spark):
     assert sorted(r.id for r in capped.where("label = 'hot'").collect()) == list(range(2940, 3000, 3))
 
 
+def test_low_caps_of_masks_pools_and_vocabulary(spark):
+    det = spark.createDataFrame([(1, i, i, "x", 0.3 + i / 100, 0.95, 5000, 100.0, 100.0) for i in range(9)], "frame long, line long, det_id long, label string, dino_score double, sam_score double, mask_area long, w double, h double")
+    assert sorted(r.line for r in masks.filter_detections(det, ["frame"], 250_000, top=4).collect()) == [5, 6, 7, 8]
+    pool = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "instance_id long, label string")
+    got = [(r.label, r.place) for r in evaluation.build_pools(pool, 7, 1).collect()]
+    assert sorted(got) == [(c, p) for c in "ab" for p in range(7)]
+    texts = spark.createDataFrame([("b a a c b a",)], "text string")
+    vocab = corpus.build_event_vocab(texts, X.tokenize_basic("text"), max_size=6).collect()
+    assert {r.token for r in vocab} == {"a", "b"}
+
+
 def test_split_of_a_hot_category(spark):
     rows = [(i, "hot" if i % 2 else None if i % 4 == 0 else f"c{i % 8}") for i in range(400)] + [(5, "hot")]
     df = spark.createDataFrame(rows, "id long, category string").repartition(4)
