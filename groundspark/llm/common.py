@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundspark.session import shared_path
 
@@ -52,3 +54,21 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def finite(column: str) -> Column:
+    """True where an array of numbers is there and holds neither nulls nor non-finite entries."""
+    return F.coalesce(F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def list_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Arrays of doubles as rows, padded by zeros."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), width))
+    out[np.arange(width)[None, :] < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def with_key(name: str, kind: T.DataType, rest: str) -> T.StructType:
+    """A schema of a key column and what rest, as DDL, has after it."""
+    return T.StructType([T.StructField(name, kind), *T.StructType.fromDDL(rest).fields])

@@ -1,10 +1,10 @@
-"""The queries op1_ ... op10_ over the whole given tables, and their SQL twins where SQL can tell."""
+"""The queries op1_ ... op13_ over the whole given tables, and their SQL twins where SQL can tell."""
 
 from __future__ import annotations
 
 from groundspark.session import table
 
-from . import decontaminate, hmm_lm, html_extract, pieces, secrets, simhash, substring_dedup, topk, toxicity, warc
+from . import centroids, decontaminate, hmm_lm, html_extract, pieces, secrets, simhash, substring_dedup, topk, toxicity, warc, whitening
 
 
 def piece_model() -> str:
@@ -54,6 +54,14 @@ def op10_warc(spark, sf_dir):
     return warc.audited(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark, sf_dir):
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_secrets": op2_secrets,
@@ -65,6 +73,8 @@ QUERIES = {
     "op8_hmm": op8_hmm,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
+    "op12_centroids": op12_centroids,
 }
 
 #: Files of 128 records have three levels. chr(13) || chr(10) is the line end of WARC.
@@ -111,4 +121,27 @@ r as (select query_id, row_number() over (partition by query_id order by score d
 select * from r where rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op10_warc": OP10_SQL}
+#: One step: rows to their nearest centroid, then the centroids' floors of means. Empty ones stay.
+OP12_STEP = """
+d{i} as (select r, k, list_sum(list_transform(range(1, 65), lambda j: (v.e[j] - c.e[j]) * (v.e[j] - c.e[j])))::bigint as d from v, c{i} as c),
+a{i} as (select r, arg_min(k, (d, k)) as k, min(d) as d from d{i} group by r)"""
+OP12_MEAN = """,
+s{i} as (select k, j, sum(v.e[j])::bigint as s, count(*) as n from a{i} join v on a{i}.r = v.r, range(1, 65) t(j) group by k, j),
+m{i} as (select k, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as e from s{i} group by k),
+c{n} as (select c.k, coalesce(m.e, c.e) as e from c{i} as c left join m{i} as m on c.k = m.k),"""
+OP12_SQL = (
+    """
+with v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+c0 as (select row_number() over (order by sha256('1:' || vec_id)) - 1 as k, e from v qualify row_number() over (order by sha256('1:' || vec_id)) <= 16),"""
+    + "".join(OP12_STEP.format(i=i) + OP12_MEAN.format(i=i, n=i + 1) for i in range(3))
+    + OP12_STEP.format(i=3)
+    + """
+select vec_id, a3.k::int as cluster, d as distance, (sum(d) over (partition by a3.k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(c3.e, ',')) as centroid_sha256
+from a3 join v on a3.r = v.r join c3 on a3.k = c3.k
+"""
+)
+
+ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op10_warc": OP10_SQL, "op12_centroids": OP12_SQL}
