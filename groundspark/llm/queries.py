@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from groundspark.session import table
 
-from . import centroids, decontaminate, hmm_lm, html_extract, pieces, secrets, simhash, substring_dedup, topk, toxicity, warc, whitening
+from . import centroids, decontaminate, hmm_lm, html_extract, mixing, pieces, secrets, simhash, substring_dedup, topk, toxicity, warc, whitening
 
 
 def piece_model() -> str:
@@ -62,6 +62,10 @@ def op12_centroids(spark, sf_dir):
     return centroids.digests(table(spark, sf_dir, "embeddings"))
 
 
+def op13_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_secrets": op2_secrets,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_whitening": op11_whitening,
     "op12_centroids": op12_centroids,
+    "op13_mixing": op13_mixing,
 }
 
 #: Files of 128 records have three levels. chr(13) || chr(10) is the line end of WARC.
