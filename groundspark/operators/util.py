@@ -14,21 +14,22 @@ def draw(seed: int | str, *columns: str | Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def global_index(df: DataFrame, *order: Column, name: str = "idx", partitions: int | None = None) -> DataFrame:
-    """df with the row's place (from 0) in the global order; order must be unique.
+def global_index(df: DataFrame, *order: Column, name: str = "idx", partitions: int | None = None, weight: Column | None = None) -> DataFrame:
+    """df with the row's place (from 0) in the global order, or the weights (whole numbers) of the rows before it; order must be unique.
 
     Range partitions are sorted and numbered alone and moved on by the sizes of those before, so no task holds all rows.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect()  # one row a partition
+    sizes = ranged.groupBy("__p").agg(F.sum(weight).alias("n") if weight is not None else F.count("*").alias("n")).orderBy("__p").collect()  # one row a partition
     before, at = {}, 0
     for r in sizes:
         before[r["__p"]] = at
         at += r["n"]
     start = F.try_element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__p")) if before else F.lit(0)
-    local = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    w = Window.partitionBy("__p").orderBy(*order)
+    local = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight is not None else F.row_number().over(w) - 1
     return ranged.withColumn(name, (local + start).cast("long")).drop("__p")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions import vectors as V
 from groundspark.operators import bags as B
+from groundspark.operators import blocks as J
 from groundspark.operators import captions as P
 from groundspark.operators import evaluation as E
 from groundspark.operators import metrics as M
@@ -194,6 +195,26 @@ def g11_bag_loss(spark, sf):
     return rounded(B.contrastive_loss(B.mil_logits(*bag_inputs(spark, sf))), "loss", "row_accuracy", "col_accuracy")
 
 
+ALL = BAG.replace("b.sample_id // 4 as batch", "0 as batch").replace("on t.sample_id // 4 = b.sample_id // 4", "on true")
+ENTROPIES = ", et as (select batch, i, any_value(rl) - sum(exp(logit - rl) * logit) as h from e group by 1, 2), eb as (select batch, j, any_value(cl) - sum(exp(logit - cl) * logit) as h from e group by 1, 2)"
+SUMMARY = ENTROPIES + " select batch, count(*) as n, round(avg((rl + cl) / 2 - logit), 6) as loss, round(avg((rb = j)::int), 6)::double as row_accuracy, round(avg((cb = i)::int), 6)::double as col_accuracy, round((select avg(h) from et where et.batch = e.batch), 6) as text_entropy, round((select avg(h) from eb where eb.batch = e.batch), 6) as bag_entropy from e where i = j group by batch"
+FIGURES = ["loss", "row_accuracy", "col_accuracy", "text_entropy", "bag_entropy"]
+
+
+@query("g11_all_bags", "with " + ALL + LOSS + SUMMARY)
+def g11_all_bags(spark, sf):
+    """Every text against every bag of the table."""
+    texts, bag, _ = bag_inputs(spark, sf)
+    return rounded(J.contrastive_summary(J.bag_scores(texts, bag)), *FIGURES)
+
+
+@query("g11_all_bags_by_text", "with " + ALL + LOSS + ENTROPIES + ", ot as (select i, max(case when i = j then logit end) as own, any_value(rl) as lse, any_value(rb) as best from e group by 1), ob as (select j, max(case when i = j then logit end) as own, any_value(cl) as lse, any_value(cb) as best from e group by 1) select 'text' as side, i as id, round(own, 6) as own, round(lse, 6) as lse, best, round(h, 6) as entropy from ot join et using (i) union all select 'bag', j, round(own, 6), round(lse, 6), best, round(h, 6) from ob join eb using (j)")
+def g11_all_bags_by_text(spark, sf):
+    """The same by text and by bag: own score, normaliser, best partner, entropy."""
+    texts, bag, _ = bag_inputs(spark, sf)
+    return rounded(J.bag_scores(texts, bag).drop("batch"), "own", "lse", "entropy")
+
+
 @query("g12_candidate_weights", "with " + BAG + ", w as (select sample_id, r, exp((list_dot_product(t, z) - 1) / 0.05) as e from b join t using (sample_id)) select sample_id, r::int as r, round(e / sum(e) over (partition by sample_id), 6) as weight from w")
 def g12_candidate_weights(spark, sf):
     texts, bag, _ = bag_inputs(spark, sf)
@@ -218,6 +239,17 @@ def g13_prototype_bag_scores(spark, sf):
     return rounded(B.weighted_cross_entropy(logits, weights), "loss", "accuracy")
 
 
+@query("g13_all_bags", G13_SQL.split("ce as (")[0].rstrip().rstrip(",").replace("x.sample_id // 4 as batch", "0 as batch").replace(" on x.sample_id // 4 = y.sample_id // 4", " on true") + LOSS.replace("from l)", "from pl)") + ", s as (select 'text' as side, rl - logit as ce, rb = j as hit, i % 3 + 1.0::double as w from e where i = j union all select 'bag', cl - logit, cb = i, i % 3 + 1.0::double from e where i = j) select side, round(sum(ce * w) / sum(w), 6) as loss, round(sum(hit::int * w) / sum(w), 6) as accuracy from s group by 1")
+def g13_all_bags(spark, sf):
+    """Prototype space, every text against every bag, both ways."""
+    texts, bag, _ = bag_inputs(spark, sf)
+    p = A.prototypes(spark, sf)
+    q_text = G.soft_assign(texts.withColumnRenamed("t", "z"), p).select("sample_id", F.col("q").alias("t"))
+    q_bag = G.soft_assign(bag, p).select("sample_id", "r", F.col("q").alias("z"))
+    weights = texts.select(F.col("sample_id").alias("id"), (F.col("sample_id") % 3 + 1).cast("double").alias("w"))
+    return rounded(J.weighted_summary(J.bag_scores(q_text, q_bag), weights), "loss", "accuracy")
+
+
 COSB = "round(list_dot_product(t, z) / ((sqrt(list_dot_product(t, t)) + 1e-8) * (sqrt(list_dot_product(z, z)) + 1e-8)), 9)"
 ALIGN = BAG + f", al as (select sample_id, arg_max(r, s * 1000 - r * 1e-9)::int as best_track, max(s) as best_sim from (select sample_id, r, {COSB} as s from t join b using (sample_id)) group by 1), aw as (select sample_id, best_track, best_sim, least(greatest(1 / (1 + exp(-(best_sim - 0.1) / 0.05)), 0.05), 1.0) as weight from al)"
 
@@ -269,6 +301,26 @@ def g19_contrastive_retrieval(spark, sf):
     return rounded(B.contrastive_loss(logits), "loss", "row_accuracy", "col_accuracy")
 
 
+PAIRS = VEC + ", l as (select {0} as batch, a.obj_id // 2 as i, b.obj_id // 2 as j, list_dot_product(a.u, b.u) * 14.0 as logit from n a join n b on {1} where a.obj_id % 2 = 0 and b.obj_id % 2 = 1)"
+
+
+def image_text(spark, sf):
+    o = A.objects(spark, sf).withColumn("sample_id", F.floor(F.col("obj_id") / 2))
+    return o.where("obj_id % 2 = 0"), o.where("obj_id % 2 = 1")
+
+
+@query("g19_all_pairs", PAIRS.format("0", "true") + LOSS + SUMMARY)
+def g19_all_pairs(spark, sf):
+    """Every image against every text of the table."""
+    return rounded(J.contrastive_summary(J.image_text_scores(*image_text(spark, sf), 14.0)), *FIGURES)
+
+
+@query("g19_entropies", PAIRS.format("a.obj_id // 64", "a.obj_id // 64 = b.obj_id // 64") + LOSS + SUMMARY)
+def g19_entropies(spark, sf):
+    """In batches of 32, with the entropies of both directions."""
+    return rounded(J.contrastive_summary(J.image_text_scores(*image_text(spark, sf), 14.0, F.floor(F.col("sample_id") / 32))), *FIGURES)
+
+
 @query("g24_track_frames")
 def g24_track_frames(spark, sf):
     cands = A.bags(spark, sf)
