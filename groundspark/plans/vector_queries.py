@@ -11,6 +11,7 @@ from groundspark.operators import captions as P
 from groundspark.operators import evaluation as E
 from groundspark.operators import metrics as M
 from groundspark.operators import prototypes as G
+from groundspark.operators.util import cap_per_group
 from groundspark.session import table
 
 from . import adapters as A
@@ -540,3 +541,44 @@ def h22_rouge_l(spark, sf):
 @query("h22_cider", GRAMS + ", d as (select n, g, ln((select count(*) from p) / count(*)::double) as idf from rg group by 1, 2), a as (select key, n, g, c * coalesce(idf, ln((select count(*) from p)::double)) as a from hg left join d using (n, g)), b2 as (select key, n, g, c * idf as b from rg join d using (n, g)), j as (select key, n, sum(coalesce(a, 0) * coalesce(b, 0)) as ab, sqrt(sum(a * a)) as na, sqrt(sum(b * b)) as nb from a full join b2 using (key, n, g) group by 1, 2) select key, round(10 * sum(case when na * nb > 0 then ab / (na * nb) else 0 end) / 4, 6) as cider from j group by 1")
 def h22_cider(spark, sf):
     return rounded(P.cider(caption_pairs(spark, sf)), "cider")
+
+
+def conversation_captions(spark, sf):
+    """First turns as captions, the user's later turns (five at most) as references: captions have none to several."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), "turn", "role", F.split(F.lower("text"), r"\s+").alias("w"))
+    later = cap_per_group(c.where("turn > 0 and role = 'user'"), ["key"], 5, F.col("turn"), name="place")
+    refs = later.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "w"))), lambda x: x["w"]).alias("refs"))
+    return c.where("turn = 0").select("key", F.col("w").alias("hyp")).join(refs, "key", "left")
+
+
+def grams_sql(table_, column, keys):
+    return f"(select {keys}, n, g, count(*) as c from (select {keys}, n, unnest(list_transform(range(greatest(len({column}) - n + 1, 0)), lambda i: array_to_string({column}[i + 1:i + n], ' '))) as g from {table_} cross join (select unnest([1, 2, 3, 4]) as n)) group by all)"
+
+
+MULTI = r"with c as (select conv_id as key, turn, role, string_split_regex(lower(text), '\s+') as w from conversations), q as (select key, w, row_number() over (partition by key order by turn) as place from c where turn > 0 and role = 'user' qualify place <= 5), p as (select key, w as hyp from c where turn = 0), " + "hg as " + grams_sql("p", "hyp", "key") + ", rp as " + grams_sql("q", "w", "key, place")
+
+
+@query("h22_bleu_multi", MULTI + ", rg as (select key, n, g, max(c) as c from rp group by all), pr as (select n, ln(greatest(sum(least(hg.c, coalesce(rg.c, 0))), 1e-9) / sum(hg.c)::double) as lp from hg left join rg using (key, n, g) group by 1), cl as (select p.key, len(hyp) as h, arg_min(len(w), (abs(len(w) - len(hyp)), len(w))) as r from p left join q using (key) group by all), s as (select sum(h) as h, sum(coalesce(r, 0)) as r from cl) select " + ", ".join(f"round((select exp(avg(lp)) from pr where n <= {k}) * (select case when h < r then exp(1 - r / h::double) else 1 end from s), 6) as bleu_{k}" for k in range(1, 5)))
+def h22_bleu_multi(spark, sf):
+    return rounded(P.bleu(conversation_captions(spark, sf)), "bleu_1", "bleu_2", "bleu_3", "bleu_4")
+
+
+CIDER = MULTI + """, d as (select n, g, ln((select count(*) from p) / count(distinct key)::double) as idf from rp group by 1, 2), a as (select key, n, g, c * coalesce(idf, ln((select count(*) from p)::double)) as a from hg left join d using (n, g)), b as (select key, place, n, g, c * idf as b from rp join d using (n, g)),
+na as (select key, n, sqrt(sum(a * a)) as na from a group by all), nb as (select key, place, n, sqrt(sum(b * b)) as nb from b group by all), ab as (select key, place, n, sum({0} * b) as ab from a join b using (key, n, g) group by all),
+j as (select key, sum(case when na * nb > 0 then ab / (na * nb) else 0 end * {1}) as s from ab join na using (key, n) join nb using (key, place, n) join p using (key) join q using (key, place) group by 1), r as (select key, count(*) as refs from q group by 1)
+select p.key, round(coalesce(10 * s / refs / 4, 0), 6) as cider from p left join j using (key) left join r using (key)"""
+
+
+@query("h22_cider_multi", CIDER.format("a", "1"))
+def h22_cider_multi(spark, sf):
+    return rounded(P.cider(conversation_captions(spark, sf)), "cider")
+
+
+@query("h22_cider_clipped_multi", CIDER.format("least(a, b)", "exp(-pow(len(hyp) - len(w), 2) / 72.0)"))
+def h22_cider_clipped_multi(spark, sf):
+    return rounded(P.cider(conversation_captions(spark, sf), sigma=6.0), "cider")
+
+
+@query("h22_rouge_l_multi")
+def h22_rouge_l_multi(spark, sf):
+    return rounded(P.rouge_l(conversation_captions(spark, sf)), "rouge_l")
