@@ -68,6 +68,12 @@ def split_sentences(c: str | Column) -> Column:
     return F.filter(F.transform(pieces, one), lambda s: s != "")
 
 
+def whole_sentences(c: str | Column) -> Column:
+    """Sentences as they stand: cut at white space after a full stop, an exclamation or a question mark."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.filter(F.transform(F.split(F.regexp_replace(strip(col(c)), r"([.!?])\s+", "$1\u0001"), "\u0001"), strip), lambda s: s != "")
+
+
 def tokenize_basic(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(TOKEN), F.lit(0))
 

@@ -84,11 +84,33 @@ def implication_loss(df: DataFrame, edges: DataFrame, weights: DataFrame, mode:
     return per.agg(F.try_divide(F.sum(F.col("hinge") * F.col("w")), F.sum("w")).alias("loss"))
 
 
-MOST = 4096  # concepts that labels are searched for as substrings: they are sent as one array
 #: Concepts that fill a scene, whose examples count half.
 AVOIDED = "floor ground kitchen road room sand".split()
 
 
+def grams(c: str, n: int = 3) -> Column:
+    """The distinct runs of n characters of a text; a shorter text is one run."""
+    runs = lambda chars: F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), lambda i: F.array_join(F.slice(chars, i + 1, n), ""))
+    return F.array_distinct(V.let(F.split(c, ""), runs))
+
+
+def substrings(labels: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Label, concept for every concept that is somewhere in a label (both distinct), for any number of either.
+
+    A concept is joined by its run of three characters (of its length, if shorter) that the fewest labels have, and what it
+    meets there is checked. A concept with a run that no label has meets nothing. The empty concept is in every label.
+    """
+    c = concepts.where("concept <> ''").withColumn("n", F.least(F.length("concept"), F.lit(3)))
+    sizes = [r.n for r in c.select("n").distinct().collect()]  # three at most
+    runs = F.array_distinct(F.flatten(F.array(*[F.when(F.length("label") >= n, grams("label", n)).otherwise(F.array().cast("array<string>")) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    has = written(labels.where("label is not null").select("label", F.explode(runs).alias("gram")))
+    own = F.coalesce(*[F.when(F.col("n") == n, grams("concept", n)) for n in (1, 2, 3)])
+    counted = c.select("concept", F.explode(own).alias("gram")).join(has.groupBy("gram").agg(F.count("*").alias("labels")), "gram", "left").na.fill(0, ["labels"])
+    rare = counted.groupBy("concept").agg(F.min(F.struct("labels", "gram")).alias("least")).where("least.labels > 0").select("concept", "least.gram")
+    met = has.join(rare, "gram").where(F.contains("label", F.col("concept"))).select("label", "concept")
+    return met.unionByName(labels.where("label is not null").crossJoin(F.broadcast(concepts.where("concept = ''").limit(1))).select("label", "concept"))
+
+
 def matched_labels(labels: DataFrame, concepts: DataFrame, match: str = "exact") -> DataFrame:
     """labels (clip, frame_idx, label) with the concepts (column concept) they stand for: equal, one of the label's words (token), or anywhere in it (substring)."""
     if match == "exact":
@@ -97,10 +119,7 @@ def matched_labels(labels: DataFrame, concepts: DataFrame, match: str = "exact")
     if match == "token":
         known = each.select("label", F.explode(F.array_distinct(X.tokenize_alpha("label"))).alias("concept")).join(concepts.select("concept").distinct(), "concept", "left_semi")
     else:
-        names = [r.concept for r in concepts.select("concept").distinct().limit(MOST + 1).collect()]
-        if len(names) > MOST:
-            raise ValueError(f"labels are searched for {MOST} concepts at most")
-        known = each.select("label", F.explode(F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda c: F.contains(F.col("label"), c))).alias("concept"))
+        known = substrings(each, concepts.select("concept").distinct())
     return labels.select("clip", "frame_idx", "label").join(known, "label").drop("label")
 
 

@@ -177,13 +177,28 @@ def sample_frame(df: DataFrame, key: str, frames: str, multiple: bool = False, s
 
 
 def pair_events(utts: DataFrame, frames: DataFrame, fps: float = 5.0) -> DataFrame:
-    """Utterances (event, u, us, ue, es) with the frames (event, idx, n_frames a event) from floor((us-es)*fps) to ceil((ue-es)*fps), both in range."""
+    """Utterances (event, u, us, ue, es) with the frames (event, idx from 0) from floor((us-es)*fps) to ceil((ue-es)*fps), both in range.
+
+    A slice is computed from the event's number of frames and exploded, so nothing is joined that isn't returned; further columns
+    of frames come by (event, idx), which spreads a long event. All frames where a time is missing; events without frames have no rows.
+    """
     last = F.col("n_frames") - 1
-    s = F.least(F.greatest(F.floor((F.col("us") - F.col("es")) * fps), F.lit(0)), last)
-    e = F.least(F.greatest(s, F.ceil((F.col("ue") - F.col("es")) * fps)), last)
-    whole = F.col("us").isNull() | F.col("ue").isNull()
-    pairs = frames.join(utts, "event")
-    return pairs.where(whole | F.col("idx").between(s, e)).select("event", "u", "idx")
+    place = lambda t, up: up(F.greatest((F.col(t) - F.col("es")) * fps, F.lit(0.0)))
+    s, e = place("us", F.floor), place("ue", F.ceil)
+    whole = F.col("us").isNull() | F.col("ue").isNull() | F.col("es").isNull()
+    cut = F.sequence(F.least(s, last), F.least(F.greatest(s, e), last))
+    sized = utts.join(frames.groupBy("event").agg(F.count("*").alias("n_frames")), "event")
+    pairs = sized.select("event", "u", F.explode(F.when(whole, F.sequence(F.lit(0).cast("long"), last)).otherwise(cut)).alias("idx"))
+    more = [c for c in frames.columns if c not in ("event", "idx", "n_frames")]
+    return pairs.join(frames.select("event", "idx", *more), ["event", "idx"]).select("event", "u", "idx", *more) if more else pairs
+
+
+def pair_sentences(events: DataFrame, frames: DataFrame, text: str = "narration", max_global: int = 4) -> DataFrame:
+    """Event, u (place from 0), sentence and idx: the first max_global sentences of an event's text, each with all of its frames."""
+    said = F.slice(X.whole_sentences(text), 1, max_global)
+    each = events.select("event", F.posexplode(said).alias("u", "sentence"))
+    sized = each.join(frames.groupBy("event").agg(F.count("*").alias("n_frames")), "event")
+    return sized.select("event", "u", "sentence", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1)).alias("idx"))
 
 
 def resolve_event_frames(events: DataFrame, own: DataFrame, video: DataFrame, fps: float = 5.0) -> DataFrame:

@@ -284,7 +284,19 @@ def c21_event_pairs(spark, sf):
     frames_ = li.select(F.col("l_orderkey").alias("event"), F.count("*").over(w).alias("n_frames"), (F.row_number().over(w.orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")) - 1).cast("long").alias("idx"))
     u = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("u"), (F.col("o_orderkey") % 5).cast("double").alias("es"))
     u = u.withColumn("us", F.col("es") + F.col("u") * F.lit(0.4)).withColumn("ue", F.col("us") + F.lit(0.3))
-    return C.pair_events(u, frames_)
+    return C.pair_events(u, frames_.drop("n_frames"))
+
+
+@query("c21_event_sentences", r"""
+with f as (select user_id as event, count(*) as n from events group by 1),
+s as (select doc_id as event, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1:4] as ss from documents),
+e as (select event, unnest(range(len(ss)))::int as u, unnest(ss) as sentence from s)
+select e.event, u, md5(sentence) as sentence, unnest(range(n)) as idx from e join f using (event)""")
+def c21_event_sentences(spark, sf):
+    """Users as events with their events as frames, documents of the same number as narration."""
+    frames_ = A.frame_events(spark, sf).select(F.col("clip").alias("event"), F.col("frame_idx").alias("idx"))
+    told = table(spark, sf, "documents").select(F.col("doc_id").alias("event"), F.col("text").alias("narration"))
+    return C.pair_sentences(told, frames_).select("event", "u", F.md5(F.col("sentence").cast("binary")).alias("sentence"), "idx")
 
 
 @query("d1_label_counts", "select label, count(*) as n from (select lower(p_type) as label from lineitem join part on l_partkey = p_partkey) group by label")

@@ -175,13 +175,39 @@ def b29_mask_geometry(spark, sf):
     return g.select("key", "area", *[F.round(c, 6).alias(c) for c in ("area_frac", "fill", "cx", "cy")])
 
 
-@query("b30_masked_pooling", "with v as (select vec_id // 4 as sample, vec_id % 4 as cell, list_transform(embedding[1:3], lambda x: x::double) as f from embeddings), k as (select sample, cell, f, unnest([0, 1]) as k from v), w as (select sample, cell, f, k, case when k = 0 then 1.0 else (cell % 3) / 2.0 end::double as w from k), d as (select sample, k, unnest([1, 2, 3]) as d, w, unnest(f) as x from w), m as (select sample, k, d, sum(x * w) / greatest(sum(w), 1e-6) as x from d group by 1, 2, 3) select sample, k, list(round(x, 6) order by d) as v from m group by 1, 2")
+@query("b30_masked_pooling", "with v as (select vec_id // 4 as sample, vec_id % 4 as cell, list_transform(embedding, lambda x: x::double) as f from embeddings), k as (select sample, cell, f, unnest([0, 1]) as k from v), w as (select sample, cell, f, k, case when k = 0 then 1.0 else (cell % 3) / 2.0 end::double as w from k), d as (select sample, k, unnest(range(len(f))) as d, w, unnest(f) as x from w), m as (select sample, k, d, sum(x * w) / greatest(sum(w), 1e-6) as x from d group by 1, 2, 3) select sample, k, list(round(x, 6) order by d) as v from m group by 1, 2")
 def b30_masked_pooling(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("sample"), (F.col("vec_id") % 4).alias("cell"), V.doubles(F.slice("embedding", 1, 3)).alias("f"))
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("sample"), (F.col("vec_id") % 4).alias("cell"), V.doubles("embedding").alias("f"))
     w = e.select("sample", "cell", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("w", F.when(F.col("k") == 0, 1.0).otherwise((F.col("cell") % 3) / 2.0))
     return Q.masked_pool(e, w).select("sample", "k", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
+POOL = """with v as (select vec_id as key, list_transform(embedding, lambda x: x::double) as z from embeddings where len(embedding) = 64),
+m as (select key, z, unnest([0, 1]) as k, unnest([list_transform(z, lambda x: (x > 0)::int::double), list_transform(z, lambda x: least(4 * abs(x), 1.0))]) as m from v),
+s as (select key, z, k, list_transform(range(16), lambda i: (m[(i // 4) * 16 + (i % 4) * 2 + 1] + m[(i // 4) * 16 + (i % 4) * 2 + 2] + m[(i // 4) * 16 + (i % 4) * 2 + 9] + m[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4) as w from m),
+r as (select *, list_transform(range(16), lambda i: list_max(list_transform(list_filter(range(16), lambda j: abs(j // 4 - i // 4) <= 1 and abs(j % 4 - i % 4) <= 1), lambda j: w[j + 1])) - w[i + 1]) as ring from s)"""
+
+
+def maps_and_masks(spark, sf):
+    """Embeddings as maps of 4 channels, 4 x 4, with two masks of 8 x 8: the signs, and four times the sizes."""
+    v = table(spark, sf, "embeddings").where("size(embedding) = 64").select(F.col("vec_id").alias("key"), V.doubles("embedding").alias("fmap"))
+    masks = [F.transform("fmap", lambda x: (x > 0).cast("double")), F.transform("fmap", lambda x: F.least(4 * F.abs(x), F.lit(1.0)))]
+    return v.withColumn("masks", F.array(*masks))
+
+
+@query("b30_packed_pooling", POOL + " select key, k, round(list_sum(w), 6) as mass, list_transform(range(4), lambda c: round(list_dot_product(z[c * 16 + 1:c * 16 + 16], w) / greatest(list_sum(w), 1e-6), 6)) as pooled, list_transform(range(4), lambda c: round(list_dot_product(z[c * 16 + 1:c * 16 + 16], ring) / greatest(list_sum(ring), 1e-6), 6)) as context from r")
+def b30_packed_pooling(spark, sf):
+    six = lambda c: F.transform(c, lambda x: F.round(x, 6)).alias(c)
+    return Q.pool_packed(maps_and_masks(spark, sf), (4, 4, 4), (8, 8), 1).select("key", "k", F.round("mass", 6).alias("mass"), six("pooled"), six("context"))
+
+
+@query("b30_context_ring", """with v as (select vec_id as key, list_transform(embedding, lambda x: least(4 * abs(x::double), 1.0)) as m from embeddings where len(embedding) = 64)
+select key, list_transform(range(64), lambda i: round(list_max(list_transform(list_filter(range(64), lambda j: abs(j // 8 - i // 8) <= 2 and abs(j % 8 - i % 8) <= 2), lambda j: m[j + 1])) - m[i + 1], 6)) as ring from v""")
+def b30_context_ring(spark, sf):
+    soft = maps_and_masks(spark, sf).select("key", F.get("masks", F.lit(1)).alias("mask"))
+    return Q.context_ring(soft, 8, 8, 2).select("key", F.transform("ring", lambda x: F.round(x, 6)).alias("ring"))
+
+
 @query("b31_selected_nouns", "with t as (select item_id as key, unnest(string_split_regex(trim(lower(text)), '\\s+')) as lemma, unnest(range(len(string_split_regex(trim(lower(text)), '\\s+')))) as i from benchmark), o as (select key, lemma, min(i) as i from t where i % 2 = 0 and lemma not in ('the', 'and') and length(lemma) >= 2 group by 1, 2) select key, lemma, place::int as place from (select *, row_number() over (partition by key order by i) as place from o) where place <= 5")
 def b31_selected_nouns(spark, sf):
     words = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.posexplode(F.split(F.trim(F.lower("text")), r"\s+")).alias("i", "lemma"))
