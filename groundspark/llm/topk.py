@@ -2,8 +2,11 @@
 
 The upper levels of one cover tree over all rows, queries among them, are tables: a node with more
 than ROWS rows is split by centres that lie far apart (farthest first from a sample of its rows, its
-own centre the first of them), and every row goes to the nearest. Rows are the leaves' content. A
-first round searches each query's own leaf and gives it a worst kth score. Then pairs of a query
+own centre the first of them), and every row goes to the nearest. A kid that still has over half of its
+node's rows (vectors near the centre whatever the centres are: short ones, or any round a zero vector) is
+cut by distance from its centre into shells of like size instead; one that even that leaves with over half
+has rows that can't be told apart so, and is a leaf. There are LEVELS levels at most; larger leaves are
+dealt by hash. Nodes are numbered by a counter. Rows are the leaves' content. A first round searches each query's own leaf and gives it a worst kth score. Then pairs of a query
 group (a node with ROWS queries at most) and a data node descend level by level; a pair goes when
 <c, c'> + |c| r' + |c'| r + r r' (c, c': centres, r, r': covering radii) is below the group's worst
 kth score. Pairs of leaves that are left are searched in one task each, where both sides are cover
@@ -25,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundspark.operators.util import global_index
+
 from .common import written
 
 ROWS = 8192  # rows of a leaf, and queries of a group
 KIDS = 64  # of a node
 SAMPLE = 2048  # rows of a node that its kids' centres are chosen from, about
+LEVELS = 12  # of tables; each splits a node to KIDS, so leaves that are cut short for it are beyond any table that can be split
 LEAF, QUERY_LEAF = 48, 4  # rows of a leaf within a task, and of a query leaf: few, so that a group's worst kth score is tight
 NONE = -(1 << 62)  # score of no candidate
 EXACT = 2.0**53  # products of norms below which doubles are exact
@@ -170,43 +176,54 @@ def quantized(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.where(F.col(key).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(column, lambda x: F.floor(x.cast("double") * 1024.0)).alias("v"))
 
 
-def _split(rows: DataFrame, big: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """rows (id, v, node, away, chain) of the nodes big (node, centre, n) dealt to kids, and the kids: node, parent, centre. A kid's number is KIDS times its parent's, and one more for each."""
+def _split(rows: DataFrame, big: DataFrame, width: int, base: int) -> tuple[DataFrame, DataFrame]:
+    """rows (id, v, node, away, chain) of the nodes big (node, centre, n, shells) dealt to kids, and the kids, numbered from base: node, parent, centre, of (rows of the parent), shells (the parent was cut in shells)."""
     draw = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < F.ceil(F.lit(SAMPLE << 20) / F.col("n"))
 
     def choose(key: tuple, node: pa.Table, drawn: pa.Table) -> pa.Table:
         points, centre = matrix(drawn.column("v"), width), matrix(node.column("centre"), width)[0]
         most = min(KIDS, 2 * -(-node.column("n")[0].as_py() // ROWS))
-        taken, _, _ = farthest_first(points.astype(float), centre.astype(float), most)
-        kids = np.concatenate([centre[None, :], points[taken]])
-        parent = key[0].as_py()
-        return pa.table({"node": pa.array(parent * KIDS + 1 + np.arange(len(kids))), "parent": pa.array([parent] * len(kids), pa.int64()), "centre": lists(kids)})
-
-    drawn = rows.join(big.select("node", "n"), "node").where(draw).select("node", "v")
-    kids = written(big.select("node", "centre", "n").groupBy("node").cogroup(drawn.groupBy("node")).applyInArrow(choose, "node long, parent long, centre array<bigint>"))
+        if node.column("shells")[0].as_py() and len(points):
+            away = np.sort(drawn.column("away").to_numpy())
+            low = np.unique(away[np.arange(most) * len(away) // most])
+            middle = np.searchsorted(away, low) + np.diff(np.append(np.searchsorted(away, low), len(away))) // 2
+            centres, low = points[np.argsort(drawn.column("away").to_numpy())[middle]], np.concatenate([[-1.0], low[1:]])
+        else:
+            taken, _, _ = farthest_first(points.astype(float), centre.astype(float), most)
+            centres, low = np.concatenate([centre[None, :], points[taken]]), np.full(len(taken) + 1, -1.0)
+        n = len(centres)
+        return pa.table({"parent": pa.array([key[0].as_py()] * n, pa.int64()), "i": pa.array(np.arange(n)), "centre": lists(centres), "low": pa.array(low)})
+
+    drawn = rows.join(big.select("node", "n"), "node").where(draw).select("node", "v", "away")
+    chosen = big.select("node", "centre", "n", "shells").groupBy("node").cogroup(drawn.groupBy("node")).applyInArrow(choose, "parent long, i long, centre array<bigint>, low double")
+    of = big.select(F.col("node").alias("parent"), F.col("n").alias("of"), "shells")
+    kids = written(global_index(chosen, F.col("parent"), F.col("i"), name="node").withColumn("node", F.col("node") + base).join(of, "parent"))
 
     def deal(some: pa.Table, centres: pa.Table) -> pa.Table:
         if not some.num_rows:
             return some.select(["id", "v", "node", "away", "chain"])
+        centres = centres.sort_by("kid")
         points, at = matrix(some.column("v"), width).astype(float), matrix(centres.column("centre"), width).astype(float)
-        d = (points**2).sum(1)[:, None] - 2 * points @ at.T + (at**2).sum(1)[None, :]
-        owner = d.argmin(1)
+        if centres.column("shells")[0].as_py():
+            owner = np.searchsorted(centres.column("low").to_numpy(), some.column("away").to_numpy(), "right") - 1
+        else:
+            owner = ((points**2).sum(1)[:, None] - 2 * points @ at.T + (at**2).sum(1)[None, :]).argmin(1)
         node = centres.column("kid").to_numpy()[owner]
         chain = pa.array([[*c, n] for c, n in zip(some.column("chain").to_pylist(), node.tolist(), strict=True)], pa.list_(pa.int64()))
         return pa.table({"id": some.column("id"), "v": some.column("v"), "node": pa.array(node), "away": pa.array(np.sqrt(((points - at[owner]) ** 2).sum(1))), "chain": chain})
 
     shares = big.select("node", F.ceil(F.col("n") / (4 * ROWS)).cast("int").alias("shares"))
     salted = rows.join(shares, "node").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).drop("shares")
-    copies = kids.withColumnRenamed("node", "kid").join(shares.withColumnRenamed("node", "parent"), "parent").select(F.col("parent").alias("node"), "kid", "centre", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"))
+    copies = kids.withColumnRenamed("node", "kid").join(shares.withColumnRenamed("node", "parent"), "parent").select(F.col("parent").alias("node"), "kid", "centre", "low", "shells", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"))
     dealt = salted.groupBy("node", "salt").cogroup(copies.groupBy("node", "salt")).applyInArrow(deal, "id long, v array<bigint>, node long, away double, chain array<bigint>")
-    return dealt, kids
+    return dealt, kids.select("node", "parent", "centre", "of", "shells")
 
 
 def grow(rows: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]]:
     """id, v, node (leaf), chain (its ancestors, itself last) and part of rows (id, v), and the nodes by level: node, parent, centre, radius, n."""
     first = rows.agg(F.min_by("v", F.xxhash64("id"))).first()[0] or []  # the root's centre: one row
     top = np.array([*first, *[0] * (width - len(first))], np.int64)
-    centre = rows.sparkSession.createDataFrame([(0, -1, top.tolist())], "node long, parent long, centre array<bigint>")
+    kids = rows.sparkSession.createDataFrame([(0, -1, top.tolist(), 1 << 62, False)], "node long, parent long, centre array<bigint>, of long, shells boolean")
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,18 +231,20 @@ def grow(rows: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.zeros(len(away), np.int64)), pa.array(np.sqrt((away**2).sum(1))), pa.array([[0]] * len(away), pa.list_(pa.int64()))], ["id", "v", "node", "away", "chain"])
 
     data = written(rows.mapInArrow(far, "id long, v array<bigint>, node long, away double, chain array<bigint>"))
-    levels, leaves, kids = [], [], centre
+    levels, leaves, base = [], [], 1
     while True:
         sizes = data.groupBy("node").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
         level = written(kids.join(sizes, "node"))
-        levels.append(level)
-        apart = F.col("radius") > 0 if len(levels) == 1 else (F.col("radius") > 0) & (F.col("n") < F.col("of"))  # a node that got all rows of its parent can't be split
-        above = levels[-2].select(F.col("node").alias("parent"), F.col("n").alias("of")) if len(levels) > 1 else None
-        big = (level.join(above, "parent") if above is not None else level).where((F.col("n") > ROWS) & apart).select("node", "centre", "n")
+        levels.append(level.select("node", "parent", "centre", "radius", "n"))
+        stuck = F.col("n") > F.col("of") / 2
+        big = level.where((F.col("n") > ROWS) & (F.col("radius") > 0) & ~(stuck & F.col("shells"))).select("node", "centre", "n", stuck.alias("shells"))
+        if len(levels) == LEVELS:
+            big = big.limit(0)
         leaves.append(data.join(big.select("node"), "node", "left_anti"))
         if not big.head(1):
             break
-        dealt, kids = _split(data.join(big.select("node"), "node", "left_semi"), big, width)
+        dealt, kids = _split(data.join(big.select("node"), "node", "left_semi"), big, width, base)
+        base += kids.count()
         data = written(dealt)
     out = leaves[0]
     for x in leaves[1:]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundspark.llm import centroids, queries, whitening
+from groundspark.llm import centroids, queries, topk, whitening
 from tests.compare import database, same
 
 SF = "/root/testdata/sf0.001"
@@ -165,3 +165,44 @@ def test_queries_of_vectors_at_any_partitioning(spark):
     first = {r.vec_id: r for r in got.where("component = 8").collect()}
     assert [first[i].deviation for i in ids] == deviation.tolist()
     assert np.allclose(np.abs([first[i].whitened for i in ids]), np.abs(w[:, 7]), atol=1e-9)
+
+
+def best(v, k=10):
+    """query -> [(score, id)] of every hundredth row by brute force; v: integers."""
+    out = {}
+    for q in range(0, len(v), 100):
+        scores = v @ v[q]
+        order = np.lexsort((np.arange(len(v)), -scores))
+        out[q] = [(int(scores[i]), int(i)) for i in order[: k + 1] if i != q][:k]
+    return out
+
+
+@pytest.mark.parametrize("zero_root", [False, True])
+def test_top_k_of_mixed_norms(spark, monkeypatch, zero_root):
+    r = np.random.default_rng(7)
+    n = 20_000 if zero_root else 10_000
+    v = r.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if zero_root:
+        v[spark.range(n).orderBy(F.xxhash64("id")).first().id] = 0  # the centre of the root
+    else:
+        v[r.random(n) < 0.85] *= 0.02
+    v = v.astype(np.float32)
+    levels = []
+    grow = topk.grow
+    monkeypatch.setattr(topk, "grow", lambda *a: (levels.append(grow(*a)) or levels[-1]))
+    got = {}
+    for x in topk.nearest_of_hundredths(table(spark, [(i, x.tolist()) for i, x in enumerate(v)]).repartition(4)).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    assert got == best(np.floor(1024 * v.astype(float)).astype(np.int64))
+    assert 1 < len(levels[0][1]) <= 6
+
+
+def test_top_k_of_rows_that_nothing_splits(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 64)
+    v = np.zeros((600, 4), np.float32)
+    v[np.arange(600), np.arange(600) % 4 // 3] = np.where(np.arange(600) % 50 == 0, 1.0, 0.25)
+    got = {}
+    for x in topk.nearest_of_hundredths(table(spark, [(i, x.tolist()) for i, x in enumerate(v)])).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    assert got == best(np.floor(1024 * v.astype(float)).astype(np.int64))
