@@ -1,11 +1,13 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every element that can carry meaning is a node with one of three states: A holds the article among
-other things, C belongs to the article, B is boilerplate. Node potentials come from the tag, the
-words of class, id and role, and the shape of the text; parent-child potentials from how states
-follow each other. Both are counted on labelled pages (train). Sum-product messages pass up and down the
-tree, and the text of nodes whose marginal of C is the largest is kept (where there is none, of
-nodes that neither their own markup nor that above them makes boilerplate).
+other things, C belongs to the article, B is boilerplate. Node potentials come from the words of class,
+id and role, and the shape of the text; parent-child potentials from how often an element of the child's
+tag has a state below each state of its parent (a heading in the article is article, whatever headings of
+menus are). Both are counted on labelled pages (train). An inline element is a node only if a class names
+it, has no potential but that of names known from training, and follows its parent else. Sum-product
+messages pass up and down the tree, and the text of nodes whose marginal of C is the largest is kept (where
+there is none, of nodes that neither their own markup nor that above them makes boilerplate).
 
 Text: character references decoded, white space inside a block made one space and trimmed, blocks
 in page order joined by an empty line. Null and blank pages give an empty text. Extra columns pass
@@ -37,6 +39,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body table td th ul ol dl article section div main aside nav footer header form".split())
 
+#: Words of class names that tell of layout, not of content.
+LAYOUT = frozenset("active area block body bottom box col cols column columns container first full grid inner item items large last layout left line list new old outer page right row section small text top unit wide wrap wrapper".split())
 #: A quote opens a value behind an equals sign only; elsewhere it is a character of a name or of a bare value.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|<|[^<]+", re.S)
 GOLD = re.compile(r"(?<!\S)data-gold=([012])(?=[\s/]|\Z)")
@@ -46,6 +50,8 @@ NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 STATES = (0, 1, 2)  # A, C, B
 LABELLED = 20_000  # labelled pages that a model is trained on at most
+FOLLOWS = 0.96  # share of inline elements that are what their parent is
+BACKED = 4.0  # elements of any tag that count beside those of a child's own kind
 SHAPE_WEIGHT = 0.3  # of features of the text beside those of the markup: texts below one parent are alike
 
 
@@ -82,8 +88,13 @@ def parse(page: str, marked: bool = False) -> Node:
     """
     root = Node("html", [], None)
     stack: list[tuple[str, Node]] = [("html", root)]
-    links = 0
+    open_: Counter = Counter()  # tags on the stack, so that end tags without a start aren't searched for
     at, n = 0, len(page)
+
+    def cut(k: int) -> None:
+        open_.subtract(t for t, _ in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
@@ -96,15 +107,14 @@ def parse(page: str, marked: bool = False) -> Node:
                 node.flow.append(text)
                 size = len(text.strip())
                 node.chars += size
-                if links:
+                if open_["a"]:
                     node.linked += size
             continue
         tag = tag.lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    cut(k)
                     if tag not in INLINE:
                         node.flow.append(None)
                     break
@@ -116,19 +126,17 @@ def parse(page: str, marked: bool = False) -> Node:
             continue
         if tag in ("html", "head", "body") and tag != "body":
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in SCOPE:
                     break
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(open_[t] for t in SIBLINGS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in SIBLINGS[tag]:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
                     break
@@ -136,11 +144,10 @@ def parse(page: str, marked: bool = False) -> Node:
         if tag in VOID:
             node.flow.append(" " if tag in ("br", "wbr", "img") else None)
             continue
-        names = [x.lower() for a in ATTRIBUTE.finditer(m.group(3)) for x in NAME.findall(a.group(2) or a.group(3) or a.group(4) or "")] if m.group(3) else []
-        if tag == "a":
-            links += 1
+        names = [x.lower() for a in ATTRIBUTE.finditer(m.group(3)) for x in NAME.findall(a.group(2) or a.group(3) or a.group(4) or "") if x.lower() not in LAYOUT] if m.group(3) else []
         if tag in INLINE and not names:
             stack.append((tag, node))
+            open_[tag] += 1
             continue
         child = Node(tag, names, node)
         if marked and (gold := GOLD.search(m.group(3))):
@@ -149,6 +156,7 @@ def parse(page: str, marked: bool = False) -> Node:
         node.flow.append(child)
         if not m.group(3).rstrip().endswith("/") or tag not in ("path", "use"):
             stack.append((tag, child))
+            open_[tag] += 1
     return root
 
 
@@ -161,27 +169,31 @@ def order(root: Node) -> list[Node]:
 
 
 def features(node: Node) -> tuple[list[str], list[str]]:
-    """Features of the markup and of the text."""
+    """Features of names and of the text; an inline element's text has no say."""
+    names = [f"c:{x}" for x in dict.fromkeys(node.names)]
+    if node.tag in INLINE:
+        return names, []
     n, share = node.chars, node.linked / node.chars if node.chars else 0
     size = "0" if n == 0 else "1" if n < 25 else "2" if n < 100 else "3"
     link = "0" if share < 0.2 else "1" if share < 0.6 else "2"
-    return [f"t:{node.tag}"] + [f"c:{x}" for x in set(node.names)], [f"s:{size}{link}"]
+    return names, [f"s:{size}{link}"]
 
 
-def group(node: Node) -> int:
-    return 0 if node.tag in INLINE else 1
+def kind(node: Node) -> str:
+    """Of edges: the tag, with a full stop if a class names the element. Only such ones and those of a few tags are strange to their parents."""
+    return node.tag + "." * bool(node.names)
 
 
 def counted(pages: Iterable[str]) -> Counter:
-    """(kind, name, state) -> number over the elements of labelled pages: kind t for all, f for a feature, e for an edge (its name: group and parent's state)."""
+    """(kind, name, state) -> number over the elements of labelled pages: kind t for all, f for a feature, e for an edge (its name: parent's state and kind)."""
     seen: Counter = Counter()
     for page in pages:
         for x in order(parse(page, True)):
             seen["t", "", x.gold] += 1
-            for f in sum(features(x), []):
+            for f in sum(features(x), [f"t:{x.tag}"]):
                 seen["f", f, x.gold] += 1
-            if x.parent:
-                seen["e", f"{group(x)}{x.parent.gold}", x.gold] += 1
+            if x.parent and x.tag not in INLINE:
+                seen["e", f"{x.parent.gold} {kind(x)}", x.gold] += 1
     return seen
 
 
@@ -190,17 +202,28 @@ class Model:
 
     def __init__(self, counts: Counter, alpha: float = 0.02):
         total = [counts["t", "", s] for s in STATES]
-        edges = [[[counts["e", f"{g}{up}", s] + alpha for s in STATES] for up in STATES] for g in range(2)]
-        self.edge = [[[e / sum(row) for e in row] for row in g] for g in edges]
+        kinds = {name[2:] for k, name, _ in counts if k == "e"}
+        share = lambda rows: [[e / sum(row) for e in row] for row in rows]
+        self.inline = [[FOLLOWS if s == up else (1 - FOLLOWS) / 2 for s in STATES] for up in STATES]
+        self.rest = {end: share([[sum(counts["e", f"{up} {k}", s] for k in kinds if k.endswith(".") == bool(end)) + alpha for s in STATES] for up in STATES]) for end in ("", ".")}
+        self.edges = {k: share([[counts["e", f"{up} {k}", s] + BACKED * self.rest["." * k.endswith(".")][up][s] for s in STATES] for up in STATES]) for k in kinds}
         self.node = {}
         for f in {name for kind, name, _ in counts if kind == "f"}:
             c = [counts["f", f, s] for s in STATES]
             self.node[f] = [(c[s] + alpha) / (total[s] + 3 * alpha) / ((sum(c) + 3 * alpha) / (sum(total) + 9 * alpha)) for s in STATES]
 
-    def potential(self, node: Node) -> list[float]:
-        markup, shape = features(node)
+    def edge(self, node: Node) -> list[list[float]]:
+        """Shares of the node's states below each state of its parent."""
+        if node.tag in INLINE:
+            return self.inline
+        end = "." * any(f"c:{x}" in self.node for x in node.names)  # names that training hasn't seen name nothing
+        return self.edges.get(node.tag + end) or self.rest[end]
+
+    def potential(self, node: Node, tag: bool = False) -> list[float]:
+        """Of names and text; with tag, of the tag too, as where no state of a parent is at hand."""
+        names, shape = features(node)
         out = [1.0, 1.0, 1.0]
-        for fs, w in ((markup, 1.0), (shape, SHAPE_WEIGHT)):
+        for fs, w in ((names + [f"t:{node.tag}"] * tag, 1.0), (shape, SHAPE_WEIGHT)):
             for f in fs:
                 if p := self.node.get(f):
                     out = [o * q if w == 1.0 else o * q**w for o, q in zip(out, p, strict=True)]
@@ -212,7 +235,7 @@ class Model:
         up = [self.potential(x) for x in nodes]  # potential times the messages of all children
         message: list[list[float]] = [[1.0] * 3] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
-            b, e = up[i], self.edge[group(nodes[i])]
+            b, e = up[i], self.edge(nodes[i])
             m = [e[s][0] * b[0] + e[s][1] * b[1] + e[s][2] * b[2] for s in STATES]
             z = m[0] + m[1] + m[2] or 1.0
             message[i] = m = [m[0] / z, m[1] / z, m[2] / z]
@@ -224,7 +247,7 @@ class Model:
         z = sum(up[0]) or 1.0
         out = [[x / z for x in up[0]]]
         for i in range(1, len(nodes)):
-            belief, m, e, b = out[place[id(nodes[i].parent)]], message[i], self.edge[group(nodes[i])], up[i]
+            belief, m, e, b = out[place[id(nodes[i].parent)]], message[i], self.edge(nodes[i]), up[i]
             rest = [belief[s] / m[s] if m[s] else 0.0 for s in STATES]
             d = [(rest[0] * e[0][s] + rest[1] * e[1][s] + rest[2] * e[2][s]) * b[s] for s in STATES]
             z = d[0] + d[1] + d[2] or 1.0
@@ -277,7 +300,7 @@ def extract_text(page: str | None, model: Model) -> str:
     if not found:  # a page without any markup of its own: all that isn't boilerplate by its own markup or that above it
         plain: dict[int, bool] = {}
         for x in nodes:
-            own = model.potential(x)
+            own = model.potential(x, True)
             plain[id(x)] = plain.get(id(x.parent), True) and max(own[0], own[1]) > own[2]
         found = blocks(root, plain)
     return "\n\n".join(found)
@@ -321,6 +344,8 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
 
     def article() -> str:
         parts = [element("h1", words(r.randint(2, 9)), 1)] if r.random() < 0.9 else []
+        if parts and r.random() < 0.15:
+            parts = [element("header", parts[0] + element("p", words(r.randint(3, 20)), 1), 1)]
         for _ in range(r.randint(1, 9)):
             spec = r.choice(INSIDE)
             if spec.split()[0] in ("ul", "ol"):

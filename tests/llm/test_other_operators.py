@@ -65,7 +65,7 @@ def test_marginals_against_enumeration(model):
     weights = np.zeros((len(nodes), 3))
     for states in itertools.product(range(3), repeat=len(nodes)):
         w = math.prod(model.potential(x)[s] for x, s in zip(nodes, states, strict=True))
-        w *= math.prod(model.edge[html_extract.group(x)][states[place[id(x.parent)]]][s] for x, s in zip(nodes, states, strict=True) if x.parent)
+        w *= math.prod(model.edge(x)[states[place[id(x.parent)]]][s] for x, s in zip(nodes, states, strict=True) if x.parent)
         for i, s in enumerate(states):
             weights[i, s] += w
     assert np.allclose(model.marginals(nodes), weights / weights.sum(1, keepdims=True))
@@ -74,7 +74,7 @@ def test_marginals_against_enumeration(model):
 def test_training_on_a_table_of_labelled_pages(spark, model):
     pages = html_extract.labelled_pages()
     got = html_extract.train(spark.createDataFrame([(i, p) for i, p in enumerate(pages)] + [(-1, None)], "id long, html string").repartition(5))
-    assert got.node == model.node and got.edge == model.edge
+    assert got.node == model.node and got.edges == model.edges
     assert html_extract.extract_text("<p>x</p>", html_extract.train(spark.createDataFrame([], "html string"))) in ("x", "")
 
 
