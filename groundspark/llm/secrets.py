@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 LABELLED = 4000  # findings of each label in the training sample
 FREQUENT = 2000  # words of the dictionary
@@ -148,21 +148,21 @@ def train(labelled: DataFrame, dictionary: list[str], seed: int = 11):
     return forest.fit(features(sample, dictionary, weights)), weights
 
 
-def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
-    """key, candidate, before, after, score (share of the forest for a secret) and secret (0 or 1) of every finding."""
-    found = written(findings(documents, key, text))
+def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None, fold: str | None = None) -> DataFrame:
+    """key, candidate, before, after, score (share of the forest for a secret) and secret (0 or 1) of every finding. fold: a field of a struct key that tells which documents are held out; by default the key."""
+    found = written(findings(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text"))
     dictionary = frequent_words(documents, text)
     sure = sure_label(F.col("candidate"), F.col("before"), F.col("after"))
     if labelled is None:
-        labelled = found.where(~held_out(F.col(key))).withColumn("label", sure).where("label is not null")
+        labelled = found.where(~held_out(F.col("key")[fold] if fold else F.col("key"))).withColumn("label", sure).where("label is not null")
     trained = train(labelled, dictionary)
     if trained is None:
         judged = found.withColumn("score", F.coalesce(sure, F.lit(0)).cast("double"))
     else:
         judged = trained[0].transform(features(found, dictionary, trained[1])).withColumn("score", vector_to_array("probability")[1])
-    best = F.max(F.struct("score", "before", "after")).alias("__best")
-    best = judged.select(key, "candidate", "before", "after", "score").groupBy(key, "candidate").agg(best)
-    return best.select(key, "candidate", "__best.before", "__best.after", "__best.score").withColumn("secret", (F.col("score") >= 0.5).cast("int"))
+    best = F.max(F.struct("score", "before", "after")).alias("best")
+    best = judged.select("key", "candidate", "before", "after", "score").groupBy("key", "candidate").agg(best)
+    return best.select(F.col("key").alias(key), "candidate", "best.before", "best.after", "best.score", (F.col("best.score") >= 0.5).cast("int").alias("secret"))
 
 
 def agreement(findings_: DataFrame, *by: str) -> DataFrame:
@@ -173,14 +173,20 @@ def agreement(findings_: DataFrame, *by: str) -> DataFrame:
 
 
 def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
-    """documents with every secret of their texts replaced by REDACTED; other columns and rows stay as they are."""
-    secrets = scan(documents, key, text, labelled).where("secret = 1").groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("__found"))
+    """documents with every secret of their texts replaced by REDACTED; other columns and rows stay as they are.
+
+    Rows are told apart by key and 128 bits of the text's hash, so rows of one key, or of none, aren't gathered.
+    """
+    place, mine, found_ = (free_name(documents, x) for x in ("place", "mine", "found"))
+    keyed = documents.withColumn(place, F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")))
+    least_first = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    secrets = scan(keyed, place, text, labelled, "id").where("secret = 1").groupBy(F.col(place).alias(mine)).agg(F.array_sort(F.collect_set("candidate"), least_first).alias(found_))
     escaped = lambda c: F.regexp_replace(c, r"(\p{Punct})", r"\\$1")
     word = lambda c: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), escaped(c), F.lit(r"(?![\p{L}\p{N}])"))
     whole = lambda c: (F.length(c) < 16) & ~c.rlike("[0-9]")  # short letters aren't cut out of longer words
-    clean = F.aggregate("__found", F.col(text), lambda t, c: F.when(whole(c), F.regexp_replace(t, word(c), F.lit(REDACTED))).otherwise(F.replace(t, c, F.lit(REDACTED))))
-    joined = documents.join(secrets, documents[key].eqNullSafe(secrets["__key"]), "left")
-    return joined.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(clean)).drop("__key", "__found")
+    clean = F.aggregate(found_, F.col(text), lambda t, c: F.when(whole(c), F.regexp_replace(t, word(c), F.lit(REDACTED))).otherwise(F.replace(t, c, F.lit(REDACTED))))
+    joined = keyed.join(secrets, F.col(place).eqNullSafe(F.col(mine)), "left")
+    return joined.withColumn(text, F.when(F.col(found_).isNull(), F.col(text)).otherwise(clean)).drop(place, mine, found_)
 
 
 def digests(documents: DataFrame) -> DataFrame:
