@@ -217,6 +217,42 @@ def dump_objects(objs: DataFrame, protos: DataFrame, most: int = 200, seed: int
     return hard_assign(some, protos).join(known.groupBy("concept_id").agg(F.count("*").alias("total")), "concept_id").select("obj_id", "concept_id", "proto", "total")
 
 
+def dump_state(objs: DataFrame, protos: DataFrame, most: int = 200, seed: int = 0) -> DataFrame:
+    """A summary of some objects that adds up with others (merge_dumps): rows of a concept's total and vector sums by place, and its most objects of the least draws with their prototype.
+
+    concept_id, d (null: the total or an object), x (the total or the sum at d), obj_id, draw, proto.
+    """
+    known = objs.where("concept_id >= 0")
+    none = lambda kind: F.lit(None).cast(kind)
+    totals = known.groupBy("concept_id").agg(F.count("*").cast("double").alias("x")).select("concept_id", none("int").alias("d"), "x", none("long").alias("obj_id"), none("long").alias("draw"), none("int").alias("proto"))
+    sums = known.select("concept_id", F.posexplode("z").alias("d", "x")).groupBy("concept_id", "d").agg(F.sum("x").alias("x")).select("concept_id", "d", "x", none("long").alias("obj_id"), none("long").alias("draw"), none("int").alias("proto"))
+    kept = cap_per_group(known.withColumn("draw", draw(seed, "obj_id")), ["concept_id"], most, F.col("draw"), F.col("obj_id"))
+    rows = hard_assign(kept, protos).select("concept_id", none("int").alias("d"), none("double").alias("x"), "obj_id", "draw", F.col("proto").cast("int").alias("proto"))
+    return totals.unionByName(sums).unionByName(rows)
+
+
+def merge_dumps(*states: DataFrame, most: int = 200) -> DataFrame:
+    """The summary of the objects of all states together, of the same form, whatever their order or grouping."""
+    all_ = states[0]
+    for s in states[1:]:
+        all_ = all_.unionByName(s)
+    added = all_.where("obj_id is null").groupBy("concept_id", "d").agg(F.sum("x").alias("x"), F.max("obj_id").alias("obj_id"), F.max("draw").alias("draw"), F.max("proto").alias("proto"))
+    return added.unionByName(cap_per_group(all_.where("obj_id is not null"), ["concept_id"], most, F.col("draw"), F.col("obj_id")))
+
+
+def dumped(state: DataFrame) -> DataFrame:
+    """The objects of a summary as dump_objects gives them."""
+    totals = state.where("obj_id is null and d is null").select("concept_id", F.col("x").cast("long").alias("total"))
+    return state.where("obj_id is not null").select("obj_id", "concept_id", "proto").join(totals, "concept_id").select("obj_id", "concept_id", "proto", "total")
+
+
+def dumped_means(state: DataFrame) -> DataFrame:
+    """concept_id, total and the mean vector of its objects."""
+    totals = state.where("obj_id is null and d is null").select("concept_id", F.col("x").alias("total"))
+    sums = state.where("d is not null").groupBy("concept_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("sums"))
+    return sums.join(totals, "concept_id").select("concept_id", F.col("total").cast("long").alias("total"), F.transform("sums", lambda x: x / F.col("total")).alias("mean"))
+
+
 def stratified_sample(df: DataFrame, key: str, id_: str, n: int, seed: int = 0) -> DataFrame:
     """N / number of keys rows of each key from 0."""
     kinds = max(1, df.where(F.col(key) >= 0).select(key).distinct().count())

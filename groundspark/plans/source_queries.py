@@ -92,6 +92,24 @@ def a8_union_boxes(spark, sf):
     return S.union_boxes(li.groupBy(F.col("l_orderkey").cast("string").alias("file_name")).agg(F.collect_list(box).alias("objects"), F.lit("f").alias("folder"))).select("file_name", "bbox")
 
 
+@query("a8_xml_boxes", """with o as (select p_partkey as k, unnest(range(p_partkey % 4)) as i, p_size, lower(p_type) as t from part),
+b as (select k, min(i * 3 + p_size)::double as x, min(i + 0.5)::double as y, max(i * 5 + p_size)::double as x2, max(i + 2)::double as y2 from o where (k + i) % 5 <> 0 group by 1)
+select 'img_' || p_partkey as file_name, case when p_partkey % 4 > 0 and p_partkey % 7 > 0 then lower(p_type) when p_partkey % 4 > 1 then lower(p_type) else 'n' || p_partkey % 10 end as label, case when x is not null then [x, y, greatest(x2 - x, 1), greatest(y2 - y, 1)] end as bbox
+from part left join b on k = p_partkey""")
+def a8_xml_boxes(spark, sf):
+    """Annotations written as XML, many to a file: without objects, without boxes (every fifth), without a first name (every seventh), with white space."""
+    p = table(spark, sf, "part")
+    pad = lambda c: F.concat(F.lit(" "), c.cast("string"), F.lit(" "))
+    box = lambda i: F.struct(pad(i * 3 + F.col("p_size")).alias("xmin"), pad(i + F.lit(0.5)).alias("ymin"), pad(i * 5 + F.col("p_size")).alias("xmax"), pad(i + 2).alias("ymax"))
+    name = lambda i: F.when((i > 0) | (F.col("p_partkey") % 7 > 0), F.lower("p_type"))
+    one = lambda i: F.struct(name(i).alias("name"), F.when((F.col("p_partkey") + i) % 5 > 0, box(i)).alias("bndbox"))
+    objects = F.when(F.col("p_partkey") % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("p_partkey") % 4 - 1), one))
+    path = shared_path(spark, "xml")
+    rows = p.select(F.concat(F.lit("n"), (F.col("p_partkey") % 10).cast("string")).alias("folder"), F.concat(F.lit("img_"), F.col("p_partkey").cast("string")).alias("filename"), objects.alias("object"))
+    rows.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").save(path)
+    return S.read_boxes(spark, path)
+
+
 @query("a9_synset_words", "select 'n' || lpad(p_partkey::varchar, 8, '0') as key, list_distinct_ordered as names from (select p_partkey, case when p_name = lower(p_type) then [p_name] else [p_name, lower(p_type)] end as list_distinct_ordered from part)")
 def a9_synset_words(spark, sf):
     line = F.concat(F.format_string("n%08d", "p_partkey"), F.lit("  "), F.col("p_name"), F.lit(", "), F.col("p_type"), F.lit(", "), F.upper("p_name"))
@@ -239,15 +257,43 @@ def d8_label_sources(spark, sf):
     return D.label_sources(table(spark, sf, "part"), "p_type", "p_brand")
 
 
-@query("s1_streamed_index", "select concept_clip, count(*) as n from (select distinct frame_relpath, instance_id, concept_clip from (" + INDEX_SQL + ")) group by 1")
+SEEN = "from (select distinct frame_relpath, instance_id, concept_clip from (" + INDEX_SQL + "))"
+
+
+def ingested(spark, sf):
+    """Every line comes twice, in files that several batches read."""
+    path, out = shared_path(spark, "incoming"), shared_path(spark, "ingested")
+    lines = index_lines(spark, sf).select("frame_relpath", "instance_id", "concept_clip")
+    lines.union(lines).repartition(6).write.json(path)
+    stream = spark.readStream.schema("frame_relpath string, instance_id int, concept_clip string").option("maxFilesPerTrigger", 2).json(path)
+    J.ingest_index(stream, ["frame_relpath", "instance_id", "concept_clip"], "concept_clip", out, shared_path(spark, "state")).awaitTermination()
+    return out
+
+
+@query("s1_streamed_index", "select concept_clip, count(*) as n " + SEEN + " group by 1")
 def s1_streamed_index(spark, sf):
-    path, out = shared_path(spark, "incoming"), shared_path(spark, "counts")
-    lines = index_lines(spark, sf)
-    lines.union(lines).write.json(path)
-    counts = J.stream_mask_index(spark, path, "frame_relpath string, instance_id int, concept_clip string", ["frame_relpath", "instance_id", "concept_clip"], "concept_clip")
-    job = counts.writeStream.outputMode("complete").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", shared_path(spark, "state")).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.read.parquet(out)
+    return J.read_counts(spark, ingested(spark, sf))
+
+
+@query("s1_ingested_rows", "select * " + SEEN)
+def s1_ingested_rows(spark, sf):
+    return J.read_index(spark, ingested(spark, sf))
+
+
+@query("e10_index_union", """
+with i as (select l_orderkey as n, l_linenumber as k, lower(p_type) as c from lineitem join part on l_partkey = p_partkey),
+g as (select n, k, c, 0 as generation from i where n % 3 <> 1 union all select n, k, upper(c), 1 from i where n % 2 = 0 and k > 1),
+l as (select n, max(generation) as generation from g group by 1)
+select 'dir_' || n as frame, k as instance_id, c as concept_clip, generation from g join l using (n, generation)""")
+def e10_index_union(spark, sf):
+    """Two thirds of the frames in a first generation, every second in another without its first masks; both with lines that don't parse."""
+    path = shared_path(spark, "generations")
+    lines = index_lines(spark, sf).withColumn("n", F.col("frame_relpath").cast("long")).withColumn("frame_relpath", F.concat(F.lit("dir/"), F.col("frame_relpath"), F.lit(".a.jpg")))
+    later = lines.where("n % 2 = 0 and instance_id > 1").withColumn("concept_clip", F.upper("concept_clip"))
+    for i, part in enumerate((lines.where("n % 3 <> 1"), later)):
+        json = part.select(F.to_json(F.struct("frame_relpath", "instance_id", "concept_clip")).alias("value"))
+        json.union(part.select(F.concat(F.lit('{"frame_relpath": "'), F.col("frame_relpath")))).write.text(f"{path}/{i}")
+    return S.merged_index(spark, path).select(S.frame_base("frame_relpath").alias("frame"), "instance_id", "concept_clip", "generation")
 
 
 @query("s2_streamed_codebook", EMA + " select proto_id::int as proto_id, round(size, 6) as ema_size from nz")

@@ -11,7 +11,7 @@ from groundspark.operators import captions as P
 from groundspark.operators import evaluation as E
 from groundspark.operators import metrics as M
 from groundspark.operators import prototypes as G
-from groundspark.operators.util import cap_per_group
+from groundspark.operators.util import cap_per_group, written
 from groundspark.session import table
 
 from . import adapters as A
@@ -141,6 +141,23 @@ def g20_object_dump(spark, sf):
     return G.dump_objects(*both(spark, sf), most=200)
 
 
+def merged_dump(spark, sf):
+    """Three parts of the objects summed up apart, written, and merged two and one."""
+    o, p = both(spark, sf)
+    parts = [written(G.dump_state(o.where(F.pmod(F.xxhash64("obj_id"), F.lit(3)) == i), p)) for i in range(3)]
+    return G.merge_dumps(written(G.merge_dumps(parts[2], parts[0])), parts[1])
+
+
+@query("g20_merged_dump", HARD + f", r as (select obj_id, concept_id, proto, count(*) over (partition by concept_id) as total, row_number() over (partition by concept_id order by {sql_draw(0, 'obj_id')}, obj_id) as r from h) select obj_id, concept_id, proto, total from r where r <= 200")
+def g20_merged_dump(spark, sf):
+    return G.dumped(merged_dump(spark, sf))
+
+
+@query("g20_merged_means", VEC + ", d as (select concept_id, unnest(range(len(z))) as d, unnest(z) as x from v), m as (select concept_id, d, count(*) as total, avg(x) as x from d group by 1, 2) select concept_id, any_value(total) as total, list(round(x, 6) order by d) as mean from m group by 1")
+def g20_merged_means(spark, sf):
+    return G.dumped_means(merged_dump(spark, sf)).select("concept_id", "total", round_list("mean").alias("mean"))
+
+
 @query("g21_stratified_sample", f"select vec_id as obj_id, label as concept_id from (select vec_id, label, row_number() over (partition by label order by {sql_draw(0, 'vec_id')}, vec_id) as r from embeddings) where r <= 100 // (select count(distinct label) from embeddings)")
 def g21_stratified_sample(spark, sf):
     return G.stratified_sample(A.objects(spark, sf), "concept_id", "obj_id", 100).select("obj_id", "concept_id")

@@ -68,3 +68,11 @@ def release(spark: SparkSession) -> None:
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/groundspark/{context.applicationId}")
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the folders below path that Spark has written to their end (they hold its mark _SUCCESS), rising."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    pattern = hadoop(f"{path}/*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(n) for f in found if (n := f.getPath().getParent().getName()).isdigit())

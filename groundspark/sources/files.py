@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.functions import text as X
+from groundspark.session import committed
 
 MASK_INDEX = "frame_relpath string, mask_path string, height int, width int, concept_clip string, concept_kind string, category_prefix string, instance_id int, dino_label_raw string, dino_label_norm string, dino_score double, sam_score double, clip_sim double, mask_area long, mask_bbox_xyxy array<double>, is_priority boolean"
 
@@ -37,6 +38,27 @@ def read_mask_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MASK_INDEX).option("mode", "DROPMALFORMED").json(path)
 
 
+def frame_base(path: str | Column) -> Column:
+    """The name of a frame: its path with _ for /, up to the first full stop."""
+    return F.split_part(F.replace(X.col(path), F.lit("/"), F.lit("_")), F.lit("."), F.lit(1))
+
+
+def merged_index(spark: SparkSession, path: str, key: list[str] = ("frame_relpath",)) -> DataFrame:
+    """One index from generations of JSON lines (path/0, path/1, ...): of each key the rows of the last generation that has it.
+
+    Generations that were not written to their end, and lines that don't parse or lack a key, are left out.
+    """
+    done = committed(spark, path)
+    rows = None
+    for n in done:
+        part = read_mask_index(spark, f"{path}/{n}").withColumn("generation", F.lit(n)).dropna(subset=list(key))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return spark.createDataFrame([], MASK_INDEX + ", generation int")
+    last = rows.groupBy(*key).agg(F.max("generation").alias("generation"))
+    return rows.join(last, [*key, "generation"], "left_semi")
+
+
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """A5: path and length of the files below root; contents aren't read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root).select("path", "length")
@@ -65,6 +87,28 @@ def union_boxes(df: DataFrame) -> DataFrame:
     return df.where(F.size("objects") > 0).select("file_name", F.coalesce(F.get("objects", F.lit(0))["name"], F.col("folder")).alias("label"), F.array(x, y, w, h).cast("array<double>").alias("bbox"))
 
 
+BOXES = "folder string, filename string, object array<struct<name: string, bndbox: struct<xmin: string, ymin: string, xmax: string, ymax: string>>>"
+
+
+def read_boxes(spark: SparkSession, path: str, row_tag: str = "annotation") -> DataFrame:
+    """file_name, label and bbox of annotations in XML, several to a file or one.
+
+    label: the first name of an object, else the folder; bbox: the union of all boxes whose four sides are numbers, as x, y, w, h
+    (at least one), or null without any. file_name: the annotation's, else the file's without its ending. Elements that don't parse go.
+    """
+    raw = spark.read.format("xml").option("rowTag", row_tag).option("mode", "DROPMALFORMED").schema(BOXES).load(path).withColumn("__file", F.col("_metadata.file_name"))
+    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
+    number = lambda o, f: F.trim(o["bndbox"][f]).try_cast("double")
+    sides = F.transform(F.coalesce("object", F.array()), lambda o: F.struct(*[number(o, f).alias(f) for f in ("xmin", "ymin", "xmax", "ymax")]))
+    whole = raw.withColumn("objects", F.filter(sides, lambda b: b["xmin"].isNotNull() & b["ymin"].isNotNull() & b["xmax"].isNotNull() & b["ymax"].isNotNull()))
+    at = lambda f: F.transform("objects", lambda b: b[f])
+    x, y = F.array_min(at("xmin")), F.array_min(at("ymin"))
+    box = F.array(x, y, F.greatest(F.array_max(at("xmax")) - x, F.lit(1.0)), F.greatest(F.array_max(at("ymax")) - y, F.lit(1.0)))
+    names = F.filter(F.transform(F.coalesce("object", F.array()), lambda o: clean(o["name"])), lambda n: n.isNotNull())
+    name = F.coalesce(clean(F.col("filename")), F.regexp_replace("__file", r"\.xml$", ""))
+    return whole.select(name.alias("file_name"), F.coalesce(F.get(names, F.lit(0)), clean(F.col("folder"))).alias("label"), F.when(F.size("objects") > 0, box).alias("bbox"))
+
+
 def parse_words(line: str | Column) -> Column:
     """struct(key, names) of a synset line: the key, then names by commas, cleaned, in order, each once."""
     c = X.col(line)
