@@ -163,3 +163,38 @@ def image_text_scores(images: DataFrame, texts: DataFrame, scale: float, batch:
     a = images.select("*", F.transform(V.l2_normalize("z"), lambda x: x * scale).alias("t"))
     b = texts.select(*[c for c in texts.columns if c != "z"], V.l2_normalize("z").alias("z")).withColumn("r", F.lit(0))
     return bag_scores(a, b, 1.0, batch, rows)
+
+
+def best_partners(left: DataFrame, right: DataFrame, rows: int = ROWS) -> DataFrame:
+    """id, best, score: for every row of left (id, v) the row of right (id, v) with the largest dot product, to nine digits; the lesser id of equals.
+
+    For any number of rows on both sides: blocks as above, one row of each left row and block leaves a task. Ids are unique on
+    their side; rows without an id or a vector take no part.
+    """
+    side = lambda df: written(df.where("id is not null and v is not null").select(F.lit(0).alias("batch"), "id", F.lit(0).alias("piece"), F.col("v").cast("array<double>").alias("v")))
+    a, b = side(left), side(right)
+    units = lambda df: df.select("batch", "id", "piece", F.lit(1).alias("n"))
+    ab, bb = _blocks(units(a), rows), _blocks(units(b), rows)
+
+    def run(key, these, those):
+        import numpy as np
+        import pyarrow as pa
+
+        stack = lambda table: table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        at, top = np.zeros(0, np.int64), np.zeros(0)
+        if those.num_rows and these.num_rows:
+            those = those.sort_by("id")
+            x, y = stack(these), stack(those)
+            step = max(1, CELLS // len(y))
+            found = [(n.argmax(1), n.max(1)) for n in (np.round(x[i : i + step] @ y.T, 9) for i in range(0, len(x), step))]
+            at, top = (np.concatenate(c) for c in zip(*found, strict=True))
+        else:
+            these = these.slice(0, 0)
+        return pa.table({"id": these.column("id"), "best": those.column("id").take(pa.array(at)), "score": pa.array(top)})
+
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    x, y = _dealt(a, ab, bb, "a", "b"), _dealt(b, bb, ab, "b", "a")
+    by = ["a", "b"]
+    found = x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(run, f"id {kind(a)}, best {kind(b)}, score double")
+    top = found.groupBy("id").agg(F.max("score").alias("score"))
+    return found.join(top, ["id", "score"]).groupBy("id").agg(F.min("best").alias("best"), F.first("score").alias("score"))

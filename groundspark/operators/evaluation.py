@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundspark.functions import text as X
 from groundspark.functions import vectors as V
 
+from .blocks import best_partners
 from .metrics import accuracy_report
 from .util import cap_per_group, draw, global_index
 
@@ -192,6 +193,40 @@ def hybrid_report(preds: DataFrame) -> DataFrame:
     return preds.groupBy("run_id").agg(F.count("*").alias("total"), F.avg(c).alias("accuracy"), F.sum(v.cast("long")).alias("in_vocab_total"), F.avg(F.when(v, c)).alias("in_vocab_accuracy"), F.sum((~v).cast("long")).alias("oov_total"), F.avg(F.when(~v, c)).alias("oov_accuracy"))
 
 
+def branches(trials: DataFrame, vocab: DataFrame | None, mode: str = "hybrid", kind: str = "image") -> DataFrame:
+    """trial_num, class, branch (encoder or units) and target_in_vocab of every trial.
+
+    mode encoder: all trials go to the text encoder; units: all to the labelled units; hybrid: to the encoder where the target's
+    label (kind image) or every candidate's label (kind text) is in the vocabulary. Without a vocabulary none is. The division is
+    by an anti join of exploded candidates: the vocabulary may be of any size.
+    """
+    t = trials.select("trial_num", F.col("target_category").alias("class"), "foil_categories")
+    if vocab is None:
+        return t.select("trial_num", "class", F.lit("encoder" if mode == "encoder" else "units").alias("branch"), F.lit(False).alias("target_in_vocab"))
+    known = vocab.select("token").distinct()
+    own = F.transform(F.array("class"), lambda c: F.struct(c.alias("token"), F.lit(True).alias("target")))
+    others = F.transform("foil_categories", lambda c: F.struct(c.alias("token"), F.lit(False).alias("target")))
+    missing = t.select("trial_num", F.explode(F.concat(own, others)).alias("c")).select("trial_num", "c.token", "c.target").join(known, "token", "left_anti")
+    by = missing.groupBy("trial_num").agg(F.max("target").alias("target_missing"))
+    out = t.join(by, "trial_num", "left").withColumn("target_in_vocab", ~F.coalesce("target_missing", F.lit(False)))
+    sound = {"encoder": F.lit(True), "units": F.lit(False), "hybrid": F.col("target_in_vocab") if kind == "image" else F.col("target_missing").isNull()}[mode]
+    return out.select("trial_num", "class", F.when(sound, "encoder").otherwise("units").alias("branch"), "target_in_vocab")
+
+
+def branch_report(preds: DataFrame) -> DataFrame:
+    """Class (null: all), and correct, total and accuracy (null without a trial) of all trials, of those with a target in and out of the vocabulary, and by branch.
+
+    preds: class, correct, branch, target_in_vocab.
+    """
+    known, encoder = F.col("target_in_vocab"), F.col("branch") == "encoder"
+    parts = {"all": F.lit(True), "in_vocab_target": known, "oov_target": ~known, "encoder_branch": encoder, "units_branch": ~encoder}
+    columns = []
+    for name, which in parts.items():
+        right = F.count_if(which & F.col("correct"))
+        columns += [right.alias(f"{name}_correct"), F.count_if(which).alias(f"{name}_total"), F.try_divide(right, F.count_if(which)).alias(f"{name}_accuracy")]
+    return preds.groupBy("class").agg(*columns).unionByName(preds.agg(F.lit(None).cast("string").alias("class"), *columns).where("all_total > 0"))
+
+
 def class_table(preds: DataFrame, classes: list[str]) -> DataFrame:
     """Run and one accuracy column a class."""
     return preds.groupBy("run_id").pivot("class", classes).agg(F.avg(F.col("correct").cast("double")))
@@ -210,15 +245,17 @@ def metrics_by_class(preds: DataFrame) -> DataFrame:
     return accuracy_report(preds, "run_id")
 
 
-def label_units(acts: DataFrame, probes: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:
-    """Unit -> concept: the concept (concept, c) nearest to the mean vector (instance_id, z) of the unit's k strongest probes (instance_id, unit, a)."""
+def unit_vectors(acts: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame:
+    """Unit, v: the mean of the normalised vectors (instance_id, z) of the unit's k strongest probes (instance_id, unit, a)."""
     top = cap_per_group(acts, ["unit"], k, F.desc(F.round("a", 9)), F.col("instance_id")).join(probes, "instance_id")
-    mean = top.select("unit", F.posexplode(V.l2_normalize("z")).alias("d", "x")).groupBy("unit", "d").agg(F.avg("x").alias("x")).groupBy("unit").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
-    if concepts.count() > LABELS:
-        raise ValueError(f"units are compared with {LABELS} concepts at most")
-    cs = concepts.agg(F.sort_array(F.collect_list(F.struct("concept", "c"))).alias("cs"))
-    best = F.array_max(F.transform("cs", lambda x, i: F.struct(F.round(V.cosine("v", x["c"]), 9).alias("sim"), (-i).alias("i"), x["concept"].alias("concept"))))
-    return mean.crossJoin(F.broadcast(cs)).withColumn("b", best).select("unit", F.col("b.concept").alias("concept"), F.col("b.sim").alias("sim"))
+    return top.select("unit", F.posexplode(V.l2_normalize("z")).alias("d", "x")).groupBy("unit", "d").agg(F.avg("x").alias("x")).groupBy("unit").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
+
+
+def label_units(acts: DataFrame, probes: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:
+    """Unit -> concept: the concept (concept, c) of the highest cosine with the unit's vector; any number of both, in blocks."""
+    left = unit_vectors(acts, probes, k).select(F.col("unit").alias("id"), V.l2_normalize("v").alias("v"))
+    best = best_partners(left, concepts.select(F.col("concept").alias("id"), V.l2_normalize("c").alias("v")))
+    return best.select(F.col("id").alias("unit"), F.col("best").alias("concept"), F.col("score").alias("sim"))
 
 
 def best_units(labelled: DataFrame) -> DataFrame:
@@ -226,6 +263,14 @@ def best_units(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("concept").agg(F.max_by("unit", F.struct("sim", -F.col("unit"))).alias("unit"), F.max("sim").alias("sim"))
 
 
+def units_of_labels(labelled: DataFrame, vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """Label, unit, sim, direct for every label (label, t): its best unit among those labelled with it (unit, concept, sim), else the unit (unit, v) of the highest cosine with its text's vector."""
+    own = labels.select("label").join(best_units(labelled).withColumnRenamed("concept", "label"), "label")
+    missing = labels.join(own.select("label"), "label", "left_anti")
+    near = best_partners(missing.select(F.col("label").alias("id"), V.l2_normalize("t").alias("v")), vectors.select(F.col("unit").alias("id"), V.l2_normalize("v").alias("v")))
+    return own.select("label", "unit", "sim", F.lit(False).alias("direct")).unionByName(near.select(F.col("id").alias("label"), F.col("best").alias("unit"), F.col("score").alias("sim"), F.lit(True).alias("direct")))
+
+
 def score_by_units(trials: DataFrame, acts: DataFrame, units: DataFrame) -> DataFrame:
     """Trials scored by the activation of the target category's unit on each image; trials without a unit are left out."""
     slots = trials.join(units.select(F.col("concept").alias("target_category"), "unit"), "target_category").select("trial_num", F.col("target_category").alias("class"), "unit", F.posexplode(F.concat(F.array("target_id"), "foil_ids")).alias("slot", "instance_id"))
@@ -234,14 +279,18 @@ def score_by_units(trials: DataFrame, acts: DataFrame, units: DataFrame) -> Data
 
 
 def concept_set(sources: list[DataFrame], exclude: DataFrame, most: int = 50_000) -> DataFrame:
-    """Concept, source: cleaned names of ordered sources (column name), excluded ones taken out, the first source wins."""
+    """Concept, source: cleaned names of ordered sources (column name), excluded ones taken out, the first source wins.
+
+    A source with a column token_id is a vocabulary: its first most words count, usable or not, and no other source is cut.
+    """
     rows = None
     for i, s in enumerate(sources):
+        s = s.orderBy("token_id").limit(most) if "token_id" in s.columns else s
         usable = s.where(X.is_reasonable_token("name")) if i else s  # names of the first source are taken as they are
         part = usable.select(X.clean_phrase("name").alias("concept"), F.lit(i).alias("source")).where("concept <> ''")
         rows = part if rows is None else rows.unionByName(part)
     kept = rows.join(exclude.select(X.clean_phrase("name").alias("concept")), "concept", "left_anti")
-    return kept.groupBy("concept").agg(F.min("source").alias("source")).orderBy("source", "concept").limit(most)
+    return kept.groupBy("concept").agg(F.min("source").alias("source"))
 
 
 def probe_set(trials: DataFrame, most: int, seed: int = 0) -> DataFrame:
@@ -250,6 +299,14 @@ def probe_set(trials: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return ids.orderBy(draw(seed, "instance_id"), "instance_id").limit(most)
 
 
+def probe_boxes(trials: DataFrame, instances: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """instance_id, file_name, bbox of the boxes of targets and foils (instance_id, file_name, bbox), each file and box once (with the least id), at most a drawn number; instances without a file or a box are left out."""
+    ids = trials.select(F.explode(F.concat(F.array("target_id"), "foil_ids")).alias("instance_id")).distinct()
+    known = ids.join(instances.where("file_name is not null and bbox is not null").select("instance_id", "file_name", F.col("bbox").cast("array<double>").alias("bbox")), "instance_id")
+    once = known.groupBy("file_name", "bbox").agg(F.min("instance_id").alias("instance_id"))
+    return once.orderBy(draw(seed, "file_name", F.array_join(F.col("bbox").cast("array<string>"), ",")), "file_name", "bbox").limit(most).select("instance_id", "file_name", "bbox")
+
+
 def filter_by_similarity(frames: DataFrame, categories: DataFrame) -> DataFrame:
     """Frames (obj_id, concept_id, z) whose nearest category (proto_id, p) is their own."""
     from .prototypes import hard_assign

@@ -200,6 +200,16 @@ def usage(objs: DataFrame, protos: DataFrame, tau: float = 0.07) -> DataFrame:
     return u.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("usage", 9)), "proto_id")))  # K rows
 
 
+def usage_summary(usage_: DataFrame) -> DataFrame:
+    """K, effective_k (exp of the entropy of the shares) and gini of a usage table (proto_id, usage, rank); zeros without usage."""
+    n, total = F.count("*").alias("k"), F.sum("usage")
+    share = usage_.agg(n, total.alias("total"), F.sum((F.lit(1) - F.col("rank")) * F.col("usage")).alias("falling")).crossJoin(usage_.select("usage"))  # K rows
+    p = F.try_divide("usage", F.greatest("total", F.lit(1e-12)))
+    return share.groupBy("k", "total", "falling").agg(F.exp(-F.sum(p * F.log(F.greatest(p, F.lit(1e-12))))).alias("effective_k")).select(
+        "k", "effective_k", F.when(F.col("total") > 0, 2 * (F.col("falling") + F.col("k") * F.col("total")) / (F.col("k") * F.col("total")) - (F.col("k") + 1) / F.col("k")).otherwise(0.0).alias("gini")
+    )
+
+
 def assigned_distances(objs: DataFrame, protos: DataFrame) -> DataFrame:
     """Objects with distance 1 - similarity to their prototype."""
     return hard_assign(objs, protos).withColumn("distance", 1 - F.col("sim"))

@@ -110,7 +110,6 @@ select f.path, coalesce(ix.path, k1.p, k2.p) as resolved from f left join ix on
 
 
 @query("e12_resolved_keys", E12_SQL)
-@query("e12_resolved_keys_all", E12_SQL)
 def e12_resolved_keys(spark, sf):
     """Every part: seven of ten names are of one part, the others of up to three parts in different folders."""
     p, k = table(spark, sf, "part").where("p_partkey is not null"), F.col("p_partkey")
@@ -128,7 +127,6 @@ select r.local_id::int as local_id, concept, case when drop_reason is null then
 
 
 @query("e13_concept_registry", E13_SQL)
-@query("e13_concept_registry_all", E13_SQL)
 def e13_concept_registry(spark, sf):
     return registry_of(spark, table(spark, sf, "events"))
 
@@ -275,7 +273,6 @@ select concept, count(*) as n, sum(paired)::bigint as paired, sum(near)::bigint
 
 
 @query("f10_temporal_misalignment", F10_SQL)
-@query("f10_temporal_misalignment_all", F10_SQL)
 def f10_temporal_misalignment(spark, sf):
     f, u = spoken(spark, sf)
     return K.temporal_misalignment(u, f).withColumn("paired_rate", F.round("paired_rate", 6)).withColumn("near_rate", F.round("near_rate", 6))
@@ -291,7 +288,6 @@ select utt, concept, o as "offset", round(a, 6) as area_frac, round(c, 6) as com
 
 
 @query("f11_mined_examples", F11_SQL)
-@query("f11_mined_examples_all", F11_SQL)
 def f11_mined_examples(spark, sf):
     f, u = spoken(spark, sf)
     m = f.select("clip", "frame_idx", F.col("label").alias("concept"), (F.col("value") / 200).alias("area_frac"), ((F.col("event_id") % 9 + 1) / 10).alias("compactness"))
@@ -323,3 +319,17 @@ def f10_matched_by_word(spark, sf):
 @query("f10_matched_within", f"with {EVENTS}" + MATCHED.replace("@@", "contains(f.label, u.concept)"))
 def f10_matched_within(spark, sf):
     return matched(spark, sf, "substring")
+
+
+@query("e4_fused_vectors", "with v as (select vec_id // 2 as i, vec_id % 2 as k, list_transform(embedding, lambda x: x::double) as z from embeddings), f as (select a.i, list_transform(range(1, len(a.z) + 1), lambda d: a.z[d] + b.z[d]) as s from v a join v b on a.i = b.i and a.k = 0 and b.k = 1) select i as pair, list_transform(s, lambda x: round(x / (sqrt(list_dot_product(s, s)) + 1e-8), 6)) as v from f")
+def e4_fused_vectors(spark, sf):
+    o = A.objects(spark, sf).withColumn("pair", F.floor(F.col("obj_id") / 2))
+    both = o.where("obj_id % 2 = 0").select("pair", F.col("z").alias("a")).join(o.where("obj_id % 2 = 1").select("pair", F.col("z").alias("b")), "pair")
+    return both.select("pair", F.transform(M.fuse(F.col("a"), F.col("b")), lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("e18_any_visible", "with d as (select l_orderkey as frame, l_linenumber as line, lower(p_type) as label from lineitem join part on l_partkey = p_partkey) select distinct a.frame from d a join d b on a.frame = b.frame and a.label = b.label where a.line = 1 and b.line > 1")
+def e18_any_visible(spark, sf):
+    """The first detection's label is what the text mentions, the others are masks."""
+    d = A.detections(spark, sf)
+    return M.any_visible(d.where("line = 1").select("frame", F.col("label").alias("concept")), d.where("line > 1"))

@@ -60,12 +60,13 @@ def a4_mask_index(spark, sf):
 
 @query("a5_listed_files", "select count(*) as n_docs, true as listed from documents")
 def a5_listed_files(spark, sf):
+    """Files written by Spark are listed with the lengths that a reader of their contents finds."""
     path = shared_path(spark, "listed")
     table(spark, sf, "documents").select("doc_id").write.parquet(path)
-    back = spark.read.parquet(path).select(F.input_file_name().alias("file"), F.lit(1).alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
+    back = spark.read.parquet(path).select("_metadata.file_name", "_metadata.file_size").groupBy("file_name", "file_size").agg(F.count("*").alias("n"))
     files = S.list_files(spark, path, "*.parquet").select(F.substring_index("path", "/", -1).alias("name"), "length")
-    both = back.select(F.substring_index("file", "/", -1).alias("name"), "n").join(files, "name", "left")
-    return both.agg(F.sum("n").alias("n_docs"), F.every(F.col("length") > 0).alias("listed"))
+    both = back.join(files, F.col("file_name") == F.col("name"), "full")
+    return both.agg(F.sum("n").alias("n_docs"), F.every(F.coalesce(F.col("length") == F.col("file_size"), F.lit(False))).alias("listed"))
 
 
 @query("a6_frame_labels", "select event_id::varchar as frame_key, event_type as label from events union all select event_id::varchar, 'x' from events where event_id % 3 = 0")
@@ -120,7 +121,6 @@ A10_SQL = "select p_name as concept, p_partkey::int as concept_id from part wher
 
 
 @query("a10_concept_lists", A10_SQL)
-@query("a10_concept_lists_all", A10_SQL)
 def a10_concept_lists(spark, sf):
     """Every part, dealt over the shapes: an object with the part's number, a list, an object without numbers."""
     p, k = table(spark, sf, "part"), F.col("p_partkey")
@@ -252,6 +252,12 @@ def c23_caption_mismatches(spark, sf):
     return C.caption_mismatches(annotations, c.where("image_id % 9 <> 4").withColumnRenamed("text", "raw"))
 
 
+@query("c23_caption_splits", "select distinct case role when 'system' then 'train' else role end as split, case role when 'system' then 'restval' else role end as source_split from conversations")
+def c23_caption_splits(spark, sf):
+    role = F.when(F.col("role") == "system", "restval").otherwise(F.col("role"))
+    return C.caption_splits(table(spark, sf, "conversations").select(role.alias("split")))
+
+
 @query("d8_label_sources", "select p_type, list_sort(list(distinct p_brand)) as sources from part group by 1")
 def d8_label_sources(spark, sf):
     return D.label_sources(table(spark, sf, "part"), "p_type", "p_brand")

@@ -129,6 +129,11 @@ def g26_prototype_usage(spark, sf):
     return rounded(G.usage(*both(spark, sf)), "usage")
 
 
+@query("g26_usage_summary", USAGE + ", nk as (select count(*) as k, sum(usage) as t from us), g as (select usage, row_number() over (order by usage) as i from us) select k, round(exp(-(select sum(usage / t * ln(usage / t)) from us)), 6) as effective_k, round(2 * (select sum(i * usage) from g) / (k * t) - (k + 1) / k::double, 6) as gini from nk")
+def g26_usage_summary(spark, sf):
+    return rounded(G.usage_summary(G.usage(*both(spark, sf))), "effective_k", "gini")
+
+
 @query("d10_usage_per_concept", USAGE + ", pc as (select obj_id as proto_id, concept_id from v where obj_id < 8), c as (select distinct concept_id from v) select c.concept_id, round(coalesce(sum(usage), 0), 6) as usage from c left join pc using (concept_id) left join us using (proto_id) group by 1")
 def d10_usage_per_concept(spark, sf):
     o, p = both(spark, sf)
@@ -460,9 +465,45 @@ def h14_hybrid_report(spark, sf):
     return rounded(E.hybrid_report(A.predictions(spark, sf)), "accuracy", "in_vocab_accuracy", "oov_accuracy")
 
 
-@query("h14_class_table", PRED + " select run_id, round(avg(correct) filter (class = 'click'), 6)::double as click, round(avg(correct) filter (class = 'view'), 6)::double as view, round(avg(correct) filter (class = 'purchase'), 6)::double as purchase from p group by 1")
+CLASSES = ["click", "view", "purchase", "signup", "error"]
+
+
+@query("h14_class_table", PRED + " select run_id, " + ", ".join(f"round(avg(correct) filter (class = '{c}'), 6)::double as {c}" for c in CLASSES) + " from p group by 1")
 def h14_class_table(spark, sf):
-    return rounded(E.class_table(A.predictions(spark, sf), ["click", "view", "purchase"]), "click", "view", "purchase")
+    return rounded(E.class_table(A.predictions(spark, sf), CLASSES), *CLASSES)
+
+
+BRANCH = TRIALS + ", b as (select trial_num, target_category as class, target_category <> 'small' as known, len(list_filter(list_concat([target_category], foil_categories), lambda x: x = 'small')) = 0 as whole from tr)"
+
+
+def branched(spark, sf, mode, kind):
+    vocab = pooled(spark, sf).where("label <> 'small'").select(F.col("label").alias("token")).distinct()
+    return E.branches(trials(spark, sf), vocab, mode, kind)
+
+
+@query("h14_branches_image", BRANCH + " select trial_num, class, case when known then 'encoder' else 'units' end as branch, known as target_in_vocab from b")
+def h14_branches_image(spark, sf):
+    return branched(spark, sf, "hybrid", "image")
+
+
+@query("h14_branches_text", BRANCH + " select trial_num, class, case when whole then 'encoder' else 'units' end as branch, known as target_in_vocab from b")
+def h14_branches_text(spark, sf):
+    return branched(spark, sf, "hybrid", "text")
+
+
+@query("h14_branches_forced", BRANCH + " select trial_num, class, 'units' as branch, known as target_in_vocab from b")
+def h14_branches_forced(spark, sf):
+    return branched(spark, sf, "units", "image")
+
+
+PARTS = {"all": "true", "in_vocab_target": "v", "oov_target": "not v", "encoder_branch": "e", "units_branch": "not e"}
+FIELDS = ", ".join(f"count(*) filter ({w} and correct) as {n}_correct, count(*) filter ({w}) as {n}_total, round(count(*) filter ({w} and correct) / nullif(count(*) filter ({w}), 0)::double, 6) as {n}_accuracy" for n, w in PARTS.items())
+
+
+@query("h14_branch_report", f"with p as (select event_type as class, value < 20 as correct, {sql_draw(1, 'event_id')} % 2 = 0 as v, event_id % 3 = 0 as e from events) select class, {FIELDS} from p group by 1 union all select null, {FIELDS} from p")
+def h14_branch_report(spark, sf):
+    preds = A.predictions(spark, sf).select("class", "correct", F.col("in_vocab").alias("target_in_vocab"), F.when(F.col("trial_idx") % 3 == 0, "encoder").otherwise("units").alias("branch"))
+    return rounded(E.branch_report(preds), *[f"{n}_accuracy" for n in PARTS])
 
 
 @query("h15_run_comparison", PRED + ", c as (select class, avg(correct) filter (run_id = '0') as base, avg(correct) filter (run_id = '1') as exp from p group by 1) select class, round(base, 6)::double as base, round(exp, 6)::double as exp, round(exp - base, 6)::double as delta from c union all select null, round(avg(base), 6)::double, round(avg(exp), 6)::double, round(avg(exp - base), 6)::double from c")
@@ -475,7 +516,6 @@ H12_SQL = "with f as (select user_id as clip, row_number() over (partition by us
 
 
 @query("h12_clips", H12_SQL)
-@query("h12_clips_all", H12_SQL)
 def h12_clips(spark, sf):
     """Every event is an anchor."""
     f = A.frame_events(spark, sf)
@@ -504,6 +544,15 @@ def h16_best_units(spark, sf):
     return rounded(E.best_units(units(spark, sf)[1]), "sim", digits=5)
 
 
+@query("h16_units_of_labels", UNITS + ", o as (select concept as label, arg_max(unit, round(sim, 9) * 1000 - unit * 1e-9) as unit, max(sim) as sim, false as direct from ub group by 1), m as (select concept, arg_max(unit, round(sim, 9) * 1000 - unit * 1e-9), max(sim), true from us where concept not in (select label from o) group by 1) select label, unit, round(sim, 5) as sim, direct from (select * from o union all select * from m)")
+def h16_units_of_labels(spark, sf):
+    """Every prototype is a label; four units label four at most, the others take the nearest unit."""
+    acts, labelled = units(spark, sf)
+    labels = A.prototypes(spark, sf).select(F.concat(F.lit("c"), F.col("proto_id").cast("string")).alias("label"), F.col("p").alias("t"))
+    vectors = E.unit_vectors(acts, A.objects(spark, sf).select(F.col("obj_id").alias("instance_id"), "z"))
+    return rounded(E.units_of_labels(labelled, vectors, labels), "sim", digits=5)
+
+
 @query("h17_unit_scores", TRIALS + ", e as (select vec_id as i, embedding as z from embeddings), c as (select count(*) as n from e), u as (select label, (row_number() over (order by label) - 1) as unit from (select distinct label from po where label <> 'large')), sl as (select trial_num, target_category, unnest(list_concat([target_id], foil_ids)) as id, unnest(range(4)) as slot from tr), sc as (select trial_num, target_category as class, list(z[unit + 1]::double order by slot) as scores from sl join u on u.label = target_category join e on i = id % (select n from c) group by 1, 2) select trial_num, class, list_transform(scores, lambda x: round(x, 6)) as scores, list_position(scores, list_max(scores)) = 1 as correct from sc")
 def h17_unit_scores(spark, sf):
     t, o = trials(spark, sf), A.objects(spark, sf)
@@ -513,11 +562,13 @@ def h17_unit_scores(spark, sf):
     return E.score_by_units(t, acts, ls).select("trial_num", "class", round_list("scores").alias("scores"), "correct")
 
 
-@query("h18_concept_set", "with s as (select lower(p_type) as n, 0 as source from part union all select p_name, 1 from part union all select p_name, 1 from part where false) select n as concept, min(source) as source from s where n not in ('small', 'red ring') and length(n) >= 3 group by 1")
+@query("h18_concept_set", "with s as (select lower(p_type) as n, 0 as source from part union all select p_name, 1 from part where p_partkey in (select p_partkey from part order by p_partkey limit 100) union all select lower(p_brand), 2 from part), c as (select trim(regexp_replace(regexp_replace(n, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as n, source from s where source = 0 or (length(n) >= 3 and not regexp_matches(n, '[^a-z0-9_ ]'))) select n as concept, min(source) as source from c where n not in ('small', 'red ring') group by 1")
 def h18_concept_set(spark, sf):
+    """Types, a vocabulary of names cut to its first hundred, brands that aren't cut."""
     p = table(spark, sf, "part")
     exclude = spark.createDataFrame([("small",), ("red_ring",)], "name string")
-    return E.concept_set([p.select(F.col("p_type").alias("name")), p.select(F.col("p_name").alias("name"))], exclude)
+    vocab = p.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("token_id"))
+    return E.concept_set([p.select(F.col("p_type").alias("name")), vocab, p.select(F.lower("p_brand").alias("name"))], exclude, 100)
 
 
 @query("h19_probe_set", TRIALS + f", x as (select distinct unnest(list_concat([target_id], foil_ids)) as instance_id from tr) select instance_id from x order by {sql_draw(4, 'instance_id')}, instance_id limit 30")
@@ -525,6 +576,14 @@ def h19_probe_set(spark, sf):
     return E.probe_set(trials(spark, sf), 30, 4)
 
 
+@query("h19_probe_boxes", TRIALS + ", x as (select distinct unnest(list_concat([target_id], foil_ids)) as instance_id from tr), y as (select p_brand as file_name, [0.0, 0.0, (p_partkey % 9)::double, (p_partkey % 7)::double] as bbox, min(instance_id) as instance_id from x join part on p_partkey = instance_id where p_partkey % 5 <> 0 group by 1, 2) select instance_id, file_name, bbox from y")
+def h19_probe_boxes(spark, sf):
+    """Brands as files; every fifth part lacks a box."""
+    box = F.array(F.lit(0.0), F.lit(0.0), (F.col("p_partkey") % 9).cast("double"), (F.col("p_partkey") % 7).cast("double"))
+    known = table(spark, sf, "part").select(F.col("p_partkey").alias("instance_id"), F.col("p_brand").alias("file_name"), F.when(F.col("p_partkey") % 5 != 0, box).alias("bbox"))
+    return E.probe_boxes(trials(spark, sf), known, 1_000_000, 4)
+
+
 @query("h21_frames_of_own_category", HARD + ", pc as (select obj_id as proto, concept_id as pcid from v where obj_id < 8) select obj_id, concept_id, round(sim, 6) as sim from h where proto = concept_id")
 def h21_frames_of_own_category(spark, sf):
     return rounded(E.filter_by_similarity(*both(spark, sf)), "sim")

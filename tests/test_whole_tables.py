@@ -40,12 +40,12 @@ def test_every_part_is_resolved(spark, sf):
     for p in path.values():
         ways = [[x for x in index if x == p], *([x for x in index if x.split("/")[-n:] == p.split("/")[-n:]] for n in (1, 2))]
         want.append((p, next((w[0] for w in ways if len(w) == 1), None)))
-    got = [tuple(r) for r in rows(spark, sf, "e12_resolved_keys_all")]
+    got = [tuple(r) for r in rows(spark, sf, "e12_resolved_keys")]
     assert sorted(got) == sorted(want) and any(p.endswith("/5000") for p, _ in got)
 
 
 def test_every_part_is_parsed(spark, sf):
-    got = Counter((r.concept, r.concept_id) for r in rows(spark, sf, "a10_concept_lists_all"))
+    got = Counter((r.concept, r.concept_id) for r in rows(spark, sf, "a10_concept_lists"))
     want = Counter()
     for r in spark.read.parquet(f"{sf}/part.parquet").collect():
         k = r.p_partkey
@@ -55,7 +55,7 @@ def test_every_part_is_parsed(spark, sf):
 
 def test_all_events_are_counted(spark, sf):
     n = Counter(e[2] for e in EVENTS)
-    assert {r.concept: r["count"] for r in rows(spark, sf, "e13_concept_registry_all")} == {c: n[c] for c in ("error", "click", "view", "purchase", "signup", "ball")}
+    assert {r.concept: r["count"] for r in rows(spark, sf, "e13_concept_registry")} == {c: n[c] for c in ("error", "click", "view", "purchase", "signup", "ball")}
 
 
 def spoken(spark):
@@ -74,7 +74,7 @@ def test_every_event_is_an_utterance(spark, sf):
                 n[k] += 1
                 paired[k] += 0 in seen
                 near[k] += bool(seen)
-    got = {r.concept: (r.n, r.paired, r.near) for r in rows(spark, sf, "f10_temporal_misalignment_all")}
+    got = {r.concept: (r.n, r.paired, r.near) for r in rows(spark, sf, "f10_temporal_misalignment")}
     assert got == {k: (n[k], paired[k], near[k]) for k in n} and n[None] == len(EVENTS)
 
 
@@ -92,7 +92,7 @@ def test_examples_are_mined_from_all_events(spark, sf):
             if 0.01 <= area <= 0.45 and share <= 0.55 and compact >= 0.1:
                 score = 100 * bell(area, 0.12, 0.1) + 40 * bell(min(abs(o) for _, o, _ in hits) / 5, 0.4, 0.45) + 45 * bell(share, 0.25, 0.18) + 25 * bell(compact, 0.55, 0.25)
                 want[said[e[0]]].append((-round(score / (2 if said[e[0]] == "error" else 1), 9), e[0]))
-    got = {(r.concept, r.utt) for r in rows(spark, sf, "f11_mined_examples_all")}
+    got = {(r.concept, r.utt) for r in rows(spark, sf, "f11_mined_examples")}
     assert got == {(c, u) for c, xs in want.items() for _, u in sorted(xs)[:4]} and any(u % 10 for _, u in got)
 
 
@@ -103,5 +103,5 @@ def test_every_event_is_an_anchor(spark, sf):
         for i, e in enumerate(clip):
             centre = kept.index(i) if i in kept else min(sum(j < i for j in kept), len(kept) - 1)
             want[e[0]] = [kept[min(max(centre + k * 2, 0), len(kept) - 1)] for k in range(-2, 3)]
-    got = {r.anchor: list(r.frames) for r in rows(spark, sf, "h12_clips_all")}
+    got = {r.anchor: list(r.frames) for r in rows(spark, sf, "h12_clips")}
     assert got == want and len(got) == len(EVENTS)
