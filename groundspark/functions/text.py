@@ -99,6 +99,14 @@ def canonical(token: Column, aliases: dict[str, str] | None = None, fix_plurals:
     return F.coalesce(alias, plain if fix_plurals else token)
 
 
+def surface_forms(concepts: list[str], aliases: dict[str, str] | None = None) -> dict[str, str]:
+    """Every letter token that canonical makes one of the concepts -> that concept: its aliases, and itself, with s and with es where the plural rule leads back."""
+    table = ALIASES if aliases is None else aliases
+    plain = lambda t: t[:-2] if t.endswith("es") and len(t) > 3 else t[:-1] if t.endswith("s") and len(t) > 2 else t
+    forms = {t: c for c in concepts for t in (c, c + "s", c + "es") if t not in table and plain(t) == c}
+    return forms | {t: c for t, c in table.items() if c in set(concepts)}
+
+
 def canon_tokens(c: str | Column, aliases: dict[str, str] | None = None, fix_plurals: bool = True) -> Column:
     """Canonical letter tokens of a text in order."""
     return F.transform(tokenize_alpha(c), lambda t: canonical(t, aliases, fix_plurals))

@@ -12,13 +12,14 @@ from .util import cap_per_group, written
 
 
 def mentions(df: DataFrame, key: str, text: str, concepts: list[str]) -> DataFrame:
-    """key and the sorted distinct concepts (a short fixed list) that a text mentions after canonicalisation."""
-    words = df.select(F.explode(X.tokenize_alpha(text)).alias("token")).distinct()  # each distinct word of the corpus is canonicalised once
-    known = words.select("token", X.canonical(F.col("token")).alias("concept")).where(F.col("concept").isin(concepts))
-    row = "__row"
-    rows = written(df.select(key, F.monotonically_increasing_id().alias(row), X.tokenize_alpha(text).alias("__tokens")))
-    hits = rows.select(row, F.explode(F.array_distinct("__tokens")).alias("token")).join(known, "token").groupBy(row).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
-    return rows.select(key, row).join(hits, row, "left").select(key, F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"))
+    """key and the sorted distinct concepts (a short fixed list) that a text mentions after canonicalisation; found among the concepts' surface forms where the row is read."""
+    forms = X.surface_forms(concepts)
+    if not forms:
+        return df.select(key, F.array().cast("array<string>").alias("concepts"))
+    table = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv])
+    hits = F.array_intersect(X.tokenize_alpha(text), F.array(*map(F.lit, forms)))
+    found = F.array_sort(F.array_distinct(F.transform(hits, lambda t: F.element_at(table, t))))
+    return df.select(key, F.coalesce(found, F.array().cast("array<string>")).alias("concepts"))
 
 
 def long_mentions(m: DataFrame, key: str) -> DataFrame:
