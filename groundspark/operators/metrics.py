@@ -32,13 +32,18 @@ def gini(counts: DataFrame, value: str, *keys: str) -> DataFrame:
     return d.withColumn("before", before).groupBy(*keys).agg(g.alias("gini")).drop("__all")
 
 
+RUN = 100_000  # equal counts that one row stands for when points are made
+
+
 def lorenz(counts: DataFrame, value: str) -> DataFrame:
-    """D3: n + 1 points (x, y) of the Lorenz curve. Only distinct counts are put in order; each point follows from its place among equals."""
+    """D3: n + 1 points (x, y) of the Lorenz curve. Only distinct counts are put in order; each point follows from its place among equals, which are dealt out in runs."""
     d = counts.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("m"))
     w = Window.partitionBy(F.lit(1)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("upto", F.sum("m").over(w)).withColumn("sum", F.sum(F.col("v") * F.col("m")).over(w))
     whole = counts.agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))
-    each = d.crossJoin(F.broadcast(whole)).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "m")))  # whole is one row
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = d.crossJoin(F.broadcast(whole)).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / RUN))))  # whole is one row
+    each = runs.repartition(tasks, "v", "run").withColumn("i", F.explode(F.sequence(F.col("run") * RUN + 1, F.least((F.col("run") + 1) * RUN, "m"))))
     back = F.col("m") - F.col("i")
     points = each.select(((F.col("upto") - back) / F.col("__n")).alias("x"), F.try_divide(F.col("sum") - back * F.col("v"), F.col("__s")).cast("double").alias("y"))
     return points.union(whole.select(F.lit(0.0), F.lit(0.0)))

@@ -58,10 +58,26 @@ def hard_assign(objs: DataFrame, protos: DataFrame) -> DataFrame:
 
 
 def recall(objs: DataFrame, protos: DataFrame, tau: float = 0.07) -> DataFrame:
-    """R, the normalised mixture of prototypes by q."""
-    cb = codebook(protos).select(F.transform("cb", lambda x: x["p"]).alias("ps"))
-    mixed = F.transform(F.sequence(F.lit(0), F.size(F.get("ps", F.lit(0))) - 1), lambda d: V.total(F.zip_with("q", "ps", lambda q, p: q * F.get(p, d))))
-    return soft_assign(objs, protos, tau).crossJoin(F.broadcast(cb)).withColumn("r", V.l2_normalize(mixed)).drop("ps")
+    """R, the normalised mixture of prototypes by q; a matrix product in each batch."""
+    book = [list(map(float, r["p"])) for r in codebook(protos).first()["cb"]]  # at most MOST vectors
+    soft = soft_assign(objs, protos, tau)
+    keep = soft.columns
+    at = keep.index("q")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        p = np.array(book, float).reshape(len(book), len(book[0]) if book else 0)
+        for batch in batches:
+            q = batch.column(at)
+            known = q.is_valid().to_numpy(zero_copy_only=False)
+            mixed = q.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(int(known.sum()), len(book)) @ p
+            mixed /= np.sqrt((mixed * mixed).sum(1, keepdims=True)) + 1e-8
+            ends = pa.array(np.concatenate([[0], np.cumsum(known * p.shape[1])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(mixed.ravel()), mask=pa.array(~known))], [*keep, "r"])
+
+    return soft.mapInArrow(run, T.StructType([*soft.schema.fields, T.StructField("r", T.ArrayType(T.DoubleType()))]))
 
 
 def column_sums(df: DataFrame, vector: Column, name: str = "sums") -> DataFrame:

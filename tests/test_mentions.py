@@ -22,3 +22,13 @@ def test_mentions_of_odd_texts(spark):
     got = sorted((r.k, r.concepts) for r in C.mentions(df, "k", "text", ["cat", "foot", "table", "tabl", "the"]).collect())
     assert got == [(1, []), (1, ["cat", "foot", "the"]), (2, []), (3, []), (4, ["cat", "table"])]
     assert C.mentions(df, "k", "text", []).count() == 5
+
+
+def test_lorenz_in_runs(spark, monkeypatch):
+    from groundspark.operators import metrics as M
+
+    monkeypatch.setattr(M, "RUN", 7)
+    values = [1] * 40 + [2] * 15 + [9, 9, 30]
+    got = sorted((round(r.x, 9), round(r.y, 9)) for r in M.lorenz(spark.createDataFrame([(v,) for v in values], "v long"), "v").collect())
+    want = [(0.0, 0.0)] + [(round((i + 1) / len(values), 9), round(sum(values[: i + 1]) / sum(values), 9)) for i in range(len(values))]
+    assert got == want
