@@ -10,7 +10,7 @@ from groundspark.functions import vectors as V
 
 from .blocks import best_partners
 from .metrics import accuracy_report
-from .util import cap_per_group, draw, global_index
+from .util import cap_per_group, draw, global_index, written
 
 #: Candidate labels of multi-word or rare classes (an empty list blocks the class), and categories left out of trials.
 CANDIDATES = {
@@ -80,21 +80,23 @@ def eligible_categories(labels: DataFrame, vocab: DataFrame, excluded: list[str]
     return labels.where(~F.col("label").isin(list(excluded)) & (F.col("label") != "")).select("label").distinct().join(vocab.select(F.col("token").alias("label")), "label", "left_semi")
 
 
-LABELS = 4096  # that foils are drawn from at most: they are sent as one array
-
-
 def _foils(targets: DataFrame, pools: DataFrame, n_foils: int, seed: int, *key: str) -> DataFrame:
-    """targets with foils: n distinct other labels in drawn order, each with one drawn instance. Labels are few: sent as one array."""
+    """targets with foils: n distinct other labels in drawn order, each with one drawn instance.
+
+    Labels are numbered. A slot draws a place among the labels that are still left, which becomes a number by stepping over the
+    target's and those taken before: n_foils draws a trial, whatever the number of labels, which are joined by number.
+    """
     sizes = pools.groupBy("label").agg(F.count("*").alias("n"))
-    labels = sizes.agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("ls"))
-    n = sizes.count()
+    labels = written(global_index(sizes, F.col("label"), name="li"))
+    n = labels.count()
     if n < n_foils + 1:
         raise ValueError("too few labels for that many foils")
-    if n > LABELS:
-        raise ValueError(f"foils are drawn from {LABELS} labels at most")
-    order = F.array_sort(F.transform(F.filter("ls", lambda x: x["label"] != F.col("label")), lambda x: F.struct(draw(seed, *key, x["label"]).alias("d"), x["label"].alias("label"), x["n"].alias("n"))))
-    t = targets.crossJoin(F.broadcast(labels)).withColumn("f", F.slice(order, 1, n_foils)).drop("ls")
-    rows = t.select(*key, F.posexplode("f").alias("slot", "x")).select(*key, "slot", F.col("x.label").alias("f_label"), (draw(seed + 1, *key, "slot") % F.col("x.n")).cast("int").alias("f_place"))
+    step = lambda taken, x: F.aggregate(F.array_sort(taken), x, lambda y, t: F.when(y >= t, y + 1).otherwise(y))
+    place = lambda slot: draw(seed, *key, slot) % (F.lit(n - 1).cast("long") - slot)
+    taken = F.aggregate(F.sequence(F.lit(0), F.lit(n_foils - 1)), F.array("li"), lambda t, slot: F.concat(t, F.array(step(t, place(slot)))))
+    t = targets.join(labels.select("label", "li"), "label").select(*key, F.posexplode(F.slice(taken, 2, n_foils)).alias("slot", "f_li"))
+    numbered = labels.select(F.col("li").alias("f_li"), F.col("label").alias("f_label"), "n")
+    rows = t.join(numbered, "f_li").withColumn("f_place", (draw(seed + 1, *key, "slot") % F.col("n")).cast("int"))
     p = pools.select(F.col("label").alias("f_label"), F.col("place").alias("f_place"), F.col("instance_id").alias("f_id"))
     foils = rows.join(p, ["f_label", "f_place"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("slot", "f_label", "f_id"))).alias("fs"))
     return targets.join(foils, list(key)).withColumn("foil_categories", F.transform("fs", lambda x: x["f_label"])).withColumn("foil_ids", F.transform("fs", lambda x: x["f_id"])).drop("fs")

@@ -391,11 +391,14 @@ def h4_instance_pools(spark, sf):
 
 
 def foils_sql(targets: str, key: list[str], seed: int) -> str:
+    """Three foils: places among the labels that are left, stepped over the target's number and those taken before."""
     k = ", ".join(key)
-    keys = [f"t.{c}" for c in key]
-    return f""", sz as (select label, count(*) as n from po group by 1), tg as ({targets}),
-fo as (select {', '.join(keys)}, sz.label as f_label, sz.n, row_number() over (partition by {', '.join(keys)} order by {sql_draw(seed, *keys, 'sz.label')}, sz.label) - 1 as slot from tg t join sz on sz.label <> t.label),
-fp as (select fo.*, ({sql_draw(seed + 1, *[f'fo.{c}' for c in key], 'slot')} % n) as f_place from fo where slot < 3),
+    step = lambda x, taken: f"list_reduce(list_prepend({x}, list_sort({taken})), lambda y, t: case when y >= t then y + 1 else y end)"
+    return f""", sz as (select label, count(*) as n, row_number() over (order by label) - 1 as li, count(*) over () as labels from po group by 1), tg as ({targets}),
+f0 as (select {k}, li, list(d order by slot) as ds from (select {', '.join('t.' + c for c in key)}, li, slot, {sql_draw(seed, *['t.' + c for c in key], 'slot')} % (labels - 1 - slot) as d from tg t join sz on sz.label = t.label cross join (select unnest([0, 1, 2]) as slot)) group by {k}, li),
+f1 as (select *, {step('ds[1]', '[li]')} as p0 from f0), f2 as (select *, {step('ds[2]', '[li, p0]')} as p1 from f1), f3 as (select *, {step('ds[3]', '[li, p0, p1]')} as p2 from f2),
+fo as (select {k}, unnest([p0, p1, p2]) as f_li, unnest([0, 1, 2]) as slot from f3),
+fp as (select {', '.join('fo.' + c for c in key)}, slot, sz.label as f_label, ({sql_draw(seed + 1, *['fo.' + c for c in key], 'slot')} % n) as f_place from fo join sz on sz.li = f_li),
 fi as (select {', '.join('fp.' + c for c in key)}, list(f_label order by slot) as foil_categories, list(po.instance_id order by slot) as foil_ids from fp join po on po.label = fp.f_label and po.place = fp.f_place group by {', '.join('fp.' + c for c in key)})"""
 
 

@@ -91,3 +91,14 @@ def test_usage_summary(spark):
     assert r.k == 4 and abs(r.effective_k - math.exp(-sum(p * math.log(p) for p in u if p))) < 1e-6
     assert abs(r.gini - (2 * sum((i + 1) * v for i, v in enumerate(x)) / (4 * sum(u)) - 5 / 4)) < 1e-12
     assert G.usage_summary(df.withColumn("usage", F.lit(0.0))).first().gini == 0
+
+
+def test_foils_from_more_labels_than_one_array(spark):
+    pools = spark.range(5000).select(F.format_string("l%04d", "id").alias("label"), F.lit(0).alias("place"), F.col("id").alias("instance_id"))
+    got = E.make_trials(pools, 21, 1, 3).collect()
+    assert len(got) == 5000 and [r.trial_num for r in sorted(got, key=lambda r: r.trial_num)] == list(range(5000))
+    for r in got:
+        assert len({r.target_category, *r.foil_categories}) == 22 and [f"l{i:04}" for i in r.foil_ids] == r.foil_categories
+    assert len({c for r in got for c in r.foil_categories}) == 5000  # all labels are drawn
+    few = spark.range(4).select(F.format_string("l%d", "id").alias("label"), F.lit(0).alias("place"), F.col("id").alias("instance_id"))
+    assert all(len(set(r.foil_categories)) == 3 and r.target_category not in r.foil_categories for r in E.make_fixed_trials(few, 50, 3, 1).collect())
