@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from groundspark.functions import text as X
 from groundspark.functions import vectors as V
 
-from .util import cap_per_group, global_index
+from .blocks import best_partners
+from .util import cap_per_group, global_index, written
 
-MOST = 4096  # concepts that masks are compared with: they are sent as one array
+MOST = 4096  # concepts that are sent as one array
 #: The canonical concepts, in order.
 CANONICAL = "ball basket car cat chair computer crib door foot hand paper puzzle stairs table window".split()
 
@@ -51,11 +52,15 @@ def best_mask(df: DataFrame, *keys: str) -> DataFrame:
 def assign_labels(masks: DataFrame, concepts: DataFrame, thr: float = 0.30) -> DataFrame:
     """Masks (z) with the concept (concept, priority, c) of the highest cosine; priority wins ties; below thr the label is null.
 
-    concepts is a small fixed list: it is sent to the tasks as one array.
+    Up to MOST concepts are sent to the tasks as one array; more are met in blocks.
     """
-    table = concepts.agg(F.sort_array(F.collect_list(F.struct((~F.col("priority")).alias("extra"), "concept", "c"))).alias("cs"))
     if concepts.count() > MOST:
-        raise ValueError(f"masks are compared with {MOST} concepts at most")
+        rows = written(masks.withColumn("__row", F.monotonically_increasing_id()))
+        ranked = F.concat(F.when(F.col("priority"), "0").otherwise("1"), "concept")  # priority first among equals
+        best = best_partners(rows.select(F.col("__row").alias("id"), V.l2_normalize("z").alias("v")), concepts.select(ranked.alias("id"), V.l2_normalize("c").alias("v")))
+        found = best.select(F.col("id").alias("__row"), F.col("score").alias("clip_sim"), F.when(F.col("score") >= thr, F.substring("best", F.lit(2), F.length("best"))).alias("label"))
+        return rows.join(found, "__row", "left").drop("__row")
+    table = concepts.agg(F.sort_array(F.collect_list(F.struct((~F.col("priority")).alias("extra"), "concept", "c"))).alias("cs"))
     scored = masks.crossJoin(F.broadcast(table)).withColumn("best", F.array_max(F.transform("cs", lambda x, i: F.struct(F.round(V.cosine("z", x["c"]), 9).alias("sim"), (-i).alias("i"), x["concept"].alias("concept")))))
     return scored.withColumn("clip_sim", F.col("best.sim")).withColumn("label", F.when(F.col("clip_sim") >= thr, F.col("best.concept"))).drop("cs", "best")
 

@@ -102,3 +102,14 @@ def test_foils_from_more_labels_than_one_array(spark):
     assert len({c for r in got for c in r.foil_categories}) == 5000  # all labels are drawn
     few = spark.range(4).select(F.format_string("l%d", "id").alias("label"), F.lit(0).alias("place"), F.col("id").alias("instance_id"))
     assert all(len(set(r.foil_categories)) == 3 and r.target_category not in r.foil_categories for r in E.make_fixed_trials(few, 50, 3, 1).collect())
+
+
+def test_masks_with_more_concepts_than_one_array(spark, monkeypatch):
+    from groundspark.operators import masks as M
+
+    g = np.random.default_rng(3)
+    m = spark.createDataFrame([(i, g.standard_normal(4).tolist()) for i in range(50)], "mask int, z array<double>")
+    c = spark.createDataFrame([(f"c{i % 30}_{i}", i % 7 == 0, (g.standard_normal(4) if i % 2 else np.ones(4)).tolist()) for i in range(60)], "concept string, priority boolean, c array<double>")
+    few = {r.mask: (r.label, round(r.clip_sim, 9)) for r in M.assign_labels(m, c, 0.5).collect()}
+    monkeypatch.setattr(M, "MOST", 10)
+    assert {r.mask: (r.label, round(r.clip_sim, 9)) for r in M.assign_labels(m, c, 0.5).collect()} == few and len(few) == 50
