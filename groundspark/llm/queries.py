@@ -85,7 +85,7 @@ QUERIES = {
 #: Files of 128 records have three levels. chr(13) || chr(10) is the line end of WARC.
 OP10_SQL = """
 with given as (
-  select page_id, -1 - ('0x' || left(sha256(coalesce(url, '') || '|' || coalesce(html, '')), 8))::bigint % greatest(1, (select ceil(count(*) / 128.0)::bigint from pages where page_id is null)) as loose, url, html from pages),
+  select page_id, least(0, coalesce((select floor(min(page_id) / 128.0)::bigint from pages), 0)) - 1 - ('0x' || left(sha256(coalesce(url, '') || '|' || coalesce(html, '')), 8))::bigint % greatest(1, (select ceil(count(*) / 128.0)::bigint from pages where page_id is null)) as loose, url, html from pages),
 sides as (
   select 'a' as side, page_id, loose, coalesce(url, '') as url, coalesce(html, '') as html from given
   union all

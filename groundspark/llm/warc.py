@@ -164,13 +164,15 @@ def audited(pages: DataFrame) -> DataFrame:
     """Audit of the pages as WARC files of FILE_RECORDS page numbers, against a replica with known damage.
 
     In the replica every page whose number is divisible by DAMAGED has its last byte changed (empty pages get one), and
-    every page with remainder 1 by LOST is missing. Pages without a number are dealt to files below zero by their digest.
+    every page with remainder 1 by LOST is missing. Pages without a number are dealt by their digest to files below zero and
+    below those of all numbers.
     """
-    loose = pages.where("page_id is null").count()
+    loose, least = pages.agg(F.count_if(F.col("page_id").isNull()), F.min("page_id")).first()
+    below = min(0, (least or 0) // FILE_RECORDS)
     seal = F.sha2(F.concat(F.coalesce("url", F.lit("")), F.lit("|"), F.coalesce("html", F.lit(""))), 256)
     spread = F.conv(F.left(seal, F.lit(8)), 16, 10).cast("long") % max(1, -(-loose // FILE_RECORDS))
-    number = F.coalesce("page_id", -1 - spread)  # pages without a number make as many files as their count asks for, below zero
-    file = F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS), -1 - spread)
+    number = F.coalesce("page_id", below - 1 - spread)  # pages without a number make as many files as their count asks for
+    file = F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS), below - 1 - spread)
     kept = pages.select("page_id", "url", "html")
     hurt = F.when(F.col("page_id") % DAMAGED == 0, F.concat(F.expr("left(coalesce(html, ''), greatest(length(coalesce(html, '')) - 1, 0))"), F.lit("~"))).otherwise(F.col("html"))
     primary = records(kept, file, number, F.col("url"), F.col("html"))

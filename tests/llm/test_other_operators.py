@@ -262,3 +262,9 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(out) <= len(rows) and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} == set(out[0].asDict())
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_pages_of_negative_numbers_and_of_none_share_no_file(spark):
+    rows = [(-5, "u", "<p>a"), (-300, "v", "<p>b"), (None, "w", "<p>c"), (3, "x", "<p>d"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r.file, r.n_records) for r in warc.audited(df).collect()} == {(-1, 1), (-3, 1), (0, 1), (-4, 2)}
