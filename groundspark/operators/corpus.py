@@ -158,6 +158,19 @@ def decode_tokens(df: DataFrame, key: str, vocab: DataFrame, ignore: list[int] =
     return words.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "token")))), lambda x: x["token"]).alias("words"))
 
 
+def decode_sentences(df: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    """C17: key and the sentence of token_ids: what stands before the first pad (0), without a last <eos> (3) and then a first <sos> (2)."""
+    ids = F.col("token_ids")
+    pad = F.array_position(ids, F.lit(0).cast("int"))
+    own = F.when(pad > 0, F.slice(ids, F.lit(1), (pad - 1).cast("int"))).otherwise(ids)
+    own = F.when(F.try_element_at(own, F.lit(-1)) == 3, F.slice(own, F.lit(1), F.size(own) - 1)).otherwise(own)
+    own = F.when(F.get(own, F.lit(0)) == 2, F.slice(own, F.lit(2), F.size(own))).otherwise(own)
+    marks = F.create_map(*[F.lit(x) for kv in {1: "<unk>", 2: "<sos>", 3: "<eos>"}.items() for x in kv])
+    each = df.select(key, F.posexplode_outer(own).alias("i", "token_id")).join(vocab.select("token", F.col("token_id").cast("int").alias("token_id")), "token_id", "left")
+    word = each.withColumn("token", F.coalesce(F.try_element_at(marks, "token_id"), F.col("token")))
+    return word.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "token")))), lambda x: x["token"]), " ").alias("sentence"))
+
+
 def sample_bag(df: DataFrame, key: str, frames: str, m: int = 5, contiguous: bool = True, seed: int = 0) -> DataFrame:
     """M frames of the array column: a run from a drawn start, or the m least draws; with fewer than m, m draws with replacement. Sorted by place."""
     n = F.size(frames)
@@ -218,3 +231,17 @@ def caption_mismatches(annotations: DataFrame, sentences: DataFrame) -> DataFram
 def caption_splits(df: DataFrame) -> DataFrame:
     """Distinct (split, source split), with restval as train."""
     return df.select(F.when(F.col("split") == "restval", "train").otherwise(F.col("split")).alias("split"), F.col("split").alias("source_split")).distinct()
+
+
+def caption_integrity(annotations: DataFrame, images: DataFrame, sentences: DataFrame, source_images: DataFrame) -> DataFrame:
+    """sent_id and reason of annotations (sent_id, image_id, caption) that don't agree with the source they stand beside.
+
+    images: id, file_name; sentences: sent_id, imgid, raw; source_images: imgid, cocoid, filename. Reasons, the first that holds:
+    image (none of that id), sentence (none), caption (another text), source (no source image), image_id, file_name (the last
+    sixteen characters of the source's differ).
+    """
+    j = annotations.join(images.select(F.col("id").alias("image_id"), F.col("file_name"), F.lit(True).alias("has_image")), "image_id", "left")
+    j = j.join(sentences.select("sent_id", "imgid", "raw", F.lit(True).alias("has_sentence")), "sent_id", "left").join(source_images.select("imgid", "cocoid", "filename", F.lit(True).alias("has_source")), "imgid", "left")
+    reason = F.when(F.col("has_image").isNull(), "image").when(F.col("has_sentence").isNull(), "sentence").when(~F.col("raw").eqNullSafe(F.col("caption")), "caption").when(F.col("has_source").isNull(), "source")
+    reason = reason.when(~F.col("cocoid").eqNullSafe(F.col("image_id")), "image_id").when(~F.right("filename", F.lit(16)).eqNullSafe(F.col("file_name")), "file_name")
+    return j.withColumn("reason", reason).where("reason is not null").select("sent_id", "reason")

@@ -125,8 +125,30 @@ def invalid_trials(trials: DataFrame, vocab: DataFrame) -> DataFrame:
     return out.union(odd).distinct()
 
 
-def relabel(trials: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """H9: categories of targets and foils renamed."""
+def invalid_labels(trials: DataFrame, vocab: DataFrame, mode: str = "vocab", bad: list[str] = X.BAD_LABELS) -> DataFrame:
+    """H8: label of the targets that make stored trials unusable: no good label, or in mode vocab one that isn't in the vocabulary."""
+    labels = trials.select(F.col("target_category").alias("label")).distinct()
+    poor = labels.where(~F.coalesce(X.is_good_label("label", bad), F.lit(False)))
+    if mode != "vocab":
+        return poor
+    known = vocab.select(F.col("token").alias("label")).distinct()
+    return labels.join(known, "label", "left_anti").unionByName(poor).distinct()
+
+
+def trials_are_valid(trials: DataFrame, vocab: DataFrame, mode: str = "vocab", stored_mode: str | None = None) -> bool:
+    """H8: whether stored trials can be used: made in the same mode (an unknown one fits any), with labels, all of them sound."""
+    if stored_mode and stored_mode.strip().lower() != mode:
+        return False
+    return bool(trials.head(1)) and not invalid_labels(trials, vocab, mode).head(1)
+
+
+def relabel(trials: DataFrame, mapping: dict[str, str], vocab: DataFrame | None = None) -> DataFrame:
+    """H9: categories of targets and foils renamed; with a vocabulary (token) only to words that are in it."""
+    if vocab is not None:
+        known = {r.token for r in vocab.where(F.col("token").isin(list(set(mapping.values())))).select("token").distinct().collect()}  # no more than the mapping has
+        mapping = {k: v for k, v in mapping.items() if v in known}
+    if not mapping:
+        return trials
     change = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), c), c)
     return trials.withColumn("target_category", change(F.col("target_category"))).withColumn("foil_categories", F.transform("foil_categories", change))
 
@@ -234,12 +256,13 @@ def class_table(preds: DataFrame, classes: list[str]) -> DataFrame:
     return preds.groupBy("run_id").pivot("class", classes).agg(F.avg(F.col("correct").cast("double")))
 
 
-def compare_runs(base: DataFrame, exp: DataFrame) -> DataFrame:
-    """Class, base, exp, delta for classes of both runs, largest gain first, and the macro means (class null)."""
+def compare_runs(base: DataFrame, exp: DataFrame, sort_by: str = "delta") -> DataFrame:
+    """Class, base, exp, delta for classes of both runs, and the macro means (class null). sort_by: alpha, or baseline, experiment or delta, the largest first."""
+    order = {"alpha": F.asc_nulls_last("class"), "baseline": F.desc("base"), "experiment": F.desc("exp"), "delta": F.desc("delta")}[sort_by]
     a = base.groupBy("class").agg(F.avg(F.col("correct").cast("double")).alias("base"))
     b = exp.groupBy("class").agg(F.avg(F.col("correct").cast("double")).alias("exp"))
     j = a.join(b, "class").withColumn("delta", F.col("exp") - F.col("base"))
-    return j.unionByName(j.agg(F.lit(None).cast("string").alias("class"), F.avg("base").alias("base"), F.avg("exp").alias("exp"), F.avg("delta").alias("delta"))).orderBy(F.desc("delta"))
+    return j.unionByName(j.agg(F.lit(None).cast("string").alias("class"), F.avg("base").alias("base"), F.avg("exp").alias("exp"), F.avg("delta").alias("delta"))).orderBy(order)
 
 
 def metrics_by_class(preds: DataFrame) -> DataFrame:

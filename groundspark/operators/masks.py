@@ -16,6 +16,11 @@ MOST = 4096  # concepts that are sent as one array
 CANONICAL = "ball basket car cat chair computer crib door foot hand paper puzzle stairs table window".split()
 
 
+#: Prompts of a concept, and concepts that a prompt names otherwise.
+TEMPLATES = ["a photo of a {}", "a close-up photo of a {}", "a small {}", "a toy {}"]
+CONTEXTS = {"leg": "human leg", "arm": "human arm", "hand": "human hand", "foot": "human foot", "face": "human face", "head": "human head", "baby": "baby person", "child": "child person"}
+
+
 def scale_box(df: DataFrame, scale: float = 1.2) -> DataFrame:
     """Box x1, y1, x2, y2 scaled about its centre and clipped to width x height."""
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
@@ -65,6 +70,13 @@ def assign_labels(masks: DataFrame, concepts: DataFrame, thr: float = 0.30) -> D
     return scored.withColumn("clip_sim", F.col("best.sim")).withColumn("label", F.when(F.col("clip_sim") >= thr, F.col("best.concept"))).drop("cs", "best")
 
 
+def prompts(concepts: DataFrame, templates: list[str] = TEMPLATES, contexts: dict[str, str] = CONTEXTS) -> DataFrame:
+    """Concept, place and prompt: every template with the concept (column concept), or with what its context names it; the input of an encoder."""
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in contexts.items() for x in kv]), F.lower("concept")), F.col("concept")) if contexts else F.col("concept")
+    texts = F.array(*[F.concat(*[x for i, part in enumerate(t.split("{}")) for x in ([named] if i else []) + [F.lit(part)]]) for t in templates])
+    return concepts.select("concept", F.posexplode(texts).alias("place", "prompt"))
+
+
 def ensemble_vectors(df: DataFrame, *keys: str, vector: str = "z") -> DataFrame:
     """Mean of the normalised vectors of a key, normalised again."""
     one = df.select(*keys, F.posexplode(V.l2_normalize(vector)).alias("d", "x")).groupBy(*keys, "d").agg(F.avg("x").alias("x"))
@@ -126,6 +138,11 @@ def frequency_report(names: DataFrame, packed: DataFrame) -> DataFrame:
     return rows.unionByName(m.agg(F.lit(None).cast("string").alias("label"), F.count("m.label").alias("parsed"), F.lit(None).cast("long").alias("packed"), F.sum(F.col("m.label").isNull().cast("long")).alias("bad")))
 
 
+def bad_names(names: DataFrame, most: int = 50) -> DataFrame:
+    """The first of the mask names that don't have the form, in order."""
+    return names.where(X.mask_filename("mask_name")["label"].isNull() & F.col("mask_name").isNotNull()).select("mask_name").orderBy("mask_name").limit(most)
+
+
 def resolve_keys(frames: DataFrame, index: DataFrame) -> DataFrame:
     """Each path of frames with the index path that is equal, else has the same unique last name, else the same unique last two names."""
     one = lambda n: F.substring_index("path", "/", -n)

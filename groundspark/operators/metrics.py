@@ -18,8 +18,8 @@ def histogram(df: DataFrame, value: Column) -> DataFrame:
     return all_.join(counts, "size", "left").select("size", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def gini(counts: DataFrame, value: str, *keys: str) -> DataFrame:
-    """D3: Gini coefficient of the counts of each key (all counts share a key where none is given); zero where the sum is zero.
+def gini(counts: DataFrame, value: str, *keys: str, empty: float = 0.0) -> DataFrame:
+    """D3: Gini coefficient of the counts of each key (all counts share a key where none is given); empty (0, or NaN) where there are none or their sum is zero.
 
     Equal counts are one row with their number, so a window holds distinct counts only, however many concepts there are.
     """
@@ -28,8 +28,9 @@ def gini(counts: DataFrame, value: str, *keys: str) -> DataFrame:
     before = F.sum("m").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
     ranks = F.col("m") * F.col("before") + F.col("m") * (F.col("m") + 1) / 2  # sum of the ranks of equal counts
     n, s = F.sum("m"), F.sum(F.col("v") * F.col("m"))
-    g = F.when(s > 0, (2 * F.sum(ranks * F.col("v")) / (n * s)) - (n + 1) / n).otherwise(0.0)
-    return d.withColumn("before", before).groupBy(*keys).agg(g.alias("gini")).drop("__all")
+    g = F.when(s > 0, (2 * F.sum(ranks * F.col("v")) / (n * s)) - (n + 1) / n).otherwise(F.lit(empty))
+    ranked = d.withColumn("before", before)
+    return ranked.agg(g.alias("gini")) if keys == ["__all"] else ranked.groupBy(*keys).agg(g.alias("gini"))
 
 
 RUN = 100_000  # equal counts that one row stands for when points are made

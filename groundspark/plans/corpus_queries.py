@@ -234,6 +234,14 @@ def c17_decode(spark, sf):
     return t.select("id").join(words, "id", "left").select("id", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
+@query("c17_sentences", ENCODE_SQL % "ws" + ", d as (select id, unnest(token_ids) as token_id, unnest(range(len(token_ids))) as i from raw) select raw.id, coalesce(x.sentence, '') as sentence from raw left join (select id, string_agg(case when d.token_id = 1 then '<unk>' else token end, ' ' order by i) as sentence from d left join vocab using (token_id) where d.token_id not in (0, 2, 3) group by id) x using (id)")
+def c17_sentences(spark, sf):
+    t = turns(spark, sf)
+    vocab = C.build_vocab(t, X.tokenize_ws("text"))
+    ids = C.encode_tokens(t, "id", X.tokenize_ws("text"), vocab).withColumn("token_ids", F.concat("token_ids", F.array(F.lit(0), F.lit(0))))  # padded
+    return C.decode_sentences(ids, "id", vocab)
+
+
 def bag_sql(contiguous: bool) -> str:
     by = "('0x' || substr(md5('8|' || id || '|' || i), 1, 8))::bigint"
     many = f"list_transform(range(5), lambda i: {sql_draw(8, 'id')} % greatest(n - 4, 1) + i)" if contiguous else f"list_sort(list_transform(list_sort(list_transform(range(n), lambda i: {{'d': {by}, 'i': i}}))[1:5], lambda x: x.i))"

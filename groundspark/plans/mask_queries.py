@@ -333,3 +333,15 @@ def e18_any_visible(spark, sf):
     """The first detection's label is what the text mentions, the others are masks."""
     d = A.detections(spark, sf)
     return M.any_visible(d.where("line = 1").select("frame", F.col("label").alias("concept")), d.where("line > 1"))
+
+
+@query("e4_prompts", "with c as (select distinct lower(p_type) as concept from part), t as (select unnest(['a photo of a ', 'a close-up photo of a ', 'a small ', 'a toy ']) as t, unnest(range(4)) as place) select concept, place::int as place, t || case concept when 'small' then 'small thing' else concept end as prompt from c cross join t")
+def e4_prompts(spark, sf):
+    concepts = table(spark, sf, "part").select(F.lower("p_type").alias("concept")).distinct()
+    return M.prompts(concepts, contexts=M.CONTEXTS | {"small": "small thing"})
+
+
+@query("e11_bad_names", "with " + DET + " select 'bad_' || frame as mask_name from named where frame % 10 = 0 order by 1 limit 50")
+def e11_bad_names(spark, sf):
+    names = indexed(spark, sf).select(F.when(F.col("frame") % 10 == 0, F.concat(F.lit("bad_"), F.col("frame").cast("string"))).otherwise(F.col("mask_name")).alias("mask_name"))
+    return M.bad_names(names)

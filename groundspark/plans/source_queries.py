@@ -252,6 +252,18 @@ def c23_caption_mismatches(spark, sf):
     return C.caption_mismatches(annotations, c.where("image_id % 9 <> 4").withColumnRenamed("text", "raw"))
 
 
+@query("c23_caption_integrity", "select conv_id * 10 + turn as sent_id, case when conv_id % 11 = 0 then 'image' when turn % 5 = 4 then 'sentence' when turn % 5 = 0 then 'caption' when conv_id % 9 = 4 then 'source' when conv_id % 7 = 3 then 'image_id' else 'file_name' end as reason from conversations where conv_id % 11 = 0 or turn % 5 in (0, 4) or conv_id % 9 = 4 or conv_id % 7 = 3 or conv_id % 13 = 5")
+def c23_caption_integrity(spark, sf):
+    """Conversations as images, turns as captions; every way of disagreeing occurs."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", (F.col("conv_id") * 10 + F.col("turn")).alias("sent_id"))
+    name = F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit(".jpg"))
+    ids = c.select("conv_id").distinct()
+    images = ids.where("conv_id % 11 <> 0").select(F.col("conv_id").alias("id"), name.alias("file_name"))
+    sentences = c.where("turn % 5 <> 4").select("sent_id", (F.col("conv_id") + 1000000).alias("imgid"), F.when(F.col("turn") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("raw"))
+    source = ids.where("conv_id % 9 <> 4").select((F.col("conv_id") + 1000000).alias("imgid"), F.when(F.col("conv_id") % 7 == 3, F.col("conv_id") + 1).otherwise(F.col("conv_id")).alias("cocoid"), F.concat(F.lit("train_"), F.when(F.col("conv_id") % 13 == 5, F.lit("other.jpg")).otherwise(name)).alias("filename"))
+    return C.caption_integrity(c.select("sent_id", F.col("conv_id").alias("image_id"), F.col("text").alias("caption")), images, sentences, source)
+
+
 @query("c23_caption_splits", "select distinct case role when 'system' then 'train' else role end as split, case role when 'system' then 'restval' else role end as source_split from conversations")
 def c23_caption_splits(spark, sf):
     role = F.when(F.col("role") == "system", "restval").otherwise(F.col("role"))

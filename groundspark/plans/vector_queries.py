@@ -437,6 +437,19 @@ def h9_relabelled_trials(spark, sf):
     return E.relabel(trials(spark, sf), {"promo": "offer"}).select("trial_num", "target_category", "foil_categories")
 
 
+@query("h8_invalid_labels", "with " + INST + " select distinct label from ok where label = 'small'")
+def h8_invalid_labels(spark, sf):
+    vocab = pooled(spark, sf).where("label <> 'small'").select(F.col("label").alias("token")).distinct()
+    return E.invalid_labels(trials(spark, sf), vocab)
+
+
+@query("h9_relabelled_in_vocabulary", TRIALS + " select trial_num, case when target_category = 'promo' then 'large' else target_category end as target_category, list_transform(foil_categories, lambda x: case when x = 'promo' then 'large' else x end) as foil_categories from tr")
+def h9_relabelled_in_vocabulary(spark, sf):
+    """One of two new names is in the vocabulary."""
+    vocab = pooled(spark, sf).select(F.col("label").alias("token")).distinct()
+    return E.relabel(trials(spark, sf), {"promo": "large", "small": "kitty"}, vocab).select("trial_num", "target_category", "foil_categories")
+
+
 CHOICE = TRIALS + ", e as (select vec_id as i, list_transform(embedding, lambda x: x::double) as z from embeddings), c as (select count(*) as n from e), q as (select label, row_number() over (order by label) - 1 as qi from (select distinct label from po)), sl as (select trial_num, target_category, unnest(list_concat([target_id], foil_ids)) as id, unnest(range(4)) as slot from tr), sc as (select trial_num, target_category as class, slot, list_dot_product(a.z, b.z) / ((sqrt(list_dot_product(a.z, a.z)) + 1e-8) * (sqrt(list_dot_product(b.z, b.z)) + 1e-8)) as g from sl join q on q.label = target_category join e a on a.i = id % (select n from c) join e b on b.i = qi), ch as (select trial_num, class, list(g order by slot) as scores from sc group by 1, 2)"
 
 
