@@ -163,7 +163,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     # 2: windows behind the last place of the same size, so that each comes once
     each = Window.partitionBy("h1", "h2", "size").orderBy("p")
     last = F.coalesce(F.lag("p").over(each), F.lit(-1))
-    once = windows_of(places.dropDuplicates(["h1", "h2", "size", "p"]).withColumn("last", last), "h1", "h2")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # places are few bytes but much work: dealt out evenly, also those of one text
+    once = windows_of(places.dropDuplicates(["h1", "h2", "size", "p"]).withColumn("last", last).repartition(parts), "h1", "h2")
     once = written(once.withColumn("fp", fingerprint(F.col("tags"))))
     # 3: candidates from the blocks; the index grows with the benchmark, so it is never broadcast
     around = F.array(*[F.lit(x) for x in ball()])
