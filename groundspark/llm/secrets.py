@@ -145,7 +145,8 @@ def train(labelled: DataFrame, dictionary: list[str], seed: int = 11):
     sample = parts[0].union(parts[1]).coalesce(2)
     weights = neighbour_weights(sample)
     forest = RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, labelCol="label", featuresCol="features")
-    return forest.fit(features(sample, dictionary, weights)), weights
+    rows = written(features(sample, dictionary, weights).select("label", "features"))  # read several times by the fit
+    return forest.fit(rows.coalesce(1)), weights
 
 
 def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None, fold: str | None = None) -> DataFrame:
