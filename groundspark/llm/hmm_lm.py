@@ -52,8 +52,8 @@ def bucket(word: bytes) -> int:
 class Lexicon(dict):
     """Word -> index into class and log10(count + 1); words that aren't hot are added as they come."""
 
-    def __init__(self, hot: list[tuple[bytes, int]]):
-        self.hot = hot
+    def __init__(self, hot: list[tuple[bytes, int]], ends: int = 0):
+        self.hot, self.ends = hot, ends
         self.start()
 
     def start(self) -> None:
@@ -64,6 +64,7 @@ class Lexicon(dict):
         self.cls[: n + 1] = [k if k < OWN else bucket(w) for k, (w, _) in enumerate(self.hot)] + [CLASSES - 1]
         self.log = np.zeros(n + 1)
         self.log[:n] = [math.log10(c + 1) for _, c in self.hot]
+        self.log[n] = math.log10(self.ends + 1)
         self.fixed = n + 1
 
     def __missing__(self, word: bytes) -> int:
@@ -73,9 +74,10 @@ class Lexicon(dict):
 
     def of(self, ws: list[bytes]) -> np.ndarray:
         if len(self) + len(ws) > len(self.cls):
-            new = len(set(ws).difference(self))
-            if len(self) + new > len(self.cls):
+            kinds = set(ws)
+            if len(self) + len(kinds.difference(self)) > len(self.cls):
                 self.start()
+                new = len(kinds.difference(self))  # what was remembered is new again
                 if self.fixed + new > len(self.cls):
                     self.cls = np.concatenate([self.cls, np.zeros(new, np.int32)])
         return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
@@ -288,11 +290,9 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, docs: int) -> D
     """documents' other columns with n_tokens, n_known, train_tokens, base_score and score of the column text, which goes. Columns named like results are replaced; all others stay."""
     keep = [c for c in documents.columns if c != "text" and c not in OUT]
     given = [f"c{i}" for i in range(len(keep))]  # so that no column of the user's has the name of a work column
-    end_log = math.log10(docs + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(model.hot)
-        known.log[-1] = end_log
+        known = Lexicon(model.hot, docs)
         m = len(keep) + 1
         for batch in batches:
             for a, b, texts in token_lists(batch, m):

@@ -246,6 +246,19 @@ def test_hmm_learns_what_follows_what(spark):
         assert x.score == pytest.approx(want, rel=1e-9)
 
 
+def test_hmm_knows_ends_after_it_has_forgotten_words(spark):
+    """More loose words in one task than are remembered: what is remembered of all rows, ends among them, stays."""
+    bulk = [" ".join(f"w{i}x{k}" for i in range(90_000)) for k in range(3)]
+    again = " ".join(bulk[2].split()[:50_000]) + " " + " ".join(f"v{i}" for i in range(160_000))  # partly remembered, more than fits
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*bulk, again, "a", None])], "doc_id long, text string").coalesce(1)
+    model = hmm_lm.Model([(b"a", 9)], hmm_lm.Hmm.first(np.full(hmm_lm.CLASSES, 1 / hmm_lm.CLASSES)), 109, 3, np.zeros(hmm_lm.BUCKETS))
+    counts = spark.createDataFrame([(bytearray(b"a"), 9)], "word binary, c long")
+    got = {r.doc_id: r for r in hmm_lm.score(df, model, counts, 99).collect()}
+    for i, n in enumerate([90_001, 90_001, 90_001, 210_001, 2, 1]):
+        known = 2.0 + (i == 4)  # an end is known with count 99, the word a with count 9
+        assert (got[i].n_tokens, got[i].n_known) == (n, 1 + (i == 4)) and math.isclose(got[i].base_score, known - n * math.log10(113), abs_tol=1e-6)
+
+
 def test_hmm_keeps_columns_with_the_names_of_work_columns(spark):
     df = spark.createDataFrame([(1, "a b", 5, 6.0, 7, "odd", 1.0), (1, "other text", None, None, None, None, None), (None, None, 0, 0.0, 0, "", 0.0)], "doc_id long, text string, row int, more double, hits int, odd string, score double")
     model, counts = hmm_lm.train(df.select("doc_id", "text"))
