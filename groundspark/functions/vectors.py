@@ -12,6 +12,16 @@ def doubles(c: str | Column) -> Column:
     return F.transform(col(c), lambda x: x.cast("double"))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """x to some digits; what is under zero and rounds to it stays -0.0, as in IEEE arithmetic and SQL (Spark's round drops the sign)."""
+    r = F.round(x, digits)
+    return F.when((r == 0) & (x < 0), F.lit(-0.0)).otherwise(r)
+
+
+def rounded_list(c: str | Column, digits: int = 6) -> Column:
+    return F.transform(col(c), lambda x: rounded(x, digits))
+
+
 def total(c: str | Column) -> Column:
     return F.aggregate(col(c), F.lit(0.0), lambda s, x: s + x)
 

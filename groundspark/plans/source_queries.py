@@ -197,7 +197,7 @@ def b29_mask_geometry(spark, sf):
 def b30_masked_pooling(spark, sf):
     e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("sample"), (F.col("vec_id") % 4).alias("cell"), V.doubles("embedding").alias("f"))
     w = e.select("sample", "cell", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("w", F.when(F.col("k") == 0, 1.0).otherwise((F.col("cell") % 3) / 2.0))
-    return Q.masked_pool(e, w).select("sample", "k", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return Q.masked_pool(e, w).select("sample", "k", V.rounded_list("v").alias("v"))
 
 
 POOL = """with v as (select vec_id as key, list_transform(embedding, lambda x: x::double) as z from embeddings where len(embedding) = 64),
