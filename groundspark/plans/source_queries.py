@@ -215,7 +215,7 @@ def maps_and_masks(spark, sf):
 
 @query("b30_packed_pooling", POOL + " select key, k, round(list_sum(w), 6) as mass, list_transform(range(4), lambda c: round(list_dot_product(z[c * 16 + 1:c * 16 + 16], w) / greatest(list_sum(w), 1e-6), 6)) as pooled, list_transform(range(4), lambda c: round(list_dot_product(z[c * 16 + 1:c * 16 + 16], ring) / greatest(list_sum(ring), 1e-6), 6)) as context from r")
 def b30_packed_pooling(spark, sf):
-    six = lambda c: F.transform(c, lambda x: F.round(x, 6)).alias(c)
+    six = lambda c: V.rounded_list(c).alias(c)
     return Q.pool_packed(maps_and_masks(spark, sf), (4, 4, 4), (8, 8), 1).select("key", "k", F.round("mass", 6).alias("mass"), six("pooled"), six("context"))
 
 
