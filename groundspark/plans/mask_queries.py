@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from groundspark.functions import vectors as V
 from groundspark.operators import concepts as K
 from groundspark.operators import masks as M
 from groundspark.operators.util import draw
@@ -61,7 +62,7 @@ m as (select label, d, avg(x) as x from (select label, unnest(z) as x, unnest(ra
 l as (select label, list(x order by d) as a from m group by 1)
 select label as concept_id, list_transform(a, lambda x: round(x / (sqrt(list_dot_product(a, a)) + 1e-8), 6)) as v from l""")
 def e4_ensemble_vectors(spark, sf):
-    return M.ensemble_vectors(A.objects(spark, sf), "concept_id").select("concept_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return M.ensemble_vectors(A.objects(spark, sf), "concept_id").select("concept_id", V.rounded_list("v").alias("v"))
 
 
 @query("e5_mask_index", "with " + DET + " select frame, line, det_id, label, instance_id, mask_name from named")
@@ -325,7 +326,7 @@ def f10_matched_within(spark, sf):
 def e4_fused_vectors(spark, sf):
     o = A.objects(spark, sf).withColumn("pair", F.floor(F.col("obj_id") / 2))
     both = o.where("obj_id % 2 = 0").select("pair", F.col("z").alias("a")).join(o.where("obj_id % 2 = 1").select("pair", F.col("z").alias("b")), "pair")
-    return both.select("pair", F.transform(M.fuse(F.col("a"), F.col("b")), lambda x: F.round(x, 6)).alias("v"))
+    return both.select("pair", V.rounded_list(M.fuse(F.col("a"), F.col("b"))).alias("v"))
 
 
 @query("e18_any_visible", "with d as (select l_orderkey as frame, l_linenumber as line, lower(p_type) as label from lineitem join part on l_partkey = p_partkey) select distinct a.frame from d a join d b on a.frame = b.frame and a.label = b.label where a.line = 1 and b.line > 1")
