@@ -28,7 +28,7 @@ def tiny(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["b30_masked_pooling", "b30_packed_pooling", "g3_recall"])
+@pytest.mark.parametrize("name", ["b30_masked_pooling", "b30_packed_pooling", "g3_recall", "h11_text_choice"])
 def test_signs_of_zeros(spark, tiny, name):
     found = registry.QUERIES[name](spark, tiny)
     sql = database(tiny).execute(registry.ORACLE[name])
