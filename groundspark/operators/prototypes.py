@@ -195,12 +195,12 @@ def _pass(rows: DataFrame, centres: list[list[float]]) -> tuple[dict[int, list[f
     return {i: v for i, v in found.items() if i >= 0}, found[-1]
 
 
-def warm_start(tracks: DataFrame, texts: DataFrame, k: int, min_sim: float = 0.25, need: int = 128, most: int = 4096, n_iters: int = 10, seed: int = 0) -> DataFrame | None:
-    """K-means of the best track (sample_id, r, z) of each text (sample_id, t) with similarity min_sim; sizes 1 and sums as vectors. None with too few."""
+def warm_start(tracks: DataFrame, texts: DataFrame, k: int, min_sim: float = 0.25, need: int = 128, most: int | None = 4096, n_iters: int = 10, seed: int = 0) -> DataFrame | None:
+    """K-means of the best track (sample_id, r, z) of each text (sample_id, t) with similarity min_sim, of most texts (None: of all); sizes 1 and sums as vectors. None with too few."""
     j = tracks.join(texts, "sample_id").withColumn("sim", V.cosine("z", "t"))
     best = j.groupBy("sample_id").agg(F.max("sim").alias("sim"), F.max_by("z", F.struct("sim", -F.col("r"))).alias("z")).where(F.col("sim") >= min_sim)
-    sample = best.orderBy(draw(seed, "sample_id"), "sample_id").limit(most).select(F.col("sample_id").alias("obj_id"), "z")
-    sample = written(sample)
+    sample = best if most is None else best.orderBy(draw(seed, "sample_id"), "sample_id").limit(most)
+    sample = written(sample.select(F.col("sample_id").alias("obj_id"), "z"))
     n = sample.count()
     if n < max(need, k):
         return None

@@ -3,10 +3,14 @@
 import math
 from collections import Counter, defaultdict
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from groundspark.operators.util import draw
 from groundspark.plans import registry
+from tests.compare import database, same
 
 EVENTS = [(i, i % 4, ["click", "view", "error"][i * 7 % 3], i * 10, float(i % 90)) for i in range(1, 90)]  # ids of all remainders
 
@@ -105,3 +109,11 @@ def test_every_event_is_an_anchor(spark, sf):
             want[e[0]] = [kept[min(max(centre + k * 2, 0), len(kept) - 1)] for k in range(-2, 3)]
     got = {r.anchor: list(r.frames) for r in rows(spark, sf, "h12_clips")}
     assert got == want and len(got) == len(EVENTS)
+
+
+def test_warm_start_takes_every_text(spark, tmp_path):
+    """More texts than a sample of the operator's usual size has."""
+    z = np.random.default_rng(3).normal(size=(9000, 4)).astype(np.float32)
+    rows = pa.table({"vec_id": pa.array([i // 2 * 20 + i % 2 * 5 for i in range(9000)], pa.int64()), "embedding": pa.array(z.tolist(), pa.list_(pa.float32())), "label": pa.array([0] * 9000, pa.int32())})  # noqa: F841
+    duckdb.connect().register("rows", rows).execute(f"copy rows to '{tmp_path}/embeddings.parquet' (format parquet)")
+    same(registry.QUERIES["g8_warm_start"](spark, str(tmp_path)), database(str(tmp_path)), registry.ORACLE["g8_warm_start"])
