@@ -1,8 +1,11 @@
 """Event pairs against plain loops."""
 
 import math
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from groundspark.operators import corpus as C
 
 
@@ -38,3 +41,21 @@ def test_sentences(spark):
     got = C.pair_sentences(spark.createDataFrame(list(texts.items()), "event long, narration string"), frames).collect()
     want = {(e, u, s, i) for e, t in texts.items() if e != 5 for u, s in enumerate([x for x in re.split(r"(?<=[.!?])\s+", (t or "").strip()) if x.strip()][:4]) for i in range(e)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_mentions_meet_in_blocks_of_frames(spark):
+    """What is within a window is found over the edges of blocks, and no mention is shuffled once for every offset."""
+    from groundspark.operators import concepts as K
+
+    r = random.Random(5)
+    utts = [(i, r.choice("ab"), r.randrange(300), r.choice("xyz")) for i in range(400)]
+    seen = sorted({(r.choice("ab"), r.randrange(-20, 320), r.choice("xyz")) for _ in range(300)})
+    u = spark.createDataFrame(utts, "utt long, clip string, frame_idx long, concept string")
+    s = spark.createDataFrame(seen, "clip string, at long, concept string")
+    for window in (0, 10, 200):
+        got = sorted((x.utt, x.offset) for x in K.within(u, s, window).collect())
+        assert got == sorted((i, at - f) for i, c, f, k in utts for d, at, m in seen if (c, k) == (d, m) and abs(at - f) <= window)
+        seen_by = K.visibility(u, s.select("clip", F.col("at").alias("frame_idx"), F.col("concept").alias("label")), window).collect()
+        assert sorted((x.utt, x.near) for x in seen_by) == [(i, int(any((c, k) == (d, m) and abs(at - f) <= window for d, at, m in seen))) for i, c, f, k in utts]
+    plan = K.within(u, s, 1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # of what is seen, into the one or two blocks it can be met from
