@@ -182,14 +182,12 @@ def map_classes(raw: DataFrame, vocab: DataFrame, mode: str = "vocab", overrides
 def map_names(names: DataFrame, vocab: DataFrame, key: str, mode: str = "vocab", by_id: dict[str, str] | None = None, by_name: dict[str, str] | None = None, aliases: Lists = NAME_ALIASES, bad: list[str] = X.NAME_STOP) -> DataFrame:
     """Key, mapped of several names (column names: array in order): an override of the key is final; else the first name that gives a label, by its own override or its candidates."""
     rows = names.select(key, "names", F.get(listed({k: [v] for k, v in (by_id or {}).items()}, F.col(key).cast("string")), F.lit(0)).alias("__over"))
-    one = rows.where("__over is null").select(key, F.posexplode("names").alias("i", "raw")).select(key, "i", X.clean_phrase("raw").alias("phrase")).where("phrase <> ''")
+    one = rows.where("__over is null").select(key, F.posexplode("names").alias("i", "raw"))
+    each_ = one.select("raw").distinct().select("raw", X.clean_phrase("raw").alias("phrase")).where("phrase <> ''")  # the cascade runs once a name
     own = F.get(listed({plain_phrase(k): [v] for k, v in (by_name or {}).items()}, F.col("phrase")), F.lit(0))
     derived = {"raw": array("phrase"), "canonical": F.concat(spellings(F.col("phrase")), heads(F.col("phrase"))), "vocab": name_candidates(F.col("phrase"), aliases)}[mode]
-    ranked = one.withColumn("__own", own).select(key, "i", F.posexplode(F.when(F.col("__own").isNotNull(), array(X.clean_phrase("__own"))).otherwise(derived)).alias("rank", "cand"))
-    ranked = ranked.where(X.is_good_label("cand", bad))
-    if mode == "vocab":
-        ranked = ranked.join(vocab.select(F.col("token").alias("cand")).distinct(), "cand", "left_semi")
-    found = ranked.groupBy(key).agg(F.min_by("cand", F.struct("i", "rank")).alias("found"))
+    labels = first_known(each_, "raw", F.when(own.isNotNull(), array(X.clean_phrase(own))).otherwise(derived), vocab if mode == "vocab" else None, bad)
+    found = one.join(labels, "raw").groupBy(key).agg(F.min_by("found", "i").alias("found"))
     fixed = _checked(X.clean_phrase("__over"), vocab, mode, rows.where("__over is not null"), key, bad)
     j = rows.join(fixed, key, "left").join(found, key, "left")
     return j.select(key, F.when(F.col("__over").isNotNull(), F.col("target")).otherwise(F.col("found")).alias("mapped"))
