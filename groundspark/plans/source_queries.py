@@ -107,7 +107,8 @@ def a8_xml_boxes(spark, sf):
     objects = F.when(F.col("p_partkey") % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("p_partkey") % 4 - 1), one))
     path = shared_path(spark, "xml")
     rows = p.select(F.concat(F.lit("n"), (F.col("p_partkey") % 10).cast("string")).alias("folder"), F.concat(F.lit("img_"), F.col("p_partkey").cast("string")).alias("filename"), objects.alias("object"))
-    rows.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").save(path)
+    spread = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a file is read by one task, so its size has a bound
+    spread.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").option("maxRecordsPerFile", 20_000).save(path)
     return S.read_boxes(spark, path)
 
 

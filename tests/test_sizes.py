@@ -18,3 +18,8 @@ def test_cascade_runs_once_a_name(spark):
     out = L.map_names(names, vocab, "k", "vocab", {}, {}, {})
     assert {r.k: r.mapped for r in out.collect()} == {1: "gear", 2: "gear", 3: "gear", 4: None}
     assert "Aggregate [raw" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_annotations_are_dealt_out(spark):
+    """A file is read by one task, so the annotations are in several."""
+    assert len(registry.QUERIES["a8_xml_boxes"](spark, SF).inputFiles()) > 1
