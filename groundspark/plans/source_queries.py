@@ -310,8 +310,8 @@ def e10_index_union(spark, sf):
     lines = index_lines(spark, sf).withColumn("n", F.col("frame_relpath").cast("long")).withColumn("frame_relpath", F.concat(F.lit("dir/"), F.col("frame_relpath"), F.lit(".a.jpg")))
     later = lines.where("n % 2 = 0 and instance_id > 1").withColumn("concept_clip", F.upper("concept_clip"))
     for i, part in enumerate((lines.where("n % 3 <> 1"), later)):
-        json = part.select(F.to_json(F.struct("frame_relpath", "instance_id", "concept_clip")).alias("value"))
-        json.union(part.select(F.concat(F.lit('{"frame_relpath": "'), F.col("frame_relpath")))).write.text(f"{path}/{i}")
+        json, broken = F.to_json(F.struct("frame_relpath", "instance_id", "concept_clip")), F.concat(F.lit('{"frame_relpath": "'), F.col("frame_relpath"))
+        part.select(F.explode(F.array(json, broken)).alias("value")).write.text(f"{path}/{i}")
     return S.merged_index(spark, path).select(S.frame_base("frame_relpath").alias("frame"), "instance_id", "concept_clip", "generation")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.functions import text as X
+from groundspark.operators.util import written
 from groundspark.session import committed
 
 MASK_INDEX = "frame_relpath string, mask_path string, height int, width int, concept_clip string, concept_kind string, category_prefix string, instance_id int, dino_label_raw string, dino_label_norm string, dino_score double, sam_score double, clip_sim double, mask_area long, mask_bbox_xyxy array<double>, is_priority boolean"
@@ -43,6 +44,13 @@ def frame_base(path: str | Column) -> Column:
     return F.split_part(F.replace(X.col(path), F.lit("/"), F.lit("_")), F.lit("."), F.lit(1))
 
 
+def parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of read_mask_index; lines without any closing bracket, as a broken write leaves them, go before they are parsed (each would cost an exception)."""
+    lines = spark.read.text(path).select("value").where(F.contains("value", F.lit("}")) | F.contains("value", F.lit("]")))
+    strings = getattr(lines._jdf, "as")(spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark.read.schema(MASK_INDEX).option("mode", "DROPMALFORMED")._jreader.json(strings), spark)
+
+
 def merged_index(spark: SparkSession, path: str, key: list[str] = ("frame_relpath",)) -> DataFrame:
     """One index from generations of JSON lines (path/0, path/1, ...): of each key the rows of the last generation that has it.
 
@@ -51,10 +59,13 @@ def merged_index(spark: SparkSession, path: str, key: list[str] = ("frame_relpat
     done = committed(spark, path)
     rows = None
     for n in done:
-        part = read_mask_index(spark, f"{path}/{n}").withColumn("generation", F.lit(n)).dropna(subset=list(key))
+        part = parsed_lines(spark, f"{path}/{n}").withColumn("generation", F.lit(n)).dropna(subset=list(key))
         rows = part if rows is None else rows.unionByName(part)
     if rows is None:
         return spark.createDataFrame([], MASK_INDEX + ", generation int")
+    if len(done) == 1:
+        return rows
+    rows = written(rows)  # texts are parsed once
     last = rows.groupBy(*key).agg(F.max("generation").alias("generation"))
     return rows.join(last, [*key, "generation"], "left_semi")
 

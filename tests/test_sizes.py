@@ -23,3 +23,15 @@ def test_cascade_runs_once_a_name(spark):
 def test_annotations_are_dealt_out(spark):
     """A file is read by one task, so the annotations are in several."""
     assert len(registry.QUERIES["a8_xml_boxes"](spark, SF).inputFiles()) > 1
+
+
+def test_generations_are_parsed_once(spark, tmp_path):
+    """Odd lines give what the index's reader gives; the rows are read from a table after that."""
+    odd = ['{"frame_relpath": "a", "instance_id": 1}', '{"frame_relpath": "b"', '{"frame_relpath": "c"},', "null", "7", "", "}", '[{"frame_relpath": "d"}, {"frame_relpath": "e"}]', '{"frame_relpath": "f", "instance_id": "x"}', '{"frame_relpath": "g]']
+    for i, lines in enumerate((odd, ['{"frame_relpath": "a", "instance_id": 2}'])):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{tmp_path}/{i}")
+    plain = S.read_mask_index(spark, f"{tmp_path}/0").dropna(subset=["frame_relpath"])
+    out = S.merged_index(spark, str(tmp_path))
+    want = [(r.frame_relpath, r.instance_id, 0) for r in plain.collect() if r.frame_relpath != "a"] + [("a", 2, 1)]
+    assert sorted((r.frame_relpath, r.instance_id, r.generation) for r in out.collect()) == sorted(want, key=str)
+    assert not any(str(tmp_path) in f for f in out.inputFiles())
