@@ -283,8 +283,9 @@ def ingested(spark, sf):
     """Every line comes twice, in files that several batches read."""
     path, out = shared_path(spark, "incoming"), shared_path(spark, "ingested")
     lines = index_lines(spark, sf).select("frame_relpath", "instance_id", "concept_clip")
-    lines.union(lines).repartition(6).write.json(path)
-    stream = spark.readStream.schema("frame_relpath string, instance_id int, concept_clip string").option("maxFilesPerTrigger", 2).json(path)
+    lines.union(lines).write.option("compression", "gzip").json(path)
+    third = max(1, len(spark.read.text(path).inputFiles()) // 3)
+    stream = spark.readStream.schema("frame_relpath string, instance_id int, concept_clip string").option("maxFilesPerTrigger", third).json(path)
     J.ingest_index(stream, ["frame_relpath", "instance_id", "concept_clip"], "concept_clip", out, shared_path(spark, "state")).awaitTermination()
     return out
 

@@ -38,7 +38,7 @@ def add_batch(batch: DataFrame, batch_id: int, key: list[str], concept: str, pat
     if done:
         before = spark.read.schema(batch.schema).parquet(*[f"{path}/index/{i}" for i in done]).select(*key)
         asked = rows.select(*key)
-        known = before.join(asked, same(before, asked), "left_semi").distinct()
+        known = before.join(asked, same(before, asked), "left_semi")
         rows = rows.join(known, same(rows, known), "left_anti")
     rows.write.mode("overwrite").parquet(f"{path}/index/{batch_id}")
     n = spark.read.schema(batch.schema).parquet(f"{path}/index/{batch_id}").groupBy(concept).agg(F.count("*").alias("n"))

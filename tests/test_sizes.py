@@ -35,3 +35,14 @@ def test_generations_are_parsed_once(spark, tmp_path):
     want = [(r.frame_relpath, r.instance_id, 0) for r in plain.collect() if r.frame_relpath != "a"] + [("a", 2, 1)]
     assert sorted((r.frame_relpath, r.instance_id, r.generation) for r in out.collect()) == sorted(want, key=str)
     assert not any(str(tmp_path) in f for f in out.inputFiles())
+
+
+def test_lines_come_packed_in_several_batches(spark):
+    """The lines are written once without a shuffle, packed; several batches read them."""
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/groundspark/*/incoming-*/part-*"))
+    out = source_queries.ingested(spark, SF)
+    new = set(glob.glob(f"{folder}/groundspark/*/incoming-*/part-*")) - before
+    assert new and all(f.endswith(".gz") for f in new) and len(committed(spark, f"{out}/counts")) > 1
+    n = source_queries.index_lines(spark, SF).select("frame_relpath", "instance_id", "concept_clip").distinct().count()
+    assert spark.read.parquet(*[f"{out}/index/{i}" for i in committed(spark, f"{out}/counts")]).count() == n
