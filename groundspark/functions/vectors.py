@@ -13,9 +13,14 @@ def doubles(c: str | Column) -> Column:
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    """x to some digits; what is under zero and rounds to it stays -0.0, as in IEEE arithmetic and SQL (Spark's round drops the sign)."""
-    r = F.round(x, digits)
-    return F.when((r == 0) & (x < 0), F.lit(-0.0)).otherwise(r)
+    """x to some digits as in SQL: times 10^digits, to the nearest whole number (halves away from zero), divided again.
+
+    Spark's round goes by the decimal text of x: it differs at halves and among large numbers (1e8 and six digits), and drops the sign of zeros.
+    """
+    y = x * F.lit(10.0**digits)
+    n = F.rint(y)
+    near = F.when((y > 0) & (y - n == 0.5), n + 1).when((y < 0) & (y - n == -0.5), n - 1).otherwise(n) / F.lit(10.0**digits)
+    return F.when(F.abs(y) == float("inf"), x).otherwise(near)
 
 
 def rounded_list(c: str | Column, digits: int = 6) -> Column:
